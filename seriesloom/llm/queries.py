@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_join, language_id, substring_dedup, suffix_dedup, token_output
+from . import decontaminate, jaccard_join, language_id, media, substring_dedup, suffix_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=50))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.digest(media.media_table(table(spark, sf_dir, "documents")))
+
+
 def op5_token_output(spark: SparkSession, sf_dir: str, tokenizer: str = "") -> DataFrame:
     """tokenizer: path of a tokenizer file; the public byte-level BPE of 50k pieces if not given."""
     return token_output.token_table(table(spark, sf_dir, "documents"), tokenizer or default_tokenizer())
@@ -46,6 +50,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op5_token_output, op6_jaccard_join, op9_fm_decontaminate, op10_language_id)
+    f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_media_columns, op5_token_output, op6_jaccard_join, op9_fm_decontaminate, op10_language_id)
 }
 SQL: dict[str, str] = {}
