@@ -33,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -56,6 +56,7 @@ class Bands:
             tops.append(max(tops[-1] + 1, tops[-1] * den // num))
         self.tops = np.array(tops)
         plans = [self.allocation(int(u), population) for u in tops]
+        self.most = np.array([(den - num) * (u + u * den // num) // (den + num) for u in tops])
         self.exact, self.double, self.slack = (np.array(x) for x in zip(*plans, strict=True))
         self.segments = self.exact + self.double
 
@@ -75,6 +76,9 @@ class Bands:
             each = top / count
             mates = population * COMMON ** max(1.0, each)
             nearly = population * COMMON ** max(1.0, each - 1)
+            bare = math.exp(-each)
+            mates += 0 if slack else bare * bare * population
+            nearly += bare * bare * population
             cost = (exact + slack) * (1 + mates) + double * (1 + each) * (1 + nearly)
             best = min(best, (cost, exact + slack, double, slack))
         return best[1:]
@@ -86,6 +90,30 @@ class Bands:
         least = -(-sizes * self.num // self.den)
         return (band > 0) & (least <= self.tops[np.maximum(band - 1, 0)])
 
+    def with_most(self):
+        """Adds to each node its band's largest difference; -1 where deletions are indexed too."""
+        tops, most, double = self.tops, self.most, self.double
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                band = np.searchsorted(tops, b.column(2).to_numpy())
+                yield b.append_column("most", pa.array(np.where(double[band] == 0, most[band], -1)))
+
+        return add
+
+    def may_link(self) -> Column:
+        """Whether sizes and the number of shared segments allow a link.
+
+        Two sets that differ in d places agree on all but d of a band's
+        segments, so a pair must share that many signatures less the empty
+        segments that neither shows.
+        """
+        a, b = F.col("size_a"), F.col("size_b")
+        sizes = (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
+        most = F.when(a <= b, F.col("most_a")).otherwise(F.col("most_b"))
+        differ = F.floor((self.den - self.num) * (a + b) / (self.den + self.num) + F.lit(1e-9))
+        return sizes & ((most < 0) | (F.col("shared") > most - differ))
+
     def linked(self, a: int, b: int, both: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
 
@@ -216,16 +244,17 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bro
     sets = ws.read("sets")
     if sets.filter("clash").limit(1).count():
         raise RuntimeError("two shingle sets share a fingerprint")
-    nodes = ws.write("nodes", sets.filter("doc_id = rep AND fp <> 0").groupBy("fp").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("size")))
-    first = ws.write("links1", verify(ws, docs, named(best_stars(ws, blocks), nodes), "v1", n, bands, broadcast_bytes))
+    nodes = sets.filter("doc_id = rep AND fp <> 0").groupBy("fp").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("size"))
+    nodes = ws.write("nodes", nodes.mapInArrow(bands.with_most(), "fp long, rep long, size long, most long"))
+    first = ws.write("links1", verify(ws, docs, named(best_stars(ws, blocks), nodes).filter(bands.may_link()), "v1", n, bands, broadcast_bytes))
     labels = X.components(ws, "c1", first.select("a", "b"))
-    node_labels = ws.write("labels1", nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "rep", "size", F.coalesce("component", "rep").alias("component")))
+    node_labels = ws.write("labels1", nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "rep", "size", "most", F.coalesce("component", "rep").alias("component")))
     across = ws.write("across", cross_pairs(ws, node_labels, bands))
     second = ws.write("links2", verify(ws, docs, across, "v2", n, bands, broadcast_bytes))
     links = first.union(second)
     if second.limit(1).count():
         labels = X.components(ws, "c2", links.select("a", "b"))
-        node_labels = ws.write("labels2", nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "rep", "size", F.coalesce("component", "rep").alias("component")))
+        node_labels = ws.write("labels2", nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "rep", "size", "most", F.coalesce("component", "rep").alias("component")))
     out = sets.join(node_labels.select("fp", "component"), "fp", "left")
     ws.drop("found", "across", "v1-need", "v2-need")
     known = out.select("doc_id", F.col("n_shingles").cast("long"), F.coalesce("component", "doc_id").alias("component_id"))
@@ -333,15 +362,15 @@ def best_stars(ws: X.Workspace, blocks: int) -> DataFrame:
         a, b = a[cut], b[cut]
         order = np.lexsort((b, -total, a))
         head, _ = X.runs(a[order])
-        return pa.table({"fa": a[order][head].view(np.int64), "fb": b[order][head].view(np.int64)})
+        return pa.table({"fa": a[order][head].view(np.int64), "fb": b[order][head].view(np.int64), "shared": total[order][head]})
 
-    return X.by_block(of_kind(ws, STARS), best, "fa long, fb long")
+    return X.by_block(of_kind(ws, STARS), best, "fa long, fb long, shared long")
 
 
 def named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of set fingerprints with each set's document and size."""
-    a = nodes.select(F.col("fp").alias("fa"), F.col("rep").alias("a"), F.col("size").alias("size_a"))
-    b = nodes.select(F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("size").alias("size_b"))
+    a = nodes.select(F.col("fp").alias("fa"), F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("most").alias("most_a"))
+    b = nodes.select(F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"))
     return pairs.join(a, "fa").join(b, "fb")
 
 
@@ -358,10 +387,11 @@ def cross_pairs(ws: X.Workspace, labels: DataFrame, bands: Bands) -> DataFrame:
     mixed = buckets.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
     open_ = ws.write("open", buckets.join(mixed, "sig"))
     ws.drop("buckets")
-    x = open_.select("sig", F.col("fp").alias("fa"), F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("component").alias("ca"))
-    y = open_.select("sig", F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("component").alias("cb"))
-    near = (F.col("size_a") * bands.den >= F.col("size_b") * bands.num) & (F.col("size_b") * bands.den >= F.col("size_a") * bands.num)
-    return x.join(y, "sig").filter((F.col("ca") < F.col("cb")) & near).groupBy("fa", "fb").agg(*(F.first(c).alias(c) for c in ("a", "size_a", "b", "size_b")))
+    x = open_.select("sig", F.col("fp").alias("fa"), F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("most").alias("most_a"), F.col("component").alias("ca"))
+    y = open_.select("sig", F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"), F.col("component").alias("cb"))
+    sides = ("a", "size_a", "most_a", "b", "size_b", "most_b")
+    pairs = x.join(y, "sig").filter(F.col("ca") < F.col("cb")).groupBy("fa", "fb").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in sides))
+    return pairs.filter(bands.may_link())
 
 
 def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, n: int, bands: Bands, bound: int) -> DataFrame:
