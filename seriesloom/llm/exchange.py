@@ -105,7 +105,7 @@ def pack(block: np.ndarray, cols: dict[str, np.ndarray], key: str = "block") ->
     order = np.argsort(block, kind="stable")
     b = block[order]
     cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    end = np.append(cut[1:], len(b))
+    end = np.append(cut[1:], len(b))[: len(cut)]
     out = [pa.array(b[cut].astype(np.int64), pa.int64())]
     for x in cols.values():
         x = np.ascontiguousarray(x[order])

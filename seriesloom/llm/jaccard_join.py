@@ -12,11 +12,13 @@ own band and probes the one band below that linked smaller sets can be in.
 Identical sets are one node throughout.  Work then goes in three steps, none
 of which forms all pairs of a group:
 
-1. a bucket's nodes are checked against its most-connected node only, each
-   node once, and verified links are merged into components;
-2. buckets that still span several components give the pairs across them;
-   all of those are verified, so no link between components is lost;
-3. components of both kinds of links are labelled by the smallest doc_id.
+1. each node is checked against a few hubs of its buckets, those that it shares
+   the most buckets with, and verified links are merged into components;
+2. while buckets hold many pairs across components, nodes of a bucket's smaller
+   components are checked against other hubs in its largest component;
+3. every pair that still lies across components, and shares as many segments as
+   a link of such sizes must, is verified, so no link between components is
+   lost; components are labelled by the smallest doc_id.
 
 Verification counts intersections of whole 64-bit shingle sets.
 
@@ -44,6 +46,10 @@ U = np.uint64
 COMMON = 0.02
 #: pairs that share their first text in one verification group
 PAIRS_EACH = 1000
+#: hubs of a bucket, partners that a node is checked against in a round, and rounds at most
+HUBS, PARTNERS, ROUNDS = 3, 3, 3
+#: 64-bit words of a parity sketch
+SKETCH = 32
 
 
 class Bands:
@@ -101,6 +107,14 @@ class Bands:
 
         return add
 
+    @staticmethod
+    def _sizes(num: int, den: int) -> Column:
+        return (F.col("size_a") * den >= F.col("size_b") * num) & (F.col("size_b") * den >= F.col("size_a") * num)
+
+    def near(self) -> Column:
+        """Whether sizes allow a link."""
+        return self._sizes(self.num, self.den)
+
     def may_link(self) -> Column:
         """Whether sizes and the number of shared segments allow a link.
 
@@ -109,10 +123,9 @@ class Bands:
         segments that neither shows.
         """
         a, b = F.col("size_a"), F.col("size_b")
-        sizes = (a * self.den >= b * self.num) & (b * self.den >= a * self.num)
         most = F.when(a <= b, F.col("most_a")).otherwise(F.col("most_b"))
         differ = F.floor((self.den - self.num) * (a + b) / (self.den + self.num) + F.lit(1e-9))
-        return sizes & ((most < 0) | (F.col("shared") > most - differ))
+        return self.near() & ((most < 0) | (F.col("shared") > most - differ))
 
     def linked(self, a: int, b: int, both: int) -> bool:
         return self.den * both >= self.num * (a + b - both)
@@ -151,6 +164,14 @@ def fingerprints(vals: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return out[0], out[1]
 
 
+def sketches(vals: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Parity bitmaps of sets; two of them differ in no more bits than the sets in members."""
+    n, bits = len(at) - 1, 64 * SKETCH
+    place = np.repeat(np.arange(n), np.diff(at)) * bits + (T.mix(vals ^ U(0xA0761D6478BD642F)) % U(bits)).astype(np.int64)
+    odd = (np.bincount(place, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd).view(U).reshape(n, SKETCH)
+
+
 def signatures(vals: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set number) of all segment subsets that the sets index or probe."""
     size = np.diff(at)
@@ -223,10 +244,10 @@ def padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
 
 
-MOVED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("sig", "place", "node", "doc", "size", "fp", "check"))])
-FOUND = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("a", "b", "c", "d"))])
-MOVED_SQL = X.binary_schema("sig", "place", "node", "doc", "size", "fp", "check")
-FOUND_SQL = "kind int, block long, a binary, b binary, c binary, d binary"
+MOVED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("sig", "place", "node", "doc", "size", "fp", "check", "sketch"))])
+FOUND = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("a", "b", "c", "d", "e"))])
+MOVED_SQL = X.binary_schema("sig", "place", "node", "doc", "size", "fp", "check", "sketch")
+FOUND_SQL = "kind int, block long, a binary, b binary, c binary, d binary, e binary"
 SETS, STARS, BUCKETS = 0, 1, 2
 
 
@@ -244,19 +265,32 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bro
     sets = ws.read("sets")
     if sets.filter("clash").limit(1).count():
         raise RuntimeError("two shingle sets share a fingerprint")
-    nodes = sets.filter("doc_id = rep AND fp <> 0").groupBy("fp").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("size"))
+    ws.write("sketches", sets.filter("sketch IS NOT NULL AND fp <> 0").select("fp", F.col("n_shingles").alias("size"), "sketch"))
+    nodes = sets.filter("sketch IS NOT NULL AND fp <> 0").select("fp", "rep", F.col("n_shingles").alias("size"))
     nodes = ws.write("nodes", nodes.mapInArrow(bands.with_most(), "fp long, rep long, size long, most long"))
-    first = ws.write("links1", verify(ws, docs, named(best_stars(ws, blocks), nodes).filter(bands.may_link()), "v1", n, bands, broadcast_bytes))
-    labels = X.components(ws, "c1", first.select("a", "b"))
-    node_labels = ws.write("labels1", nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "rep", "size", "most", F.coalesce("component", "rep").alias("component")))
-    across = ws.write("across", cross_pairs(ws, node_labels, bands))
-    second = ws.write("links2", verify(ws, docs, across, "v2", n, bands, broadcast_bytes))
-    links = first.union(second)
-    if second.limit(1).count():
-        labels = X.components(ws, "c2", links.select("a", "b"))
-        node_labels = ws.write("labels2", nodes.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "rep", "size", "most", F.coalesce("component", "rep").alias("component")))
+    links, node_labels = None, nodes.withColumn("component", F.col("rep"))
+
+    def settle(pairs: DataFrame, name: str) -> int:
+        """Verify pairs, and label anew; how many links were new."""
+        nonlocal links, node_labels
+        new = ws.write(f"{name}-links", verify(ws, docs, pairs, name, n, bands, broadcast_bytes))
+        count = new.count()
+        if count:
+            links = new if links is None else links.union(new)
+            labels = X.components(ws, name, links.select("a", "b")).withColumnRenamed("node", "rep")
+            node_labels = ws.write(f"{name}-labels", nodes.join(labels, "rep", "left").select("fp", "rep", "size", "most", F.coalesce("component", "rep").alias("component")))
+        return count
+
+    settle(named(best_stars(of_kind(ws, STARS).select("block", "a", "b", "c")), nodes).filter(bands.near()), "star0")
+    for k in range(1, ROUNDS + 1):
+        rows = open_buckets(ws, node_labels, blocks, f"open{k}")  # the last serves the exact step
+        if k == ROUNDS or cross_count(rows) <= 2 * rows.count():
+            break
+        if settle(named(star_round(rows, blocks, k), nodes).filter(bands.near()), f"star{k}") < 100:
+            break
+    settle(named(cross_pairs(rows, ws.read("sketches"), bands, blocks), nodes).filter(bands.may_link()), "across")
     out = sets.join(node_labels.select("fp", "component"), "fp", "left")
-    ws.drop("found", "across", "v1-need", "v2-need")
+    ws.drop("found")
     known = out.select("doc_id", F.col("n_shingles").cast("long"), F.coalesce("component", "doc_id").alias("component_id"))
     return known.union(nameless(docs, n))
 
@@ -268,12 +302,13 @@ def emitter(n: int, bands: Bands, blocks: int):
             for k in range(0, whole.num_rows, 50_000):
                 batch = whole.slice(k, 50_000)
                 ids = batch.column(0).to_numpy()
-                sigs, owners, fps, checks, sizes = [], [], [], [], []
+                sigs, owners, fps, checks, sizes, marks = [], [], [], [], [], []
                 seen: set[int] = set()
                 for lo, _, buf, offs in T.chunks(batch.column(1)):
                     vals, at = shingle_sets(buf, offs, n)
                     fp, check = fingerprints(vals, at)
                     size = np.diff(at)
+                    marks.extend(sketches(vals[at[k] : at[m]], at[k : m + 1] - at[k]) for k in range(0, len(size), 256) for m in [min(len(size), k + 256)])
                     new = np.zeros(len(size), bool)
                     for i, f in enumerate(fp.tolist()):
                         if f and f not in seen:
@@ -286,7 +321,7 @@ def emitter(n: int, bands: Bands, blocks: int):
                 fp, sig, of = np.concatenate(fps), np.concatenate(sigs), np.concatenate(owners)
                 if len(sig):
                     yield padded(pack_nodes((sig >> U(32)) % U(blocks), sig, of, fp), MOVED)
-                yield padded(X.pack(T.mix(fp) % U(blocks), {"doc": ids, "size": np.concatenate(sizes).astype(np.int64), "fp": fp, "check": np.concatenate(checks)}), MOVED)
+                yield padded(X.pack(T.mix(fp) % U(blocks), {"doc": ids, "size": np.concatenate(sizes).astype(np.int64), "fp": fp, "check": np.concatenate(checks), "sketch": np.concatenate(marks)}), MOVED)
 
     return emit
 
@@ -302,8 +337,9 @@ def bucketer(blocks: int):
                 b = X.pack(block, cols)
                 out.append(padded(b.append_column("kind", pa.array([kind] * b.num_rows, pa.int32())), FOUND))
 
-        info = X.unpack(table, {"doc": np.int64, "size": np.int64, "fp": U, "check": U})
-        add(SETS, T.mix(info["fp"]) % U(blocks), dict(zip("abcd", info.values(), strict=True)))
+        info = X.unpack(table, {"doc": np.int64, "size": np.int64, "fp": U, "check": U, "sketch": U})
+        info["sketch"] = info["sketch"].reshape(-1, SKETCH)
+        add(SETS, T.mix(info["fp"]) % U(blocks), dict(zip("abcde", info.values(), strict=True)))
         sig, node = unpack_nodes(table)
         order = np.argsort(sig)
         cut, size = X.runs(sig[order])
@@ -318,20 +354,37 @@ def bucketer(blocks: int):
         many = np.repeat(size > 1, size)
         sig, node = sig[many], node[many]
         if len(sig):
-            cut, size = X.runs(sig)
             _, which, degree = np.unique(node, return_inverse=True, return_counts=True)
-            run = np.repeat(np.arange(len(cut)), size)
-            lead = np.lexsort((node, -degree[which], run))[cut]
-            hub = np.repeat(node[lead], size)
-            other = node != hub
-            pair, count = np.unique(np.stack([node[other], hub[other]], 1), axis=0, return_counts=True)
-            add(STARS, T.mix(pair[:, 0]) % U(blocks), {"a": pair[:, 0], "b": pair[:, 1], "c": count.astype(np.int64)})
+            add(STARS, *stars(sig, node, np.zeros(len(sig), bool), -degree[which], blocks))
             add(BUCKETS, (sig >> U(32)) % U(blocks), {"a": sig, "b": node})
         return pa.Table.from_batches(out, FOUND)
 
     return gather
 
 
+def stars(sig: np.ndarray, node: np.ndarray, never: np.ndarray, order: np.ndarray, blocks: int) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """(block, pairs with counts) of a bucket's other nodes and its first HUBS by `order`.
+
+    Rows come sorted by sig.  Nodes marked `never` are hubs only; if there are
+    any in a bucket, its hubs are of them.
+    """
+    cut, size = X.runs(sig)
+    run = np.repeat(np.arange(len(cut)), size)
+    ranked = np.lexsort((node, order, ~never, run))
+    pairs = []
+    for k in range(HUBS):
+        has = size > k
+        hub = np.zeros(len(cut), np.int64)
+        hub[has] = ranked[cut[has] + k]
+        mixed = np.zeros(len(cut), bool)
+        np.logical_or.at(mixed, run, never)
+        has &= never[hub] | ~mixed
+        far = has[run] & (node != node[hub[run]]) & ~never
+        pairs.append(np.stack([node[far], node[hub[run[far]]]], 1))
+    pair, count = np.unique(np.concatenate(pairs), axis=0, return_counts=True)
+    return T.mix(pair[:, 0]) % U(blocks), {"a": pair[:, 0], "b": pair[:, 1], "c": count.astype(np.int64)}
+
+
 def of_kind(ws: X.Workspace, kind: int) -> DataFrame:
     return ws.read("found", FOUND_SQL).filter(F.col("kind") == kind)
 
@@ -340,18 +393,22 @@ def set_rows(ws: X.Workspace, blocks: int) -> DataFrame:
     """doc_id, n_shingles, fp and the class's smallest doc_id for every document."""
 
     def name(table: pa.Table) -> pa.Table:
-        c = X.unpack(table, {"a": np.int64, "b": np.int64, "c": U, "d": U})
+        c = X.unpack(table, {"a": np.int64, "b": np.int64, "c": U, "d": U, "e": U})
+        c["e"] = c["e"].reshape(-1, SKETCH)
         order = np.lexsort((c["a"], c["c"]))
         c = {k: v[order] for k, v in c.items()}
         cut, size = X.runs(c["c"])
         rep, first = np.repeat(c["a"][cut], size), np.repeat(c["d"][cut], size)
-        return pa.table({"doc_id": c["a"], "n_shingles": c["b"], "fp": c["c"].view(np.int64), "rep": rep, "clash": first != c["d"]})
+        lead = np.zeros(len(rep), bool)
+        lead[cut] = True
+        sketch = pa.array([x.tobytes() if k else None for k, x in zip(lead.tolist(), c["e"], strict=True)], pa.binary())
+        return pa.table({"doc_id": c["a"], "n_shingles": c["b"], "fp": c["c"].view(np.int64), "rep": rep, "clash": first != c["d"], "sketch": sketch})
 
-    return X.by_block(of_kind(ws, SETS), name, "doc_id long, n_shingles long, fp long, rep long, clash boolean")
+    return X.by_block(of_kind(ws, SETS), name, "doc_id long, n_shingles long, fp long, rep long, clash boolean, sketch binary")
 
 
-def best_stars(ws: X.Workspace, blocks: int) -> DataFrame:
-    """Each node with the hub that it shares the most buckets with."""
+def best_stars(found: DataFrame) -> DataFrame:
+    """Each node with the PARTNERS hubs that it shares the most buckets with."""
 
     def best(table: pa.Table) -> pa.Table:
         c = X.unpack(table, {"a": U, "b": U, "c": np.int64})
@@ -361,10 +418,12 @@ def best_stars(ws: X.Workspace, blocks: int) -> DataFrame:
         total = np.add.reduceat(n, cut) if len(cut) else n
         a, b = a[cut], b[cut]
         order = np.lexsort((b, -total, a))
-        head, _ = X.runs(a[order])
-        return pa.table({"fa": a[order][head].view(np.int64), "fb": b[order][head].view(np.int64), "shared": total[order][head]})
+        a, b = a[order], b[order]
+        head, size = X.runs(a)
+        top = np.arange(len(a)) - np.repeat(head, size) < PARTNERS
+        return pa.table({"fa": a[top].view(np.int64), "fb": b[top].view(np.int64)})
 
-    return X.by_block(of_kind(ws, STARS), best, "fa long, fb long, shared long")
+    return X.by_block(found, best, "fa long, fb long")
 
 
 def named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -374,24 +433,123 @@ def named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(a, "fa").join(b, "fb")
 
 
-def cross_pairs(ws: X.Workspace, labels: DataFrame, bands: Bands) -> DataFrame:
-    """All pairs of a bucket that lie in two components and whose sizes allow a link."""
+def open_buckets(ws: X.Workspace, labels: DataFrame, blocks: int, name: str) -> DataFrame:
+    """(block, sig, fp, component) of buckets whose nodes lie in two components or more."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(x, np.int64)), pa.array(np.frombuffer(y, np.int64))], ["sig", "fp"])
 
-    buckets = of_kind(ws, BUCKETS).select("a", "b").mapInArrow(rows, "sig long, fp long").join(labels, "fp")
-    buckets = ws.write("buckets", buckets)
-    mixed = buckets.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("sig")
-    open_ = ws.write("open", buckets.join(mixed, "sig"))
-    ws.drop("buckets")
-    x = open_.select("sig", F.col("fp").alias("fa"), F.col("rep").alias("a"), F.col("size").alias("size_a"), F.col("most").alias("most_a"), F.col("component").alias("ca"))
-    y = open_.select("sig", F.col("fp").alias("fb"), F.col("rep").alias("b"), F.col("size").alias("size_b"), F.col("most").alias("most_b"), F.col("component").alias("cb"))
-    sides = ("a", "size_a", "most_a", "b", "size_b", "most_b")
-    pairs = x.join(y, "sig").filter(F.col("ca") < F.col("cb")).groupBy("fa", "fb").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in sides))
-    return pairs.filter(bands.may_link())
+    labelled = of_kind(ws, BUCKETS).select("a", "b").mapInArrow(rows, "sig long, fp long").join(labels.select("fp", "component"), "fp")
+
+    def mixed(table: pa.Table) -> pa.Table:
+        sig, comp = (table.column(c).to_numpy() for c in ("sig", "component"))
+        order = np.argsort(sig, kind="stable")
+        cut, size = X.runs(sig[order])
+        if not len(cut):
+            return table
+        lo, hi = np.minimum.reduceat(comp[order], cut), np.maximum.reduceat(comp[order], cut)
+        return table.take(pa.array(order[np.repeat(lo < hi, size)]))
+
+    block = F.pmod(F.shiftright("sig", 20), F.lit(blocks)).alias("block")
+    return ws.write(name, X.by_block(labelled.select(block, "sig", "fp", "component"), mixed, "block long, sig long, fp long, component long"))
+
+
+def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """sig, node and component of a block's rows, by sig and component."""
+    sig, node, comp = (table.column(c).to_numpy() for c in ("sig", "fp", "component"))
+    order = np.lexsort((node, comp, sig))
+    return sig[order].view(U), node[order].view(U), comp[order]
+
+
+def component_runs(sig: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first row, rows) of each component within each bucket."""
+    head = np.flatnonzero(np.concatenate([[True], (sig[1:] != sig[:-1]) | (comp[1:] != comp[:-1])])) if len(sig) else np.zeros(0, np.int64)
+    return head, np.diff(np.append(head, len(sig)))
+
+
+def cross_count(rows: DataFrame) -> int:
+    """How many pairs the open buckets hold across components, with repetition."""
+    each = rows.groupBy("sig", "component").agg(F.count("*").alias("n")).groupBy("sig").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("p"))
+    return int(each.agg(F.coalesce(F.sum("p"), F.lit(0))).first()[0]) // 2
+
+
+def star_round(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """Star pairs of every open bucket: nodes of its smaller components with some of its largest."""
+
+    def spread(table: pa.Table) -> pa.Table:
+        sig, node, comp = ordered(table)
+        head, size = component_runs(sig, comp)
+        by_size = np.lexsort((head, -size, sig[head]))
+        largest, _ = X.runs(sig[head][by_size])
+        main = np.zeros(len(head), bool)
+        main[by_size[largest]] = True
+        block, cols = stars(sig, node, np.repeat(main, size), T.mix(node + U(seed)), blocks)
+        return pa.Table.from_batches([X.pack(block, cols)])
+
+    return best_stars(X.by_block(rows, spread, X.binary_schema("a", "b", "c")))
+
+
+def cross_pairs(rows: DataFrame, marks: DataFrame, bands: Bands, blocks: int) -> DataFrame:
+    """All pairs across components of a bucket that may link, with the number of buckets they share.
+
+    A pair whose sketches differ in more places than linked sets of such sizes
+    can is left out before it is written anywhere.
+    """
+    num, den = bands.num, bands.den
+
+    def possible(a: np.ndarray, b: np.ndarray, known: np.ndarray, size: np.ndarray, sketch: np.ndarray) -> np.ndarray:
+        x, y = np.searchsorted(known, a), np.searchsorted(known, b)
+        n, m = size[x], size[y]
+        good = np.flatnonzero((n * den >= m * num) & (m * den >= n * num))
+        keep = np.zeros(len(a), bool)
+        for k in range(0, len(good), 50_000):
+            g = good[k : k + 50_000]
+            apart = np.bitwise_count(sketch[x[g]] ^ sketch[y[g]]).sum(1, dtype=np.int64)
+            keep[g] = apart * (den + num) <= (den - num) * (n[g] + m[g])
+        return keep
+
+    def pairs(left: pa.Table, table: pa.Table) -> pa.Table:
+        known = left.column("node").to_numpy().view(U)
+        order = np.argsort(known)
+        known, bound = known[order], left.column("size").to_numpy()[order]
+        sketch = np.frombuffer(b"".join(left.column("sketch").to_pylist()), U).reshape(-1, SKETCH)[order]
+        sig, node, comp = ordered(table)
+        head, size = component_runs(sig, comp)
+        cut, total = X.runs(sig)
+        end = np.repeat(cut + total, total)
+        first = np.repeat(head + size, size)  # the first row of the bucket's next component
+        many = end - first
+        out, lo = [], 0
+        done = np.cumsum(many)
+        while lo < len(sig):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + 4_000_000, "right")))
+            n = many[lo:hi]
+            x = np.repeat(np.arange(lo, hi), n)
+            y = np.repeat(first[lo:hi], n) + np.arange(len(x)) - np.repeat(np.cumsum(n) - n, n)
+            a, b = np.minimum(node[x], node[y]), np.maximum(node[x], node[y])
+            order = np.lexsort((b, a))
+            a, b = a[order], b[order]
+            at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+            a, b, n = a[at], b[at], np.diff(np.append(at, len(a))).astype(np.int64)
+            keep = possible(a, b, known, bound, sketch)
+            out.append((a[keep], b[keep], n[keep]))
+            lo = hi
+        a, b, n = (np.concatenate(c) for c in zip(*out, strict=True)) if out else (np.zeros(0, U), np.zeros(0, U), np.zeros(0, np.int64))
+        return pa.Table.from_batches([X.pack(T.mix(a ^ T.mix(b)) % U(blocks), {"a": a, "b": b, "c": n})])
+
+    def total(table: pa.Table) -> pa.Table:
+        c = X.unpack(table, {"a": U, "b": U, "c": np.int64})
+        order = np.lexsort((c["b"], c["a"]))
+        a, b = c["a"][order], c["b"][order]
+        at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
+        n = np.add.reduceat(c["c"][order], at) if len(at) else c["c"]
+        return pa.table({"fa": a[at].view(np.int64), "fb": b[at].view(np.int64), "shared": n})
+
+    there = rows.select("block", "fp").distinct().join(marks, "fp").select(F.col("block").alias("place"), F.col("fp").alias("node"), "size", "sketch")
+    found = there.groupBy("place").cogroup(rows.groupBy("block")).applyInArrow(pairs, X.binary_schema("a", "b", "c"))
+    return X.by_block(found, total, "fa long, fb long, shared long")
 
 
 def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, n: int, bands: Bands, bound: int) -> DataFrame:
