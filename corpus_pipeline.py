@@ -1,15 +1,65 @@
-"""A corpus pipeline of the llm operators, stage by stage."""
+"""A corpus pipeline of the llm operators, stage by stage.
+
+language id -> n-gram Jaccard join -> benchmark decontamination -> mixing ->
+token ids.  All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seriesloom.llm import decontaminate, exchange, jaccard_join, language_id, mixing, queries, token_output
+
+
+def kept(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is in ids; rows without a doc_id go."""
+    ws = exchange.Workspace(docs.sparkSession, name)
+    ws.write("kept", ids.distinct())
+    return exchange.attach(ws, docs, "kept", how="leftsemi")
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a language, or with two that are about as likely, go; a missing lang is filled in."""
+    found = language_id.identify(docs, language_id.train(docs)).filter((F.col("lang_pred") != language_id.UND) & ~F.col("ambiguous"))
+    ws = exchange.Workspace(spark, "language")
+    ws.write("found", found.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred")))
+    both = exchange.attach(ws, docs, "found")
+    return both.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of five-word shingle sets at similarity 0.8 stays: its smallest doc_id."""
+    groups = jaccard_join.jaccard_join(docs, n=5, num=80, den=100)
+    return kept(docs, "near", groups.filter("doc_id = component_id").select("doc_id"))
+
+
+def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontaminate.decontaminate(docs, items, window=10)
+    return kept(docs, "clean", found.filter(F.size("starts") == 0).select("doc_id"))
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents outside the weighted mix of 0.8 of the tokens go."""
+    mix = mixing.mix(docs, mixing.tree(), mixing.DOMAIN_WEIGHTS, share=0.8, epochs=1, seed=7)
+    return kept(docs, "mix", mix.filter("copies > 0").select("doc_id"))
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's place, length and checksum in the written id files."""
+    return token_output.token_table(docs, queries.default_tokenizer())
+
 
-STAGES: list = []
+STAGES = [("language id", language), ("near duplicates", near_duplicates), ("decontamination", benchmark), ("mixing", mixture), ("token ids", token_ids)]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
+        if stage is not token_ids:
+            docs = exchange.Workspace(spark, "stage").write(name.replace(" ", "-"), docs)
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, jaccard_join, language_id, media, sql, substring_dedup, suffix_dedup, token_output
+from . import chat, decontaminate, jaccard_join, language_id, line_dedup, media, mixing, sql, substring_dedup, suffix_dedup, token_output
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,6 +46,14 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"), n=4, num=85, den=100)
 
 
+def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), mixing.tree(), mixing.DOMAIN_WEIGHTS, share=0.8, epochs=3, seed=7)
+
+
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.digest(line_dedup.line_dedup(table(spark, sf_dir, "documents"), edits=2, shortest=20))
+
+
 def op9_fm_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
@@ -56,6 +64,6 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_media_columns, op4_chat_format, op5_token_output, op6_jaccard_join, op9_fm_decontaminate, op10_language_id)
+    f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_media_columns, op4_chat_format, op5_token_output, op6_jaccard_join, op7_weighted_mix, op8_line_dedup, op9_fm_decontaminate, op10_language_id)
 }
 SQL: dict[str, str] = {"op2_substring_dedup": sql.OP2, "op4_chat_format": sql.OP4, "op6_jaccard_join": sql.OP6, "op9_fm_decontaminate": sql.OP9}
