@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -46,6 +46,9 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
+#: links that one task may merge (16 bytes each)
+ONE_TASK = 500_000
+
 
 class Workspace:
     """Written tables of one call of an operator."""
@@ -136,13 +139,16 @@ def by_block(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key
     return df.groupBy(key).applyInArrow(fn, schema)
 
 
-def components(ws: Workspace, name: str, links: DataFrame) -> DataFrame:
+def components(ws: Workspace, name: str, links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """(node, component): smallest node reachable, for the nodes of `links` (a, b).
 
-    Alternating large-star and small-star rounds; each is two aggregations
+    Up to `one_task` distinct links, by size checked here, one task merges them
+    all.  Beyond it, alternating large-star and small-star rounds; each is two aggregations
     and its result is written, so lineage and memory stay flat.
     """
     edges = ws.write(f"{name}-e0", links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    if edges.count() <= one_task:
+        return edges.repartition(1).mapInArrow(merge_links, "node long, component long")
     step, before = 0, None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -162,6 +168,27 @@ def components(ws: Workspace, name: str, links: DataFrame) -> DataFrame:
     return leaves.union(leaves.select(F.col("component").alias("node"), "component").distinct())
 
 
+def merge_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Components of all links of one task: smallest labels spread until none changes."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if not got:
+        return
+    u, v = (np.concatenate(x) for x in zip(*got, strict=True))
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        for end in (a, b, label[a], label[b]):
+            np.minimum.at(new, end, low)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[label])], ["node", "component"])
+
+
 def ensure_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, whatever other columns there are."""
     return docs.select("doc_id", "text")

@@ -44,10 +44,10 @@ from . import textvec as T
 U = np.uint64
 #: chance that a shingle of one text also stands in an unrelated one, for the cost of a bucket
 COMMON = 0.02
-#: pairs that share their first text in one verification group
-PAIRS_EACH = 1000
+#: pairs of one hub for each of the groups that it is spread over, about
+PAIRS_EACH = 100_000
 #: hubs of a bucket, partners that a node is checked against in a round, and rounds at most
-HUBS, PARTNERS, ROUNDS = 3, 3, 3
+HUBS, PARTNERS, ROUNDS = 3, 2, 2
 #: 64-bit words of a parity sketch
 SKETCH = 32
 
@@ -554,12 +554,11 @@ def cross_pairs(rows: DataFrame, marks: DataFrame, bands: Bands, blocks: int) ->
 
 def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, n: int, bands: Bands, bound: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link.  A group holds some pairs of one hub and their texts."""
-    pairs = ws.write(f"{name}-pairs", pairs)
+    pairs = ws.write(f"{name}-pairs", pairs.select("fa", "fb", "a", "b"))
     count = pairs.count()
     groups = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), count // 2000)
-    split = pairs.groupBy("fb").agg((1 + F.floor(F.count("*") / PAIRS_EACH)).alias("parts"))
-    pairs = pairs.join(split, "fb").withColumn("part", F.pmod(F.xxhash64("fa"), F.col("parts"))).withColumn("grp", F.pmod(F.xxhash64("fb", "part"), F.lit(groups))).select("grp", "fa", "fb", "a", "b")
-    pairs = ws.write(f"{name}-grouped", pairs)
+    part = F.pmod(F.xxhash64("fa"), F.lit(1 + count // PAIRS_EACH))  # spreads a hub of very many pairs
+    pairs = pairs.withColumn("grp", F.pmod(F.xxhash64("fb", part), F.lit(groups)))
     ends = pairs.select("grp", F.col("a").alias("doc_id")).union(pairs.select("grp", F.col("b").alias("doc_id")))
     ws.write(f"{name}-need", ends.groupBy("doc_id").agg(F.collect_set("grp").alias("grps")))
     texts = X.attach(ws, docs, f"{name}-need", bound=bound).select(F.explode("grps").alias("grp"), "text")
