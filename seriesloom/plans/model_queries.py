@@ -1,0 +1,83 @@
+"""Queries of fitted models and of streams: no SQL can express them, so tests hold them to their contracts."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from ..functions import transforms
+from ..operators import cells as C
+from ..sources import generator
+from ..sources import panel as P
+from . import catalog, config
+
+query = catalog.query
+
+
+def _fitted(models: list[str], tune: bool = False):
+    return config.from_dict({"models": models, "data": {"horizon": 28}, "backtest": {"enabled": True, "n_folds": 2, "min_train": 365}, "hpo": {"enabled": tune, "n_trials": 3, "sample_size": 2}})
+
+
+def _model_query(model: str):
+    def run(spark, d):
+        return C.predictions(C.run_cells(catalog.filled(spark, d), _fitted([model]), n_series=3)).drop("quantiles")
+
+    catalog.QUERIES[f"{model}_udf"] = run
+
+
+for _m in ("theta", "holtwinters", "sarimax", "ucm", "stl_bagging", "arima_plus", "prophet", "lag_ridge", "lag_boost"):
+    _model_query(_m)
+
+
+@query()
+def cell_metadata(spark, d):
+    """Status and fold-averaged metrics of cells, one of them with a model that cannot run here."""
+    out = C.metadata(C.run_cells(catalog.filled(spark, d), _fitted(["theta", "timesfm"]), n_series=3))
+    return out.select("ts_id", "model_type", "status", "mae", "wape", "mase")
+
+
+@query()
+def hpo_fleetwide(spark, d):
+    best = C.tune(catalog.filled(spark, d), _fitted(["lag_ridge"], True))
+    return spark.createDataFrame([(m, config.ids.canonical(p)) for m, p in best.items()], "model_type string, best_params string")
+
+
+@query()
+def boxcox_lambda_mle(spark, d):
+    return transforms.boxcox_lambda(P.as_panel(P.daily_sales(spark, d)).filter("y > 0"))
+
+
+@query()
+def bucket_spread(spark, d):
+    """Cells of each partition of the fit."""
+    packed = C.pack(catalog.filled(spark, d))
+    cells = C.cross_models(spark, packed, ["theta", "ucm", "sarimax"]).repartition(6, "ts_id", "model_type")
+    return cells.groupBy(F.spark_partition_id().alias("bucket")).agg(F.count("*").alias("n_cells"))
+
+
+@query()
+def generator_panel(spark, d):
+    return generator.generate_panel(spark, 10, 120)
+
+
+@query("""SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2""")
+def windowed_event_counts(spark, d):
+    from ..streaming import ready
+
+    e = P.load(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    return ready.windowed_counts(e).select("event_type", F.to_date("start").alias("day"), "n")
+
+
+@query(f"WITH {catalog.OOF}, last AS (SELECT * FROM oof WHERE fold_id = 2) SELECT ts_id, ds, round(avg(yhat), 6) AS yhat FROM last GROUP BY 1, 2")
+def stream_ensemble(spark, d):
+    """The file stream's blend of the last fold's forecasts, model by model."""
+    from ..streaming import ready
+
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
+    root = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    rows = catalog.oof(spark, d).filter("fold_id = 2").select("ts_id", "model_type", "ds", "yhat")
+    for m in catalog.MODELS:
+        rows.filter(F.col("model_type") == m).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    ready.stream_ensemble(spark, f"{root}/in", f"{root}/out", f"{root}/state", list(catalog.MODELS)).awaitTermination()
+    return catalog.rounded(spark.read.parquet(f"{root}/out").select("ts_id", "ds", "yhat"), ["yhat"])
