@@ -45,12 +45,13 @@ class LagRidge(LagModel):
     name = "lag_ridge"
 
     def learn(self, d, y):
-        self.mean = y.mean()
-        a = self.params.get("alpha", 1.0)
-        self.beta = np.linalg.solve(d.T @ d + a * np.eye(d.shape[1]), d.T @ (y - self.mean))
+        self.mean, self.middle = y.mean(), d.mean(0)
+        self.scale = np.maximum(d.std(0), 1e-9)
+        z = (d - self.middle) / self.scale
+        self.beta = np.linalg.solve(z.T @ z + self.params.get("alpha", 10.0) * np.eye(z.shape[1]), z.T @ (y - self.mean))
 
     def guess(self, d):
-        return self.mean + d @ self.beta
+        return self.mean + (d - self.middle) / self.scale @ self.beta
 
     def search_space(self):
         return {"alpha": [0.1, 1.0, 10.0, 100.0]}

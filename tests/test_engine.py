@@ -55,7 +55,7 @@ def test_fold_geometry():
 # --- validation ---
 @pytest.mark.parametrize(
     ("rows", "what"),
-    [([("a", 0, 1), ("a", 0, 2)], "repeated"), ([("a", 0, 1), ("a", 2, 2)], "gap"), ([("a", 0, 1)], "fewer"), ([], "no rows"), ([("a", 0, 1), (None, 1, 1)], "fewer")],
+    [([("a", 0, 1), ("a", 0, 2)], "repeated"), ([("a", 0, 1), ("a", 2, 2)], "gap"), ([("a", 0, 1)], "fewer"), ([], "no rows"), ([("a", 0, 1), (None, 1, 1)], "None")],
 )
 def test_offenders(spark, rows, what):
     with pytest.raises(PanelError, match=what):
