@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from seriesloom.llm import decontaminate, exchange, jaccard_join, language_id, mixing, queries, token_output
 
+#: the likeliest language's share, at least
+LEAST_SHARE = 0.4
+
 
 def kept(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is in ids; rows without a doc_id go."""
@@ -20,8 +23,11 @@ def kept(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a language, or with two that are about as likely, go; a missing lang is filled in."""
-    found = language_id.identify(docs, language_id.train(docs)).filter((F.col("lang_pred") != language_id.UND) & ~F.col("ambiguous"))
+    """Texts without a language, or whose likeliest has a share under LEAST_SHARE, go; a missing lang is filled in.
+
+    A text in two languages has one with about half, and stays.
+    """
+    found = language_id.identify(docs, language_id.train(docs)).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
     ws = exchange.Workspace(spark, "language")
     ws.write("found", found.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred")))
     both = exchange.attach(ws, docs, "found")
