@@ -20,9 +20,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
+from ..functions.holidays import us_holidays
 from ..functions.metrics import NAMES
 from ..plans.config import RunConfig
-from ..sources.panel import seasonal_period
+from ..sources.panel import periods_per_year, seasonal_period
 from .folds import Backtest
 
 SPAN = "ds timestamp_ntz, yhat double, yhat_lower double, yhat_upper double, quantiles string"
@@ -111,7 +113,32 @@ def future_dates(last: pd.Timestamp, freq: str, h: int) -> pd.DatetimeIndex:
     return pd.date_range(last, periods=h + 1, freq=freq)[1:]
 
 
-def run_cell(ts_id: str, model: str, params: dict, ds: pd.DatetimeIndex, y: np.ndarray, x: np.ndarray | None, cfg: RunConfig) -> dict:
+def design(ds: pd.DatetimeIndex, y: np.ndarray, exog: np.ndarray | None, cfg: RunConfig, days: frozenset) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Regressors of the history and of the horizon.
+
+    Holidays and Fourier terms are the dates' own; later exog values repeat the
+    first ones; lags shorter than the horizon would need values that a
+    forecast does not have, so they are left out.
+    """
+    f, h, n = cfg.features, cfg.data.horizon, len(ds)
+    reach = max(h, cfg.backtest.horizon if cfg.backtest.enabled else 0)
+    dates = ds.append(future_dates(ds[-1], cfg.data.freq, h))
+    cols = [] if exog is None else [np.concatenate([c, np.resize(c, h)]) for c in exog.T]
+    if f.holidays:
+        cols.append(np.array([d.date() in days for d in dates], float))
+    if f.fourier:
+        t = (dates - pd.Timestamp(0)).days.to_numpy(float) if cfg.data.freq == "D" else np.arange(n + h, dtype=float)
+        cols += [g(2 * np.pi * k * t / periods_per_year(cfg.data.freq)) for k in (1, 2, 3) for g in (np.sin, np.cos)]
+    for k in f.lags:
+        if k >= reach:
+            cols.append(np.concatenate([np.full(k, y[0]), y, np.full(h, y[-1])])[: n + h])
+    if not cols:
+        return None, None
+    x = np.column_stack(cols)
+    return x[:n], x[n:]
+
+
+def run_cell(ts_id: str, model: str, params: dict, ds: pd.DatetimeIndex, y: np.ndarray, exog: np.ndarray | None, cfg: RunConfig, days: frozenset = frozenset()) -> dict:
     """Fit, backtest and forecast one cell.  A failure becomes status 'error', never an exception."""
     from ..models import create
 
@@ -121,6 +148,7 @@ def run_cell(ts_id: str, model: str, params: dict, ds: pd.DatetimeIndex, y: np.n
         kind, period = cfg.features.transform, seasonal_period(cfg.data.freq)
         lam = fit_lambda(y) if kind == "boxcox" else None
         v = transform(y, kind, lam)
+        x, later = design(ds, v, exog, cfg, days)
         new = lambda: create(model, **{"period": period, **params})
         if cfg.backtest.enabled:
             b = cfg.backtest
@@ -132,8 +160,7 @@ def run_cell(ts_id: str, model: str, params: dict, ds: pd.DatetimeIndex, y: np.n
         fitted = new().fit(v, x)
         out["fit_seconds"] = time.perf_counter() - clock
         clock, h = time.perf_counter(), cfg.data.horizon
-        again = None if x is None else np.resize(x, (h, x.shape[1]))  # later regressors repeat the first ones
-        q = {k: restore(a, kind, lam) for k, a in fitted.predict(h, again).items()}
+        q = {k: restore(a, kind, lam) for k, a in fitted.predict(h, later).items()}
         lo, hi = min(q), max(q)
         for i, d in enumerate(future_dates(ds[-1], cfg.data.freq, h)):
             text = json.dumps({str(k): float(a[i]) for k, a in q.items() if math.isfinite(a[i])})
@@ -150,13 +177,24 @@ def run_cell(ts_id: str, model: str, params: dict, ds: pd.DatetimeIndex, y: np.n
     return out
 
 
-def run_cells(panel: DataFrame, cfg: RunConfig, params: dict[str, dict] | None = None, n_series: int | None = None) -> DataFrame:
-    """One row for each cell."""
+def holiday_days(codes: tuple[str, ...]) -> frozenset:
+    """Dates of the countries that have a rule."""
+    for c in codes:
+        if c != "US":
+            raise ConfigError(f"unknown holiday country code {c!r}")
+    return frozenset(d for d, _ in us_holidays()) if codes else frozenset()
+
+
+def run_cells(panel: DataFrame, cfg: RunConfig, params: dict[str, dict] | None = None, n_series: int | None = None, by_series: DataFrame | None = None) -> DataFrame:
+    """One row for each cell.  by_series: (ts_id, model_type, best_params) that overrides the models' params."""
     from ..sources.workers import on_workers
 
     spark, exog = panel.sparkSession, cfg.features.exog
     on_workers(spark)
     todo = cross_models(spark, pack(panel.select("ts_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "y", *exog), exog), list(cfg.models), params)
+    if by_series is not None:
+        todo = todo.join(by_series, ["ts_id", "model_type"], "left").withColumn("params", F.coalesce("best_params", "params")).drop("best_params")
+    days = holiday_days(cfg.features.holidays)
     todo = todo.repartition(bucket_count(cfg, n_series or cfg.data.series_limit), "ts_id", "model_type")
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,7 +205,7 @@ def run_cells(panel: DataFrame, cfg: RunConfig, params: dict[str, dict] | None =
                 get = (lambda p, k: p[k]) if isinstance(pts[0], dict) else getattr
                 ds = pd.DatetimeIndex([get(p, "ds") for p in pts])
                 x = np.array([[get(p, k) for k in exog] for p in pts], float) if exog else None
-                rows.append(run_cell(r.ts_id, r.model_type, json.loads(r.params), ds, np.array([get(p, "y") for p in pts], float), x, cfg))
+                rows.append(run_cell(r.ts_id, r.model_type, json.loads(r.params), ds, np.array([get(p, "y") for p in pts], float), x, cfg, days))
             yield pd.DataFrame(rows, columns=[c.strip().split()[0] for c in _top_level(CELL)])
 
     return todo.mapInPandas(fit, CELL)
@@ -203,25 +241,51 @@ def metadata(cells: DataFrame) -> DataFrame:
     return cells.select(*plain, F.lit("spark").alias("compute_engine"), *(mean(n) for n in NAMES))
 
 
-def tune(panel: DataFrame, cfg: RunConfig, seed: int = 11) -> dict[str, dict]:
-    """Parameters of each model with the best mean decision metric: seeded trials as rows over sampled series."""
+def trials_of(cfg: RunConfig, seed: int) -> dict[str, list[dict]]:
+    """Seeded draws from each model's search space, each once."""
     from ..models import registered
 
-    ids = panel.select("ts_id").distinct().orderBy("ts_id").limit(cfg.hpo.sample_size)
-    sample = panel.join(F.broadcast(ids), "ts_id", "leftsemi")  # sample_size ids
-    rng, best = np.random.default_rng(seed), {}
+    rng, out = np.random.default_rng(seed), {}
     for m in cfg.models:
-        space = registered()[m]().search_space()
-        if not space:
-            continue
-        trials = [{k: v[int(rng.integers(len(v)))] for k, v in space.items()} for _ in range(cfg.hpo.n_trials)]
-        trials = [dict(t) for t in {tuple(sorted(t.items())) for t in trials}]
-        rows = None
-        for i, t in enumerate(sorted(trials, key=str)):
-            one = metadata(run_cells(sample, cfg.model_copy(update={"models": (m,)}), {m: t}, cfg.hpo.sample_size)).withColumn("trial", F.lit(i))
+        if space := registered()[m]().search_space():
+            drawn = [tuple(sorted((k, v[int(rng.integers(len(v)))]) for k, v in space.items())) for _ in range(cfg.hpo.n_trials)]
+            out[m] = [dict(t) for t in sorted(set(drawn))]
+    return out
+
+
+def scored_trials(panel: DataFrame, cfg: RunConfig, seed: int, n_series: int | None) -> DataFrame | None:
+    """Metadata of every trial: (ts_id, model_type, best_params, metrics)."""
+    rows = None
+    for m, trials in trials_of(cfg, seed).items():
+        for t in trials:
+            one = metadata(run_cells(panel, cfg.model_copy(update={"models": (m,)}), {m: t}, n_series))
             rows = one if rows is None else rows.unionByName(one)
-        metric = cfg.backtest.decision_metric
-        score = {"coverage": -F.avg("coverage"), "bias": F.abs(F.avg("bias"))}.get(metric, F.avg(metric))
-        win = rows.groupBy("trial").agg(score.alias("s")).orderBy(F.col("s").asc_nulls_last(), "trial").first()
-        best[m] = sorted(trials, key=str)[win["trial"]]
-    return best
+    return rows
+
+
+def _score(cfg: RunConfig):
+    """What a trial is ranked by, the least best; undefined comes last."""
+    metric = cfg.backtest.decision_metric
+    mean = F.avg(metric)
+    return F.coalesce({"coverage": -mean, "bias": F.abs(mean)}.get(metric, mean), F.lit(float("inf")))
+
+
+def tune(panel: DataFrame, cfg: RunConfig, seed: int = 11) -> dict[str, dict]:
+    """Each model's parameters with the best mean decision metric over sampled series."""
+    ids = panel.select("ts_id").distinct().orderBy("ts_id").limit(cfg.hpo.sample_size)
+    sample = panel.join(F.broadcast(ids), "ts_id", "leftsemi")  # sample_size ids
+    rows = scored_trials(sample, cfg, seed, cfg.hpo.sample_size)
+    if rows is None:
+        return {}
+    each = rows.groupBy("model_type", "best_params").agg(_score(cfg).alias("s"))
+    best = each.groupBy("model_type").agg(F.min_by("best_params", F.struct("s", "best_params")).alias("p")).collect()  # a row for each model
+    return {r.model_type: json.loads(r.p) for r in best}
+
+
+def tune_by_series(panel: DataFrame, cfg: RunConfig, seed: int = 11, n_series: int | None = None) -> DataFrame | None:
+    """(ts_id, model_type, best_params): every series' own best trial."""
+    rows = scored_trials(panel, cfg, seed, n_series)
+    if rows is None:
+        return None
+    each = rows.groupBy("ts_id", "model_type", "best_params").agg(_score(cfg).alias("s"))
+    return each.groupBy("ts_id", "model_type").agg(F.min_by("best_params", F.struct("s", "best_params")).alias("best_params"))

@@ -115,4 +115,6 @@ def blend(strategy: str, preds: DataFrame, oof: DataFrame, scores: DataFrame, mo
         return apply_weights(preds, inverse_error_weights(scores), at)
     if strategy in ("ridge", "nnls"):
         return apply_weights(preds, learned_weights(oof, strategy, models), at)
+    if strategy == "xgb":
+        raise EngineError("the xgb strategy needs the library xgboost: blend with ridge or nnls instead")
     raise EngineError(f"unknown ensemble strategy {strategy!r}")

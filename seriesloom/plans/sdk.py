@@ -56,12 +56,14 @@ class Forecaster:
         n = source.select("ts_id").distinct().count()
         header = {"python_runtime": "spark", "n_series": n, "n_models": len(cfg.models), "backtest_on": cfg.backtest.enabled, "models": list(cfg.models), "strategies": list(cfg.ensemble.strategies) if cfg.ensemble.enabled else [], "config": ids.canonical(cfg.model_dump(mode="json"))}
         with reg.run(self.run_id, **header) as state:
-            params = C.tune(source, cfg) if cfg.hpo.enabled else None
+            each = cfg.hpo.enabled and cfg.hpo.granularity == "per_series"
+            params = C.tune(source, cfg) if cfg.hpo.enabled and not each else None
+            own_params = C.tune_by_series(source, cfg, n_series=n) if each else None
             outcomes = {}
             for job in dag.plan_dag(cfg).jobs:
                 attempt = reg.next_attempt(self.run_id, job.family, force)
                 with reg.job(self.run_id, job.family, ids.job_key(self.run_id, job.family, attempt), attempt) as own:
-                    done = C.run_cells(source, cfg.model_copy(update={"models": job.models}), params, n).persist()
+                    done = C.run_cells(source, cfg.model_copy(update={"models": job.models}), params, n, own_params).persist()
                     try:
                         self._record(done)
                         own["status"] = outcomes[job.family] = done.transform(lambda x: registry.status_rollup(x, [])).first()["status"]
