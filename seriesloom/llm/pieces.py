@@ -19,7 +19,7 @@ U = np.uint64
 #: bytes of text whose pieces are looked up at once
 CHUNK = 3 << 20
 #: distinct pieces kept by a worker
-KEPT = 1_000_000
+KEPT = 600_000
 
 SPACE, WHITE, LETTER, DIGIT, OTHER = 1, 2, 4, 8, 16
 
