@@ -5,6 +5,12 @@ run with the smallest hash is the window's anchor.  Equal windows have equal
 anchors at the same place inside, so comparing what surrounds anchors finds
 every repeated window while only about 2 / (window - half + 2) of all
 positions are moved.
+
+A half window can stand in a third of all documents.  A batch that holds it in
+two documents knows that it repeats: its places go straight to their documents
+and one counted row stands for them, so no task gathers them.  Half windows
+counted `hot_count` times or more are listed, and what surrounds them is dealt by
+whole windows, of which a batch sends only those of its earliest document.
 """
 
 from __future__ import annotations
@@ -20,6 +26,14 @@ from . import textvec as T
 
 U = np.uint64
 TOP = U(T.MASK)
+#: occurrences of a half window that one task may gather, at least, and hot half windows at most, about
+GATHERED, LISTED = 20_000, 1_000_000
+#: columns of anchors on the way to their half window's block, and of those known to repeat, to their document's
+FOUND = {"sig": U, "doc": np.int64, "pos": np.int32, "tag": np.uint32}
+KNOWN = {"doc_k": np.int64, "pos_k": np.int32, "tag_k": np.uint32}
+#: columns of whole windows around hot half windows, and of spans that a batch settled
+WINDOWS = {"whole_h": U, "check_h": np.uint32, "doc_h": np.int64, "start_h": np.int32, "tag_h": np.uint32}
+SETTLED = {"doc_s": np.int64, "start_s": np.int32, "end_s": np.int32, "tag_s": np.uint32}
 
 
 def tags(w: T.Words) -> np.ndarray:
@@ -59,8 +73,17 @@ def rows(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, pa.Array]]:
         yield batch.column(0).to_numpy(), batch.column(1)
 
 
-def repeated_anchors(ws: X.Workspace, docs: DataFrame, window: int, blocks: int, name: str = "anchors") -> DataFrame:
-    """Anchors that occur in two documents or more: written as (doc_id, pos, tag) arrays by document."""
+def hot_count(blocks: int) -> int:
+    """Occurrences from which a half window is hot; grows with the input so that the list stays bounded."""
+    return max(GATHERED, blocks * X.BLOCK_BYTES // 27 // LISTED)
+
+
+def repeated_anchors(ws: X.Workspace, docs: DataFrame, window: int, blocks: int, hot: int, name: str = "anchors") -> np.ndarray:
+    """Anchors that occur in two documents or more: written as (doc_id, pos, tag) arrays by document.
+
+    Returns the half windows that occur `hot` times or more, sorted.
+    """
+    moved = X.block_schema(*FOUND, *KNOWN)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = window - window // 2 + 1
@@ -74,21 +97,90 @@ def repeated_anchors(ws: X.Workspace, docs: DataFrame, window: int, blocks: int,
                     if len(at):
                         doc = np.searchsorted(w.offs, at, "right") - 1
                         got.append((h[at], ids[lo + doc], (at - w.offs[doc]).astype(np.int32), tags(w)[doc]))
-                if got:
-                    sig, doc, pos, tag = (np.concatenate(x) for x in zip(*got, strict=True))
-                    yield X.pack((sig >> U(32)) % U(blocks), {"sig": sig, "doc": doc, "pos": pos, "tag": tag})
+                if not got:
+                    continue
+                sig, doc, pos, tag = (np.concatenate(x) for x in zip(*got, strict=True))
+                order = np.argsort(sig, kind="stable")
+                cut, size = X.runs(sig[order])
+                twice = np.minimum.reduceat(doc[order], cut) < np.maximum.reduceat(doc[order], cut)
+                known, one = order[np.repeat(twice, size)], order[cut[twice]]
+                sent = np.concatenate([order[np.repeat(~twice, size)], one])
+                at = pos[sent]
+                at[len(sent) - len(one) :] = -size[twice]  # stands for so many
+                yield X.padded(X.pack((sig[sent] >> U(32)) % U(blocks), {"sig": sig[sent], "doc": doc[sent], "pos": at, "tag": tag[sent]}), moved)
+                yield X.padded(X.pack(doc_block(doc[known], blocks), {"doc_k": doc[known], "pos_k": pos[known], "tag_k": tag[known]}), moved)
 
     def repeats(table: pa.Table) -> pa.Table:
-        c = X.unpack(table, {"sig": U, "doc": np.int64, "pos": np.int32, "tag": np.uint32})
+        c, k = X.unpack(table, FOUND), X.unpack(table, KNOWN)
         order = np.argsort(c["sig"], kind="stable")
-        doc = c["doc"][order]
+        doc, pos = c["doc"][order], c["pos"][order]
         cut, size = X.runs(c["sig"][order])
-        keep = order[np.repeat(np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut), size)]
-        c = {k: c[k][keep] for k in ("doc", "pos", "tag")}
-        return pa.Table.from_batches([X.pack(doc_block(c["doc"], blocks), c)])
-
-    found = X.by_block(docs.mapInArrow(emit, X.binary_schema("sig", "doc", "pos", "tag")), repeats, X.binary_schema("doc", "pos", "tag"))
-    return ws.write(name, by_document(found, {"pos": np.int32, "tag": np.uint32}))
+        stands = np.add.reduceat(np.where(pos < 0, -pos.astype(np.int64), 1), cut) if len(cut) else size
+        some = (np.minimum.reduceat(pos, cut) < 0) | (np.minimum.reduceat(doc, cut) < np.maximum.reduceat(doc, cut)) if len(cut) else np.zeros(0, bool)
+        keep = order[np.repeat(some, size) & (pos >= 0)]
+        out = {x: np.concatenate([c[x][keep], k[f"{x}_k"]]) for x in ("doc", "pos", "tag")}
+        busy = c["sig"][order][cut[some & (stands >= hot)]] if len(cut) else c["sig"]
+        schema = X.block_schema("doc", "pos", "tag", "hot")
+        return pa.Table.from_batches([X.padded(X.pack(doc_block(out["doc"], blocks), out), schema), X.padded(X.pack(np.zeros(len(busy), U), {"hot": busy}), schema)])
+
+    found = X.by_block(docs.mapInArrow(emit, X.binary_schema(*FOUND, *KNOWN)), repeats, X.binary_schema("doc", "pos", "tag", "hot"))
+    found = ws.write(f"{name}-found", found)
+    ws.write(name, by_document(found.filter("hot IS NULL").drop("hot"), {"pos": np.int32, "tag": np.uint32}))
+    # at most about LISTED values of 8 bytes, see hot_count
+    listed_ = [np.frombuffer(r.hot, U) for r in found.filter("hot IS NOT NULL").select("hot").collect()]
+    ws.drop(f"{name}-found")
+    return np.unique(np.concatenate([np.zeros(0, U), *listed_]))
+
+
+def among(x: np.ndarray, few: np.ndarray) -> np.ndarray:
+    """Which values of x stand in the sorted array."""
+    if not len(few):
+        return np.zeros(len(x), bool)
+    return few[np.minimum(np.searchsorted(few, x), len(few) - 1)] == x
+
+
+def earliest(doc: np.ndarray, key: np.ndarray, check: np.ndarray | None = None) -> np.ndarray:
+    """The smallest doc among the rows with the same key (and check)."""
+    out = np.empty(len(doc), doc.dtype)
+    if not len(doc):
+        return out
+    order = np.argsort(key, kind="stable")
+    new = key[order][1:] != key[order][:-1]
+    if check is not None and np.any(~new & (check[order][1:] != check[order][:-1])):  # two sequences share one hash
+        order = np.lexsort((check, key))
+        new = (key[order][1:] != key[order][:-1]) | (check[order][1:] != check[order][:-1])
+    cut = np.flatnonzero(np.concatenate([[True], new]))
+    out[order] = np.repeat(np.minimum.reduceat(doc[order], cut), np.diff(np.append(cut, len(key))))
+    return out
+
+
+def spans(doc: np.ndarray, start: np.ndarray, tag: np.ndarray, window: int) -> dict[str, np.ndarray]:
+    """Windows as spans, those that follow each other by one word joined."""
+    head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    size = np.diff(np.append(head, len(doc)))
+    return {"doc": doc[head], "start": start[head].astype(np.int32), "end": (start[head] + size - 1 + window).astype(np.int32), "tag": tag[head]}
+
+
+def deal_windows(w: T.Words, first: np.ndarray, ids: np.ndarray, own: np.ndarray, window: int, blocks: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Windows (by ascending first word; two hash lanes) to blocks of their own hash, less those that an earlier text of w settles."""
+    if not len(first):
+        return
+    whole, check = T.grams(w.hashes[0], window)[first], (T.grams(w.hashes[1], window, 1)[first] >> U(32)).astype(np.uint32)
+    of = np.searchsorted(w.offs, first, "right") - 1
+    doc, start, tag = ids[of], (first - w.offs[of]).astype(np.int32), own[of]
+    later = doc > earliest(doc, whole, check)
+    go = ~later
+    yield X.padded(X.pack((whole[go] >> U(32)) % U(blocks), dict(zip(WINDOWS, (whole[go], check[go], doc[go], start[go], tag[go]), strict=True))), schema)
+    out = spans(doc[later], start[later], tag[later], window)
+    yield X.padded(X.pack(doc_block(out["doc"], blocks), dict(zip(SETTLED, out.values(), strict=True))), schema)
+
+
+def judge_windows(table: pa.Table, window: int) -> dict[str, np.ndarray]:
+    """Spans of the dealt windows whose sequence also stands in an earlier document, and the settled ones."""
+    c, s = X.unpack(table, WINDOWS), X.unpack(table, SETTLED)
+    later = c["doc_h"] > earliest(c["doc_h"], c["whole_h"], c["check_h"])
+    out = spans(c["doc_h"][later], c["start_h"][later], c["tag_h"][later], window)
+    return {k: np.concatenate([v, s[f"{k}_s"]]) for k, v in out.items()}
 
 
 def doc_block(doc: np.ndarray, blocks: int) -> np.ndarray:

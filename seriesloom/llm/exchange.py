@@ -103,6 +103,11 @@ def binary_schema(*cols: str, key: str = "block") -> str:
     return ", ".join([f"{key} long", *(f"{c} binary" for c in cols)])
 
 
+def block_schema(*cols: str, key: str = "block") -> pa.Schema:
+    """binary_schema() for Arrow."""
+    return pa.schema([(key, pa.int64()), *((c, pa.binary()) for c in cols)])
+
+
 def pack(block: np.ndarray, cols: dict[str, np.ndarray], key: str = "block") -> pa.RecordBatch:
     """One row for each block number, with the raw bytes of its rows' columns."""
     order = np.argsort(block, kind="stable")
@@ -121,9 +126,9 @@ def unpack(table: pa.Table, kinds: dict[str, type | str]) -> dict[str, np.ndarra
     return {c: np.frombuffer(b"".join(x for x in table.column(c).to_pylist() if x), k) for c, k in kinds.items()}
 
 
-def local_ids(nodes: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For pack(): nodes kept as they are; a hook for shorter forms."""
-    return nodes, block
+def padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
+    """The batch with the schema's other columns as nulls."""
+    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
 
 
 def runs(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -239,11 +239,6 @@ def unpack_nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sigs), np.concatenate(nodes)
 
 
-def padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    """The batch with the schema's other columns as nulls."""
-    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
-
-
 MOVED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("sig", "place", "node", "doc", "size", "fp", "check", "sketch"))])
 FOUND = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("a", "b", "c", "d", "e"))])
 MOVED_SQL = X.binary_schema("sig", "place", "node", "doc", "size", "fp", "check", "sketch")
@@ -320,8 +315,8 @@ def emitter(n: int, bands: Bands, blocks: int):
                     sigs.append(sig), owners.append(lo + of), fps.append(fp), checks.append(check), sizes.append(size)
                 fp, sig, of = np.concatenate(fps), np.concatenate(sigs), np.concatenate(owners)
                 if len(sig):
-                    yield padded(pack_nodes((sig >> U(32)) % U(blocks), sig, of, fp), MOVED)
-                yield padded(X.pack(T.mix(fp) % U(blocks), {"doc": ids, "size": np.concatenate(sizes).astype(np.int64), "fp": fp, "check": np.concatenate(checks), "sketch": np.concatenate(marks)}), MOVED)
+                    yield X.padded(pack_nodes((sig >> U(32)) % U(blocks), sig, of, fp), MOVED)
+                yield X.padded(X.pack(T.mix(fp) % U(blocks), {"doc": ids, "size": np.concatenate(sizes).astype(np.int64), "fp": fp, "check": np.concatenate(checks), "sketch": np.concatenate(marks)}), MOVED)
 
     return emit
 
@@ -335,7 +330,7 @@ def bucketer(blocks: int):
         def add(kind: int, block: np.ndarray, cols: dict[str, np.ndarray]) -> None:
             if len(block):
                 b = X.pack(block, cols)
-                out.append(padded(b.append_column("kind", pa.array([kind] * b.num_rows, pa.int32())), FOUND))
+                out.append(X.padded(b.append_column("kind", pa.array([kind] * b.num_rows, pa.int32())), FOUND))
 
         info = X.unpack(table, {"doc": np.int64, "size": np.int64, "fp": U, "check": U, "sketch": U})
         info["sketch"] = info["sketch"].reshape(-1, SKETCH)

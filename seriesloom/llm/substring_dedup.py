@@ -32,21 +32,26 @@ from . import textvec as T
 U = np.uint64
 
 
-def substring_dedup(docs: DataFrame, window: int = 50, broadcast_bytes: int = X.BROADCAST_BYTES) -> DataFrame:
-    """See the module's text.  One row for each input row."""
+def substring_dedup(docs: DataFrame, window: int = 50, broadcast_bytes: int = X.BROADCAST_BYTES, hot: int | None = None) -> DataFrame:
+    """See the module's text.  One row for each input row; hot: see anchors.hot_count."""
     if window < 2:
         raise ValueError("window must be two words or more")
     docs = X.ensure_text(docs)
     ws, blocks = X.Workspace(docs.sparkSession, "substring"), X.blocks_for(docs)
-    A.repeated_anchors(ws, docs, window, blocks)
-    spans = windows_of(ws, X.attach(ws, docs, "anchors", bound=broadcast_bytes), window, blocks)
+    busy = A.repeated_anchors(ws, docs, window, blocks, hot or A.hot_count(blocks))
+    spans = windows_of(ws, X.attach(ws, docs, "anchors", bound=broadcast_bytes), window, blocks, busy)
     ws.write("spans", spans)
     ws.drop("anchors")
     return A.without_spans(ws, docs, "spans", broadcast_bytes)
 
 
-def windows_of(ws: X.Workspace, docs: DataFrame, window: int, blocks: int) -> DataFrame:
-    """Level 2: whole windows around surviving runs, as spans to remove by document."""
+def windows_of(ws: X.Workspace, docs: DataFrame, window: int, blocks: int, busy: np.ndarray) -> DataFrame:
+    """Level 2: whole windows around surviving runs, as spans to remove by document.
+
+    Windows are dealt by their run, or by themselves if the run is in `busy`.
+    """
+    cold = {"whole": U, "check": np.uint32, "doc": np.int64, "start": np.int32, "count": np.int32, "tag": np.uint32}
+    schema = X.block_schema(*cold, *A.WINDOWS, *A.SETTLED)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = window - window // 2 + 1
@@ -65,6 +70,10 @@ def windows_of(ws: X.Workspace, docs: DataFrame, window: int, blocks: int) -> Da
                 if not len(low):
                     continue
                 go = np.flatnonzero(ok & (T.sliding(alive, width, np.minimum) == low))
+                if len(busy):
+                    apart = A.among(low[go], busy)
+                    yield from A.deal_windows(w, go[apart], ids[lo:hi], own, window, blocks, schema)
+                    go = go[~apart]
                 if not len(go):
                     continue
                 whole, check = T.grams(w.hashes[0], window)[go], (T.grams(w.hashes[1], window, 1)[go] >> U(32)).astype(np.uint32)
@@ -75,30 +84,19 @@ def windows_of(ws: X.Workspace, docs: DataFrame, window: int, blocks: int) -> Da
                 count = np.diff(np.append(head, len(go))).astype(np.int32)
                 a = X.pack(block, {"whole": whole, "check": check})
                 b = X.pack(block[head], {"doc": ids[lo + of], "start": (first - w.offs[of]).astype(np.int32), "count": count, "tag": own[of]})
-                yield pa.RecordBatch.from_arrays([*a.columns, *b.columns[1:]], [*a.schema.names, *b.schema.names[1:]])
+                yield X.padded(pa.RecordBatch.from_arrays([*a.columns, *b.columns[1:]], [*a.schema.names, *b.schema.names[1:]]), schema)
 
     def judge(table: pa.Table) -> pa.Table:
-        c = X.unpack(table, {"whole": U, "check": np.uint32, "doc": np.int64, "start": np.int32, "count": np.int32, "tag": np.uint32})
+        c, apart = X.unpack(table, cold), A.judge_windows(table, window)
         run = np.repeat(np.arange(len(c["count"])), c["count"])
         pos = c["start"][run] + (np.arange(len(run)) - np.repeat(np.cumsum(c["count"]) - c["count"], c["count"]))
         doc = c["doc"][run]
-        order = np.argsort(c["whole"], kind="stable")
-        key, check = c["whole"][order], c["check"][order]
-        if np.any((key[1:] == key[:-1]) & (check[1:] != check[:-1])):  # two sequences share one hash
-            order = np.lexsort((c["check"], c["whole"]))
-            key, check = c["whole"][order], c["check"][order]
-        cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])])) if len(key) else np.zeros(0, np.int64)
-        later = np.zeros(len(doc), bool)
-        if len(cut):
-            later[order] = doc[order] > np.repeat(np.minimum.reduceat(doc[order], cut), np.diff(np.append(cut, len(key))))
-        at = np.flatnonzero(later)
-        d, p, t = doc[at], pos[at], c["tag"][run[at]]
-        head = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1) | (t[1:] != t[:-1])])) if len(at) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(at)))
-        out = {"doc": d[head], "start": p[head].astype(np.int32), "end": (p[head] + size - 1 + window).astype(np.int32), "tag": t[head]}
+        at = np.flatnonzero(doc > A.earliest(doc, c["whole"], c["check"]))
+        out = A.spans(doc[at], pos[at], c["tag"][run[at]], window)
+        out = {k: np.concatenate([v, apart[k]]) for k, v in out.items()}
         return pa.Table.from_batches([X.pack(A.doc_block(out["doc"], blocks), out)])
 
-    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(emit, X.binary_schema("whole", "check", "doc", "start", "count", "tag"))
+    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(emit, X.binary_schema(*cold, *A.WINDOWS, *A.SETTLED))
     return A.by_document(X.by_block(moved, judge, X.binary_schema("doc", "start", "end", "tag")), {"start": np.int32, "end": np.int32, "tag": np.uint32})
 
 

@@ -1,17 +1,17 @@
 """Removal of repeated passages by sparse suffix arrays.
 
 Suffixes are retained at anchors only (see `anchors`).  Each carries its next
-half window as one hash and the `half` words before and after that as 32-bit
-hashes.  A block sorts the suffixes that share their first half window by what
-follows, compares neighbours, and extends each match to the right and to the
-left of the anchor; a second order, by what precedes, serves matches that
-reach further left than right.  Neighbours that match over `window` words or
-more form a run, and every suffix of a run is compared with the run's earliest
-document and with its two neighbours.
-
-A match of `window` words or more with a document of smaller doc_id removes the
-matched words.  What is removed always repeats a passage of an earlier
-document; the earliest copy stays.
+half window as one hash and the words before and after that as 32-bit hashes.
+A block sorts the suffixes that share their first half window twice, by what
+follows and by what precedes, and compares neighbours: the common lengths say
+where the classes of suffixes that match over any given length end.  A match of
+`window` words that reaches k words left of the anchor joins the class of k
+words leftwards with that of the rest rightwards, so extending to all k finds
+every earlier document with such a window, in two sorts for a block.
+
+What an anchor's matches of `window` words or more with documents of smaller
+doc_id cover is removed; the earliest copy stays.  Suffixes whose half window is
+hot are dealt and compared by whole windows.
 
 Defined cases: null texts have no words; a null doc_id is kept whole and judges
 nothing; repeated doc_ids never remove from each other; texts shorter than a
@@ -34,14 +34,14 @@ from . import textvec as T
 U = np.uint64
 
 
-def suffix_dedup(docs: DataFrame, window: int = 50, broadcast_bytes: int = X.BROADCAST_BYTES) -> DataFrame:
-    """See the module's text.  One row for each input row."""
+def suffix_dedup(docs: DataFrame, window: int = 50, broadcast_bytes: int = X.BROADCAST_BYTES, hot: int | None = None) -> DataFrame:
+    """See the module's text.  One row for each input row; hot: see anchors.hot_count."""
     if window < 4:
         raise ValueError("window must be four words or more")
     docs = X.ensure_text(docs)
     ws, blocks = X.Workspace(docs.sparkSession, "suffix"), X.blocks_for(docs)
-    A.repeated_anchors(ws, docs, window, blocks)
-    ws.write("spans", neighbours(X.attach(ws, docs, "anchors", bound=broadcast_bytes), window, blocks))
+    busy = A.repeated_anchors(ws, docs, window, blocks, hot or A.hot_count(blocks))
+    ws.write("spans", neighbours(X.attach(ws, docs, "anchors", bound=broadcast_bytes), window, blocks, busy))
     ws.drop("anchors")
     return A.without_spans(ws, docs, "spans", broadcast_bytes)
 
@@ -58,9 +58,11 @@ def common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.cumprod((a == b) & (a != 0), axis=1, dtype=np.int8).sum(axis=1, dtype=np.int32)
 
 
-def neighbours(docs: DataFrame, window: int, blocks: int) -> DataFrame:
+def neighbours(docs: DataFrame, window: int, blocks: int, busy: np.ndarray) -> DataFrame:
     half = window // 2
     side = window - half
+    kinds = {"sig": U, "doc": np.int64, "pos": np.int32, "tag": np.uint32, "after": np.uint32, "before": np.uint32}
+    schema = X.block_schema(*kinds, *A.WINDOWS, *A.SETTLED)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -68,7 +70,7 @@ def neighbours(docs: DataFrame, window: int, blocks: int) -> DataFrame:
             pos, row = A.listed(batch.column(2), np.int32)
             tag, _ = A.listed(batch.column(3), np.uint32)
             for lo, hi, buf, offs in T.chunks(batch.column(1)):
-                w = T.words(buf, offs, T.SPACED)
+                w = T.words(buf, offs, T.SPACED, lanes=2 if len(busy) else 1)
                 i, j = np.searchsorted(row, [lo, hi])
                 doc, own = row[i:j] - lo, A.tags(w)
                 mine = tag[i:j] == own[doc]
@@ -76,60 +78,57 @@ def neighbours(docs: DataFrame, window: int, blocks: int) -> DataFrame:
                 at = w.offs[doc] + pos[i:j][mine]
                 if not len(at):
                     continue
-                short = np.maximum((w.hashes[0] >> U(32)).astype(np.uint32), np.uint32(1))
                 sig = T.grams(w.hashes[0], half)[at]
+                if len(busy):
+                    apart = A.among(sig, busy)
+                    first = at[apart][:, None] - np.arange(side + 1)
+                    inside = (first >= w.offs[doc[apart]][:, None]) & (first + window <= w.offs[doc[apart] + 1][:, None])
+                    yield from A.deal_windows(w, np.unique(first[inside]), ids[lo:hi], own, window, blocks, schema)
+                    doc, at, sig = doc[~apart], at[~apart], sig[~apart]
+                short = np.maximum((w.hashes[0] >> U(32)).astype(np.uint32), np.uint32(1))
                 after, before = around(short, doc, at + half, 1, side, w.offs), around(short, doc, at - 1, -1, side, w.offs)
-                yield X.pack((sig >> U(32)) % U(blocks), {"sig": sig, "doc": ids[lo + doc], "pos": (at - w.offs[doc]).astype(np.int32), "tag": own[doc], "after": after, "before": before})
+                yield X.padded(X.pack((sig >> U(32)) % U(blocks), {"sig": sig, "doc": ids[lo + doc], "pos": (at - w.offs[doc]).astype(np.int32), "tag": own[doc], "after": after, "before": before}), schema)
 
     def compare(table: pa.Table) -> pa.Table:
-        c = X.unpack(table, {"sig": U, "doc": np.int64, "pos": np.int32, "tag": np.uint32, "after": np.uint32, "before": np.uint32})
+        c, apart = X.unpack(table, kinds), A.judge_windows(table, window)
         c["after"], c["before"] = c["after"].reshape(-1, side), c["before"].reshape(-1, side)
-        got = [matches({k: v[o] for k, v in c.items()}, half, window) for o in (order_of(c, "after", "before"), order_of(c, "before", "after"))]
-        out = {k: np.concatenate([g[k] for g in got]) for k in got[0]}
+        out = {k: np.concatenate([v, apart[k]]) for k, v in matches(c, half, window).items()}
         return pa.Table.from_batches([X.pack(A.doc_block(out["doc"], blocks), out)])
 
-    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(emit, X.binary_schema("sig", "doc", "pos", "tag", "after", "before"))
+    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(emit, X.binary_schema(*kinds, *A.WINDOWS, *A.SETTLED))
     return A.by_document(X.by_block(moved, compare, X.binary_schema("doc", "start", "end", "tag")), {"start": np.int32, "end": np.int32, "tag": np.uint32})
 
 
-def order_of(c: dict[str, np.ndarray], first: str, second: str) -> np.ndarray:
-    """Suffix order: the shared first half window, then word by word, then document and place."""
-    n, side = c[first].shape
-    if not n:
-        return np.zeros(0, np.int64)
-    key = np.empty((n, 8 * (2 + side)), np.uint8)
-    key[:, :8] = c["sig"].astype(">u8").view(np.uint8).reshape(n, 8)
-    key[:, 8 : 8 + 4 * side] = c[first].astype(">u4").view(np.uint8).reshape(n, -1)
-    key[:, 8 + 4 * side : 8 + 8 * side] = c[second].astype(">u4").view(np.uint8).reshape(n, -1)
-    key[:, 8 + 8 * side :] = (c["doc"].astype(np.int64).view(U) ^ U(1 << 63)).astype(">u8").view(np.uint8).reshape(n, 8)
-    return np.argsort(key.view(f"S{key.shape[1]}").ravel(), kind="stable")
+def sorted_suffixes(sig: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(suffix order: the shared first half window, then word by word; words each has in common with the one before it there, -1 if not even the first)."""
+    n, width = side.shape
+    key = np.empty((n, 8 + 4 * width), np.uint8)
+    key[:, :8] = sig.astype(">u8").view(np.uint8).reshape(n, 8)
+    key[:, 8:] = side.astype(">u4").view(np.uint8).reshape(n, -1)
+    order = np.argsort(key.view(f"S{key.shape[1]}").ravel(), kind="stable")
+    x, y = order[1:], order[:-1]
+    return order, np.concatenate([[-1], np.where(sig[x] == sig[y], common(side[x], side[y]), -1)])
+
+
+def classes(order: np.ndarray, shared: np.ndarray, length: int) -> np.ndarray:
+    """Number of each suffix's class of those that match it over `length` words."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(shared < length)
+    return out
 
 
 def matches(c: dict[str, np.ndarray], half: int, window: int) -> dict[str, np.ndarray]:
-    """Spans of later documents that match an earlier one, from one suffix order."""
-    n = len(c["doc"])
-    index = np.arange(n)
-
-    def reach(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, right = common(c["before"][x], c["before"][y]), common(c["after"][x], c["after"][y]) + half
-        return np.where(c["sig"][x] == c["sig"][y], left, -window), right
-
-    left, right = reach(index[1:], index[:-1])
-    joined = left + right >= window
-    head = np.flatnonzero(np.concatenate([[True], ~joined])) if n else np.zeros(0, np.int64)
-    size = np.diff(np.append(head, n))
-    run = np.repeat(np.arange(len(head)), size)
-    by_doc = np.lexsort((c["pos"], c["doc"], run))
-    earliest = np.repeat(by_doc[head], size) if n else index
-    spans = []
-    for x, y in ((index, earliest), (index[1:], index[:-1]), (index[:-1], index[1:])):
-        later = c["doc"][x] > c["doc"][y]
-        x, y = x[later], y[later]
-        left, right = reach(x, y)
-        good = left + right >= window
-        spans.append((x[good], left[good], right[good]))
-    x, left, right = (np.concatenate(s) for s in zip(*spans, strict=True))
-    return {"doc": c["doc"][x], "start": (c["pos"][x] - left).astype(np.int32), "end": (c["pos"][x] + right).astype(np.int32), "tag": c["tag"][x]}
+    """Spans of later documents that match an earlier one around an anchor."""
+    n, side = len(c["doc"]), window - half
+    low, high = np.full(n, window), np.full(n, -1)  # words left of the anchor, of the windows that match
+    if n:
+        right, left = sorted_suffixes(c["sig"], c["after"]), sorted_suffixes(c["sig"], c["before"])
+        for k in range(side + 1):
+            both = classes(*right, side - k) * (n + 1) + classes(*left, k)
+            later = c["doc"] > A.earliest(c["doc"], both)
+            low[later], high[later] = np.minimum(low[later], k), k
+    x = np.flatnonzero(high >= 0)
+    return {"doc": c["doc"][x], "start": (c["pos"][x] - high[x]).astype(np.int32), "end": (c["pos"][x] - low[x] + window).astype(np.int32), "tag": c["tag"][x]}
 
 
 def digest(out: DataFrame) -> DataFrame:

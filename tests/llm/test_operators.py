@@ -73,9 +73,9 @@ def passages(rows, k=50):
 
 
 @pytest.mark.parametrize("op", [(suffix_dedup.suffix_dedup, suffix_dedup.digest), (substring_dedup.substring_dedup, substring_dedup.digest)])
-@pytest.mark.parametrize("bound", [exchange.BROADCAST_BYTES, 0])
-def test_repeated_passages(op, bound, rows, docs, empty):
-    got = op[1](op[0](docs, broadcast_bytes=bound)).collect()
+@pytest.mark.parametrize(("bound", "hot"), [(exchange.BROADCAST_BYTES, None), (0, None), (0, 1), (exchange.BROADCAST_BYTES, 5)])
+def test_repeated_passages(op, bound, hot, rows, docs, empty):
+    got = op[1](op[0](docs, broadcast_bytes=bound, hot=hot)).collect()
     assert len(got) == len(rows) + 2
     want = passages(rows)
     assert sum(v[1] for v in want.values()) > 1000
