@@ -239,11 +239,11 @@ def unpack_nodes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sigs), np.concatenate(nodes)
 
 
-MOVED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("sig", "place", "node", "doc", "size", "fp", "check", "sketch"))])
+MOVED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("sig", "place", "node", "doc", "size", "fp", "check", "sketch", "own", "own_size", "own_fp"))])
 FOUND = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("a", "b", "c", "d", "e"))])
-MOVED_SQL = X.binary_schema("sig", "place", "node", "doc", "size", "fp", "check", "sketch")
+MOVED_SQL = X.binary_schema(*MOVED.names[1:])
 FOUND_SQL = "kind int, block long, a binary, b binary, c binary, d binary, e binary"
-SETS, STARS, BUCKETS = 0, 1, 2
+SETS, STARS, BUCKETS, OWN = 0, 1, 2, 3
 
 
 def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, broadcast_bytes: int = X.BROADCAST_BYTES) -> DataFrame:
@@ -284,9 +284,10 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bro
         if settle(named(star_round(rows, blocks, k), nodes).filter(bands.near()), f"star{k}") < 100:
             break
     settle(named(cross_pairs(rows, ws.read("sketches"), bands, blocks), nodes).filter(bands.may_link()), "across")
-    out = sets.join(node_labels.select("fp", "component"), "fp", "left")
+    rows = ws.write("rows", of_kind(ws, OWN).select("a", "b", "c").mapInArrow(own_rows, "doc_id long, n_shingles long, fp long"))
+    out = rows.join(node_labels.select("fp", "component"), "fp", "left")
     ws.drop("found")
-    known = out.select("doc_id", F.col("n_shingles").cast("long"), F.coalesce("component", "doc_id").alias("component_id"))
+    known = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return known.union(nameless(docs, n))
 
 
@@ -316,13 +317,17 @@ def emitter(n: int, bands: Bands, blocks: int):
                 fp, sig, of = np.concatenate(fps), np.concatenate(sigs), np.concatenate(owners)
                 if len(sig):
                     yield X.padded(pack_nodes((sig >> U(32)) % U(blocks), sig, of, fp), MOVED)
-                yield X.padded(X.pack(T.mix(fp) % U(blocks), {"doc": ids, "size": np.concatenate(sizes).astype(np.int64), "fp": fp, "check": np.concatenate(checks), "sketch": np.concatenate(marks)}), MOVED)
+                size, check = np.concatenate(sizes).astype(np.int64), np.concatenate(checks)
+                yield X.padded(X.pack(T.mix(ids.astype(U)) % U(blocks), {"own": ids, "own_size": size, "own_fp": fp}), MOVED)
+                order = np.lexsort((ids, check, fp))  # of copies, one goes on
+                lead = order[np.concatenate([[True], (fp[order][1:] != fp[order][:-1]) | (check[order][1:] != check[order][:-1])])[: len(order)]]
+                yield X.padded(X.pack(T.mix(fp[lead]) % U(blocks), {"doc": ids[lead], "size": size[lead], "fp": fp[lead], "check": check[lead], "sketch": np.concatenate(marks)[lead]}), MOVED)
 
     return emit
 
 
 def bucketer(blocks: int):
-    """Of each block: the sets it was sent, star pairs with counts, and buckets of two nodes or more."""
+    """Of each block: the documents and the sets it was sent, star pairs with counts, and buckets of two nodes or more."""
 
     def gather(table: pa.Table) -> pa.Table:
         out = []
@@ -335,6 +340,8 @@ def bucketer(blocks: int):
         info = X.unpack(table, {"doc": np.int64, "size": np.int64, "fp": U, "check": U, "sketch": U})
         info["sketch"] = info["sketch"].reshape(-1, SKETCH)
         add(SETS, T.mix(info["fp"]) % U(blocks), dict(zip("abcde", info.values(), strict=True)))
+        own = X.unpack(table, {"own": np.int64, "own_size": np.int64, "own_fp": U})
+        add(OWN, np.zeros(len(own["own"]), U), dict(zip("abc", own.values(), strict=True)))
         sig, node = unpack_nodes(table)
         order = np.argsort(sig)
         cut, size = X.runs(sig[order])
@@ -385,7 +392,7 @@ def of_kind(ws: X.Workspace, kind: int) -> DataFrame:
 
 
 def set_rows(ws: X.Workspace, blocks: int) -> DataFrame:
-    """doc_id, n_shingles, fp and the class's smallest doc_id for every document."""
+    """n_shingles, fp and the class's smallest doc_id for every set, once for each batch that holds it."""
 
     def name(table: pa.Table) -> pa.Table:
         c = X.unpack(table, {"a": np.int64, "b": np.int64, "c": U, "d": U, "e": U})
@@ -402,6 +409,13 @@ def set_rows(ws: X.Workspace, blocks: int) -> DataFrame:
     return X.by_block(of_kind(ws, SETS), name, "doc_id long, n_shingles long, fp long, rep long, clash boolean, sketch binary")
 
 
+def own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, n_shingles and fp for every document."""
+    for batch in batches:
+        c = X.unpack(pa.Table.from_batches([batch]), {"a": np.int64, "b": np.int64, "c": np.int64})
+        yield pa.RecordBatch.from_arrays([pa.array(v) for v in c.values()], ["doc_id", "n_shingles", "fp"])
+
+
 def best_stars(found: DataFrame) -> DataFrame:
     """Each node with the PARTNERS hubs that it shares the most buckets with."""
 
