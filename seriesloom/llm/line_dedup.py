@@ -149,15 +149,11 @@ def within(xs: list[str], ys: list[str], edits: int) -> np.ndarray:
     return good & (dist <= edits)
 
 
-MOVED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("one", "two", "doc", "line", "sig", "role", "bag"))])
+MOVED = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("one", "two", "doc", "line", "sig", "role", "bag", "doc_s", "line_s", "tag_s"))])
 FOUND = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("a", "b", "c", "d", "e", "f", "g"))])
 FOUND_SQL = "kind int, block long, " + ", ".join(f"{c} binary" for c in "abcdefg")
 
 
-def padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
-
-
 def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_bytes: int = X.BROADCAST_BYTES) -> DataFrame:
     """See the module's text.  One row for each input row."""
     if not 1 <= edits <= 20 or shortest <= 2 * edits:
@@ -197,7 +193,11 @@ def emitter(edits: int, shortest: int, blocks: int):
                     if not len(at):
                         continue
                     cols = {"one": w.one[at], "two": w.two[at], "doc": ids[lo + w.doc[at]], "line": w.number[at].astype(np.int32)}
-                    yield padded(X.pack(T.mix(w.one[at]) % U(blocks), cols), MOVED)
+                    order, head, later = repeats(cols)  # what repeats in this chunk is settled here
+                    gone = {"doc_s": cols["doc"][order][later], "line_s": cols["line"][order][later], "tag_s": cols["one"][order][later].astype(np.uint32)}
+                    yield X.padded(X.pack(A.doc_block(gone["doc_s"], blocks), gone), MOVED)
+                    sent = order[head == np.arange(len(order))]
+                    yield X.padded(X.pack(T.mix(cols["one"][sent]) % U(blocks), {k: v[sent] for k, v in cols.items()}), MOVED)
                     order = np.lexsort((cols["line"], cols["doc"], cols["one"]))
                     cut, _ = X.runs(cols["one"][order])
                     first = order[cut]
@@ -206,11 +206,21 @@ def emitter(edits: int, shortest: int, blocks: int):
                         sig, role, of = signatures(w, which, edits)
                         own = {"sig": sig, "role": role, "one": w.one[which][of], "bag": w.bags(which)[of], "doc": ids[lo + w.doc[which]][of], "line": w.number[which].astype(np.int32)[of]}
                         moved = X.pack((sig >> U(32)) % U(blocks), own)
-                        yield padded(moved, MOVED)
+                        yield X.padded(moved, MOVED)
 
     return emit
 
 
+def repeats(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by line, then place; the first of each line in it; which follow the first at another place)."""
+    order = np.lexsort((c["line"], c["doc"], c["two"], c["one"]))
+    one, two, doc, line = (c[k][order] for k in ("one", "two", "doc", "line"))
+    same = np.zeros(len(order), bool)
+    same[1:] = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
+    return order, head, same & ((doc != doc[head]) | (line != line[head]))
+
+
 def bucketer(edits: int, blocks: int):
     """Repeats of the same line; pairs with each bucket's earliest line; and buckets as they are."""
 
@@ -220,17 +230,15 @@ def bucketer(edits: int, blocks: int):
         def add(kind: int, block: np.ndarray, cols: dict[str, np.ndarray]) -> None:
             if len(block):
                 b = X.pack(block, cols)
-                out.append(padded(b.append_column("kind", pa.array([kind] * b.num_rows, pa.int32())), FOUND))
+                out.append(X.padded(b.append_column("kind", pa.array([kind] * b.num_rows, pa.int32())), FOUND))
 
         plain = table.filter(table.column("two").is_valid())
         c = X.unpack(plain, {"one": U, "two": U, "doc": np.int64, "line": np.int32})
-        order = np.lexsort((c["line"], c["doc"], c["two"], c["one"]))
-        c = {k: v[order] for k, v in c.items()}
-        same = np.zeros(len(order), bool)
-        same[1:] = (c["one"][1:] == c["one"][:-1]) & (c["two"][1:] == c["two"][:-1])
-        head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order)))) if len(order) else order
-        later = same & ((c["doc"] != c["doc"][head]) | (c["line"] != c["line"][head]))
-        add(SEEN, A.doc_block(c["doc"][later], blocks), {"a": c["doc"][later], "b": c["line"][later], "c": c["one"][later].astype(np.uint32)})
+        order, _, later = repeats(c)
+        at = order[later]
+        add(SEEN, A.doc_block(c["doc"][at], blocks), {"a": c["doc"][at], "b": c["line"][at], "c": c["one"][at].astype(np.uint32)})
+        c = X.unpack(table, {"doc_s": np.int64, "line_s": np.int32, "tag_s": np.uint32})
+        add(SEEN, A.doc_block(c["doc_s"], blocks), dict(zip("abc", c.values(), strict=True)))
 
         c = X.unpack(table.filter(table.column("sig").is_valid()), {"sig": U, "role": np.uint8, "one": U, "bag": U, "doc": np.int64, "line": np.int32})
         c = several(c)
