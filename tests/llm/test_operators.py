@@ -390,3 +390,34 @@ def test_pipeline(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
     assert {r.doc_id for r in out.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_rows(spark, sf):
+    """Every stage's decision made anew in Python: near duplicates, passages and ids by brute force, languages and the mix from their operators' rows."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    docs = {r.doc_id: r for r in table.collect()}
+    found = {r.doc_id: r for r in language_id.identify(table, language_id.train(table)).collect()}
+    docs = {i: r for i, r in docs.items() if found[i].lang_pred != "und" and found[i].score >= corpus_pipeline.LEAST_SHARE}
+    near = jaccard_classes([(i, r.text) for i, r in docs.items()], 5, 80, 100)
+    docs = {i: r for i, r in docs.items() if near[i][1] == i}
+    windows = set()
+    for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect():
+        w = folded(r.text)
+        windows |= {tuple(w[k : k + 10]) for k in range(max(1, len(w) - 9)) if w}
+    sizes = {len(w) for w in windows}
+
+    def clean(t):
+        w = folded(t)
+        return not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
+
+    docs = {i: r for i, r in docs.items() if clean(r.text)}
+    left = spark.createDataFrame([tuple(r) for r in docs.values()], table.schema).withColumn("lang", F.coalesce("lang", F.element_at(F.create_map(*[F.lit(x) for i in docs for x in (i, found[i].lang_pred)]), F.col("doc_id"))))
+    mix = {r.doc_id for r in mixing.mix(left, mixing.tree(), mixing.DOMAIN_WEIGHTS, share=0.8, epochs=1, seed=7).collect() if r.copies > 0}
+    tok, at, want = Tokenizer.from_file(queries.default_tokenizer()), 0, []
+    for i in sorted(mix):
+        ids = np.array([*tok.encode(docs[i].text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want and len(want) > 20
