@@ -18,7 +18,7 @@ from . import textvec as T
 U = np.uint64
 #: bytes of text whose pieces are looked up at once
 CHUNK = 3 << 20
-#: distinct pieces kept by a worker
+#: distinct pieces kept by a worker from chunk to chunk; a chunk with more still has all of its own
 KEPT = 600_000
 
 SPACE, WHITE, LETTER, DIGIT, OTHER = 1, 2, 4, 8, 16
@@ -106,9 +106,7 @@ class Encoder:
         return np.where((self.key[at] == key) & (self.check[at] == check), at, -1)
 
     def learn(self, key: np.ndarray, check: np.ndarray, raw: bytes, lo: np.ndarray, hi: np.ndarray) -> None:
-        """Encode new pieces (ascending keys) and merge them in."""
-        if len(self.key) + len(key) > KEPT:
-            self.clear()
+        """Encode new pieces (ascending keys) and merge them in, whatever their number."""
         table = {i: c for i, c in enumerate(self.letters)}
         ids = [[t.id for t in self.model.tokenize(raw[i:j].decode("latin-1").translate(table))] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -144,12 +142,12 @@ class Encoder:
             return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
         at = self.known(key, two[first])
         if (new := at < 0).any():
-            before = len(self.key)
+            if len(self.key) + int(new.sum()) > KEPT:  # the cache begins anew, with all of this chunk in it
+                self.clear()
+                new[:] = True
             self.learn(key[new], two[first][new], buf.tobytes(), lo[first[new]], hi[first[new]])
-            if len(self.key) < before + int(new.sum()):  # the cache began anew: all of this chunk must be in it
-                back = self.known(key, two[first]) < 0
-                self.learn(key[back], two[first][back], buf.tobytes(), lo[first[back]], hi[first[back]])
             at = self.known(key, two[first])
+            assert at.min() >= 0, "a piece of this chunk is not in the cache"
         size = self.size[at][piece]
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at][piece] - (end - size), size) + np.arange(end[-1])]

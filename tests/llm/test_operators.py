@@ -254,6 +254,15 @@ def test_pieces_are_the_librarys():
         assert [ids[cut[i] : cut[i + 1]].tolist() for i in range(len(group))] == [tok.encode(t, add_special_tokens=False).ids for t in group]
 
 
+@pytest.mark.parametrize("kept", [1, 4, 6])
+def test_pieces_beyond_the_cache(kept, monkeypatch):
+    monkeypatch.setattr(pieces, "KEPT", kept)
+    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    enc = pieces.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
+    for text in ("one two three", "one two three four five six seven", "seven eight one nine two", "one two three", "ten"):
+        assert enc.encode(*textvec.flatten(pa.array([text])))[0].tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_mixing(spark, rows, docs, empty):
     assert mixing.divide(100, [(1, 10), (1, 1000), (2, 1000)]) == [10, 30, 60] and mixing.divide(10, [(0, 5), (1, 3)]) == [0, 3]
     b = mixing.budgets({("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}, {}, 100, 1)
