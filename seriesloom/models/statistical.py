@@ -205,7 +205,7 @@ class ArimaAic(Model):
 
 @register
 class Structural(Model):
-    """Local linear trend and seasonal dummies by a Kalman filter; variances by likelihood."""
+    """Local linear trend and seasonal dummies by a Kalman filter; variances by the whole series' likelihood."""
 
     name, supports_exog, least = "ucm", True, 3
 
@@ -242,7 +242,7 @@ class Structural(Model):
         return score, a, cov, f, z, q[0], noise
 
     def _fit(self, y, x):
-        self.m = self.period if 1 < self.period <= 24 and len(y) >= 2 * self.period else 1
+        self.m = self.period if self.period > 1 and len(y) >= 2 * self.period else 1
         self.beta = None
         if x is not None:
             d = np.column_stack([np.ones(len(y)), np.arange(len(y)), x])
@@ -250,8 +250,7 @@ class Structural(Model):
             y = y - x @ self.beta
         self.scale = float(np.std(y)) or 1.0
         y = y / self.scale
-        recent = y[-400:]
-        best = simplex(lambda p: self._filter(p, recent)[0], [-1.0, -3.0, -8.0, -5.0], 1.0, 40)
+        best = simplex(lambda p: self._filter(p, y)[0], [-1.0, -3.0, -8.0, -5.0], 1.0, 200)
         self.state = self._filter(best, y)[1:]
 
     def _forecast(self, h, x):

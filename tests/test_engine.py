@@ -133,6 +133,21 @@ def test_model_contract(name):
     assert np.abs(q[0.5] - truth).mean() < 4
 
 
+def test_structural_fits_all_points_and_long_seasons(monkeypatch):
+    from seriesloom.models.statistical import Structural
+
+    seen, own = set(), Structural._filter
+    monkeypatch.setattr(Structural, "_filter", lambda self, p, y: seen.add(len(y)) or own(self, p, y))
+    t, noise = np.arange(450), np.random.default_rng(4).normal(0, 1, 450)
+    week = lambda t: 50 + 5 * np.sin(2 * np.pi * t / 7)
+    q = create("ucm", period=7).fit(week(t) + noise).predict(14)
+    assert seen == {450} and np.abs(q[0.5] - week(450 + np.arange(14))).mean() < 0.5
+    assert ((q[0.9] - q[0.1]) / 2.563 < 1.3).all()  # the noise has a deviation of 1
+    year = lambda t: 50 + 5 * np.sin(2 * np.pi * t / 52)
+    q = create("ucm", period=52).fit(year(t[:160]) + 0.3 * noise[:160]).predict(52)
+    assert np.abs(q[0.5] - year(160 + np.arange(52))).mean() < 1
+
+
 def test_model_errors():
     with pytest.raises(ModelError):
         create("nothing")
