@@ -264,28 +264,79 @@ class Structural(Model):
         return (mid + x @ self.beta if x is not None and self.beta is not None else mid), sd
 
 
+def loess(y: np.ndarray, q: int, weight: np.ndarray | None = None, ends: bool = False) -> np.ndarray:
+    """Local lines over the q nearest points at each point; with ends, also one place before and one after."""
+    n = len(y)
+    at = np.arange(-1, n + 1) if ends else np.arange(n)
+    width = min(q, n)
+    left = np.clip(at - (q - 1) // 2, 0, n - width)
+    j = left[:, None] + np.arange(width)
+    h = np.maximum(at - left, left + width - 1 - at) + max(0, (q - n) // 2)
+    r = np.abs(j - at[:, None]) / np.maximum(h, 1)[:, None]
+    w = np.where(r <= 0.001, 1.0, np.where(r <= 0.999, (1 - np.minimum(r, 1) ** 3) ** 3, 0.0))
+    if weight is not None:
+        w = w * weight[j]
+    total = w.sum(axis=1)
+    lost = total <= 0
+    w = w / np.where(lost, 1, total)[:, None]
+    mid = (w * j).sum(axis=1)
+    off = j - mid[:, None]
+    var = (w * off**2).sum(axis=1)
+    wide = np.sqrt(var) > 0.001 * (n - 1)
+    w = w * (1 + np.where(wide, (at - mid) / np.where(wide, var, 1), 0)[:, None] * off)
+    return np.where(lost, y[np.clip(at, 0, n - 1)], (w * y[j]).sum(axis=1))
+
+
+def stl(y: np.ndarray, m: int, inner: int = 2, outer: int = 15) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Robust seasonal-trend decomposition by LOESS (Cleveland et al., 1990): season, trend, remainder.
+
+    Spans are the usual ones: 7 for the season, the least odd one over 1.5 m / (1 - 1.5 / 7) for the trend.
+    """
+    n = len(y)
+    span = int(np.ceil(1.5 * m / (1 - 1.5 / 7)))
+    span, low = span + (span % 2 == 0), m + 1 + m % 2
+    trend, weight = np.zeros(n), None
+    for k in range(outer + 1):
+        for _ in range(inner):
+            cycle, d = np.zeros(n + 2 * m), y - trend
+            for i in range(m):
+                cycle[i::m] = loess(d[i::m], 7, None if weight is None else weight[i::m], ends=True)
+            means = cycle
+            for size in (m, m, 3):
+                means = np.convolve(means, np.ones(size) / size, mode="valid")
+            season = cycle[m : m + n] - loess(means, low)
+            trend = loess(y - season, span, weight)
+        left = np.abs(y - season - trend)
+        if k < outer:
+            bound = 6 * np.median(left)
+            r = left / bound if bound > 0 else np.zeros(n)
+            weight = np.where(r <= 0.001, 1.0, np.where(r <= 0.999, (1 - np.minimum(r, 1) ** 2) ** 2, 0.0))
+    return season, trend, y - season - trend
+
+
 @register
 class StlBagging(Model):
-    """Season by smoothed means; paths of an ARIMA with remainders drawn independently."""
+    """Robust STL; an ARIMA of the deseasonalised series, the last season repeated, remainders drawn independently."""
 
     name = "stl_bagging"
     paths = 40
 
     def _fit(self, y, x):
-        m = max(1, self.period)
-        if len(y) < 2 * m:
-            from ..errors import ModelError
+        from ..errors import ModelError
 
+        m = self.period
+        if m < 2:
+            raise ModelError(f"stl_bagging needs a season of two points or more, got {m}")
+        if len(y) < 2 * m:
             raise ModelError(f"stl_bagging needs two seasons, got {len(y)} points")
-        self.season = seasonal_means(y, m)
-        self.n = len(y)
-        self.fitted = _Css(y - self.season[np.arange(self.n) % m], (1, 1, 1), (0, 0, 0), 1)
+        season, _, self.rest = stl(y, m)
+        self.season = season[-m:]
+        self.fitted = _Css(y - season, (1, 1, 1), (0, 0, 0), 1)
 
     def predict(self, h, x=None, quantiles=(0.1, 0.5, 0.9)):
         mid, _ = self.fitted.forecast(h)
-        season = self.season[(self.n + np.arange(h)) % len(self.season)]
         rng = np.random.default_rng(SEED)
-        draws = mid + season + rng.choice(self.fitted.e, (self.paths, h))
+        draws = mid + np.resize(self.season, h) + rng.choice(self.rest, (self.paths, h))
         return {q: np.quantile(draws, q, axis=0) for q in sorted(quantiles)}
 
 

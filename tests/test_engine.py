@@ -148,6 +148,45 @@ def test_structural_fits_all_points_and_long_seasons(monkeypatch):
     assert np.abs(q[0.5] - year(160 + np.arange(52))).mean() < 1
 
 
+def plain_loess(y, q, at, weight):
+    """One local line, point by point."""
+    n = len(y)
+    near = sorted(range(n), key=lambda j: (abs(j - at), j))[: min(q, n)]
+    h = max(abs(j - at) for j in near) + max(0, (q - n) // 2)
+    w = {j: weight[j] * (1 - (abs(j - at) / h) ** 3) ** 3 if abs(j - at) <= 0.999 * h else 0.0 for j in near}
+    z = np.array([[1.0, j - at] for j in near]) * np.sqrt([[w[j]] for j in near])
+    return np.linalg.lstsq(z, np.array([y[j] for j in near]) * np.sqrt([w[j] for j in near]), rcond=None)[0][0]
+
+
+def test_loess_and_stl():
+    from seriesloom.models.statistical import loess, stl
+
+    rng = np.random.default_rng(5)
+    y, weight = rng.normal(size=30), rng.uniform(0.2, 1, 30)
+    for q in (7, 15, 41):
+        got = loess(y, q, weight, ends=True)
+        assert got == pytest.approx([plain_loess(y, q, at, weight) for at in range(-1, 31)], abs=1e-6)
+    t = np.arange(280)
+    wave = (1 + t / 140) * np.sin(2 * np.pi * t / 7)  # a season that grows
+    y = 20 + t / 50 + wave + rng.normal(0, 0.05, 280)
+    y[[40, 41, 150, 220]] += 20
+    season, trend, rest = stl(y, 7)
+    clean = np.delete(np.arange(280), [40, 41, 150, 220])
+    assert np.abs(season - wave)[clean].mean() < 0.1 and np.abs(trend - 20 - t / 50)[clean].mean() < 0.1 and (rest[[40, 41, 150, 220]] > 18).all()
+    assert season + trend + rest == pytest.approx(y)
+    assert stl(np.full(20, 3.0), 7)[2] == pytest.approx(np.zeros(20), abs=1e-9)
+
+
+def test_stl_bagging_follows_its_season():
+    t = np.arange(420)
+    wave = lambda t: 10 + (1 + t / 60) * np.sin(2 * np.pi * t / 7)
+    y = wave(t) + np.random.default_rng(6).normal(0, 0.1, 420)
+    q = create("stl_bagging", period=7).fit(y).predict(7)
+    assert np.abs(q[0.5] - wave(420 + np.arange(7))).mean() < 0.5
+    with pytest.raises(ModelError):
+        create("stl_bagging", period=1).fit(y)
+
+
 def test_model_errors():
     with pytest.raises(ModelError):
         create("nothing")
