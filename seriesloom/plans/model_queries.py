@@ -16,7 +16,7 @@ query = catalog.query
 
 
 def _fitted(models: list[str], tune: bool = False):
-    return config.from_dict({"models": models, "data": {"horizon": 28}, "backtest": {"enabled": True, "n_folds": 2, "min_train": 365}, "hpo": {"enabled": tune, "n_trials": 3, "sample_size": 2}})
+    return config.from_dict({"models": models, "data": {"horizon": 28}, "backtest": {"enabled": True, "n_folds": 2, "min_train": 365}, "hpo": {"enabled": tune}})
 
 
 def _model_query(model: str):
@@ -58,7 +58,7 @@ def bucket_spread(spark, d):
 
 @query()
 def generator_panel(spark, d):
-    return generator.generate_panel(spark, 10, 120)
+    return generator.generate_panel(spark, 10)
 
 
 @query("""SELECT event_type, CAST(date_trunc('day', ts) AS DATE) AS day, count(*) AS n FROM events GROUP BY 1, 2""")

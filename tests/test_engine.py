@@ -253,6 +253,25 @@ def test_regressors_and_tuning(spark):
         cells.holiday_days(("XX",))
 
 
+def test_registered_tuning_covers_all_series_and_values(spark, sf):
+    from seriesloom.plans import catalog
+
+    cfg = config.from_dict({"models": ["lag_ridge"], "data": {"horizon": 28}, "backtest": {"enabled": True, "n_folds": 2, "min_train": 365}})
+    scores = {}
+    for alpha in create("lag_ridge").search_space()["alpha"]:
+        rows = cells.metadata(cells.run_cells(catalog.filled(spark, sf), cfg, {"lag_ridge": {"alpha": alpha}}, 3)).collect()
+        assert {r.ts_id for r in rows} == {"A", "N", "R"}
+        scores[alpha] = np.mean([r.wape for r in rows])
+    got = catalog.QUERIES["hpo_fleetwide"](spark, sf).collect()
+    assert [(r.model_type, json.loads(r.best_params)) for r in got] == [("lag_ridge", {"alpha": min(scores, key=scores.get)})]
+
+
+def test_registered_generator_has_four_years(spark, sf):
+    from seriesloom.plans import catalog
+
+    assert {r["count"] for r in catalog.QUERIES["generator_panel"](spark, sf).groupBy("ts_id").count().collect()} == {1460}
+
+
 # --- a whole run ---
 def test_run_end_to_end(spark, tmp_path):
     source = generator.generate_panel(spark, 3, 120).select("ts_id", "ds", "y")
