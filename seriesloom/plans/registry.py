@@ -17,8 +17,8 @@ TABLES = {
     "run_registry": "run_id string, created_at timestamp, status string, python_runtime string, n_series long, n_models long, backtest_on boolean, models array<string>, strategies array<string>, config string, job_telemetry string, runtime_seconds double, dataset_ref string",
     "run_jobs": "run_id string, family string, job_id string, attempt int, runtime string, status string, created_at timestamp, started_at timestamp, ended_at timestamp, runtime_seconds double, job_telemetry string",
     "forecast_metadata": f"run_id string, ts_id string, model_type string, fold_id int, ensemble_id string, model_hash string, created_at timestamp, {METRICS}, fit_seconds double, predict_seconds double, best_params string, model_artifact string, compute_engine string, worker_id string, cell_started_at timestamp, cell_ended_at timestamp, status string, error string",
-    "forecast_predictions": "run_id string, ts_id string, model_type string, ensemble_id string, forecast_date date, yhat double, yhat_lower double, yhat_upper double, quantiles string, created_at timestamp",
-    "backtest_oof": "run_id string, ts_id string, model_type string, ensemble_id string, fold_id int, forecast_date date, y_true double, yhat double, created_at timestamp",
+    "forecast_predictions": "run_id string, ts_id string, model_type string, ensemble_id string, forecast_date timestamp_ntz, yhat double, yhat_lower double, yhat_upper double, quantiles string, created_at timestamp",
+    "backtest_oof": "run_id string, ts_id string, model_type string, ensemble_id string, fold_id int, forecast_date timestamp_ntz, y_true double, yhat double, created_at timestamp",
 }
 CELL_KEY = ["run_id", "ts_id", "model_type", "fold_id", "ensemble_id"]
 

@@ -294,6 +294,30 @@ def test_run_end_to_end(spark, tmp_path):
     assert spark.table("v_run_summary").count() == 1
 
 
+def test_hourly_run_keeps_every_hour(spark, tmp_path):
+    start = dt.datetime(2023, 1, 1)
+    rows = [(s, start + dt.timedelta(hours=k), 10.0 + k % 24 + k / 50) for s in ("a", "b") for k in range(144)]
+    source = spark.createDataFrame(rows, "ts_id string, ds timestamp_ntz, y double")
+    f = Forecaster.from_dict(
+        {"models": ["theta", "prophet"], "data": {"horizon": 24, "freq": "h"}, "backtest": {"enabled": True, "n_folds": 2, "horizon": 24, "step": 24, "min_train": 72}, "ensemble": {"enabled": True, "strategies": ["mean"]}},
+        spark,
+        f"file://{tmp_path}/registry",
+    )
+    assert f.run(source) == "COMPLETED"
+    counts = {r.model_type: r["count"] for r in f.registry.prediction_counts(f.run_id).collect()}
+    assert counts == {"theta": 48, "prophet": 48, "ensemble_mean": 48}
+    hours = f.registry.read("backtest_oof", f.run_id).groupBy("model_type").agg(F.count_distinct("ts_id", "forecast_date").alias("n"))
+    assert {r.model_type: r.n for r in hours.collect()} == {"theta": 96, "prophet": 96, "ensemble_mean": 96}
+    first = f.registry.read("forecast_predictions", f.run_id).agg(F.min("forecast_date"), F.max("forecast_date")).first()
+    assert tuple(first) == (start + dt.timedelta(hours=144), start + dt.timedelta(hours=167))
+
+
+def test_older_tables_with_dates_are_read(spark, tmp_path):
+    r = registry.Registry(spark, f"file://{tmp_path}")
+    spark.sql("SELECT 'a' AS ts_id, DATE'2023-01-02' AS forecast_date, 'r' AS run_id").write.partitionBy("run_id").parquet(r.path("forecast_predictions"))
+    assert r.read("forecast_predictions", "r").first().forecast_date == dt.datetime(2023, 1, 2)
+
+
 def test_fill_and_limit(spark):
     p = panel(spark, [("b", 0, 1), ("b", 3, 2), ("a", 0, 1)])
     assert P.fill_calendar(p).count() == 5 and [r.ts_id for r in P.series_ids(P.limit_series(p, 1)).collect()] == ["a"]
