@@ -10,15 +10,16 @@ from ..errors import EngineError
 from ..functions.metrics import clean
 
 AT = ["ts_id", "ds"]
+BOUNDS = ("yhat_lower", "yhat_upper")
 RIDGE = 1.0
 
 
-def mean(preds: DataFrame, at: list[str] = AT) -> DataFrame:
-    return preds.groupBy(*at).agg(F.avg(clean(F.col("yhat"))).alias("yhat")).filter("yhat IS NOT NULL")
+def mean(preds: DataFrame, at: list[str] = AT, values: tuple[str, ...] = ("yhat",)) -> DataFrame:
+    return preds.groupBy(*at).agg(*(F.avg(clean(F.col(v))).alias(v) for v in values)).filter("yhat IS NOT NULL")
 
 
-def median(preds: DataFrame, at: list[str] = AT) -> DataFrame:
-    return preds.groupBy(*at).agg(F.median(clean(F.col("yhat"))).alias("yhat")).filter("yhat IS NOT NULL")
+def median(preds: DataFrame, at: list[str] = AT, values: tuple[str, ...] = ("yhat",)) -> DataFrame:
+    return preds.groupBy(*at).agg(*(F.median(clean(F.col(v))).alias(v) for v in values)).filter("yhat IS NOT NULL")
 
 
 def prune(preds: DataFrame, scores: DataFrame, threshold: float, metric: str = "wape") -> DataFrame:
@@ -43,11 +44,17 @@ def inverse_error_weights(scores: DataFrame, metric: str = "wape", keys: list[st
 
 
 def apply_weights(preds: DataFrame, weights: DataFrame, at: list[str] = AT, values: tuple[str, ...] = ("yhat",)) -> DataFrame:
-    """Weighted mean over the models present, weights renormalised; points without weight go."""
+    """Weighted mean of each value over the models that have it, weights renormalised; points without weight go."""
     keys = [c for c in weights.columns if c != "weight"]
     small = F.broadcast(weights) if keys == ["model_type"] else weights  # fleet weights: a row for each model
     joined = preds.join(small, keys).filter(F.col("yhat").isNotNull() & ~F.isnan("yhat"))
-    sums = [F.try_divide(F.sum(F.col("weight") * F.col(v)), F.sum("weight")).alias(v) for v in values]
+
+    def share(v: str):
+        has = F.col(v).isNotNull() & ~F.isnan(v)
+        total = F.sum(F.when(has, F.col("weight")))
+        return F.when(total > 0, F.try_divide(F.sum(F.when(has, F.col("weight") * F.col(v))), total)).alias(v)
+
+    sums = [share(v) for v in values]
     return joined.groupBy(*at).agg(F.sum("weight").alias("total"), *sums).filter("total > 0").drop("total")
 
 
@@ -106,15 +113,16 @@ def ready_series(preds: DataFrame, models: list[str]) -> DataFrame:
 
 
 def blend(strategy: str, preds: DataFrame, oof: DataFrame, scores: DataFrame, models: list[str], at: list[str] = AT) -> DataFrame:
-    """One strategy's forecasts: mean, median, inverse_error, ridge or nnls."""
+    """One strategy's forecasts: mean, median, inverse_error, ridge or nnls; bounds, where preds has them, by the same weights."""
+    values = ("yhat", *(c for c in BOUNDS if c in preds.columns))
     if strategy == "mean":
-        return mean(preds, at)
+        return mean(preds, at, values)
     if strategy == "median":
-        return median(preds, at)
+        return median(preds, at, values)
     if strategy == "inverse_error":
-        return apply_weights(preds, inverse_error_weights(scores), at)
+        return apply_weights(preds, inverse_error_weights(scores), at, values)
     if strategy in ("ridge", "nnls"):
-        return apply_weights(preds, learned_weights(oof, strategy, models), at)
+        return apply_weights(preds, learned_weights(oof, strategy, models), at, values)
     if strategy == "xgb":
         raise EngineError("the xgb strategy needs the library xgboost: blend with ridge or nnls instead")
     raise EngineError(f"unknown ensemble strategy {strategy!r}")

@@ -103,6 +103,15 @@ def test_weights(spark):
     assert ensemble.prune(p, score([("a", 0.1), ("b", 0.9)]), 0.5).count() == 1
 
 
+def test_bounds_are_blended(spark):
+    rows = [("s", "a", DAY, 10.0, 8.0, 14.0), ("s", "b", DAY, 20.0, 16.0, None), ("t", "b", DAY, 20.0, None, float("nan"))]
+    p = spark.createDataFrame(rows, "ts_id string, model_type string, ds date, yhat double, yhat_lower double, yhat_upper double")
+    scores = spark.createDataFrame([("a", 0.1), ("b", 0.3)], "model_type string, wape double")
+    for strategy, want in (("mean", (15.0, 12.0, 14.0)), ("median", (15.0, 12.0, 14.0)), ("inverse_error", (12.5, 10.0, 14.0))):
+        got = {r.ts_id: (r.yhat, r.yhat_lower, r.yhat_upper) for r in ensemble.blend(strategy, p, p, scores, ["a", "b"]).collect()}
+        assert got["s"] == pytest.approx(want) and got["t"] == (20.0, None, None)
+
+
 def test_nnls_against_search():
     rng = np.random.default_rng(2)
     for _ in range(30):
