@@ -6,13 +6,15 @@
 * `pack`/`unpack` move numpy columns in blocks: a map task sorts its rows by
   block number and ships one row of raw arrays for each block, so the JVM
   handles a few rows of binary in place of millions of small ones.
-* `attach` joins documents with a side table: broadcast if its written size is
-  under a stated bound, by shuffle beyond it.
+* `attach` joins documents with a side table: broadcast if its values' bytes in
+  memory, counted here, are under a stated bound, by shuffle beyond it.
 * `components` labels connected components with DataFrame rounds.
 """
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: a side table is broadcast up to this many bytes as written
-BROADCAST_BYTES = 24 << 20
+#: a side table is broadcast up to this many bytes of values in memory
+BROADCAST_BYTES = 32 << 20
 #: input bytes for each block of an exchange
 BLOCK_BYTES = 8 << 20
+#: blocks that one task takes one after the other, about
+BLOCKS_EACH = 16
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -39,23 +43,31 @@ def on_workers(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; set here only if the session names none."""
+    """The folder all executors share; set here only if a local session names none."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         where = f"file:///tmp/checkpoints/{spark.sparkContext.applicationId}"
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
+
 #: links that one task may merge (16 bytes each)
 ONE_TASK = 500_000
 
 
 class Workspace:
-    """Written tables of one call of an operator."""
+    """Written tables of one call of an operator.
+
+    What an operator returns reads them when it is evaluated, so they stay until
+    `close`, or until the driver's process ends.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         on_workers(spark)
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        atexit.register(self.close)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -70,18 +82,28 @@ class Workspace:
         r = self.spark.read
         return (r.schema(schema) if schema is not None else r).parquet(self.path(name))
 
-    def _fs(self, name: str):
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def size(self, name: str) -> int:
-        fs, p = self._fs(name)
-        return int(fs.getContentSummary(p).getLength())
+    def memory(self, name: str) -> int:
+        """Bytes of a written table's values: eight for each fixed one, the lengths of the others."""
+        df = self.read(name)
+        wide = [F.col(f.name) for f in df.schema if f.dataType.typeName() in ("binary", "string")]
+        wide += [F.to_json(F.col(f.name)) for f in df.schema if f.dataType.typeName() in ("array", "struct", "map")]
+        each = sum((F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in wide), F.lit(16 * len(df.columns)).cast("long"))
+        return int(df.agg(F.coalesce(F.sum(each), F.lit(0))).first()[0])
 
     def drop(self, *names: str) -> None:
         for name in names:
-            fs, p = self._fs(name)
-            fs.delete(p, True)
+            _delete(self.spark, self.path(name))
+
+    def close(self) -> None:
+        """Delete all its tables; whatever still reads them fails from then on."""
+        atexit.unregister(self.close)
+        with contextlib.suppress(Exception):  # at the process's end the JVM may be gone, and its folders stay
+            _delete(self.spark, self.root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def blocks_for(df: DataFrame, bytes_each: int = BLOCK_BYTES) -> int:
@@ -96,7 +118,7 @@ def blocks_for(df: DataFrame, bytes_each: int = BLOCK_BYTES) -> int:
 def attach(ws: Workspace, docs: DataFrame, name: str, key: str = "doc_id", how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:
     """Join docs with the written table `name` on key (null-safe keys are not matched)."""
     side = ws.read(name)
-    return docs.join(F.broadcast(side) if ws.size(name) <= bound else side, key, how)
+    return docs.join(F.broadcast(side) if bound > 0 and ws.memory(name) <= bound else side, key, how)
 
 
 def binary_schema(*cols: str, key: str = "block") -> str:
@@ -139,9 +161,15 @@ def runs(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cut, np.diff(np.append(cut, len(sorted_key)))
 
 
-def by_block(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key: str = "block") -> DataFrame:
-    """fn over all rows of each block."""
-    return df.groupBy(key).applyInArrow(fn, schema)
+def spread(df: DataFrame, blocks: int, key: str = "block") -> DataFrame:
+    """df dealt by key to tasks of BLOCKS_EACH blocks; Spark's own number serves where it is larger."""
+    tasks = -(-blocks // BLOCKS_EACH)
+    return df.repartition(tasks, key) if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df
+
+
+def by_block(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key: str = "block", blocks: int = 0) -> DataFrame:
+    """fn over all rows of each block; `blocks`, their number, sets that of the tasks."""
+    return spread(df, blocks, key).groupBy(key).applyInArrow(fn, schema)
 
 
 def components(ws: Workspace, name: str, links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:

@@ -72,3 +72,38 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIG
   sha256(coalesce(m.s, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
 FROM toks t LEFT JOIN hit h ON h.doc_id = t.doc_id LEFT JOIN named m ON m.doc_id = t.doc_id
 """
+
+
+def op7(weights: dict[tuple[str, ...], float], share: float, epochs: int, seed: int) -> str:
+    """The mix of three levels; budgets by the same whole numbers, each leaf's prefix by one running sum."""
+    paths = ", ".join("(" + ", ".join([*(f"'{x}'" for x in (*p, *[""] * (3 - len(p)))), str(len(p)), str(round(w * 1_000_000))]) + ")" for p, w in weights.items())
+    names = ["domain", "lang", "source"]
+    steps = ""
+    for d in range(1, 4):
+        own, up = ", ".join(names[:d]), ", ".join(names[: d - 1])
+        by, same = (f"PARTITION BY {up}" if up else ""), " AND ".join(f"a.{n} = p.{n}" for n in names[: d - 1])
+        source = f"(SELECT {own}, max(w{d}) AS w, max(cap{d}) AS cap FROM caps GROUP BY {own}) a"
+        given = f"SELECT a.*, p.budget AS up FROM {source} JOIN b{d - 1} p ON {same}" if up else f"SELECT a.*, (SELECT sum(t)::HUGEINT * {round(share * 1_000_000)} // 1000000 FROM leaf) AS up FROM {source}"
+        steps += f""",
+n{d} AS (SELECT *, w > 0 AND cap > 0 AS open, cap / nullif(w, 0) AS ratio FROM ({given})),
+o{d} AS (SELECT *, least(up, coalesce(sum(cap) FILTER (open) OVER ({by}), 0))::HUGEINT AS b FROM n{d}),
+f{d} AS (SELECT *, open AND (b - coalesce(sum(cap) FILTER (open) OVER w, 0)) * w >= cap::HUGEINT * (coalesce(sum(w) FILTER (open) OVER ({by}), 0) - coalesce(sum(w) FILTER (open) OVER w, 0)) AS saturated
+  FROM o{d} WINDOW w AS ({by} ORDER BY CASE WHEN open THEN ratio END NULLS LAST, {names[d - 1]} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s{d} AS (SELECT *, open AND NOT saturated AS sharing, (b - coalesce(sum(cap) FILTER (saturated) OVER ({by}), 0))::HUGEINT AS spare, coalesce(sum(w) FILTER (open AND NOT saturated) OVER ({by}), 0)::HUGEINT AS mass FROM f{d}),
+p{d} AS (SELECT *, CASE WHEN sharing THEN spare * w // mass END AS part FROM s{d}),
+b{d} AS (SELECT {own}, CASE WHEN saturated THEN cap WHEN sharing THEN least(cap, part + CASE WHEN row_number() OVER ({by} ORDER BY spare * w - part * mass DESC NULLS LAST, {names[d - 1]}) <= spare - sum(part) OVER ({by}) THEN 1 ELSE 0 END) ELSE 0 END AS budget FROM p{d})"""
+    w = [f"coalesce((SELECT max(w) FROM given WHERE depth = {d} AND " + " AND ".join(f"p{k} = {names[k - 1]}" for k in range(1, d + 1)) + "), 1000000)" for d in range(1, 4)]
+    return rf"""
+WITH given(p1, p2, p3, depth, w) AS (VALUES {paths}),
+docs AS (
+  SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[1-9]$') THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS t FROM docs GROUP BY 1, 2, 3),
+heavy AS (SELECT *, {w[0]} AS w1, {w[1]} AS w2, {w[2]} AS w3 FROM leaf),
+caps AS (SELECT *, t * {epochs} AS cap3, sum(CASE WHEN w3 > 0 THEN t * {epochs} ELSE 0 END) OVER (PARTITION BY domain, lang) AS cap2,
+  sum(CASE WHEN w3 > 0 AND w2 > 0 THEN t * {epochs} ELSE 0 END) OVER (PARTITION BY domain) AS cap1 FROM heavy){steps},
+plan AS (SELECT l.*, CASE WHEN t > 0 THEN budget // t ELSE 0 END AS whole, CASE WHEN t > 0 THEN budget % t ELSE 0 END AS rest FROM leaf l JOIN b3 b ON b.domain = l.domain AND b.lang = l.lang AND b.source = l.source),
+keyed AS (SELECT d.*, whole, rest, md5(concat_ws(':', '{seed}', CAST(whole AS VARCHAR), coalesce(CAST(doc_id AS VARCHAR), ''))) AS k FROM docs d JOIN plan p ON p.domain = d.domain AND p.lang = d.lang AND p.source = d.source)
+SELECT doc_id, domain, lang, source, n_tokens, CAST(whole + CASE WHEN rest > 0 AND sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY k, doc_id, n_tokens ROWS UNBOUNDED PRECEDING) <= rest THEN 1 ELSE 0 END AS BIGINT) AS copies
+FROM keyed
+"""

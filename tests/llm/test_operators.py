@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 
 import numpy as np
 import public_tokenizers
@@ -263,15 +264,94 @@ def test_pieces_beyond_the_cache(kept, monkeypatch):
         assert enc.encode(*textvec.flatten(pa.array([text])))[0].tolist() == tok.encode(text, add_special_tokens=False).ids
 
 
-def test_mixing(spark, rows, docs, empty):
-    assert mixing.divide(100, [(1, 10), (1, 1000), (2, 1000)]) == [10, 30, 60] and mixing.divide(10, [(0, 5), (1, 3)]) == [0, 3]
-    b = mixing.budgets({("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}, {}, 100, 1)
-    assert b == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}  # the sibling takes the shortage
-    got = mixing.mix(docs, mixing.tree(), mixing.DOMAIN_WEIGHTS, share=2.0, epochs=3).collect()
+def plain_budgets(leaves, weights, total, epochs):
+    """Water filling with fractions, child by child; the largest remainders get the odd tokens."""
+    weight = lambda p: Fraction(round(weights.get(p, 1.0) * 10**6))
+
+    def usable(path, own):
+        if path in leaves:
+            return epochs * leaves[path]
+        return sum(usable(c, own) for c in children(path) if weight(c) > 0)
+
+    def children(path):
+        return sorted({p[: len(path) + 1] for p in leaves if p[: len(path)] == path})
+
+    out = dict.fromkeys(leaves, 0)
+
+    def give(path, amount):
+        if path in leaves:
+            out[path] = amount
+            return
+        open_ = [c for c in children(path) if weight(c) > 0 and usable(c, leaves) > 0]
+        part = {}
+        while open_:
+            mass = sum(map(weight, open_))
+            full = [c for c in open_ if amount * weight(c) / mass >= usable(c, leaves)]
+            if not full:
+                exact = {c: amount * weight(c) / mass for c in open_}
+                part |= {c: int(x) for c, x in exact.items()}
+                odd = amount - sum(part[c] for c in open_)
+                for c in sorted(open_, key=lambda c: (part[c] - exact[c], c))[: int(odd)]:
+                    part[c] += 1
+                break
+            for c in full:
+                part[c] = usable(c, leaves)
+                amount -= part[c]
+                open_.remove(c)
+        for c, x in part.items():
+            give(c, x)
+
+    give((), min(total, usable((), leaves)))
+    return out
+
+
+def spark_budgets(spark, leaves, weights, total, epochs):
+    names = [f"l{k}" for k in range(len(next(iter(leaves))))]
+    df = spark.createDataFrame([(*p, t) for p, t in leaves.items()], ", ".join([*(f"{n} string" for n in names), "t long"]))
+    return {tuple(r)[:-2]: r.budget for r in mixing.budgets(df, weights, total, epochs).collect()}
+
+
+def test_budgets(spark):
+    leaves = {("a", "x"): 100, ("a", "y"): 100, ("b", "x"): 100}
+    assert spark_budgets(spark, leaves, {("a",): 3, ("a", "y"): 0}, 160, 1) == {("a", "x"): 100, ("a", "y"): 0, ("b", "x"): 60}  # a leaf of weight 0 costs nothing
+    assert spark_budgets(spark, {("a", "x"): 10, ("a", "y"): 100, ("b", "x"): 100}, {}, 100, 1) == {("a", "x"): 10, ("a", "y"): 40, ("b", "x"): 50}  # the sibling takes the shortage
+    rng = random.Random(11)
+    for _ in range(6):
+        leaves = {(rng.choice("ab"), rng.choice("xyz"), rng.choice("12345")): rng.choice([0, 1, 7, rng.randint(1, 10**6), 10**14]) for _ in range(rng.randint(1, 20))}
+        weights = {p[: rng.randint(1, 3)]: rng.choice([0, 0.5, 1e-7, 3, 1 / 3]) for p in leaves if rng.random() < 0.6}
+        weights = {p: max(w, 1e-6) if w else 0 for p, w in weights.items()}
+        total, epochs = rng.randint(0, 2 * sum(leaves.values()) + 1), rng.randint(1, 3)
+        got = spark_budgets(spark, leaves, weights, total, epochs)
+        assert got == plain_budgets(leaves, weights, total, epochs)
+        usable = sum(epochs * t for p, t in leaves.items() if all(weights.get(p[:k], 1) > 0 for k in (1, 2, 3)))
+        assert sum(got.values()) == min(total, usable)
+
+
+@pytest.mark.parametrize("bound", [exchange.BROADCAST_BYTES, 0])
+def test_mixing(bound, spark, rows, docs, empty, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 3)
+    levels = mixing.tree()
+    got = mixing.mix(docs, levels, mixing.DOMAIN_WEIGHTS, share=2.0, epochs=3, broadcast_bytes=bound).collect()
     assert len(got) == len(rows) + 2 and max(r.copies for r in got) <= 3
-    total = sum(r.n_tokens for r in got)
-    assert 1.2 * total < sum(r.n_tokens * r.copies for r in got) <= 2 * total
+    table = docs.select("doc_id", "text", *(F.coalesce(c, F.lit("unknown")).alias(n) for n, c in levels.items())).collect()
+    leaves = defaultdict(list)
+    for r in table:
+        leaves[r.domain, r.lang, r.source].append((r.doc_id, len(WORD.findall(r.text or ""))))
+    tokens = {p: sum(n for _, n in x) for p, x in leaves.items()}
+    want, each = [], plain_budgets(tokens, mixing.DOMAIN_WEIGHTS, 2 * sum(tokens.values()), 3)
+    for p, x in leaves.items():
+        whole, rest = divmod(each[p], tokens[p]) if tokens[p] else (0, 0)
+        run = 0
+        for i, n in sorted(x, key=lambda y: (hashlib.md5(f"7:{whole}:{'' if y[0] is None else y[0]}".encode()).hexdigest(), y[0] is not None, y[0] or 0, y[1])):
+            run += n
+            want.append((i, *p, n, whole + (rest > 0 and run <= rest)))
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
     assert mixing.mix(empty, mixing.tree(), {}).count() == 0
+    clash = docs.withColumns({c: F.lit("x") for c in ("t", "w1", "cap1", "budget", "key", "bucket", "whole", "n", "level_0")})
+    assert mixing.mix(clash, {"t": F.col("t"), "key": F.col("lang")}, {}).columns == ["doc_id", "t", "key", "n_tokens", "copies"]
+    for bad in (-1.0, float("nan")):
+        with pytest.raises(ValueError, match="weight"):
+            mixing.mix(docs, mixing.tree(), {("web",): bad})
 
 
 def plain_distance(a, b):
