@@ -7,26 +7,33 @@ how well it separates the training rows; the least loss wins.  A text whose two
 best languages lie closer than `margin` is flagged ambiguous.
 
 The model is fitted on a bounded sample: at most `per_language` rows of each
-language, those with the smallest xxhash64(doc_id), reduced to n-gram counts on
-the executors; only those counts (one row of DIMS values each) reach the
-driver.  Prediction reads whole texts.
+language, those with the smallest xxhash64(doc_id).  A bound on that hash, from
+the languages' counts, goes before the ranking, so a window sees a few times the
+sample only.  One task on an executor adds the sample up language by language:
+it holds one language's rows and either all rows (DUAL at most) or the normal
+equations of DIMS + 1 unknowns, whatever the number of languages; the driver
+gets the weights alone.  Prediction reads whole texts.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0 and
-not ambiguous; rows with null doc_id or null language are predicted but never
+not ambiguous; rows with null doc_id, text or language are predicted but never
 trained on; without any training row all is `und`; repeated rows get equal
-results.  Output: doc_id, held_out, lang_pred, score, ambiguous.
+results, and ties in the sample's order go by the features; very long texts are
+one row; other columns, whatever their names, are left out, or carried in one
+struct.  Output: doc_id, held_out, lang_pred, score, ambiguous.
 """
 
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from . import exchange as X
 from . import textvec as T
@@ -35,6 +42,10 @@ DIMS = 4096
 ORDERS = (1, 2, 3)
 #: texts in one feature matrix
 ROWS = 256
+#: rows of a sample up to which the dual equations are the smaller ones
+DUAL = 2048
+#: rows for each one of the sample that the bound on the hash lets through
+SLACK = 3
 UND = "und"
 #: steepness of the logistic loss on least-squares margins
 STEEP = 3.0
@@ -115,21 +126,39 @@ class Model:
         return np.logaddexp(0, -f) @ (self.trust * (self.codes > 0)).T + np.logaddexp(0, f) @ (self.trust * (self.codes < 0)).T
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 0.3) -> Model:
-    """Least-squares bit classifiers, in the sample's dual form."""
-    langs = sorted(set(y.tolist()))
+def fit(groups: Iterable[tuple[str, np.ndarray]], ridge: float = 0.3) -> Model:
+    """Least-squares bit classifiers from (language, its rows' features), every language with the same weight.
+
+    A bit is trusted by the share of its variance that is explained.
+    """
+    langs, sizes, sums, held = [], [], [], []
+    gram = None
+    for lang, x in groups:
+        x1 = np.hstack([x, np.ones((len(x), 1), np.float32)]) / np.float32(np.sqrt(len(x)))
+        langs.append(lang), sizes.append(len(x)), sums.append(x1.sum(0, dtype=np.float64) / np.sqrt(len(x)))
+        if gram is None:
+            held.append(x1)
+            if sum(sizes) <= DUAL:
+                continue
+        if gram is None:
+            gram = np.zeros((DIMS + 1, DIMS + 1))
+            x1, held = np.vstack(held), []
+        gram += x1.T @ x1
     if not langs:
         return Model([], np.zeros((0, 0)), np.zeros((DIMS + 1, 0), np.float32), np.zeros(0))
-    codes = codebook(len(langs))
-    number = np.searchsorted(langs, y)
-    bits = codes[number]
-    size = np.bincount(number)
-    root = np.sqrt(1.0 / size[number])[:, None] * np.sqrt(len(y) / len(langs))  # every language weighs the same
-    x1 = np.hstack([x, np.ones((len(x), 1), x.dtype)]) * root
-    gram = x1 @ x1.T
-    weights = x1.T @ np.linalg.solve(gram + ridge * np.eye(len(x1)), bits * root)
-    right = ((np.hstack([x, np.ones((len(x), 1))]) @ weights) * bits > 0).mean(0)
-    trust = np.log(np.clip(right, 0.55, 0.999) / (1 - np.clip(right, 0.55, 0.999)))
+    codes, each = codebook(len(langs)), sum(sizes) / len(langs)
+    right = each * np.stack(sums, 1) @ codes
+    if gram is None:
+        x1 = np.vstack(held).astype(np.float64) * np.sqrt(each)
+        bits = codes[np.repeat(np.arange(len(langs)), sizes)] * np.sqrt(each / np.repeat(sizes, sizes))[:, None]
+        weights = x1.T @ np.linalg.solve(x1 @ x1.T + ridge * np.eye(len(x1)), bits)
+        spread = ((x1 @ weights) ** 2).sum(0)
+    else:
+        gram *= each
+        weights = np.linalg.solve(gram + ridge * np.eye(DIMS + 1), right)
+        spread = (weights * (gram @ weights)).sum(0)
+    known = np.sqrt(np.clip((2 * (weights * right).sum(0) - spread) / sum(sizes), 0.01, 0.998))
+    trust = np.arctanh(known)
     return Model(langs, codes, weights.astype(np.float32), trust / trust.sum() * len(trust))
 
 
@@ -139,28 +168,57 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, per_language: int = 400) -> Model:
     """Fit on the bounded sample of labelled rows that are not held out."""
-    X.on_workers(docs.sparkSession)
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    known = docs.select("doc_id", "lang").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & ~held_out())
-    ids = known.withColumn("rank", rank).filter(F.col("rank") <= per_language).select("doc_id").distinct()
+    ws = X.Workspace(docs.sparkSession, "language")
+    known = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    bound = F.when(F.col("n") > SLACK * per_language, (F.lit(float(SLACK * per_language)) / F.col("n") - 0.5) * 2.0**64).otherwise(F.lit(2.0**64))
+    ws.write("bounds", known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", bound.alias("bound")))
+    some = X.attach(ws, known.withColumn("rank", F.xxhash64("doc_id")), "bounds", "lang").filter(F.col("rank") <= F.col("bound"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                for lo, hi, buf, offs in T.chunks(part.column(0)):
+                for lo, hi, buf, offs in T.chunks(part.column(2)):
                     x = features(buf, offs)
-                    yield pa.RecordBatch.from_arrays([part.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], ["lang", "x"])
-
-    rows = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).join(F.broadcast(ids), "doc_id", "leftsemi").select("text", "lang").mapInArrow(count, "lang string, x binary").collect()
-    rows.sort(key=lambda r: (r[0], bytes(r[1])))
-    x = np.array([np.frombuffer(r[1], np.float32) for r in rows], np.float32).reshape(-1, DIMS)
-    return fit(x, np.array([r[0] for r in rows], object))
-
-
-def identify(docs: DataFrame, model: Model, margin: float = 0.5) -> DataFrame:
-    """Predict all documents.  score is the winner's share of exp(-loss)."""
+                    slots = [np.flatnonzero(r).astype(np.uint16) for r in x]
+                    cols = [part.column(0).slice(lo, hi - lo), part.column(1).slice(lo, hi - lo)]
+                    cols += [pa.array([r.tobytes() for r in slots], pa.binary()), pa.array([r[i].tobytes() for r, i in zip(x, slots, strict=True)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, ["lang", "rank", "slots", "x"])
+
+    sample = some.select("lang", "rank", "text").mapInArrow(count, "lang string, rank long, slots binary, x binary")
+    order = Window.partitionBy("lang").orderBy("rank", "slots", "x")
+    sample = sample.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        X.cpu_threads()
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(by_language(batches)))], pa.binary())], ["model"])
+
+    one = sample.repartition(1).sortWithinPartitions("lang", "place").select("lang", "slots", "x")
+    found = one.mapInArrow(learn, "model binary").first()  # none of an empty table
+    ws.close()
+    return pickle.loads(found[0]) if found else fit([])
+
+
+def by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.ndarray]]:
+    """(language, dense rows) of sparse rows sorted by language."""
+    name, rows = None, []
+    for batch in batches:
+        for lang, slots, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if rows and lang != name:
+                yield name, np.stack(rows)
+                rows = []
+            name = lang
+            dense = np.zeros(DIMS, np.float32)
+            dense[np.frombuffer(slots, np.uint16)] = np.frombuffer(x, np.float32)
+            rows.append(dense)
+    if rows:
+        yield name, np.stack(rows)
+
+
+def identify(docs: DataFrame, model: Model, margin: float = 0.5, carry: str | None = None) -> DataFrame:
+    """Predict all documents.  score is the winner's share of exp(-loss); carry: a column that goes along."""
     X.on_workers(docs.sparkSession)
+    names = ["doc_id", "held_out", "lang_pred", "score", "ambiguous"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -177,6 +235,11 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.5) -> DataFrame:
                         if len(model.languages) > 1:
                             two = np.partition(loss, 1, axis=1)
                             close[known] = two[:, 1] - two[:, 0] < margin
-                    yield pa.RecordBatch.from_arrays([*(part.column(i).slice(lo, hi - lo) for i in (0, 1)), pa.array(name, pa.string()), pa.array(score), pa.array(close)], ["doc_id", "held_out", "lang_pred", "score", "ambiguous"])
-
-    return docs.select("doc_id", held_out().alias("held_out"), "text").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, ambiguous boolean")
+                    cols = [part.column(i).slice(lo, hi - lo) for i in (0, 1, *range(3, part.num_columns))]
+                    yield pa.RecordBatch.from_arrays([*cols[:2], pa.array(name, pa.string()), pa.array(score), pa.array(close), *cols[2:]], [*names, *([carry] if carry else [])])
+
+    kinds = [Y.LongType(), Y.BooleanType(), Y.StringType(), Y.DoubleType(), Y.BooleanType()]
+    schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
+    if carry:
+        schema = schema.add(docs.schema[carry])
+    return docs.select("doc_id", held_out().alias("held_out"), "text", *([carry] if carry else [])).mapInArrow(run, schema)

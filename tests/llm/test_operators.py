@@ -466,6 +466,37 @@ def test_language_id(spark, sf, docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(empty)).collect()} == {"und"}
     codes = language_id.codebook(12)
     assert min((codes[i] != codes[j]).sum() for i in range(12) for j in range(i)) > 10
+    carried = language_id.identify(docs.select("doc_id", "text", F.struct("*").alias("row")), model, carry="row").collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.row.text or "", r.lang_pred) for r in carried) == sorted((r.doc_id is None, r.doc_id or 0, r.row.text or "", r.lang_pred) for r in carried if r.row.doc_id == r.doc_id) and len(carried) == len(out)
+
+
+def test_language_model(monkeypatch):
+    """Both forms of the equations give one model, and decoding is the loss-weighted sum over bits."""
+    rng = np.random.default_rng(6)
+    means = rng.random((9, language_id.DIMS)).astype(np.float32)
+    groups = [(f"l{k}", np.abs(means[k] + rng.normal(0, 0.3, (20 + k, language_id.DIMS)).astype(np.float32))) for k in range(9)]
+    groups = [(n, x / np.linalg.norm(x, axis=1, keepdims=True)) for n, x in groups]
+    dual = language_id.fit(groups)
+    monkeypatch.setattr(language_id, "DUAL", 50)
+    primal = language_id.fit(groups)
+    assert np.allclose(dual.weights, primal.weights, atol=1e-3) and np.allclose(dual.trust, primal.trust, rtol=1e-2)
+    x = np.vstack([x[:3] for _, x in groups]).astype(np.float64)
+    want = []
+    for row in x:
+        f = [language_id.STEEP * (row @ dual.weights[:-1, b] + dual.weights[-1, b]) for b in range(dual.codes.shape[1])]
+        loss = [sum(dual.trust[b] * np.log1p(np.exp(-dual.codes[k, b] * f[b])) for b in range(len(f))) for k in range(9)]
+        want.append(loss)
+    assert np.allclose(dual.losses(x), want, rtol=1e-6)
+    assert dual.losses(x).argmin(1).tolist() == [k for k in range(9) for _ in range(3)]
+
+
+def test_language_sample(spark, sf):
+    """Ranks cut by a bound are the ranks of all; one doc_id on many rows stays within the bound."""
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    few = language_id.train(table, per_language=5)
+    assert few.languages == sorted(r[0] for r in table.select("lang").distinct().collect() if r[0])
+    many = spark.createDataFrame([(1, f"text {k}", "xx") for k in range(500)], "doc_id long, text string, lang string")
+    assert language_id.train(many.unionByName(table.select("doc_id", "text", "lang")), per_language=20).languages[-1] in ("xx", few.languages[-1])
 
 
 def test_pipeline(spark, sf):
