@@ -1,23 +1,27 @@
 """Benchmark passages in training documents, found with FM-indexes.
 
-Every Arrow batch of documents is a shard.  Its word sequence is projected on
-the phrases' own vocabulary: a run of words that all occur in the phrases, and
-is long enough for the shortest phrase, is kept; whatever lies between can
-match nothing and becomes one separator.  Over that sequence the shard gets an
-FM-index: suffix array, Burrows-Wheeler transform as a wavelet matrix, and
-sampled suffix positions.  All phrases are searched backwards at once through
-the wavelet matrix's ranks; occurrences are located by walking to the next
-sampled position, and overlapping ones merge into removal spans.
+Documents are read in shards of some MB, whole documents each.  A shard's words
+become one sequence with a separator after each text, and that sequence, in
+pieces of bounded length that overlap by the longest phrase, gets an FM-index:
+suffix array, Burrows-Wheeler transform as a wavelet matrix with popcount ranks,
+and sampled suffix positions.  All phrases are searched backwards at once
+through the wavelet matrix's ranks; occurrences are located by walking to the
+next sampled position, and overlapping ones merge into removal spans.
 
 Phrases are the windows of `window` consecutive words of each item, or the
-whole item if it has fewer words.  Items are read in blocks of bounded size;
-each block of phrases goes over all documents, and spans add up.
+whole item if it has fewer words.  They are made and grouped on the executors
+and written as files of bounded size under the workspace.  A shard's indexes
+are built once and searched for the phrases of one file after the other, so
+there is one pass over the documents whatever the benchmark's size; a worker
+keeps the files in memory while they are few.
 
 Defined cases: null texts have no words; an item without words or with a null
 item_id is no phrase; repeated items and documents each count as they stand; a
-document that is null or empty has no hits.  Output: doc_id, n_words, starts
-and ends (word spans, merged, in order) and items (ids of occurring items,
-ascending).
+document that is null or empty has no hits; a null doc_id is an ordinary row; an
+empty benchmark hits nothing; very long texts are cut into overlapping pieces;
+other columns, whatever their names, are left out, or carried in one struct.
+Output: doc_id, n_words, starts and ends (word spans, merged, in order) and
+items (ids of occurring items, ascending).
 """
 
 from __future__ import annotations
@@ -26,44 +30,94 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from . import exchange as X
 from . import textvec as T
 
 U = np.uint64
-#: bytes of item texts in one block of phrases
-ITEM_BYTES = 4 << 20
+#: bytes of texts in a shard, and words in one index
+SHARD_BYTES, PIECE = 4 << 20, 1 << 20
+#: phrases in one file, and bytes of files that a worker keeps
+PHRASES, KEPT_BYTES = 100_000, 256 << 20
 #: every so many suffix positions is stored
 SAMPLE = 16
 
 
 class Phrases:
-    """A block of phrases over a small vocabulary; ids start at 2."""
-
-    def __init__(self, items: list[tuple[int, str]], window: int):
-        ids = [i for i, _ in items]
-        arr = pa.array([t for _, t in items], pa.string())
-        grams: dict[bytes, set[int]] = {}
-        for lo, hi, buf, offs in T.chunks(arr):
-            w = T.words(buf, offs, T.ALNUM_LOWER)
-            for d in range(hi - lo):
-                h = w.hashes[0][w.offs[d] : w.offs[d + 1]]
-                for k in range(max(1, len(h) - window + 1) if len(h) else 0):
-                    grams.setdefault(h[k : k + window].tobytes(), set()).add(ids[lo + d])
-        self.vocab = np.unique(np.frombuffer(b"".join(grams), U))
-        self.by_length: dict[int, tuple[np.ndarray, list[list[int]]]] = {}
-        found: dict[int, list[tuple[np.ndarray, list[int]]]] = {}
-        for g, owners in grams.items():
-            code = np.searchsorted(self.vocab, np.frombuffer(g, U)).astype(np.int64) + 2
-            found.setdefault(len(code), []).append((code, sorted(owners)))
-        for n, x in found.items():
-            self.by_length[n] = np.stack([c for c, _ in x]), [o for _, o in x]
-
-    @property
-    def shortest(self) -> int:
-        return min(self.by_length, default=0)
+    """A file of phrases: by length, a grid of places in the file's vocabulary and the owners' lists."""
+
+    def __init__(self, table: pa.Table):
+        raw, at = T.flatten(table.column("words"))
+        words, at = np.frombuffer(raw.tobytes(), U), at // 8
+        self.vocab, code = np.unique(words, return_inverse=True)
+        own = table.column("items").combine_chunks()
+        owners, first = own.flatten().to_numpy(), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
+        size = np.diff(at)
+        self.by_length = {}
+        for n in np.unique(size):
+            mine = np.flatnonzero(size == n)
+            self.by_length[int(n)] = code[at[mine][:, None] + np.arange(n)], first[mine], first[mine + 1]
+        self.owners = owners
+        self.nbytes = words.nbytes + owners.nbytes
+
+
+class PhraseFiles:
+    """The phrase files of a folder, read once for each worker if they are small enough together."""
+
+    def __init__(self, uri: str):
+        self.fs, root = pafs.FileSystem.from_uri(uri)
+        self.paths = sorted(f.path for f in self.fs.get_file_info(pafs.FileSelector(root)) if f.is_file and f.base_name.endswith(".parquet"))
+        self.kept: dict[str, Phrases] = {}
+        self.held = 0
+
+    def __iter__(self) -> Iterator[Phrases]:
+        for path in self.paths:
+            if (found := self.kept.get(path)) is None:
+                found = Phrases(pq.read_table(path, filesystem=self.fs, columns=["words", "items"]))
+                if self.held + found.nbytes <= KEPT_BYTES:
+                    self.kept[path] = found
+                    self.held += found.nbytes
+            yield found
+
+
+def write_phrases(ws: X.Workspace, benchmark: DataFrame, window: int) -> str:
+    """Distinct windows with the ids of the items that hold them; the folder's URI."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, buf, offs in T.chunks(batch.column(1)):
+                w = T.words(buf, offs, T.ALNUM_LOWER)
+                item, grams = [], []
+                for d, own in enumerate(batch.column(0).slice(lo, hi - lo).to_pylist()):
+                    h = w.hashes[0][w.offs[d] : w.offs[d + 1]]
+                    mine = {h[k : k + window].tobytes() for k in range(max(1, len(h) - window + 1) if len(h) else 0)}
+                    item.extend([own] * len(mine))
+                    grams.extend(mine)
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array(item, pa.int64())], ["words", "item"])
+
+    items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item"), "text")
+    found = items.mapInArrow(windows, "words binary, item long").groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found.write.mode("overwrite").option("maxRecordsPerFile", PHRASES).parquet(ws.path("phrases"))
+    return ws.path("phrases")
+
+
+class Bits:
+    """Ranks in a bit sequence by popcounts of 64-bit words."""
+
+    def __init__(self, bit: np.ndarray):
+        raw = np.packbits(bit, bitorder="little")
+        self.words = np.concatenate([raw, np.zeros(16 - len(raw) % 8, np.uint8)]).view(U)
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(self.words), dtype=np.int64)])
+
+    def ones(self, i: np.ndarray) -> np.ndarray:
+        """How many of the first i bits are set."""
+        at = i >> 6
+        return self.before[at] + np.bitwise_count(self.words[at] & ((U(1) << (i & 63).astype(U)) - U(1)))
 
 
 class FMIndex:
@@ -73,27 +127,26 @@ class FMIndex:
         s = np.append(seq, 0).astype(np.int64)
         self.n = n = len(s)
         sa = suffix_array(s)
-        bwt = s[sa - 1]
+        self.bwt = x = s[sa - 1]
         self.first = np.concatenate([[0], np.cumsum(np.bincount(s))])
-        self.bits = max(1, int(s.max()).bit_length())
-        self.ones, self.zeros = [], []
-        x = bwt
-        for level in range(self.bits - 1, -1, -1):
+        self.levels = range(max(1, int(s.max()).bit_length()) - 1, -1, -1)
+        self.bits, self.zeros = [], []
+        for level in self.levels:
             bit = (x >> level & 1).astype(bool)
-            self.ones.append(np.concatenate([[0], np.cumsum(bit)]))
+            self.bits.append(Bits(bit))
             self.zeros.append(int(n - bit.sum()))
             x = np.concatenate([x[~bit], x[bit]])
-        self.bwt = bwt
         marked = sa % SAMPLE == 0
-        self.marks = np.concatenate([[0], np.cumsum(marked)])
-        self.marked, self.samples = marked, sa[marked]
+        self.marked, self.samples = Bits(marked), sa[marked]
+        self.there = marked
 
     def rank(self, c: np.ndarray, i: np.ndarray) -> np.ndarray:
         """How many of the transform's first i symbols are c."""
         lo = np.zeros(len(c), np.int64)
-        for ones, zeros, level in zip(self.ones, self.zeros, range(self.bits - 1, -1, -1), strict=True):
+        for bits, zeros, level in zip(self.bits, self.zeros, self.levels, strict=True):
             bit = (c >> level & 1).astype(bool)
-            lo, i = np.where(bit, zeros + ones[lo], lo - ones[lo]), np.where(bit, zeros + ones[i], i - ones[i])
+            a, b = bits.ones(lo), bits.ones(i)
+            lo, i = np.where(bit, zeros + a, lo - a), np.where(bit, zeros + b, i - b)
         return i - lo
 
     def search(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,8 +163,8 @@ class FMIndex:
         """Positions of suffix-order rows."""
         out, steps, open_ = np.zeros(len(rows), np.int64), 0, np.arange(len(rows))
         while len(open_):
-            there = self.marked[rows]
-            out[open_[there]] = self.samples[self.marks[rows[there]]] + steps
+            there = self.there[rows]
+            out[open_[there]] = self.samples[self.marked.ones(rows[there])] + steps
             open_, rows = open_[~there], rows[~there]
             c = self.bwt[rows]
             rows, steps = self.first[c] + self.rank(c, rows), steps + 1
@@ -119,75 +172,69 @@ class FMIndex:
 
 
 def suffix_array(s: np.ndarray) -> np.ndarray:
-    """Prefix doubling; only suffixes that still tie are sorted again."""
-    n, k = len(s), 1
-    sa = np.argsort(s, kind="stable")
-    key = s[sa]
-    group = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
-    head = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    """Prefix doubling from as many values as fit a word; only suffixes that still tie are sorted again."""
+    n, width = len(s), max(1, int(s.max()).bit_length())
+    k = max(1, 62 // width)
+    key = np.zeros(n, np.int64)
+    for j in range(k):
+        key <<= width
+        key[: max(0, n - j)] |= s[j:]
+    sa = np.argsort(key)
+    key = key[sa]
+    new = np.concatenate([[True], key[1:] != key[:-1]])
+    head = np.flatnonzero(new)
     rank = np.empty(n, np.int64)
-    rank[sa] = head[group]
-    open_ = np.arange(n)
-    while True:
-        r = rank[sa[open_]]
-        tie = np.concatenate([[False], r[1:] == r[:-1]])
-        tie[:-1] |= tie[1:]
-        open_ = open_[tie]
-        if not len(open_):
-            return sa
+    rank[sa] = head[np.cumsum(new) - 1]
+    open_ = np.flatnonzero(~(new & np.append(new[1:], True)))
+    while len(open_):
         at = sa[open_]
-        nxt = np.where(at + k < n, rank[np.minimum(at + k, n - 1)], -1)
-        own = rank[at]
+        own, nxt = rank[at], np.where(at + k < n, rank[np.minimum(at + k, n - 1)], -1)
         order = np.lexsort((nxt, own))
         at, own, nxt = at[order], own[order], nxt[order]
         sa[open_] = at
         new = np.concatenate([[True], (own[1:] != own[:-1]) | (nxt[1:] != nxt[:-1])])
         rank[at] = open_[np.flatnonzero(new)][np.cumsum(new) - 1]
+        open_ = open_[~(new & np.append(new[1:], True))]
         k *= 2
-
-
-def hits(texts: pa.Array, phrases: Phrases) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[list[int]]]:
-    """Of a shard: words of each text; row, start and end of occurrences (with overlaps); each row's items."""
-    counts, parts = [], []
-    for lo, _, buf, offs in T.chunks(texts):
-        w = T.words(buf, offs, T.ALNUM_LOWER)
-        counts.append(w.counts)
-        h = w.hashes[0]
-        if not len(h) or not len(phrases.vocab):
-            continue
-        at = np.minimum(np.searchsorted(phrases.vocab, h), len(phrases.vocab) - 1)
-        known = phrases.vocab[at] == h
-        doc = w.docs()
-        cut = np.concatenate([[True], (known[1:] != known[:-1]) | (doc[1:] != doc[:-1])])
-        head = np.flatnonzero(cut)
-        size = np.diff(np.append(head, len(h)))
-        good = known[head] & (size >= phrases.shortest)
-        pick = np.repeat(good, size)
-        if pick.any():
-            parts.append((at[pick] + 2, lo + doc[pick], (np.arange(len(h)) - w.offs[doc])[pick], cut[pick]))
-    n = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-    items: list[list[int]] = [[] for _ in n]
-    none = np.zeros(0, np.int64)
-    if not parts:
-        return n, none, none, none, items
-    code, row, word, cut = (np.concatenate(x) for x in zip(*parts, strict=True))
-    place = np.arange(len(code)) + np.cumsum(cut) - 1  # a separator goes before each run but the first
-    seq = np.ones(int(place[-1]) + 1, np.int64)
-    seq[place] = code
-    back = np.zeros(len(seq), np.int64)
-    back[place] = np.arange(len(code))
-    index = FMIndex(seq)
-    rows, starts, ends, owners = [], [], [], set()
-    for length, (grid, of) in phrases.by_length.items():
-        lo, hi = index.search(grid)
-        many = hi - lo
-        which = np.repeat(np.arange(len(grid)), many)
-        at = back[index.locate(np.repeat(lo, many) + np.arange(len(which)) - np.repeat(np.cumsum(many) - many, many))]
-        rows.append(row[at]), starts.append(word[at]), ends.append(word[at] + length)
-        owners.update(zip(row[at].tolist(), which.tolist(), [length] * len(at), strict=True))
-    for r, k, length in owners:
-        items[r].extend(phrases.by_length[length][1][k])
-    return n, np.concatenate(rows), np.concatenate(starts), np.concatenate(ends), items
+    return sa
+
+
+def hits(texts: pa.Array, phrases: PhraseFiles, longest: int) -> tuple[np.ndarray, ...]:
+    """Of a shard: words of each text; row, start and end of occurrences (merged); row and item of occurring items."""
+    buf, offs = T.flatten(texts)
+    w = T.words(buf, offs, T.ALNUM_LOWER)
+    n, doc = w.counts.astype(np.int64), w.docs()
+    vocab, code = np.unique(w.hashes[0], return_inverse=True)
+    seq = np.ones(len(code) + len(n), np.int64)  # a separator follows each text
+    place = np.arange(len(code)) + doc
+    seq[place] = code + 2
+    row, word = np.repeat(np.arange(len(n)), n + 1), np.zeros(len(seq), np.int64)
+    word[place] = np.arange(len(code)) - w.offs[doc]
+    spans, owned = [], []
+    for lo in range(0, len(seq), PIECE):
+        index = FMIndex(seq[lo : lo + PIECE + longest - 1])
+        for file in phrases:
+            at = np.minimum(np.searchsorted(vocab, file.vocab), max(0, len(vocab) - 1))
+            known = np.where(vocab[at] == file.vocab, at + 2, 0) if len(vocab) else np.zeros(len(file.vocab), np.int64)
+            for length, (grid, first, last) in file.by_length.items():
+                codes = known[grid]
+                there = np.flatnonzero((codes > 0).all(1))
+                if not len(there):
+                    continue
+                a, b = index.search(codes[there])
+                some = b > a
+                there, a, many = there[some], a[some], (b - a)[some]
+                which = np.repeat(np.arange(len(there)), many)
+                spot = lo + index.locate(np.repeat(a - np.cumsum(many) + many, many) + np.arange(len(which)))
+                spans.append((row[spot], word[spot], word[spot] + length))
+                pair = np.unique(row[spot] * len(grid) + there[which])
+                r, p = pair // len(grid), pair % len(grid)
+                count = (last - first)[p]
+                owner = file.owners[np.repeat(first[p] - np.cumsum(count) + count, count) + np.arange(int(count.sum()))]
+                owned.append(np.unique(np.stack([np.repeat(r, count), owner], 1), axis=0))
+    span = [np.concatenate(x) for x in zip(*spans, strict=True)] if spans else [np.zeros(0, np.int64)] * 3
+    own = np.unique(np.concatenate(owned), axis=0) if owned else np.zeros((0, 2), np.int64)
+    return n, *merged(*span), own[:, 0], own[:, 1]
 
 
 def merged(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -208,54 +255,25 @@ def lists(row: np.ndarray, vals: np.ndarray, n: int, kind: pa.DataType) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(vals, kind))
 
 
-OUT = "doc_id long, text string, n_words long, starts array<int>, ends array<int>, items array<long>"
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """See the module's text.  One row for each document, with its text."""
-    X.on_workers(docs.sparkSession)
-    out = X.ensure_text(docs).selectExpr("doc_id", "text", "0L n_words", "CAST(array() AS array<int>) starts", "CAST(array() AS array<int>) ends", "CAST(array() AS array<long>) items")
-    for block in item_blocks(benchmark, item_bytes):
-        out = search(out, Phrases(block, window))
-    return out
-
-
-def item_blocks(benchmark: DataFrame, item_bytes: int) -> Iterator[list[tuple[int, str]]]:
-    """Items in blocks of bounded size; one empty block if there is none, so that words still count."""
-    block, size = [], 0
-    for item, text in benchmark.filter("item_id IS NOT NULL").select("item_id", F.coalesce("text", F.lit(""))).toLocalIterator():
-        block.append((item, text))
-        size += len(text)
-        if size >= item_bytes:
-            yield block
-            block, size = [], 0
-    if block or not size:
-        yield block
-
-
-def search(docs: DataFrame, phrases: Phrases) -> DataFrame:
-    """Add what one block of phrases hits to the columns of decontaminate()."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: str | None = None) -> DataFrame:
+    """See the module's text.  One row for each document; carry: a column that goes along."""
+    ws = X.Workspace(docs.sparkSession, "decontaminate")
+    uri = write_phrases(ws, benchmark, window)
+    names = ["doc_id", "n_words", "starts", "ends", "items"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases = PhraseFiles(uri)
         for batch in batches:
-            n, row, start, end, items = hits(batch.column(1), phrases)
-            size = len(n)
-            for name, old in (("starts", start), ("ends", end)):
-                col = batch.column(batch.schema.names.index(name))
-                before = col.flatten().to_numpy()
-                if name == "starts":
-                    rows = np.concatenate([row, np.repeat(np.arange(size), col.value_lengths().to_numpy())])
-                    start = np.concatenate([old, before])
-                else:
-                    end = np.concatenate([old, before])
-            row, start, end = merged(rows, start, end)
-            own = [sorted({*a, *b}) for a, b in zip(items, batch.column(5).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(n.astype(np.int64)), lists(row, start, size, pa.int32()), lists(row, end, size, pa.int32()), pa.array(own, pa.list_(pa.int64()))],
-                ["doc_id", "text", "n_words", "starts", "ends", "items"],
-            )
-
-    return docs.mapInArrow(run, OUT)
+            for lo, hi, *_ in T.chunks(batch.column(1), SHARD_BYTES):
+                n, row, start, end, who, item = hits(batch.column(1).slice(lo, hi - lo), phrases, window)
+                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n), lists(row, start, hi - lo, pa.int32()), lists(row, end, hi - lo, pa.int32()), lists(who, item, hi - lo, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(i).slice(lo, hi - lo) for i in range(2, batch.num_columns))], [*names, *([carry] if carry else [])])
+
+    kinds = [Y.LongType(), Y.LongType(), *(Y.ArrayType(t) for t in (Y.IntegerType(), Y.IntegerType(), Y.LongType()))]
+    schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
+    if carry:
+        schema = schema.add(docs.schema[carry])
+    return docs.select("doc_id", "text", *([carry] if carry else [])).mapInArrow(run, schema)
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -413,8 +413,16 @@ def folded(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
 
 
-@pytest.mark.parametrize("item_bytes", [1 << 20, 50])
-def test_decontaminate(item_bytes, rows, docs, empty, spark):
+@pytest.mark.parametrize(("phrases", "piece"), [(100_000, 1 << 20), (5, 64)])
+def test_decontaminate(phrases, piece, rows, docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PHRASES", phrases)
+    hits = decontaminate.hits
+
+    def small(*args):  # workers get this function by value
+        decontaminate.PIECE = piece
+        return hits(*args)
+
+    monkeypatch.setattr(decontaminate, "hits", small)
     items = [(1, " ".join(rows[25][1].split()[20:45])), (2, "Two, words"), (3, None), (None, "one"), (4, "..."), (5, rows[3][1]), (5, rows[3][1]), (10, "two words")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     win = defaultdict(set)
@@ -433,7 +441,7 @@ def test_decontaminate(item_bytes, rows, docs, empty, spark):
                     hit[k : k + n] = [True] * n
                     found |= win[tuple(w[k : k + n])]
         want.setdefault(i, set()).add((len(w), sum(hit), len(found), sha(",".join(sorted(map(str, found)))), any(hit)))
-    got = decontaminate.digest(decontaminate.decontaminate(docs, bench, item_bytes=item_bytes)).collect()
+    got = decontaminate.digest(decontaminate.decontaminate(docs, bench)).collect()
     assert len(got) == len(rows) + 2 and all(tuple(r)[1:] in want[r.doc_id] for r in got)
     assert sum(r.contaminated for r in got) >= 4
     assert decontaminate.decontaminate(empty, bench).count() == 0
