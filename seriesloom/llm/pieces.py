@@ -1,16 +1,27 @@
 """Byte-level BPE ids of whole texts, by distinct pieces.
 
 The tokenizers library splits a text into pieces and encodes each piece on its
-own.  Here the split is done for many texts at once on their bytes, and the
-library's model encodes every distinct piece once for each worker (a bounded
-cache keyed by two independent 64-bit hashes).  A text that the fast split does
-not cover is encoded by the library as a whole: one with letters beyond U+024F,
-other white space or control characters, an English contraction, or the string
-of an added token.
+own.  Where a tokenizer file asks for just that (a byte-level pre-tokenizer
+with its own pattern, no normalizer, no prefix space, no truncation or padding),
+the split is done here for many texts at once on their bytes, and the library's
+model encodes every distinct piece once for each worker (a bounded cache keyed
+by two independent 64-bit hashes).  Texts fall into three tiers:
+
+* ASCII and Latin letters are told apart by their bytes;
+* other characters by their code points' Unicode categories, where these have
+  been the same since version 3.2, so that no later table changes the result;
+* what is left (characters of other versions, the string of an added token, or
+  bytes that are not UTF-8, which are replaced) is encoded by the library whole.
+
+For any other tokenizer file the library encodes all texts.
 """
 
 from __future__ import annotations
 
+import functools
+import json
+import unicodedata
+
 import numpy as np
 
 from . import textvec as T
@@ -21,22 +32,38 @@ CHUNK = 3 << 20
 #: distinct pieces kept by a worker from chunk to chunk; a chunk with more still has all of its own
 KEPT = 600_000
 
-SPACE, WHITE, LETTER, DIGIT, OTHER = 1, 2, 4, 8, 16
+SPACE, WHITE, LETTER, DIGIT, OTHER, STRANGE = 1, 2, 4, 8, 16, 32
+#: fixed values: English endings that are pieces of their own after a quote
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 def _classes() -> np.ndarray:
     c = np.full(256, OTHER, np.uint8)
     c[0x20] = SPACE
-    c[[0x09, 0x0A, 0x0D]] = WHITE
+    c[0x09:0x0E] = WHITE
     c[48:58] = DIGIT
     c[65:91] = c[97:123] = c[128:] = LETTER
     return c
 
 
 CLASS = _classes()
-#: bytes that may stand in a text of the fast split: ASCII, and the letters U+00C0 to U+024F
+#: bytes that may stand in a text of the first tier: ASCII, and the letters U+00C0 to U+024F
 PLAIN = np.zeros(256, bool)
-PLAIN[[0x09, 0x0A, 0x0D]] = PLAIN[0x20:0x7F] = PLAIN[0x80:0xC0] = PLAIN[0xC3:0xCA] = True
+PLAIN[0x09:0x0E] = PLAIN[0x20:0x7F] = PLAIN[0x80:0xC0] = PLAIN[0xC3:0xCA] = True
+
+
+@functools.cache
+def point_classes() -> np.ndarray:
+    """Class of each code point; STRANGE where Unicode versions differ."""
+    old, out = unicodedata.ucd_3_2_0, np.full(0x110000, STRANGE, np.uint8)
+    for cp in range(0x30000):  # later planes hold nothing that is stable and common
+        c = chr(cp)
+        kind = unicodedata.category(c)
+        if kind == old.category(c) and kind not in ("Cn", "Cs", "Co"):
+            white = kind in ("Zs", "Zl", "Zp") or cp in (*range(0x09, 0x0E), 0x85)
+            out[cp] = WHITE if white else {"L": LETTER, "N": DIGIT}.get(kind[0], OTHER)
+    out[0x20] = SPACE
+    return out
 
 
 def byte_letters() -> list[str]:
@@ -46,40 +73,83 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in set(own) else chr(next(rest)) for b in range(256)]
 
 
-def cuts(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """First bytes of all pieces of plain texts."""
+def cuts(buf: np.ndarray, offs: np.ndarray, cls: np.ndarray | None = None, lead: np.ndarray | None = None) -> np.ndarray:
+    """First bytes of all pieces; cls: each byte's class if not the first tier's, lead: each byte's character's first byte."""
     n = len(buf)
-    cls = CLASS[buf]
+    cls = CLASS[buf] if cls is None else cls
     head = np.zeros(n + 1, bool)
     head[offs] = True
+    first = np.ones(n, bool) if lead is None else lead
     white = cls <= WHITE
     before = np.concatenate([[False], white[:-1]]) & ~head[:-1]
-    after = np.concatenate([~white[1:], [False]]) & ~head[1:]  # a non-white byte of the same text follows
+    last = np.append(first[1:], True)  # of a character
+    after = np.concatenate([~white[1:], [False]]) & ~head[1:] & last  # a non-white character of the same text follows
+    if lead is not None:  # any byte of a white character knows what follows the character
+        end = np.flatnonzero(last)
+        after = after[end[np.cumsum(first) - 1]]
     change = np.ones(n, bool)
     change[1:] = cls[1:] != cls[:-1]
     change |= head[:-1]
     spaced = np.concatenate([[False], buf[:-1] == 0x20]) & ~head[:-1]
-    return np.flatnonzero(np.where(white, ~before | after, change & ~spaced))
+    begin = np.where(white, ~before | after, change & ~spaced) & first
+    quote = np.flatnonzero(buf == 0x27)
+    if len(quote):
+        own = head[quote] | ((cls[quote - 1] != SPACE) & (cls[quote - 1] != OTHER))  # begins a piece
+        long = np.append(buf, np.zeros(2, np.uint8))
+        size = np.zeros(len(quote), np.int64)
+        text_end = offs[np.searchsorted(offs, quote, "right")]
+        for e in ENDINGS:
+            same = own & (quote + len(e) < text_end)
+            for k, b in enumerate(e):
+                same &= long[quote + 1 + k] == b
+            size[same & (size == 0)] = len(e)
+        at, size = quote[size > 0], size[size > 0]
+        for k in (1, 2):
+            begin[(at + k)[size >= k]] = False
+        stop = at + size + 1
+        begin[stop[stop < n]] = True
+    return np.flatnonzero(begin)
 
 
-def odd_texts(buf: np.ndarray, offs: np.ndarray, marks: list[bytes]) -> np.ndarray:
-    """Which texts the fast split does not cover."""
+def odd_texts(buf: np.ndarray, offs: np.ndarray, bad: np.ndarray) -> np.ndarray:
+    """Which texts hold a marked byte."""
+    total = np.concatenate([[0], np.cumsum(bad)])
+    return total[offs[1:]] > total[offs[:-1]]
+
+
+def unlatin(buf: np.ndarray) -> np.ndarray:
+    """Bytes that the first tier does not cover."""
     bad = ~PLAIN[buf]
-    two = (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))
-    bad[1:] |= two
-    quote = np.flatnonzero(buf == 0x27)
-    if len(quote):
-        a, b = (np.concatenate([buf, np.zeros(2, np.uint8)])[quote + k] for k in (1, 2))
-        hit = np.isin(a, list(b"stmd")) | ((a == 0x72) & (b == 0x65)) | ((a == 0x76) & (b == 0x65)) | ((a == 0x6C) & (b == 0x6C))
-        bad[quote[hit]] = True
-    raw = buf.tobytes()
+    lead, tail = np.concatenate([[False], buf[:-1] >= 0xC0]), (buf & 0xC0) == 0x80
+    bad |= lead != tail
+    bad[-1:] |= buf[-1:] >= 0xC0
+    bad[1:] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))
+    return bad
+
+
+def marked(buf: np.ndarray, marks: list[bytes]) -> np.ndarray:
+    """Bytes where the string of an added token begins."""
+    bad, raw = np.zeros(len(buf), bool), buf.tobytes()
     for mark in marks:
         at = raw.find(mark)
         while at >= 0:
             bad[at] = True
             at = raw.find(mark, at + 1)
-    total = np.concatenate([[0], np.cumsum(bad)])
-    return total[offs[1:]] > total[offs[:-1]]
+    return bad
+
+
+def picked(buf: np.ndarray, offs: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Some texts' bytes end to end, and their offsets."""
+    size = np.diff(offs)
+    return buf[np.repeat(which, size)], np.concatenate([[0], np.cumsum(size[which])])
+
+
+def own_split(spec: dict) -> bool:
+    """Whether a tokenizer file asks for exactly the split made here."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
+    rest = not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+    return plain and rest and model.get("type") == "BPE" and not model.get("dropout")
 
 
 class Encoder:
@@ -89,6 +159,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            self.fast = own_split(json.load(f))
         self.model = self.tokenizer.model
         self.letters = "".join(byte_letters())
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
@@ -118,28 +190,65 @@ class Encoder:
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each text)."""
-        odd = odd_texts(buf, offs, self.marks) if len(buf) else np.zeros(len(offs) - 1, bool)
-        if odd.any():
-            parts = []
-            for i, strange in enumerate(odd):
-                own = buf[offs[i] : offs[i + 1]]
-                if strange:
-                    parts.append(np.array(self.tokenizer.encode(own.tobytes().decode("utf-8", "replace"), add_special_tokens=False).ids, np.uint32))
-                else:
-                    parts.append(self.plain(own, np.array([0, len(own)]))[0])
-            return np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
-        return self.plain(buf, offs)
-
-    def plain(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = len(offs) - 1
+        if not self.fast:
+            return self.library(buf, offs)
+        if not len(buf):
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
+        tier = np.where(odd_texts(buf, offs, unlatin(buf)), 1, 0)
+        tier[odd_texts(buf, offs, marked(buf, self.marks))] = 2
+        if not tier.any():
+            return self.plain(buf, offs)
+        own = []
+        for k, way in enumerate((self.plain, self.wide, self.library)):
+            which = tier == k
+            ids, count = way(*picked(buf, offs, which)) if which.any() else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+            own.append((np.flatnonzero(which), ids, count))
+        count = np.zeros(n, np.int64)
+        for which, _, c in own:
+            count[which] = c
+        start = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.uint32)
+        for which, ids, c in own:
+            out[np.repeat(start[which] - np.cumsum(c) + c, c) + np.arange(len(ids))] = ids
+        return out, count
+
+    def library(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The library's own ids of whole texts; bytes that are not UTF-8 are replaced."""
+        texts = [buf[i:j].tobytes().decode("utf-8", "replace") for i, j in zip(offs[:-1], offs[1:], strict=True)]
+        parts = [np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint32) for t in texts]
+        return np.concatenate([np.zeros(0, np.uint32), *parts]), np.array([len(p) for p in parts], np.int64)
+
+    def wide(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of any characters, told apart by their code points."""
+        try:
+            points = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+        except UnicodeDecodeError:
+            return self.library(buf, offs)
+        cls = point_classes()[points]
+        lead = (buf & 0xC0) != 0x80
+        cls = cls[np.cumsum(lead) - 1]
+        strange = odd_texts(buf, offs, cls == STRANGE)
+        if not strange.any():
+            return self.plain(buf, offs, cls, lead)
+        keep = np.repeat(~strange, np.diff(offs))
+        good, odd = self.plain(*picked(buf, offs, ~strange), cls[keep], lead[keep]), self.library(*picked(buf, offs, strange))
+        count = np.zeros(len(strange), np.int64)
+        count[~strange], count[strange] = good[1], odd[1]
+        out, of = np.zeros(int(count.sum()), np.uint32), np.repeat(strange, count)
+        out[~of], out[of] = good[0], odd[0]
+        return out, count
+
+    def plain(self, buf: np.ndarray, offs: np.ndarray, cls: np.ndarray | None = None, lead: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Texts of known characters, by their distinct pieces."""
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(len(offs) - 1, np.int64)
-        lo = cuts(buf, offs)
+        lo = cuts(buf, offs, cls, lead)
         hi = np.append(lo[1:], len(buf))
         one, two = (T.span_hashes(buf, hi - lo, T.BYTE_VALUES[k], T.WORD_BASES[k]) for k in (0, 1))
         key, first, piece = np.unique(one, return_index=True, return_inverse=True)
         if np.any(two[first][piece] != two):  # two pieces share a hash: too rare to need speed
-            ids = [self.tokenizer.encode(buf[offs[i] : offs[i + 1]].tobytes().decode(), add_special_tokens=False).ids for i in range(len(offs) - 1)]
-            return np.array([i for x in ids for i in x], np.uint32), np.array([len(x) for x in ids], np.int64)
+            return self.library(buf, offs)
         at = self.known(key, two[first])
         if (new := at < 0).any():
             if len(self.key) + int(new.sum()) > KEPT:  # the cache begins anew, with all of this chunk in it

@@ -1,17 +1,23 @@
 """Token-id output: whole corpora as rANS-coded files in doc_id order.
 
-Documents are dealt by ranges of doc_id and sorted, so files follow each other
-in ascending order.  A task tokenizes its range and closes a segment (see
-`rans`) of whole documents when it holds `segment` ids.  The file format is a
-Parquet table written by Spark, hence on any file system and safe against lost
-executors: one row for each segment with part, seg, its first id within the
-part, its documents' ids and lengths, and the coded bytes.
-
-Reading decodes segments independently; only the parts' totals (one number for
-each task) are summed up to place a segment in the whole.
+Documents are dealt by ranges of (doc_id, hash of the text) and sorted, so files
+follow each other in ascending order and rows that share a doc_id can be spread.
+A task tokenizes its range and closes a segment of whole documents when it holds
+`segment` ids; segments are kept plainly until all are counted.  The counts of
+all tasks make one frequency table for the corpus (a row for each id that
+occurs, so the vocabulary bounds it), and the parts' totals give each segment's
+place in the whole: sums of runs of parts first, then inside each run.  A second
+pass codes every segment under that table (see `rans`).
+
+The files are two Parquet tables written by Spark, hence on any file system and
+safe against lost executors: `table`, and `segments` with one row for each
+segment: part, seg, its first id's place in the whole, its documents' ids and
+lengths, and the coded bytes.  Readers decode segments independently.
 
 Defined cases: a null text is empty (its end id alone); null doc_ids come
-first; rows that repeat a doc_id follow each other, ordered by text.
+first; rows that repeat a doc_id follow each other, ordered by their text's
+xxhash64, equal rows as they come; an empty table gives no rows; bytes that are
+not UTF-8 are replaced as the library would; other columns are left out.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import exchange as X
@@ -31,75 +37,123 @@ from . import textvec as T
 
 #: ids in a segment, at least
 SEGMENT = 1 << 21
+#: parts in a run of parts, whose places are summed apart
+RUN = 1024
+PLAIN = "part int, seg int, n_ids long, docs binary, known binary, sizes binary, ids binary"
 FILES = "part int, seg int, first long, n_ids long, docs binary, known binary, sizes binary, ids binary"
 
 
 def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segment: int = SEGMENT) -> None:
     """Tokenize documents and write their ids under path."""
+    spark = docs.sparkSession
+    ws = X.Workspace(spark, "ids")
+    plain = ws.write("plain", tokenized(docs, tokenizer, end_id, segment))
+    table = plain.select("ids").mapInArrow(counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
+    table = ws.write("counts", table)
+    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
+    freq = read_table(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coded = [rans.encode(np.frombuffer(x, "<u4"), freq) for x in batch.column("ids").to_pylist()]
+            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(coded, pa.binary()))
+
+    totals = ws.write("totals", plain.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("run", F.expr(f"part div {RUN}")))
+    runs = totals.groupBy("run").agg(F.sum("n").alias("n"))
+    runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("base"))  # a row for RUN parts
+    inner = F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n")
+    ws.write("places", totals.withColumn("own", inner).join(runs, "run").select("part", (F.col("base") + F.col("own")).alias("before")))
+    placed = X.attach(ws, plain, "places", "part")
+    earlier = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ws.write("firsts", plain.select("part", "seg", "n_ids").withColumn("earlier", earlier).select("part", "seg", "earlier"))
+    placed = X.attach(ws, placed, "firsts", ["part", "seg"]).withColumn("first", F.col("before") + F.col("earlier"))
+    out = placed.select(*(c.split()[0] for c in FILES.split(", "))).mapInArrow(run, FILES)
+    out.write.mode("overwrite").option("compression", "none").parquet(f"{path}/segments")
+    ws.close()
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> DataFrame:
+    """Segments in order, with their ids as they are."""
     X.on_workers(docs.sparkSession)
-    parts = X.blocks_for(docs, 2 * X.BLOCK_BYTES)
+    names = [c.split()[0] for c in PLAIN.split(", ")]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         X.cpu_threads()
         enc = pieces.encoder(tokenizer)
-        part, seg, first = TaskContext.get().partitionId(), 0, 0
+        part, seg = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         size = 0
 
         def close() -> pa.RecordBatch:
-            nonlocal seg, first, size
+            nonlocal seg, size
             docs_, known, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = [[part], [seg], [first], [len(ids)], [docs_.tobytes()], [known.tobytes()], [sizes.tobytes()], [rans.encode(ids)]]
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            seg, first, size = seg + 1, first + len(ids), 0
+            row = [part, seg, len(ids), docs_.tobytes(), known.tobytes(), sizes.tobytes(), ids.astype("<u4").tobytes()]
+            seg, size = seg + 1, 0
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds, strict=True)], ["part", "seg", "first", "n_ids", "docs", "known", "sizes", "ids"])
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
 
         for batch in batches:
             known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            names = batch.column(0).fill_null(0).to_numpy()
+            ids_ = batch.column(0).fill_null(0).to_numpy()
             for lo, hi, buf, offs in T.chunks(batch.column(1), pieces.CHUNK):
                 ids, count = enc.encode(buf, offs)
                 ids = np.insert(ids, np.cumsum(count), np.uint32(end_id))
-                held.append((names[lo:hi], known[lo:hi], count + 1, ids))
+                held.append((ids_[lo:hi], known[lo:hi], count + 1, ids))
                 size += len(ids)
                 if size >= segment:
                     yield close()
         if held:
             yield close()
 
-    ordered = X.ensure_text(docs).repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(run, FILES).write.mode("overwrite").option("compression", "none").parquet(path)
+    order = ["doc_id", F.xxhash64("text")]
+    ordered = X.ensure_text(docs).repartitionByRange(X.blocks_for(docs, 4 * X.BLOCK_BYTES), *order).sortWithinPartitions(*order)
+    return ordered.mapInArrow(run, PLAIN)
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each id that occurs in the task's segments."""
+    total = np.zeros(0, np.int64)
+    for batch in batches:
+        for raw in batch.column(0).to_pylist():
+            n = np.bincount(np.frombuffer(raw, "<u4"))
+            total = np.pad(total, (0, max(0, len(n) - len(total))))
+            total[: len(n)] += n
+    there = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["symbol", "n"])
+
+
+def read_table(spark: SparkSession, path: str) -> rans.Table:
+    """The corpus's frequency table: at most the vocabulary's rows."""
+    rows = spark.read.parquet(f"{path}/table").toArrow()
+    return rans.table_of(rows.column("symbol").to_numpy(), rows.column("n").to_numpy())
 
 
-def read_ids(spark, path: str) -> DataFrame:
-    """Documents back from the files: doc_id, start, ids (as little-endian uint32 bytes)."""
+def read_ids(spark: SparkSession, path: str) -> DataFrame:
+    """Documents back from the files: doc_id, start, n_tokens, ids (as little-endian uint32 bytes)."""
     return _decoded(spark, path, True)
 
 
-def _decoded(spark, path: str, with_ids: bool) -> DataFrame:
+def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
     X.on_workers(spark)
-    files = spark.read.schema(FILES).parquet(path)
-    totals = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
-    before = totals.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    files = files.join(F.broadcast(before), "part")  # a number for each task that wrote
+    freq = read_table(spark, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ids = rans.decode(r["ids"])
+                ids = rans.decode(r["ids"], freq)
                 sizes, known = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["known"], bool)
                 end = np.cumsum(sizes)
                 raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
                 own = [raw[4 * (e - n) : 4 * e] for e, n in zip(end.tolist(), sizes.tolist(), strict=True)]
                 last = pa.array([x.tobytes() for x in own], pa.binary()) if with_ids else pa.array([zlib.crc32(x) for x in own], pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.frombuffer(r["docs"], np.int64), mask=~known), pa.array(r["before"] + r["first"] + end - sizes), pa.array(sizes), last],
+                    [pa.array(np.frombuffer(r["docs"], np.int64), mask=~known), pa.array(r["first"] + end - sizes), pa.array(sizes), last],
                     ["doc_id", "start", "n_tokens", "ids" if with_ids else "ids_crc32"],
                 )
 
     cols = "doc_id long, start long, n_tokens long, " + ("ids binary" if with_ids else "ids_crc32 long")
-    return files.select("first", "before", "docs", "known", "sizes", "ids").mapInArrow(run, cols)
+    return spark.read.schema(FILES).parquet(f"{path}/segments").select("first", "docs", "known", "sizes", "ids").mapInArrow(run, cols)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

@@ -216,24 +216,34 @@ def test_chat_rows(spark):
 
 def test_rans():
     rng = np.random.default_rng(0)
-    for n in (0, 1, 7, 5000, 70_000, 140_001):
-        ids = (rng.zipf(1.3, n) % 50_257).astype(np.uint32)
-        raw = rans.encode(ids)
-        assert (rans.decode(raw) == ids).all()
-    for at in (9, len(raw) // 2, len(raw) - 1):
+    corpus = [(rng.zipf(1.3, n) % 50_257).astype(np.uint32) for n in (0, 1, 7, 31, 33, 5000, 8192, 16_384, 16_385, 70_000, 140_001)]
+    table = rans.table_of(*np.unique(np.concatenate(corpus), return_counts=True))
+    assert table.freq.sum() == 1 << table.bits and table.freq.min() >= 1
+    for ids in corpus:
+        raw = rans.encode(ids, table)
+        assert (rans.decode(raw, table) == ids).all() and len(raw) <= 2 * len(ids) + 17
+    p = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert len(raw) < 1.15 * -(p * np.log2(p)).sum() * len(ids) / 8  # near the entropy
+    for at in (3, 14, len(raw) // 2, len(raw) - 1):
         bad = bytearray(raw)
         bad[at] ^= 1
         with pytest.raises(ValueError):
-            rans.decode(bytes(bad))
-    assert len(rans.encode(np.zeros(100_000, np.uint32))) < 20_000
+            rans.decode(bytes(bad), table)
+    big = np.array([2**31, 5, 2**32 - 1], np.uint32)
+    assert (rans.decode(rans.encode(big, rans.table_of(*np.unique(big, return_counts=True))), rans.table_of(*np.unique(big, return_counts=True))) == big).all()
+    with pytest.raises(ValueError, match="not in the table"):
+        rans.encode(np.array([50_258], np.uint32), table)
 
 
-def test_token_output(rows, docs, empty, spark):
+@pytest.mark.parametrize("bound", [exchange.BROADCAST_BYTES, 0])
+def test_token_output(bound, rows, docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(exchange.attach, "__defaults__", ("doc_id", "inner", bound))
+    monkeypatch.setattr(token_output, "RUN", 2)
     tok = Tokenizer.from_file(queries.default_tokenizer())
     at, want = 0, []
-    for i, t in sorted([*rows, *rows[:2]], key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
-        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
-        want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
+    for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect():
+        ids = np.array([*tok.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        want.append((r.doc_id, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     got = [tuple(r) for r in token_output.token_table(docs, queries.default_tokenizer()).collect()]
     assert sorted(got, key=lambda r: r[1]) == want
@@ -242,17 +252,27 @@ def test_token_output(rows, docs, empty, spark):
     token_output.write_ids(docs, ws.path("f"), queries.default_tokenizer(), segment=500)
     back = {r.start: bytes(r.ids) for r in token_output.read_ids(spark, ws.path("f")).collect()}
     assert all(zlib.crc32(back[s]) == c for _, s, _, c in want)
+    segments = spark.read.parquet(ws.path("f/segments")).select("n_ids", F.length("ids").alias("n")).collect()
+    assert len(segments) >= 4 and all(r.n <= 2 * r.n_ids + 17 for r in segments)
+    ws.close()
 
 
-def test_pieces_are_the_librarys():
-    tok = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
-    texts = ["a  b\n\n c \t d'll don't  x", "  ", " x", "hi\r\n\r\n  yo!!  'tis <|endoftext|> ok", "日本 ½²  café×ü", "a\n", "a \n b", "\n\n a", "12ab34 5.6 !?'q", "ÀÉ œuf", "\x00\x1f", " ", "'", "a' b"]
-    enc = pieces.Encoder(str(public_tokenizers.path("byte_bpe_50k.json")))
-    for group in (texts, *[[t] for t in texts], [t for t in texts if "'" not in t]):
-        buf, offs = textvec.flatten(pa.array(group))
-        ids, count = enc.encode(buf, offs)
+TEXT_PARTS = ["don't", "'s", "''s", " 'll", "\t've", "I'd've", "'S", "’s", "“q”", "naïve", "日本語", "½²", "٣٤", "\u00a0", "\u2028", "\u0085", "\x0b", "\x1f", "\x00", "e\u0301", "🙂", "👍🏽", "×", "ü", " ", "  ", "\n\n", "\r\n", "a", "12", "3.5", "!?", "жщ", "\u0378", "\U0001fae8", "<|endoftext|>", "'", "ไทย", "\u3000"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_of_any_text_are_the_librarys(name):
+    path, rng = str(public_tokenizers.path(name)), random.Random(9)
+    tok, enc = Tokenizer.from_file(path), pieces.Encoder(path)
+    assert enc.fast == (name == "byte_bpe_50k.json")
+    for _ in range(300):
+        texts = ["".join(rng.choice(TEXT_PARTS) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 5))]
+        ids, count = enc.encode(*textvec.flatten(pa.array(texts)))
         cut = np.concatenate([[0], np.cumsum(count)])
-        assert [ids[cut[i] : cut[i + 1]].tolist() for i in range(len(group))] == [tok.encode(t, add_special_tokens=False).ids for t in group]
+        assert [ids[cut[i] : cut[i + 1]].tolist() for i in range(len(texts))] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    for raw in (b"ab\xff c", b"\xc3", b"\xc3(", b"a\x80 b", b"\xe2\x80 d"):
+        ids, _ = enc.encode(*textvec.flatten(pa.array([b"it is ", raw, b"so"])))
+        assert ids.tolist() == [i for t in (b"it is ", raw, b"so") for i in tok.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids]
 
 
 @pytest.mark.parametrize("kept", [1, 4, 6])
