@@ -117,12 +117,15 @@ def odd_texts(buf: np.ndarray, offs: np.ndarray, bad: np.ndarray) -> np.ndarray:
     return total[offs[1:]] > total[offs[:-1]]
 
 
-def unlatin(buf: np.ndarray) -> np.ndarray:
+def unlatin(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Bytes that the first tier does not cover."""
-    bad = ~PLAIN[buf]
-    lead, tail = np.concatenate([[False], buf[:-1] >= 0xC0]), (buf & 0xC0) == 0x80
-    bad |= lead != tail
-    bad[-1:] |= buf[-1:] >= 0xC0
+    bad, lead = ~PLAIN[buf], buf >= 0xC0
+    tail = ((buf & 0xC0) == 0x80).astype(bool)
+    head = np.zeros(len(buf) + 1, bool)
+    head[offs] = True
+    bad[1:] |= (lead[:-1] & ~head[1:-1]) != tail[1:]
+    bad[:1] |= tail[:1]
+    bad |= lead & (head[1:] | ~np.append(tail[1:], False))
     bad[1:] |= (buf[:-1] == 0xC3) & ((buf[1:] == 0x97) | (buf[1:] == 0xB7))
     return bad
 
@@ -195,7 +198,7 @@ class Encoder:
             return self.library(buf, offs)
         if not len(buf):
             return np.zeros(0, np.uint32), np.zeros(n, np.int64)
-        tier = np.where(odd_texts(buf, offs, unlatin(buf)), 1, 0)
+        tier = np.where(odd_texts(buf, offs, unlatin(buf, offs)), 1, 0)
         tier[odd_texts(buf, offs, marked(buf, self.marks))] = 2
         if not tier.any():
             return self.plain(buf, offs)
