@@ -123,9 +123,9 @@ def repeated_anchors(ws: X.Workspace, docs: DataFrame, window: int, blocks: int,
         schema = X.block_schema("doc", "pos", "tag", "hot")
         return pa.Table.from_batches([X.padded(X.pack(doc_block(out["doc"], blocks), out), schema), X.padded(X.pack(np.zeros(len(busy), U), {"hot": busy}), schema)])
 
-    found = X.by_block(docs.mapInArrow(emit, X.binary_schema(*FOUND, *KNOWN)), repeats, X.binary_schema("doc", "pos", "tag", "hot"))
+    found = X.by_block(docs.mapInArrow(emit, X.binary_schema(*FOUND, *KNOWN)), repeats, X.binary_schema("doc", "pos", "tag", "hot"), blocks=blocks)
     found = ws.write(f"{name}-found", found)
-    ws.write(name, by_document(found.filter("hot IS NULL").drop("hot"), {"pos": np.int32, "tag": np.uint32}))
+    ws.write(name, by_document(found.filter("hot IS NULL").drop("hot"), {"pos": np.int32, "tag": np.uint32}, blocks))
     # at most about LISTED values of 8 bytes, see hot_count
     listed_ = [np.frombuffer(r.hot, U) for r in found.filter("hot IS NOT NULL").select("hot").collect()]
     ws.drop(f"{name}-found")
@@ -187,7 +187,7 @@ def doc_block(doc: np.ndarray, blocks: int) -> np.ndarray:
     return T.mix(doc.astype(U)) % U(blocks)
 
 
-def by_document(packed: DataFrame, kinds: dict[str, type]) -> DataFrame:
+def by_document(packed: DataFrame, kinds: dict[str, type], blocks: int) -> DataFrame:
     """Packed rows regrouped to one row of arrays for each document, ordered by the first column."""
     names = list(kinds)
 
@@ -200,7 +200,7 @@ def by_document(packed: DataFrame, kinds: dict[str, type]) -> DataFrame:
         cols += [pa.array([c[k][i : i + n].tobytes() for i, n in zip(cut, size, strict=True)], pa.binary()) for k in names]
         return pa.Table.from_arrays(cols, ["doc_id", *names])
 
-    return X.by_block(packed, gather, ", ".join(["doc_id long", *(f"{k} binary" for k in names)]))
+    return X.by_block(packed, gather, ", ".join(["doc_id long", *(f"{k} binary" for k in names)]), blocks=blocks)
 
 
 def listed(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:

@@ -153,6 +153,23 @@ def padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column(f.name) if f.name in batch.schema.names else pa.nulls(batch.num_rows, f.type) for f in schema], schema=schema)
 
 
+class Met:
+    """How often a task has met a 64-bit signature, by hashed counters; tells those met over `local` times."""
+
+    def __init__(self, local: int, cells: int = 1 << 22):
+        self.local, self.count, self.total = local, np.zeros(cells, np.uint32), 0
+
+    def often(self, sig: np.ndarray) -> np.ndarray:
+        """Counts the signatures in; which of them are met too often to be sent plainly.
+
+        A rare one that shares its counter may be among them: that costs more rows, never a result.
+        """
+        cell = (sig >> np.uint64(40)).astype(np.int64) % len(self.count)
+        self.total += len(cell)
+        self.count += np.bincount(cell, minlength=len(self.count)).astype(np.uint32)
+        return self.count[cell] > self.local + 4 * self.total // len(self.count)
+
+
 def runs(sorted_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first index, length) of each run of equal values."""
     if not len(sorted_key):

@@ -15,13 +15,25 @@ A bucket's lines are first checked against its earliest line only.  Lines not
 settled by that meet all earlier lines of their buckets whose character counts
 are near enough to allow so few edits; none is left out.
 
+A segment that a third of all lines share would fill one task.  A task that has
+met it LOCAL times sends a mark for the segment, and the lines themselves under
+finer keys; a bucket with a mark, or with over CROWD lines, sends its own lines
+there too.  The finer keys rest on the character counts: `edits` edits change at
+most 2 * edits of the 16, so of 2 * edits + 2 groups of counts two agree, and a
+line goes under its segment with each pair of groups.  What is left of a bucket's
+pairs is dealt over tasks in slices of about WORK comparisons.
+
 Defined cases: null texts have one empty line; a null doc_id is kept whole and
-judges nothing; rows that repeat a doc_id and text count as one document.
+judges nothing; rows that repeat a doc_id and text count as one document, ties
+between rows that share a doc_id go by line number; very long texts are cut into
+lines like others; bytes that are not UTF-8 are replaced; other columns,
+whatever their names, are left out; an empty table gives no rows.
 Output: doc_id, n_lines, n_removed, text (kept lines joined by newlines).
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,15 +47,19 @@ from . import textvec as T
 
 U = np.uint64
 BLANK = np.array([9, 10, 11, 12, 13, 32], np.uint32)
-SEEN, FIRST, OPEN, PAIR = 0, 1, 2, 3
-INDEX, PROBE = 1, 2
+SEEN, FIRST, OPEN, FINER = 0, 1, 2, 3
+INDEX, PROBE, MARK, FINE = 1, 2, 4, 8
+#: lines of one segment that a task sends plainly, and lines of a bucket that are not dealt finer
+LOCAL, CROWD = 100, 2000
+#: comparisons of one slice of a bucket, and pairs that one group verifies, about
+WORK, PAIRS = 20_000_000, 5000
 
 
 class Lines:
     """Lines of a chunk of texts as code points, with their hashes."""
 
     def __init__(self, buf: np.ndarray, offs: np.ndarray):
-        self.points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.points = np.frombuffer(buf.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
         chars = np.concatenate([[0], np.cumsum((buf & 0xC0) != 0x80)])
         at = chars[offs]
         breaks = np.flatnonzero(self.points == 10)
@@ -107,6 +123,17 @@ def signatures(lines: Lines, which: np.ndarray, edits: int) -> tuple[np.ndarray,
     return np.concatenate(sig), np.concatenate(role), np.concatenate(of)
 
 
+def finer(sig: np.ndarray, bag: np.ndarray, edits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(finer signature, place of its row): each segment with two groups of character counts, all pairs of groups."""
+    groups = 2 * edits + 2
+    masks = [0]
+    if groups <= 16:
+        part = [sum(0xF << (4 * k) for k in range(g, 16, groups)) for g in range(groups)]
+        masks = [x | y for x, y in itertools.combinations(part, 2)]
+    out = [T.mix(T.mix(sig + U(k + 1)) ^ T.mix(bag & U(m))) for k, m in enumerate(masks)]
+    return np.concatenate(out), np.tile(np.arange(len(sig)), len(masks))
+
+
 def near(a: np.ndarray, b: np.ndarray, edits: int) -> np.ndarray:
     """Whether character counts allow so few edits: one edit changes two counts by one at most."""
     total = np.zeros(len(a), np.int64)
@@ -154,18 +181,23 @@ FOUND = pa.schema([("kind", pa.int32()), ("block", pa.int64()), *((c, pa.binary(
 FOUND_SQL = "kind int, block long, " + ", ".join(f"{c} binary" for c in "abcdefg")
 
 
-def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_bytes: int = X.BROADCAST_BYTES) -> DataFrame:
+def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_bytes: int = X.BROADCAST_BYTES, local: int = LOCAL, crowd: int = CROWD, work: int = WORK) -> DataFrame:
     """See the module's text.  One row for each input row."""
     if not 1 <= edits <= 20 or shortest <= 2 * edits:
         raise ValueError("edits must be 1 to 20, and shortest more than twice that")
     docs = X.ensure_text(docs)
     ws, blocks = X.Workspace(docs.sparkSession, "lines"), X.blocks_for(docs)
     schema = ", ".join(["block long", *(f"{f.name} binary" for f in list(MOVED)[1:])])
-    ws.write("found", X.by_block(docs.mapInArrow(emitter(edits, shortest, blocks), schema), bucketer(edits, blocks), FOUND_SQL), by=("kind",))
-    found = ws.read("found", FOUND_SQL)
-    ws.write("links1", verify(ws, docs, unique_pairs(found.filter(F.col("kind") == FIRST)), "v1", edits, broadcast_bytes))
-    settled = ws.read("links1").select(F.col("a").alias("node")).distinct()
-    rest = open_pairs(found.filter(F.col("kind") == OPEN), settled, edits, blocks)
+    ws.write("found", X.by_block(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(emitter(edits, shortest, blocks, local), schema), bucketer(edits, blocks, crowd), FOUND_SQL, blocks=blocks), by=("kind",))
+    first = ws.read("found", FOUND_SQL)
+    fine = first.filter(F.col("kind") == FINER).select("block", *(F.col(x).alias(y) for x, y in zip("abcdef", ROW, strict=True)))
+    found = first.filter(F.col("kind") != FINER)
+    if not fine.isEmpty():
+        ws.write("finer", X.by_block(fine, fine_bucketer(edits, blocks), FOUND_SQL, blocks=blocks), by=("kind",))
+        found = found.union(ws.read("finer", FOUND_SQL).select(*found.columns))
+    ws.write("links1", verify(ws, docs, unique_pairs(found.filter(F.col("kind") == FIRST), blocks), "v1", edits, broadcast_bytes))
+    settled = ws.read("links1").select(F.col("a").alias("node"), F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
+    rest = open_pairs(found.filter(F.col("kind") == OPEN), settled, edits, blocks, work)
     ws.write("links2", verify(ws, docs, rest, "v2", edits, broadcast_bytes))
     near_lines = ws.read("links1").union(ws.read("links2"))
 
@@ -178,16 +210,25 @@ def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_by
     packed = X.binary_schema("doc", "line", "tag")
     gone = near_lines.select("doc_a", "line_a", "a").distinct().mapInArrow(flagged, packed)
     seen = found.filter(F.col("kind") == SEEN).select("block", F.col("a").alias("doc"), F.col("b").alias("line"), F.col("c").alias("tag"))
-    ws.write("gone", A.by_document(seen.union(gone), {"line": np.int32, "tag": np.uint32}))
-    ws.drop("found")
+    ws.write("gone", A.by_document(seen.union(gone), {"line": np.int32, "tag": np.uint32}, blocks))
+    ws.drop("found", "finer", "links1", "links2")
     return without_lines(ws, docs, broadcast_bytes)
 
 
-def emitter(edits: int, shortest: int, blocks: int):
+#: a signature's row on its way to its bucket
+ROW = {"sig": U, "role": np.uint8, "one": U, "bag": U, "doc": np.int64, "line": np.int32}
+
+
+def block_of(sig: np.ndarray, blocks: int) -> np.ndarray:
+    return (sig >> U(32)) % U(blocks)
+
+
+def emitter(edits: int, shortest: int, blocks: int, local: int):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = X.Met(local)
         for batch in batches:
             for ids, texts in A.rows(batch):
-                for lo, _, buf, offs in T.chunks(texts):
+                for lo, _, buf, offs in T.chunks(T.valid(texts)):
                     w = Lines(buf, offs)
                     at = np.flatnonzero(w.inked)
                     if not len(at):
@@ -198,19 +239,32 @@ def emitter(edits: int, shortest: int, blocks: int):
                     yield X.padded(X.pack(A.doc_block(gone["doc_s"], blocks), gone), MOVED)
                     sent = order[head == np.arange(len(order))]
                     yield X.padded(X.pack(T.mix(cols["one"][sent]) % U(blocks), {k: v[sent] for k, v in cols.items()}), MOVED)
-                    order = np.lexsort((cols["line"], cols["doc"], cols["one"]))
-                    cut, _ = X.runs(cols["one"][order])
-                    first = order[cut]
+                    order = np.lexsort((cols["line"], cols["doc"], cols["two"], cols["one"]))
+                    new = np.ones(len(order), bool)
+                    new[1:] = (cols["one"][order][1:] != cols["one"][order][:-1]) | (cols["two"][order][1:] != cols["two"][order][:-1])
+                    first = order[new]
                     which = at[first][(w.ends - w.starts)[at[first]] >= shortest]
                     if len(which):
                         sig, role, of = signatures(w, which, edits)
                         own = {"sig": sig, "role": role, "one": w.one[which][of], "bag": w.bags(which)[of], "doc": ids[lo + w.doc[which]][of], "line": w.number[which].astype(np.int32)[of]}
-                        moved = X.pack((sig >> U(32)) % U(blocks), own)
-                        yield X.padded(moved, MOVED)
+                        busy = met.often(sig)
+                        if busy.any():
+                            marks = np.unique(sig[busy])
+                            fine = refined({k: v[busy] for k, v in own.items()}, edits)
+                            fine["role"] = fine["role"] | np.uint8(FINE)
+                            more = {k: np.zeros(len(marks), v.dtype) for k, v in own.items()} | {"sig": marks, "role": np.full(len(marks), MARK, np.uint8)}
+                            own = {k: np.concatenate([v[~busy], more[k], fine[k]]) for k, v in own.items()}
+                        yield X.padded(X.pack(block_of(own["sig"], blocks), own), MOVED)
 
     return emit
 
 
+def refined(c: dict[str, np.ndarray], edits: int) -> dict[str, np.ndarray]:
+    """Rows under their finer signatures."""
+    sig, of = finer(c["sig"], c["bag"], edits)
+    return {k: v[of] for k, v in c.items()} | {"sig": sig}
+
+
 def repeats(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(order by line, then place; the first of each line in it; which follow the first at another place)."""
     order = np.lexsort((c["line"], c["doc"], c["two"], c["one"]))
@@ -221,54 +275,82 @@ def repeats(c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, head, same & ((doc != doc[head]) | (line != line[head]))
 
 
-def bucketer(edits: int, blocks: int):
-    """Repeats of the same line; pairs with each bucket's earliest line; and buckets as they are."""
+def bucketer(edits: int, blocks: int, crowd: int):
+    """Repeats of the same line; of each bucket what `buckets` gives; rows for finer buckets."""
 
     def gather(table: pa.Table) -> pa.Table:
         out = []
-
-        def add(kind: int, block: np.ndarray, cols: dict[str, np.ndarray]) -> None:
-            if len(block):
-                b = X.pack(block, cols)
-                out.append(X.padded(b.append_column("kind", pa.array([kind] * b.num_rows, pa.int32())), FOUND))
-
         plain = table.filter(table.column("two").is_valid())
         c = X.unpack(plain, {"one": U, "two": U, "doc": np.int64, "line": np.int32})
         order, _, later = repeats(c)
         at = order[later]
-        add(SEEN, A.doc_block(c["doc"][at], blocks), {"a": c["doc"][at], "b": c["line"][at], "c": c["one"][at].astype(np.uint32)})
+        add(out, SEEN, A.doc_block(c["doc"][at], blocks), {"a": c["doc"][at], "b": c["line"][at], "c": c["one"][at].astype(np.uint32)})
         c = X.unpack(table, {"doc_s": np.int64, "line_s": np.int32, "tag_s": np.uint32})
-        add(SEEN, A.doc_block(c["doc_s"], blocks), dict(zip("abc", c.values(), strict=True)))
-
-        c = X.unpack(table.filter(table.column("sig").is_valid()), {"sig": U, "role": np.uint8, "one": U, "bag": U, "doc": np.int64, "line": np.int32})
-        c = several(c)
-        if len(c["sig"]):
-            order = np.lexsort((c["line"], c["doc"], (c["role"] & INDEX) == 0, c["sig"]))
-            c = {k: v[order] for k, v in c.items()}
-            cut, size = X.runs(c["sig"])
-            hub = np.repeat(cut, size)
-            x = np.flatnonzero((c["one"] != c["one"][hub]) & ((c["role"][hub] & INDEX) > 0))
-            x = x[near(c["bag"][x], c["bag"][hub[x]], edits)]
-            add(FIRST, *directed(c, x, hub[x], blocks))
-            add(OPEN, (c["sig"] >> U(32)) % U(blocks), {"a": c["sig"], "b": c["role"], "c": c["one"], "d": c["bag"], "e": c["doc"], "f": c["line"]})
+        add(out, SEEN, A.doc_block(c["doc_s"], blocks), dict(zip("abc", c.values(), strict=True)))
+
+        c = X.unpack(table.filter(table.column("sig").is_valid()), ROW)
+        fine = (c["role"] & FINE) > 0
+        known = {k: v[fine] for k, v in c.items()}
+        known["role"] = known["role"] & np.uint8(INDEX | PROBE)
+        c = several({k: v[~fine] for k, v in c.items()})
+        cut, size = X.runs(c["sig"])
+        busy = np.repeat((size > crowd) | (np.maximum.reduceat(c["role"] & MARK, cut) > 0), size) if len(cut) else np.zeros(0, bool)
+        more = refined({k: v[busy & ((c["role"] & MARK) == 0)] for k, v in c.items()}, edits)
+        forth = {k: np.concatenate([known[k], more[k]]) for k in ROW}
+        add(out, FINER, block_of(forth["sig"], blocks), dict(zip("abcdef", forth.values(), strict=True)))
+        buckets(out, {k: v[~busy] for k, v in c.items()}, edits, blocks)
         return pa.Table.from_batches(out, FOUND)
 
     return gather
 
 
+def fine_bucketer(edits: int, blocks: int):
+    """What `buckets` gives for the finer buckets."""
+
+    def gather(table: pa.Table) -> pa.Table:
+        out: list[pa.RecordBatch] = []
+        buckets(out, several(X.unpack(table, ROW)), edits, blocks)
+        return pa.Table.from_batches(out, FOUND)
+
+    return gather
+
+
+def add(out: list[pa.RecordBatch], kind: int, block: np.ndarray, cols: dict[str, np.ndarray]) -> None:
+    if len(block):
+        b = X.pack(block, cols)
+        out.append(X.padded(b.append_column("kind", pa.array([kind] * b.num_rows, pa.int32())), FOUND))
+
+
+def buckets(out: list[pa.RecordBatch], c: dict[str, np.ndarray], edits: int, blocks: int) -> None:
+    """Pairs with each bucket's earliest line, and the buckets as they are."""
+    if not len(c["sig"]):
+        return
+    order = np.lexsort((c["line"], c["doc"], (c["role"] & INDEX) == 0, c["sig"]))
+    c = {k: v[order] for k, v in c.items()}
+    cut, size = X.runs(c["sig"])
+    hub = np.repeat(cut, size)
+    x = np.flatnonzero((hub != np.arange(len(hub))) & ((c["role"][hub] & INDEX) > 0))
+    x = x[near(c["bag"][x], c["bag"][hub[x]], edits)]
+    add(out, FIRST, *directed(c, x, hub[x], blocks))
+    add(out, OPEN, block_of(c["sig"], blocks), dict(zip("abcdef", c.values(), strict=True)))
+
+
 def several(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
-    """Rows of buckets with two distinct lines or more, one of them indexed; a line once, at its first place."""
+    """Rows of buckets with two distinct lines or more, one of them indexed, or a mark; a line once, at its first place.
+
+    Lines of a bucket are told apart by hash and character counts.
+    """
     order = np.argsort(c["sig"])
     cut, size = X.runs(c["sig"][order])
     order = order[np.repeat(size > 1, size)]
     c = {k: v[order] for k, v in c.items()}
-    order = np.lexsort((c["line"], c["doc"], -(c["role"].astype(np.int64) & INDEX), c["one"], c["sig"]))
+    order = np.lexsort((c["line"], c["doc"], -(c["role"].astype(np.int64) & INDEX), c["bag"], c["one"], c["role"] & MARK, c["sig"]))
     c = {k: v[order] for k, v in c.items()}
     new = np.ones(len(order), bool)
-    new[1:] = (c["sig"][1:] != c["sig"][:-1]) | (c["one"][1:] != c["one"][:-1])
+    new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("sig", "one", "bag")] + [(c["role"][1:] ^ c["role"][:-1]) & MARK > 0])
     c = {k: v[new] for k, v in c.items()}
     cut, size = X.runs(c["sig"])
-    good = (size > 1) & (np.maximum.reduceat(c["role"] & INDEX, cut) > 0) if len(cut) else np.zeros(0, bool)
+    good = (size > 1) & (np.maximum.reduceat(c["role"] & (INDEX | MARK), cut) > 0) if len(cut) else np.zeros(0, bool)
     keep = np.repeat(good, size)
     return {k: v[keep] for k, v in c.items()}
 
@@ -277,19 +359,18 @@ def directed(c: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, blocks: int
     """(block, later line a and earlier line b with their places), each pair once."""
     swap = (c["doc"][x] < c["doc"][y]) | ((c["doc"][x] == c["doc"][y]) & (c["line"][x] < c["line"][y]))
     x, y = np.where(swap, y, x), np.where(swap, x, y)
-    order = np.lexsort((c["one"][y], c["one"][x]))
-    x, y = x[order], y[order]
-    a, b = c["one"][x], c["one"][y]
+    keys = [c[k][v] for v in (x, y) for k in ("one", "doc", "line")]
+    order = np.lexsort(keys)
     new = np.ones(len(x), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-    x, y = x[new], y[new]
+    new[1:] = np.logical_or.reduce([k[order][1:] != k[order][:-1] for k in keys])
+    x, y = x[order][new], y[order][new]
     return T.mix(c["one"][x]) % U(blocks), {"a": c["one"][x], "b": c["one"][y], "c": c["doc"][x], "d": c["doc"][y], "e": c["line"][x], "f": c["line"][y]}
 
 
 PAIRS_SQL = "a long, b long, doc_a long, doc_b long, line_a int, line_b int"
 
 
-def unique_pairs(found: DataFrame) -> DataFrame:
+def unique_pairs(found: DataFrame, blocks: int) -> DataFrame:
     """Pairs of all blocks, each once."""
 
     def once(table: pa.Table) -> pa.Table:
@@ -297,14 +378,18 @@ def unique_pairs(found: DataFrame) -> DataFrame:
         order = np.lexsort((c["f"], c["d"], c["e"], c["c"], c["b"], c["a"]))
         c = {k: v[order] for k, v in c.items()}
         new = np.ones(len(order), bool)
-        new[1:] = (c["a"][1:] != c["a"][:-1]) | (c["b"][1:] != c["b"][:-1])
+        new[1:] = np.logical_or.reduce([v[1:] != v[:-1] for v in c.values()])
         cols = [c[k][new] for k in "abcdef"]
         return pa.table(dict(zip(("a", "b", "doc_a", "doc_b", "line_a", "line_b"), [cols[0].view(np.int64), cols[1].view(np.int64), *cols[2:]], strict=True)))
 
-    return X.by_block(found.select("block", "a", "b", "c", "d", "e", "f"), once, PAIRS_SQL)
+    return X.by_block(found.select("block", "a", "b", "c", "d", "e", "f"), once, PAIRS_SQL, blocks=blocks)
+
+
+#: a line's row in an open bucket; mine: whether a slice is to compare it with those before
+SLICE = {"sig": np.int64, "role": np.uint8, "node": np.int64, "bag": np.int64, "doc": np.int64, "line": np.int32, "mine": bool}
 
 
-def open_pairs(buckets: DataFrame, settled: DataFrame, edits: int, blocks: int) -> DataFrame:
+def open_pairs(found: DataFrame, settled: DataFrame, edits: int, blocks: int, work: int) -> DataFrame:
     """All pairs of a bucket whose later line is not settled and whose counts allow a link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -315,17 +400,13 @@ def open_pairs(buckets: DataFrame, settled: DataFrame, edits: int, blocks: int)
                 n = len(cols["a"])
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, r["block"])), pa.array(cols["a"]), pa.array(cols["b"].astype(np.int32)), *(pa.array(cols[k]) for k in "cdef")], ["place", "sig", "role", "node", "bag", "doc", "line"])
 
-    flat = buckets.select("block", "a", "b", "c", "d", "e", "f").mapInArrow(rows, "place long, sig long, role int, node long, bag long, doc long, line int")
-    flat = flat.join(settled.withColumn("done", F.lit(True)), "node", "left").select("place", "sig", "role", "node", "bag", "doc", "line", F.coalesce("done", F.lit(False)).alias("done"))
+    flat = found.select("block", "a", "b", "c", "d", "e", "f").mapInArrow(rows, "place long, sig long, role int, node long, bag long, doc long, line int")
+    flat = flat.join(settled.withColumn("done", F.lit(True)), ["node", "doc", "line"], "left").select("place", "sig", "role", "node", "bag", "doc", "line", F.coalesce("done", F.lit(False)).alias("done"))
+    names = (*"abcdef", *SLICE)
 
-    def pairs(table: pa.Table) -> pa.Table:
-        c = {k: table.column(k).to_numpy() for k in ("sig", "role", "node", "bag", "doc", "line", "done")}
-        order = np.lexsort((c["line"], c["doc"], c["sig"]))
-        c = {k: v[order] for k, v in c.items()}
-        c["one"], c["bag"] = c["node"].view(U), np.ascontiguousarray(c["bag"]).view(U)
-        cut, size = X.runs(c["sig"])
-        head = np.repeat(cut, size)
-        x = np.flatnonzero(~c["done"])
+    def compared(c: dict[str, np.ndarray], x: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+        """Pairs of the rows x with all before them in their bucket."""
+        c["one"], bag = c["node"].view(U), np.ascontiguousarray(c["bag"]).view(U)
         many = x - head[x]
         out, lo, done = [], 0, np.cumsum(many)
         while lo < len(x):
@@ -333,44 +414,84 @@ def open_pairs(buckets: DataFrame, settled: DataFrame, edits: int, blocks: int)
             n = many[lo:hi]
             a = np.repeat(x[lo:hi], n)
             b = np.repeat(head[x[lo:hi]], n) + np.arange(len(a)) - np.repeat(np.cumsum(n) - n, n)
-            ok = ((c["role"][a] | c["role"][b]) & INDEX > 0) & near(c["bag"][a], c["bag"][b], edits)
+            ok = np.flatnonzero((c["role"][a] | c["role"][b]) & INDEX > 0)
+            ok = ok[near(bag[a[ok]], bag[b[ok]], edits)]
             out.append((a[ok], b[ok]))
             lo = hi
         a, b = (np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 2
-        block, cols = directed(c, a, b, blocks)
-        return pa.Table.from_batches([X.pack(block, cols)])
+        return directed(c, a, b, blocks)
 
-    return unique_pairs(X.by_block(flat, pairs, X.binary_schema("a", "b", "c", "d", "e", "f"), key="place"))
+    def pairs(table: pa.Table) -> pa.Table:
+        c = {k: table.column(k).to_numpy() for k in ("sig", "role", "node", "bag", "doc", "line", "done")}
+        order = np.lexsort((c["line"], c["doc"], c["sig"]))
+        c = {k: v[order] for k, v in c.items()}
+        cut, size = X.runs(c["sig"])
+        head = np.repeat(cut, size)
+        todo = np.where(c["done"], 0, np.arange(len(head)) - head)
+        total = np.add.reduceat(todo, cut) if len(cut) else todo
+        large = total > work
+        block, cols = compared(c, np.flatnonzero((todo > 0) & ~np.repeat(large, size)), head)
+        out = [X.padded(X.pack(block, cols), X.block_schema(*names))]
+        for k in np.flatnonzero(large):  # a bucket in slices of its later lines, each with all lines before
+            own = todo[cut[k] : cut[k] + size[k]]
+            number = (np.cumsum(own) - own) // work
+            for t in np.unique(number[own > 0]):
+                mine = (number == t) & (own > 0)
+                at = np.arange(cut[k], cut[k] + int(np.flatnonzero(mine)[-1]) + 1)
+                own_sig = T.mix(c["sig"][at].view(U) + U(int(t) + 1))
+                part = {k_: c[k_][at].astype(v) for k_, v in SLICE.items() if k_ not in ("sig", "mine")}
+                part = {"sig": own_sig.view(np.int64)} | part | {"mine": mine[: len(at)]}
+                out.append(X.padded(X.pack(block_of(own_sig, blocks), part), X.block_schema(*names)))
+        return pa.Table.from_batches(out)
+
+    def slices(table: pa.Table) -> pa.Table:
+        c = X.unpack(table, SLICE)
+        order = np.lexsort((c["line"], c["doc"], c["sig"]))
+        c = {k: v[order] for k, v in c.items()}
+        cut, size = X.runs(c["sig"])
+        block, cols = compared(c, np.flatnonzero(c["mine"]), np.repeat(cut, size))
+        return pa.Table.from_batches([X.padded(X.pack(block, cols), X.block_schema(*"abcdef"))])
+
+    both = X.by_block(flat, pairs, X.binary_schema(*names), key="place", blocks=blocks).withColumn("sliced", F.col("sig").isNotNull())
+    packed = ["block", *"abcdef"]
+    done = both.filter("NOT sliced").select(*packed)
+    rest = X.by_block(both.filter("sliced").select("block", *SLICE), slices, X.binary_schema(*"abcdef"), blocks=blocks)
+    return unique_pairs(done.union(rest.select(*packed)), blocks)
 
 
 def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, edits: int, bound: int) -> DataFrame:
-    """Pairs within the edits; a group gets some pairs and the lines they name."""
+    """Pairs within the edits; a group gets some pairs and the lines they name.
+
+    Pairs are grouped by their earlier line; a line of more than PAIRS goes to as many groups as that takes.
+    """
     pairs = ws.write(f"{name}-pairs", pairs)
-    groups = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // 5000)
-    pairs = pairs.withColumn("grp", F.pmod(F.xxhash64("b", F.pmod(F.col("a"), F.lit(64))), F.lit(groups)))
+    groups = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS)
+    ws.write(f"{name}-hubs", pairs.groupBy("b").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRS))
+    spread = F.pmod(F.xxhash64("a"), F.coalesce(1 + F.expr(f"n div {PAIRS}"), F.lit(1)))
+    pairs = X.attach(ws, pairs, f"{name}-hubs", "b", "left", bound).withColumn("grp", F.pmod(F.xxhash64("b", spread), F.lit(groups))).select(*pairs.columns, "grp")
     side = lambda k: pairs.select("grp", F.col(f"doc_{k}").alias("doc_id"), F.col(f"line_{k}").alias("line"), F.col(k).alias("node"))
     need = side("a").union(side("b")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("grp", "line", "node")).alias("want"))
     ws.write(f"{name}-need", need)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grps, nodes, texts = [], [], []
-            for text, want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                lines = (text or "").split("\n")
+            grps, nodes, numbers, docs_, texts = [], [], [], [], []
+            for doc, text, want in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                lines = text.decode("utf-8", "replace").split("\n") if text else [""]
                 for w in want:
                     if w["line"] < len(lines):
-                        grps.append(w["grp"]), nodes.append(w["node"]), texts.append(lines[w["line"]])
-            yield pa.RecordBatch.from_arrays([pa.array(grps, pa.int64()), pa.array(nodes, pa.int64()), pa.array(texts, pa.string())], ["own", "node", "line"])
+                        grps.append(w["grp"]), nodes.append(w["node"]), numbers.append(w["line"]), docs_.append(doc), texts.append(lines[w["line"]])
+            yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (grps, nodes, docs_, numbers)), pa.array(texts, pa.string())], ["own", "node", "doc", "number", "line"])
 
-    texts = X.attach(ws, docs, f"{name}-need", bound=bound).select("text", "want").mapInArrow(cut, "own long, node long, line string")
+    texts = X.attach(ws, docs, f"{name}-need", bound=bound).select("doc_id", F.col("text").cast("binary"), "want").mapInArrow(cut, "own long, node long, doc long, number long, line string")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         # a repeated doc_id can bring a line of another text: its hash tells
-        text: dict[int, str] = {}
-        for node, line in zip(left.column("node").to_pylist(), left.column("line").to_pylist(), strict=True):
-            if node not in text or _hash(line) == node:
-                text[node] = line
-        xs, ys = ([text[k] for k in right.column(c).to_pylist()] for c in ("a", "b"))
+        text: dict[tuple[int, int, int], str] = {}
+        for *key, line in zip(*(left.column(c).to_pylist() for c in ("node", "doc", "number", "line")), strict=True):
+            if tuple(key) not in text or _hash(line) == key[0]:
+                text[tuple(key)] = line
+        xs, ys = ([text[k] for k in zip(*(right.column(c).to_pylist() for c in (v, f"doc_{v}", f"line_{v}")), strict=True)] for v in "ab")
         good = np.zeros(len(xs), bool)
         order = np.argsort([len(x) for x in xs], kind="stable")
         for k in range(0, len(order), 4096):
@@ -391,12 +512,12 @@ def without_lines(ws: X.Workspace, docs: DataFrame, bound: int) -> DataFrame:
         for batch in batches:
             line, row = A.listed(batch.column(2), np.int32)
             tag, _ = A.listed(batch.column(3), np.uint32)
-            for lo, hi, buf, offs in T.chunks(batch.column(1)):
+            for lo, hi, buf, offs in T.chunks(T.valid(batch.column(1))):
                 i, j = np.searchsorted(row, [lo, hi])
                 breaks = np.searchsorted(np.flatnonzero(buf == 10), offs)
                 count = np.diff(breaks) + 1
                 lost = np.zeros(hi - lo, np.int64)
-                texts = [buf[offs[k] : offs[k + 1]].tobytes().decode("utf-8", "replace") for k in range(hi - lo)]
+                texts = [buf[offs[k] : offs[k + 1]].tobytes().decode("utf-8") for k in range(hi - lo)]
                 if j > i:
                     w = Lines(buf, offs)
                     doc = row[i:j] - lo
@@ -411,7 +532,7 @@ def without_lines(ws: X.Workspace, docs: DataFrame, bound: int) -> DataFrame:
                         texts[d] = "\n".join(x for x, g in zip(texts[d].split("\n"), own.tolist(), strict=True) if not g)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count.astype(np.int64)), pa.array(lost), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
-    joined = X.attach(ws, docs, "gone", how="left", bound=bound).select("doc_id", "text", "line", "tag")
+    joined = X.attach(ws, docs, "gone", how="left", bound=bound).select("doc_id", F.col("text").cast("binary"), "line", "tag")
     return joined.mapInArrow(drop, "doc_id long, n_lines long, n_removed long, text string")
 
 

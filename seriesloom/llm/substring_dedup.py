@@ -97,7 +97,7 @@ def windows_of(ws: X.Workspace, docs: DataFrame, window: int, blocks: int, busy:
         return pa.Table.from_batches([X.pack(A.doc_block(out["doc"], blocks), out)])
 
     moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(emit, X.binary_schema(*cold, *A.WINDOWS, *A.SETTLED))
-    return A.by_document(X.by_block(moved, judge, X.binary_schema("doc", "start", "end", "tag")), {"start": np.int32, "end": np.int32, "tag": np.uint32})
+    return A.by_document(X.by_block(moved, judge, X.binary_schema("doc", "start", "end", "tag"), blocks=blocks), {"start": np.int32, "end": np.int32, "tag": np.uint32}, blocks)
 
 
 def digest(out: DataFrame) -> DataFrame:

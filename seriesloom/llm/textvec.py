@@ -92,6 +92,15 @@ def flatten(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def valid(arr: pa.Array) -> pa.Array:
+    """A binary column's texts with bytes that are not UTF-8 replaced."""
+    try:
+        arr.cast(pa.large_string()).validate(full=True)
+    except pa.ArrowInvalid:
+        return pa.array([None if x is None else x.decode("utf-8", "replace").encode() for x in arr.to_pylist()], pa.large_binary())
+    return arr
+
+
 def chunks(arr: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, bytes, offsets) of consecutive runs of whole texts."""
     buf, offs = flatten(arr)

@@ -403,26 +403,52 @@ def test_edit_distance():
         assert line_dedup.within(xs, ys, e).tolist() == [plain_distance(a, b) <= e for a, b in zip(xs, ys)]
 
 
-@pytest.mark.parametrize("bound", [exchange.BROADCAST_BYTES, 0])
-def test_line_dedup(bound, spark):
-    rng = random.Random(8)
-    seeds = ["".join(rng.choice("abcé ") for _ in range(40)) for _ in range(6)]
-    docs = [(i, "\n".join(mutated(rng.choice(seeds), rng, rng.randint(0, 3)) for _ in range(rng.randint(1, 5)))) for i in range(60)]
-    docs += [(100, None), (101, ""), (102, "ab\n\n \nab\nab"), (103, "ab"), (None, docs[0][1])]
-    got = line_dedup.digest(line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string"), broadcast_bytes=bound)).collect()
-    seen, want = [], {}
-    for i, t in docs:
+def plain_lines(docs):
+    seen, want = [], defaultdict(set)
+    for i, t in sorted((r for r in docs if r[0] is not None), key=lambda r: r[0]):
         lines, keep = (t or "").split("\n"), []
         for x in lines:
-            if i is not None and x.strip("\t\n\x0b\x0c\r "):
+            if x.strip("\t\n\x0b\x0c\r "):
                 gone = x in seen or (len(x) >= 20 and any(len(y) >= 20 and plain_distance(x, y) <= 2 for y in seen))
                 seen.append(x)
                 if gone:
                     continue
             keep.append(x)
-        want[i] = (len(lines), len(lines) - len(keep), sha("\n".join(keep)))
-    assert sum(v[1] for v in want.values()) > 50
-    assert {r.doc_id: tuple(r)[1:] for r in got} == want
+        want[i].add((len(lines), len(lines) - len(keep), sha("\n".join(keep))))
+    for i, t in docs:
+        if i is None:
+            want[i].add((len((t or "").split("\n")), 0, sha(t or "")))
+    return want
+
+
+@pytest.mark.parametrize(("bound", "local", "crowd", "work"), [(exchange.BROADCAST_BYTES, 100, 2000, 10**7), (0, 100, 2000, 10**7), (0, 1, 2000, 30), (0, 10**6, 3, 30)])
+def test_line_dedup(bound, local, crowd, work, spark):
+    rng = random.Random(8)
+    seeds = ["".join(rng.choice("abcé ") for _ in range(40)) for _ in range(6)]
+    shared = "the same first third "
+    docs = [(i, "\n".join(mutated(rng.choice(seeds), rng, rng.randint(0, 3)) for _ in range(rng.randint(1, 5)))) for i in range(60)]
+    docs += [(60 + i, shared + mutated("xyz uvw 0123456789 no tail", rng, i % 7) + "\n" + shared + "".join(rng.choice("abcdefgh") for _ in range(30))) for i in range(40)]
+    docs += [(200, None), (201, ""), (202, "ab\n\n \nab\nab"), (203, "ab"), (None, docs[0][1]), (204, "é" * 400 + "\nx\n" + "é" * 401)]
+    repeated = [docs[3], docs[3], docs[61], (202, "ab\n\n \nab\nab")]
+    table = spark.createDataFrame([(i, t, 1, "x", "y", 2) for i, t in docs + repeated], "doc_id long, text string, line int, want string, node string, grp int").repartition(3)
+    got = line_dedup.digest(line_dedup.line_dedup(table, broadcast_bytes=bound, local=local, crowd=crowd, work=work)).collect()
+    want = plain_lines(docs)
+    assert sum(n for v in want.values() for _, n, _ in v) > 50
+    assert len(got) == len(docs + repeated) and all(tuple(r)[1:] in want[r.doc_id] for r in got)
+
+
+def test_lines_of_a_crowd(spark):
+    """Distinct lines that share a third go finer, and their comparisons stay far below the square."""
+    rng = random.Random(2)
+    docs = [(i, "\n".join("shared third of a line " + "".join(rng.choice("abcdefghijklmnop") for _ in range(46)) for _ in range(20))) for i in range(1000)]
+    docs.append((5000, docs[7][1].split("\n")[3][:-2] + "zz"))
+    got = {r.doc_id: r.n_removed for r in line_dedup.line_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got.pop(5000) == 1 and not any(got.values())
+
+
+def test_lines_that_are_not_utf8(spark):
+    df = spark.sql("SELECT 1L doc_id, CAST(X'616263FF0A6465' AS STRING) text UNION ALL SELECT 2L, CAST(X'6465' AS STRING)")
+    assert {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in line_dedup.line_dedup(df).collect()} == {1: (2, 0, "abc\ufffd\nde"), 2: (1, 1, "")}
 
 
 def test_line_dedup_empty(empty):
