@@ -18,20 +18,34 @@ of which forms all pairs of a group:
    components are checked against other hubs in its largest component;
 3. every pair that still lies across components, and shares as many segments as
    a link of such sizes must, is verified, so no link between components is
-   lost; components are labelled by the smallest doc_id.
+   lost, whenever the rounds before ended; components are labelled by the
+   smallest doc_id.
 
-Verification counts intersections of whole 64-bit shingle sets.
+A bucket of over CROWD nodes that are still apart, as dissimilar texts with one
+passage in common make, is divided before step 3: a link of its band differs in
+so many members at most, and so do the sets' parity sketches in bits, so of one
+group of bits more one agrees, and nodes meet under the signature with a group's
+bits.  What stays crowded is compared in slices, each with the whole bucket.
+
+Sets are named by 64 bits and checked by 64 more.  Where two sets have one name
+(rare below 10**9 sets), the first pass is made again with the second value in
+these names, so no class is merged or lost.  Verification counts intersections
+of whole 64-bit shingle sets; its groups hold about PAIRS_EACH pairs, and a hub
+of more is spread over as many groups as that takes.
 
 Defined cases: null text or no words: the empty set, linked with nothing;
 fewer words than a shingle: the whole sequence is the one shingle; a null
 doc_id links with nothing and gets a null component; rows that repeat a doc_id
-each get a row.  Output: doc_id, n_shingles, component_id.
+each get a row, and count as one node of all their sets; very long texts are one
+set each; an empty table gives no rows; other columns, whatever their names, are
+left out.  Output: doc_id, n_shingles, component_id.
 """
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +58,12 @@ from . import textvec as T
 U = np.uint64
 #: chance that a shingle of one text also stands in an unrelated one, for the cost of a bucket
 COMMON = 0.02
-#: pairs of one hub for each of the groups that it is spread over, about
-PAIRS_EACH = 100_000
+#: pairs that one group verifies, about
+PAIRS_EACH = 2000
+#: nodes of an open bucket that are compared as they are, and groups of sketch bits that a bucket is divided by, at most
+CROWD, GROUPS = 2000, 64
+#: what a pair of a divided bucket counts for: as many shared segments as any link needs
+ENOUGH = 1 << 20
 #: hubs of a bucket, partners that a node is checked against in a round, and rounds at most
 HUBS, PARTNERS, ROUNDS = 3, 2, 2
 #: 64-bit words of a parity sketch
@@ -154,14 +172,22 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray,
     return vals[new], np.concatenate([[0], np.cumsum(np.bincount(doc[new], minlength=len(count)))])
 
 
-def fingerprints(vals: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit values of each set; 0 for the empty set."""
+def fingerprints(vals: np.ndarray, at: np.ndarray, apart: np.ndarray | None = None, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """A name (of so many bits) and an independent check of each set; 0 for the empty set.
+
+    Sets whose names are in `apart` are named by both values.
+    """
     out = []
     for salt in (U(0x9AE16A3B2F90404F), U(0xC3A5C85C97CB3127)):
         total = np.concatenate([np.zeros(1, U), np.cumsum(T.mix(vals ^ salt))])
         got = T.mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(U))
         out.append(np.where(np.diff(at) > 0, got | U(1), U(0)))
-    return out[0], out[1]
+    name, check = out
+    name = name & U((1 << bits) - 1)
+    if apart is not None and len(apart):
+        twice = (name > 0) & (apart[np.minimum(np.searchsorted(apart, name), len(apart) - 1)] == name)
+        name = np.where(twice, T.mix(name ^ T.mix(check)) | U(1), name)
+    return name, check
 
 
 def sketches(vals: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -172,6 +198,34 @@ def sketches(vals: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.packbits(odd).view(U).reshape(n, SKETCH)
 
 
+def divided(sig: np.ndarray, size: np.ndarray, sketch: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """(finer signature, place of its row) of rows of crowded buckets, by groups of their sketches' bits.
+
+    A pair meets in the smaller set's band: the larger one's own, or the one below that.
+    """
+    rng = T.splitmix(31, 64 * SKETCH)
+    band = bands.of(size)
+    out_sig, out_row = [], []
+    for less in (0, 1):
+        rows = np.flatnonzero(bands.probes_below(size, band)) if less else np.arange(len(sig))
+        parts = np.minimum(bands.most[band[rows] - less] + 1, GROUPS + 1)
+        for g in np.unique(parts):
+            same = rows[parts == g]
+            for k in range(0, len(same), 2000):
+                at = same[k : k + 2000]
+                tag = T.mix(sig[at] + (band[at] - less).astype(U) * U(0x9E3779B97F4A7C15))[:, None]
+                if g > GROUPS:  # too many places differ for bits to tell
+                    out_sig.append(tag[:, 0]), out_row.append(at)
+                    continue
+                bits = np.unpackbits(sketch[at].view(np.uint8), axis=1)
+                value = np.zeros((len(at), -(-bits.shape[1] // g) * g), U)
+                value[:, : bits.shape[1]] = np.where(bits > 0, rng, U(0))
+                total = value.reshape(len(at), -1, g).sum(1, dtype=U)
+                out_sig.append(T.mix(tag + T.mix(total + np.arange(1, g + 1, dtype=U))).ravel())
+                out_row.append(np.repeat(at, g))
+    return np.concatenate([np.zeros(0, U), *out_sig]), np.concatenate([np.zeros(0, np.int64), *out_row])
+
+
 def signatures(vals: np.ndarray, at: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
     """(signature, set number) of all segment subsets that the sets index or probe."""
     size = np.diff(at)
@@ -246,52 +300,56 @@ FOUND_SQL = "kind int, block long, a binary, b binary, c binary, d binary, e bin
 SETS, STARS, BUCKETS, OWN = 0, 1, 2, 3
 
 
-def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, broadcast_bytes: int = X.BROADCAST_BYTES) -> DataFrame:
+def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, broadcast_bytes: int = X.BROADCAST_BYTES, crowd: int = CROWD, name_bits: int = 64) -> DataFrame:
     """Classes of documents whose shingle sets have Jaccard similarity num/den or more."""
     if not 0 < num <= den:
         raise ValueError("the threshold must be in (0, 1]")
     docs = X.ensure_text(docs)
     spark = docs.sparkSession
     ws, blocks = X.Workspace(spark, "jaccard"), X.blocks_for(docs)
-    bands = Bands(num, den, docs.count())
-    found = X.by_block(docs.mapInArrow(emitter(n, bands, blocks), MOVED_SQL), bucketer(blocks), FOUND_SQL)
-    ws.write("found", found, by=("kind",))
-    ws.write("sets", set_rows(ws, blocks))
-    sets = ws.read("sets")
-    if sets.filter("clash").limit(1).count():
-        raise RuntimeError("two shingle sets share a fingerprint")
+    bands, apart = Bands(num, den, docs.count()), np.zeros(0, U)
+    while True:
+        name = functools.partial(fingerprints, apart=apart, bits=name_bits)
+        found = X.by_block(docs.mapInArrow(emitter(n, bands, blocks, name), MOVED_SQL), bucketer(blocks), FOUND_SQL, blocks=blocks)
+        ws.write("found", found, by=("kind",))
+        sets = ws.write("sets", set_rows(ws, blocks))
+        twice = sets.filter("clash").select("fp").distinct().toArrow()  # of n sets about n * n / 2**65 names
+        if not twice.num_rows:
+            break
+        apart = np.unique(np.concatenate([apart, twice.column("fp").to_numpy().view(U)]))
     ws.write("sketches", sets.filter("sketch IS NOT NULL AND fp <> 0").select("fp", F.col("n_shingles").alias("size"), "sketch"))
     nodes = sets.filter("sketch IS NOT NULL AND fp <> 0").select("fp", "rep", F.col("n_shingles").alias("size"))
     nodes = ws.write("nodes", nodes.mapInArrow(bands.with_most(), "fp long, rep long, size long, most long"))
     links, node_labels = None, nodes.withColumn("component", F.col("rep"))
 
-    def settle(pairs: DataFrame, name: str) -> int:
+    def settle(pairs: DataFrame, step: str) -> int:
         """Verify pairs, and label anew; how many links were new."""
         nonlocal links, node_labels
-        new = ws.write(f"{name}-links", verify(ws, docs, pairs, name, n, bands, broadcast_bytes))
+        new = ws.write(f"{step}-links", verify(ws, docs, pairs, step, n, bands, broadcast_bytes, name))
         count = new.count()
         if count:
             links = new if links is None else links.union(new)
-            labels = X.components(ws, name, links.select("a", "b")).withColumnRenamed("node", "rep")
-            node_labels = ws.write(f"{name}-labels", nodes.join(labels, "rep", "left").select("fp", "rep", "size", "most", F.coalesce("component", "rep").alias("component")))
+            labels = X.components(ws, step, links.select("a", "b")).withColumnRenamed("node", "rep")
+            node_labels = ws.write(f"{step}-labels", nodes.join(labels, "rep", "left").select("fp", "rep", "size", "most", F.coalesce("component", "rep").alias("component")))
         return count
 
-    settle(named(best_stars(of_kind(ws, STARS).select("block", "a", "b", "c")), nodes).filter(bands.near()), "star0")
-    for k in range(1, ROUNDS + 1):
+    settle(named(best_stars(of_kind(ws, STARS).select("block", "a", "b", "c"), blocks), nodes).filter(bands.near()), "star0")
+    for k in range(1, ROUNDS + 1):  # these rounds only save comparisons: the step after them is exact
         rows = open_buckets(ws, node_labels, blocks, f"open{k}")  # the last serves the exact step
         if k == ROUNDS or cross_count(rows) <= 2 * rows.count():
             break
         if settle(named(star_round(rows, blocks, k), nodes).filter(bands.near()), f"star{k}") < 100:
             break
+    rows = uncrowded(ws, rows, bands, blocks, crowd, broadcast_bytes)
     settle(named(cross_pairs(rows, ws.read("sketches"), bands, blocks), nodes).filter(bands.may_link()), "across")
     rows = ws.write("rows", of_kind(ws, OWN).select("a", "b", "c").mapInArrow(own_rows, "doc_id long, n_shingles long, fp long"))
     out = rows.join(node_labels.select("fp", "component"), "fp", "left")
-    ws.drop("found")
+    ws.drop("found", "sketches", "sets", "crowded", *(f"open{k}" for k in range(1, ROUNDS + 1)))
     known = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return known.union(nameless(docs, n))
 
 
-def emitter(n: int, bands: Bands, blocks: int):
+def emitter(n: int, bands: Bands, blocks: int, name: Callable):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             whole = whole.filter(whole.column(0).is_valid()) if whole.column(0).null_count else whole
@@ -302,7 +360,7 @@ def emitter(n: int, bands: Bands, blocks: int):
                 seen: set[int] = set()
                 for lo, _, buf, offs in T.chunks(batch.column(1)):
                     vals, at = shingle_sets(buf, offs, n)
-                    fp, check = fingerprints(vals, at)
+                    fp, check = name(vals, at)
                     size = np.diff(at)
                     marks.extend(sketches(vals[at[k] : at[m]], at[k : m + 1] - at[k]) for k in range(0, len(size), 256) for m in [min(len(size), k + 256)])
                     new = np.zeros(len(size), bool)
@@ -406,7 +464,7 @@ def set_rows(ws: X.Workspace, blocks: int) -> DataFrame:
         sketch = pa.array([x.tobytes() if k else None for k, x in zip(lead.tolist(), c["e"], strict=True)], pa.binary())
         return pa.table({"doc_id": c["a"], "n_shingles": c["b"], "fp": c["c"].view(np.int64), "rep": rep, "clash": first != c["d"], "sketch": sketch})
 
-    return X.by_block(of_kind(ws, SETS), name, "doc_id long, n_shingles long, fp long, rep long, clash boolean, sketch binary")
+    return X.by_block(of_kind(ws, SETS), name, "doc_id long, n_shingles long, fp long, rep long, clash boolean, sketch binary", blocks=blocks)
 
 
 def own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -416,7 +474,7 @@ def own_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(v) for v in c.values()], ["doc_id", "n_shingles", "fp"])
 
 
-def best_stars(found: DataFrame) -> DataFrame:
+def best_stars(found: DataFrame, blocks: int) -> DataFrame:
     """Each node with the PARTNERS hubs that it shares the most buckets with."""
 
     def best(table: pa.Table) -> pa.Table:
@@ -432,7 +490,7 @@ def best_stars(found: DataFrame) -> DataFrame:
         top = np.arange(len(a)) - np.repeat(head, size) < PARTNERS
         return pa.table({"fa": a[top].view(np.int64), "fb": b[top].view(np.int64)})
 
-    return X.by_block(found, best, "fa long, fb long")
+    return X.by_block(found, best, "fa long, fb long", blocks=blocks)
 
 
 def named(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -462,14 +520,42 @@ def open_buckets(ws: X.Workspace, labels: DataFrame, blocks: int, name: str) ->
         return table.take(pa.array(order[np.repeat(lo < hi, size)]))
 
     block = F.pmod(F.shiftright("sig", 20), F.lit(blocks)).alias("block")
-    return ws.write(name, X.by_block(labelled.select(block, "sig", "fp", "component"), mixed, "block long, sig long, fp long, component long"))
+    return ws.write(name, X.by_block(labelled.select(block, "sig", "fp", "component"), mixed, "block long, sig long, fp long, component long", blocks=blocks))
 
 
-def ordered(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """sig, node and component of a block's rows, by sig and component."""
+def uncrowded(ws: X.Workspace, rows: DataFrame, bands: Bands, blocks: int, crowd: int, bound: int) -> DataFrame:
+    """The open buckets' rows with `weight` and `mine`; crowded buckets divided, and what stays crowded in slices."""
+    block = F.pmod(F.shiftright("sig", 20), F.lit(blocks)).alias("block")
+    plain = [F.lit(1).cast("long").alias("weight"), F.lit(True).alias("mine")]
+    ws.write("crowds", rows.groupBy("sig").agg(F.count("*").alias("n")).filter(F.col("n") > crowd).select("sig"))  # a row for over `crowd` rows
+    if ws.read("crowds").isEmpty():
+        return rows.select("block", "sig", "fp", "component", *plain)
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 2000):
+                batch = whole.slice(k, 2000)
+                sig, size = batch.column(0).to_numpy().view(U), batch.column(3).to_numpy()
+                sketch = np.frombuffer(b"".join(batch.column(4).to_pylist()), U).reshape(-1, SKETCH)
+                finer, of = divided(sig, size, sketch, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(finer.view(np.int64)), *(batch.column(c).take(pa.array(of)) for c in (1, 2))], ["sig", "fp", "component"])
+
+    crowded = X.attach(ws, rows, "crowds", "sig", "leftsemi", bound).select("sig", "fp", "component").join(ws.read("sketches"), "fp")
+    fine = ws.write("crowded", crowded.select("sig", "fp", "component", "size", "sketch").mapInArrow(divide, "sig long, fp long, component long"))
+    open_ = fine.groupBy("sig").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
+    fine = fine.join(open_.select("sig", F.expr(f"CAST((n + {crowd} - 1) div {crowd} AS int)").alias("slices")), "sig")
+    fine = fine.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    mine = (F.pmod(F.xxhash64("fp"), F.col("slices")) == F.col("slice")).alias("mine")
+    fine = fine.select(F.xxhash64("sig", "slice").alias("sig"), "fp", "component", F.lit(ENOUGH).cast("long").alias("weight"), mine)
+    small = X.attach(ws, rows, "crowds", "sig", "leftanti", bound).select("block", "sig", "fp", "component", *plain)
+    return small.union(fine.select(block, "sig", "fp", "component", "weight", "mine"))
+
+
+def ordered(table: pa.Table) -> tuple[np.ndarray, ...]:
+    """sig, node and component of a block's rows, by sig and component, and their order."""
     sig, node, comp = (table.column(c).to_numpy() for c in ("sig", "fp", "component"))
     order = np.lexsort((node, comp, sig))
-    return sig[order].view(U), node[order].view(U), comp[order]
+    return sig[order].view(U), node[order].view(U), comp[order], order
 
 
 def component_runs(sig: np.ndarray, comp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -488,7 +574,7 @@ def star_round(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
     """Star pairs of every open bucket: nodes of its smaller components with some of its largest."""
 
     def spread(table: pa.Table) -> pa.Table:
-        sig, node, comp = ordered(table)
+        sig, node, comp, _ = ordered(table)
         head, size = component_runs(sig, comp)
         by_size = np.lexsort((head, -size, sig[head]))
         largest, _ = X.runs(sig[head][by_size])
@@ -497,7 +583,7 @@ def star_round(rows: DataFrame, blocks: int, seed: int) -> DataFrame:
         block, cols = stars(sig, node, np.repeat(main, size), T.mix(node + U(seed)), blocks)
         return pa.Table.from_batches([X.pack(block, cols)])
 
-    return best_stars(X.by_block(rows, spread, X.binary_schema("a", "b", "c")))
+    return best_stars(X.by_block(rows, spread, X.binary_schema("a", "b", "c"), blocks=blocks), blocks)
 
 
 def cross_pairs(rows: DataFrame, marks: DataFrame, bands: Bands, blocks: int) -> DataFrame:
@@ -524,12 +610,13 @@ def cross_pairs(rows: DataFrame, marks: DataFrame, bands: Bands, blocks: int) ->
         order = np.argsort(known)
         known, bound = known[order], left.column("size").to_numpy()[order]
         sketch = np.frombuffer(b"".join(left.column("sketch").to_pylist()), U).reshape(-1, SKETCH)[order]
-        sig, node, comp = ordered(table)
+        sig, node, comp, order = ordered(table)
+        weight, mine = (table.column(c).to_numpy()[order] for c in ("weight", "mine"))
         head, size = component_runs(sig, comp)
         cut, total = X.runs(sig)
         end = np.repeat(cut + total, total)
         first = np.repeat(head + size, size)  # the first row of the bucket's next component
-        many = end - first
+        many = np.where(mine, end - first, 0)
         out, lo = [], 0
         done = np.cumsum(many)
         while lo < len(sig):
@@ -541,7 +628,7 @@ def cross_pairs(rows: DataFrame, marks: DataFrame, bands: Bands, blocks: int) ->
             order = np.lexsort((b, a))
             a, b = a[order], b[order]
             at = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
-            a, b, n = a[at], b[at], np.diff(np.append(at, len(a))).astype(np.int64)
+            a, b, n = a[at], b[at], np.add.reduceat(weight[x][order], at) if len(at) else np.zeros(0, np.int64)
             keep = possible(a, b, known, bound, sketch)
             out.append((a[keep], b[keep], n[keep]))
             lo = hi
@@ -557,17 +644,17 @@ def cross_pairs(rows: DataFrame, marks: DataFrame, bands: Bands, blocks: int) ->
         return pa.table({"fa": a[at].view(np.int64), "fb": b[at].view(np.int64), "shared": n})
 
     there = rows.select("block", "fp").distinct().join(marks, "fp").select(F.col("block").alias("place"), F.col("fp").alias("node"), "size", "sketch")
-    found = there.groupBy("place").cogroup(rows.groupBy("block")).applyInArrow(pairs, X.binary_schema("a", "b", "c"))
-    return X.by_block(found, total, "fa long, fb long, shared long")
+    found = X.spread(there, blocks, "place").groupBy("place").cogroup(X.spread(rows, blocks).groupBy("block")).applyInArrow(pairs, X.binary_schema("a", "b", "c"))
+    return X.by_block(found, total, "fa long, fb long, shared long", blocks=blocks)
 
 
-def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, n: int, bands: Bands, bound: int) -> DataFrame:
+def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, n: int, bands: Bands, bound: int, named_by: Callable) -> DataFrame:
     """The pairs (a, b) whose whole sets link.  A group holds some pairs of one hub and their texts."""
     pairs = ws.write(f"{name}-pairs", pairs.select("fa", "fb", "a", "b"))
-    count = pairs.count()
-    groups = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), count // 2000)
-    part = F.pmod(F.xxhash64("fa"), F.lit(1 + count // PAIRS_EACH))  # spreads a hub of very many pairs
-    pairs = pairs.withColumn("grp", F.pmod(F.xxhash64("fb", part), F.lit(groups)))
+    groups = max(int(ws.spark.conf.get("spark.sql.shuffle.partitions")), pairs.count() // PAIRS_EACH)
+    ws.write(f"{name}-hubs", pairs.groupBy("fb").agg(F.count("*").alias("n")).filter(F.col("n") > PAIRS_EACH))  # a row for so many pairs
+    part = F.pmod(F.xxhash64("fa"), F.coalesce(1 + F.expr(f"n div {PAIRS_EACH}"), F.lit(1)))
+    pairs = X.attach(ws, pairs, f"{name}-hubs", "fb", "left", bound).withColumn("grp", F.pmod(F.xxhash64("fb", part), F.lit(groups))).select("fa", "fb", "a", "b", "grp")
     ends = pairs.select("grp", F.col("a").alias("doc_id")).union(pairs.select("grp", F.col("b").alias("doc_id")))
     ws.write(f"{name}-need", ends.groupBy("doc_id").agg(F.collect_set("grp").alias("grps")))
     texts = X.attach(ws, docs, f"{name}-need", bound=bound).select(F.explode("grps").alias("grp"), "text")
@@ -576,7 +663,7 @@ def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, n: int
         sets: dict[int, np.ndarray] = {}
         for _, _, buf, offs in T.chunks(left.column("text").combine_chunks() if left.num_rows else pa.array([], pa.string())):
             vals, at = shingle_sets(buf, offs, n)
-            fp, _ = fingerprints(vals, at)
+            fp, _ = named_by(vals, at)
             for i, f in enumerate(fp.view(np.int64).tolist()):
                 sets.setdefault(f, vals[at[i] : at[i + 1]])
         good = []

@@ -121,15 +121,45 @@ def jaccard_classes(rows, n, num, den):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-@pytest.mark.parametrize(("n", "num", "den", "bound"), [(4, 85, 100, exchange.BROADCAST_BYTES), (5, 80, 100, 0), (2, 50, 100, exchange.BROADCAST_BYTES)])
-def test_jaccard_join(n, num, den, bound, rows, docs):
-    got = jaccard_join.jaccard_join(docs, n, num, den, bound).collect()
+@pytest.mark.parametrize(("n", "num", "den", "bound", "bits"), [(4, 85, 100, exchange.BROADCAST_BYTES, 64), (5, 80, 100, 0, 64), (2, 50, 100, exchange.BROADCAST_BYTES, 5)])
+def test_jaccard_join(n, num, den, bound, bits, rows, docs):
+    """Also where so few bits name a set that many share a name, and all open buckets are crowds."""
+    got = jaccard_join.jaccard_join(docs, n, num, den, bound, crowd=1, name_bits=bits).collect()
     want = jaccard_classes(rows, n, num, den)
     assert len(got) == len(rows) + 2 and len({c for _, c in want.values()}) < len(want) - 5
     assert all(tuple(r)[1:] == want[r.doc_id] for r in got if r.doc_id is not None)
     assert all(r.component_id is None for r in got if r.doc_id is None)
 
 
+def test_jaccard_crowds(spark):
+    """Dissimilar texts that share much of one passage, some of them near copies: crowded buckets are divided and sliced."""
+    rng = random.Random(3)
+    shared = words(12, rng)
+    texts = [shared + words(rng.randint(3, 12), rng) for _ in range(300)]
+    texts += [[*t[:-1], "last"] for t in texts[:40]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    want = jaccard_classes(rows, 1, 70, 100)
+    assert len({c for _, c in want.values()}) < 330
+    for crowd in (2, 30, 2000):
+        got = jaccard_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 1, 70, 100, crowd=crowd).collect()
+        assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
+def test_divided_buckets_keep_links():
+    """Sets that differ in as many members as a link may meet under one group of their sketches' bits."""
+    rng = np.random.default_rng(8)
+    bands = jaccard_join.Bands(80, 100, 1000)
+    for n in (1, 2, 5, 17, 60, 200, 900):
+        a = textvec.mix(rng.integers(0, 2**60, n).astype(np.uint64))
+        b = a[int((bands.den - bands.num) * 2 * n / (bands.den + bands.num)) // 2 :]
+        if not bands.linked(len(a), len(b), len(b)):
+            continue
+        vals, at = np.concatenate([np.sort(a), np.sort(b)]), np.array([0, len(a), len(a) + len(b)])
+        marks, size = jaccard_join.sketches(vals, at), np.diff(at)
+        sig, of = jaccard_join.divided(np.full(2, 99, np.uint64), size, marks, bands)
+        assert set(sig[of == 0].tolist()) & set(sig[of == 1].tolist())
+
+
 def test_jaccard_empty(empty):
     assert jaccard_join.jaccard_join(empty).count() == 0
 
