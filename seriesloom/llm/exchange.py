@@ -156,7 +156,7 @@ def padded(batch: pa.RecordBatch, schema: pa.Schema) -> pa.RecordBatch:
 class Met:
     """How often a task has met a 64-bit signature, by hashed counters; tells those met over `local` times."""
 
-    def __init__(self, local: int, cells: int = 1 << 22):
+    def __init__(self, local: int, cells: int = 1 << 20):
         self.local, self.count, self.total = local, np.zeros(cells, np.uint32), 0
 
     def often(self, sig: np.ndarray) -> np.ndarray:

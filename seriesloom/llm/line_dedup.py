@@ -51,6 +51,8 @@ SEEN, FIRST, OPEN, FINER = 0, 1, 2, 3
 INDEX, PROBE, MARK, FINE = 1, 2, 4, 8
 #: lines of one segment that a task sends plainly, and lines of a bucket that are not dealt finer
 LOCAL, CROWD = 100, 2000
+#: bytes of text whose lines are cut at once
+CHUNK = 1 << 20
 #: comparisons of one slice of a bucket, and pairs that one group verifies, about
 WORK, PAIRS = 20_000_000, 5000
 
@@ -197,7 +199,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_by
         found = found.union(ws.read("finer", FOUND_SQL).select(*found.columns))
     ws.write("links1", verify(ws, docs, unique_pairs(found.filter(F.col("kind") == FIRST), blocks), "v1", edits, broadcast_bytes))
     settled = ws.read("links1").select(F.col("a").alias("node"), F.col("doc_a").alias("doc"), F.col("line_a").alias("line")).distinct()
-    rest = open_pairs(found.filter(F.col("kind") == OPEN), settled, edits, blocks, work)
+    rest = open_pairs(ws, found.filter(F.col("kind") == OPEN), settled, edits, blocks, work)
     ws.write("links2", verify(ws, docs, rest, "v2", edits, broadcast_bytes))
     near_lines = ws.read("links1").union(ws.read("links2"))
 
@@ -211,7 +213,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_by
     gone = near_lines.select("doc_a", "line_a", "a").distinct().mapInArrow(flagged, packed)
     seen = found.filter(F.col("kind") == SEEN).select("block", F.col("a").alias("doc"), F.col("b").alias("line"), F.col("c").alias("tag"))
     ws.write("gone", A.by_document(seen.union(gone), {"line": np.int32, "tag": np.uint32}, blocks))
-    ws.drop("found", "finer", "links1", "links2")
+    ws.drop("found", "finer", "open", "links1", "links2")
     return without_lines(ws, docs, broadcast_bytes)
 
 
@@ -228,7 +230,7 @@ def emitter(edits: int, shortest: int, blocks: int, local: int):
         met = X.Met(local)
         for batch in batches:
             for ids, texts in A.rows(batch):
-                for lo, _, buf, offs in T.chunks(T.valid(texts)):
+                for lo, _, buf, offs in T.chunks(T.valid(texts), CHUNK):
                     w = Lines(buf, offs)
                     at = np.flatnonzero(w.inked)
                     if not len(at):
@@ -389,7 +391,7 @@ def unique_pairs(found: DataFrame, blocks: int) -> DataFrame:
 SLICE = {"sig": np.int64, "role": np.uint8, "node": np.int64, "bag": np.int64, "doc": np.int64, "line": np.int32, "mine": bool}
 
 
-def open_pairs(found: DataFrame, settled: DataFrame, edits: int, blocks: int, work: int) -> DataFrame:
+def open_pairs(ws: X.Workspace, found: DataFrame, settled: DataFrame, edits: int, blocks: int, work: int) -> DataFrame:
     """All pairs of a bucket whose later line is not settled and whose counts allow a link."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -452,11 +454,12 @@ def open_pairs(found: DataFrame, settled: DataFrame, edits: int, blocks: int, wo
         block, cols = compared(c, np.flatnonzero(c["mine"]), np.repeat(cut, size))
         return pa.Table.from_batches([X.padded(X.pack(block, cols), X.block_schema(*"abcdef"))])
 
-    both = X.by_block(flat, pairs, X.binary_schema(*names), key="place", blocks=blocks).withColumn("sliced", F.col("sig").isNotNull())
+    both = ws.write("open", X.by_block(flat, pairs, X.binary_schema(*names), key="place", blocks=blocks))
     packed = ["block", *"abcdef"]
-    done = both.filter("NOT sliced").select(*packed)
-    rest = X.by_block(both.filter("sliced").select("block", *SLICE), slices, X.binary_schema(*"abcdef"), blocks=blocks)
-    return unique_pairs(done.union(rest.select(*packed)), blocks)
+    done = both.filter("sig IS NULL").select(*packed)
+    if not (sliced := both.filter("sig IS NOT NULL").select("block", *SLICE)).isEmpty():
+        done = done.union(X.by_block(sliced, slices, X.binary_schema(*"abcdef"), blocks=blocks).select(*packed))
+    return unique_pairs(done, blocks)
 
 
 def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, edits: int, bound: int) -> DataFrame:
@@ -512,7 +515,7 @@ def without_lines(ws: X.Workspace, docs: DataFrame, bound: int) -> DataFrame:
         for batch in batches:
             line, row = A.listed(batch.column(2), np.int32)
             tag, _ = A.listed(batch.column(3), np.uint32)
-            for lo, hi, buf, offs in T.chunks(T.valid(batch.column(1))):
+            for lo, hi, buf, offs in T.chunks(T.valid(batch.column(1)), CHUNK):
                 i, j = np.searchsorted(row, [lo, hi])
                 breaks = np.searchsorted(np.flatnonzero(buf == 10), offs)
                 count = np.diff(breaks) + 1

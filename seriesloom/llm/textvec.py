@@ -95,7 +95,7 @@ def flatten(arr: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 def valid(arr: pa.Array) -> pa.Array:
     """A binary column's texts with bytes that are not UTF-8 replaced."""
     try:
-        arr.cast(pa.large_string()).validate(full=True)
+        arr.cast(pa.large_string())
     except pa.ArrowInvalid:
         return pa.array([None if x is None else x.decode("utf-8", "replace").encode() for x in arr.to_pylist()], pa.large_binary())
     return arr
