@@ -147,12 +147,14 @@ def picked(buf: np.ndarray, offs: np.ndarray, which: np.ndarray) -> tuple[np.nda
     return buf[np.repeat(which, size)], np.concatenate([[0], np.cumsum(size[which])])
 
 
-def own_split(spec: dict) -> bool:
-    """Whether a tokenizer file asks for exactly the split made here."""
-    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+def own_split(tokenizer) -> bool:
+    """Whether a tokenizer asks for exactly the split made here."""
+    from tokenizers import models
+
+    pre = json.loads(tokenizer.pre_tokenizer.__getstate__()) if tokenizer.pre_tokenizer else {}
     plain = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space", True) and pre.get("use_regex", True)
-    rest = not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
-    return plain and rest and model.get("type") == "BPE" and not model.get("dropout")
+    rest = tokenizer.normalizer is None and tokenizer.truncation is None and tokenizer.padding is None
+    return bool(plain and rest and isinstance(tokenizer.model, models.BPE) and not tokenizer.model.dropout)
 
 
 class Encoder:
@@ -162,8 +164,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        with open(path, encoding="utf-8") as f:
-            self.fast = own_split(json.load(f))
+        self.fast = own_split(self.tokenizer)
         self.model = self.tokenizer.model
         self.letters = "".join(byte_letters())
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]

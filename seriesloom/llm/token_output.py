@@ -3,8 +3,8 @@
 Documents are dealt by ranges of (doc_id, hash of the text) and sorted, so files
 follow each other in ascending order and rows that share a doc_id can be spread.
 A task tokenizes its range and closes a segment of whole documents when it holds
-`segment` ids; segments are kept plainly until all are counted.  The counts of
-all tasks make one frequency table for the corpus (a row for each id that
+`segment` ids; segments are kept plainly until all are counted, in one file for
+each task, which later tasks read a segment at a time.  The counts of all tasks make one frequency table for the corpus (a row for each id that
 occurs, so the vocabulary bounds it), and the parts' totals give each segment's
 place in the whole: sums of runs of parts first, then inside each run.  A second
 pass codes every segment under that table (see `rans`).
@@ -27,6 +27,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -36,7 +38,7 @@ from . import pieces, rans
 from . import textvec as T
 
 #: ids in a segment, at least
-SEGMENT = 1 << 21
+SEGMENT = 1 << 18
 #: parts in a run of parts, whose places are summed apart
 RUN = 1024
 PLAIN = "part int, seg int, n_ids long, docs binary, known binary, sizes binary, ids binary"
@@ -48,30 +50,37 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
     spark = docs.sparkSession
     ws = X.Workspace(spark, "ids")
     plain = ws.write("plain", tokenized(docs, tokenizer, end_id, segment))
-    table = plain.select("ids").mapInArrow(counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-    table = ws.write("counts", table)
-    table.coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
+    files = ws.write("files", plain.groupBy(F.input_file_name().alias("file")).agg(F.min("part").alias("part"), F.sum("n_ids").alias("n")))
+    tasks = max(1, files.count())  # one file each
+    ws.write("counts", files.select("file").repartition(tasks).mapInArrow(counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")))
+    ws.read("counts").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
     freq = read_table(spark, path)
+    names, kinds = [c.split()[0] for c in FILES.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            coded = [rans.encode(np.frombuffer(x, "<u4"), freq) for x in batch.column("ids").to_pylist()]
-            yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(coded, pa.binary()))
+            for file, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for row in segments(file):
+                    row |= {"first": first, "ids": rans.encode(np.frombuffer(row["ids"], "<u4"), freq)}
+                    yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in zip(names, kinds, strict=True)], names)
+                    first += row["n_ids"]
 
-    totals = ws.write("totals", plain.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("run", F.expr(f"part div {RUN}")))
-    runs = totals.groupBy("run").agg(F.sum("n").alias("n"))
+    runs = files.groupBy(F.expr(f"part div {RUN}").alias("run")).agg(F.sum("n").alias("n"))
     runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("base"))  # a row for RUN parts
-    inner = F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n")
-    ws.write("places", totals.withColumn("own", inner).join(runs, "run").select("part", (F.col("base") + F.col("own")).alias("before")))
-    placed = X.attach(ws, plain, "places", "part")
-    earlier = F.coalesce(F.sum("n_ids").over(Window.partitionBy("part").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ws.write("firsts", plain.select("part", "seg", "n_ids").withColumn("earlier", earlier).select("part", "seg", "earlier"))
-    placed = X.attach(ws, placed, "firsts", ["part", "seg"]).withColumn("first", F.col("before") + F.col("earlier"))
-    out = placed.select(*(c.split()[0] for c in FILES.split(", "))).mapInArrow(run, FILES)
-    out.write.mode("overwrite").option("compression", "none").parquet(f"{path}/segments")
+    own = F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n")
+    placed = files.withColumn("run", F.expr(f"part div {RUN}")).withColumn("own", own).join(runs, "run").select("file", (F.col("base") + F.col("own")).alias("first"))
+    placed.repartition(tasks).mapInArrow(code, FILES).write.mode("overwrite").option("compression", "none").parquet(f"{path}/segments")
     ws.close()
 
 
+def segments(uri: str) -> Iterator[dict]:
+    """The segments of one task's file in order, one in memory at a time."""
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_input_file(path) as f:
+        for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
+            yield from batch.to_pylist()
+
+
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> DataFrame:
     """Segments in order, with their ids as they are."""
     X.on_workers(docs.sparkSession)
@@ -107,18 +116,19 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> Dat
             yield close()
 
     order = ["doc_id", F.xxhash64("text")]
-    ordered = X.ensure_text(docs).repartitionByRange(X.blocks_for(docs, 4 * X.BLOCK_BYTES), *order).sortWithinPartitions(*order)
+    ordered = X.ensure_text(docs).repartitionByRange(X.blocks_for(docs, 2 * X.BLOCK_BYTES), *order).sortWithinPartitions(*order)
     return ordered.mapInArrow(run, PLAIN)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each id that occurs in the task's segments."""
+    """One row for each id that occurs in the task's files."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for raw in batch.column(0).to_pylist():
-            n = np.bincount(np.frombuffer(raw, "<u4"))
-            total = np.pad(total, (0, max(0, len(n) - len(total))))
-            total[: len(n)] += n
+        for file in batch.column(0).to_pylist():
+            for row in segments(file):
+                n = np.bincount(np.frombuffer(row["ids"], "<u4"))
+                total = np.pad(total, (0, max(0, len(n) - len(total))))
+                total[: len(n)] += n
     there = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["symbol", "n"])
 
@@ -140,7 +150,8 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
+            for k in range(batch.num_rows):
+                r = batch.slice(k, 1).to_pylist()[0]
                 ids = rans.decode(r["ids"], freq)
                 sizes, known = np.frombuffer(r["sizes"], np.int64), np.frombuffer(r["known"], bool)
                 end = np.cumsum(sizes)

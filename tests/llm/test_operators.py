@@ -265,10 +265,9 @@ def test_rans():
         rans.encode(np.array([50_258], np.uint32), table)
 
 
-@pytest.mark.parametrize("bound", [exchange.BROADCAST_BYTES, 0])
-def test_token_output(bound, rows, docs, empty, spark, monkeypatch):
-    monkeypatch.setattr(exchange.attach, "__defaults__", ("doc_id", "inner", bound))
-    monkeypatch.setattr(token_output, "RUN", 2)
+@pytest.mark.parametrize("run", [1024, 2])
+def test_token_output(run, rows, docs, empty, spark, monkeypatch):
+    monkeypatch.setattr(token_output, "RUN", run)
     tok = Tokenizer.from_file(queries.default_tokenizer())
     at, want = 0, []
     for r in docs.select("doc_id", "text", F.xxhash64("text").alias("h")).orderBy("doc_id", "h").collect():
