@@ -2,6 +2,13 @@
 
 language id -> n-gram Jaccard join -> benchmark decontamination -> mixing ->
 token ids.  All stages but the last return the columns of documents.
+
+A stage carries the whole row beside the operator's columns, as one struct, so
+no name of a column can clash, and a decision falls on the row that it was made
+for.  Rows that repeat a doc_id, or have none, are documents of their own in
+every stage: `numbered` gives them numbers in the order of doc_id (nulls last)
+where doc_id does not tell rows apart.  Each stage takes null, empty and very
+long texts as its operator does, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -15,46 +22,63 @@ from seriesloom.llm import decontaminate, exchange, jaccard_join, language_id, m
 LEAST_SHARE = 0.4
 
 
-def kept(docs: DataFrame, name: str, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids; rows without a doc_id go."""
-    ws = exchange.Workspace(docs.sparkSession, name)
-    ws.write("kept", ids.distinct())
-    return exchange.attach(ws, docs, "kept", how="leftsemi")
+def numbered(docs: DataFrame, ws: exchange.Workspace) -> DataFrame:
+    """doc_id (unique, not null), text, lang, source and row, the whole row as it was."""
+    cols = ["text", "lang", "source", "row"]
+    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    own = own.select("row", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "lang", "source")))
+    n, known, ids = own.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    if n == known == ids:
+        return own.select("doc_id", *cols)
+    order = own.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
+    return ws.write("numbered", order.select(F.monotonically_increasing_id().alias("doc_id"), *cols))
+
+
+def kept(ws: exchange.Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of numbered docs whose number is in ids."""
+    ws.write("kept", ids)
+    return exchange.attach(ws, docs, "kept", how="leftsemi").select("row.*")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a language, or whose likeliest has a share under LEAST_SHARE, go; a missing lang is filled in.
 
-    A text in two languages has one with about half, and stays.
+    A text in two languages has one with about half, and stays.  A null or empty
+    text has none, and goes; equal rows get equal decisions.
     """
-    found = language_id.identify(docs, language_id.train(docs)).filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
-    ws = exchange.Workspace(spark, "language")
-    ws.write("found", found.groupBy("doc_id").agg(F.min("lang_pred").alias("lang_pred")))
-    both = exchange.attach(ws, docs, "found")
-    return both.select(*(F.coalesce("lang", "lang_pred").alias("lang") if c == "lang" else c for c in docs.columns))
+    rows = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    found = language_id.identify(rows, language_id.train(docs), carry="row").filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
+    return found.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of five-word shingle sets at similarity 0.8 stays: its smallest doc_id."""
-    groups = jaccard_join.jaccard_join(docs, n=5, num=80, den=100)
-    return kept(docs, "near", groups.filter("doc_id = component_id").select("doc_id"))
+    """One row of each class of five-word shingle sets at similarity 0.8 stays: its smallest doc_id's.
+
+    Rows given twice are a class; a text without words links with nothing, and stays.
+    """
+    ws = exchange.Workspace(spark, "near")
+    rows = numbered(docs, ws)
+    groups = jaccard_join.jaccard_join(rows, n=5, num=80, den=100)
+    return kept(ws, rows, groups.filter("doc_id = component_id").select("doc_id"))
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark passage go."""
+    """Rows that hold a benchmark passage go; null and empty texts hold none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.decontaminate(docs, items, window=10)
-    return kept(docs, "clean", found.filter(F.size("starts") == 0).select("doc_id"))
+    rows = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return decontaminate.decontaminate(rows, items, window=10, carry="row").filter(F.size("starts") == 0).select("row.*")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents outside the weighted mix of 0.8 of the tokens go."""
-    mix = mixing.mix(docs, mixing.tree(), mixing.DOMAIN_WEIGHTS, share=0.8, epochs=1, seed=7)
-    return kept(docs, "mix", mix.filter("copies > 0").select("doc_id"))
+    """Rows outside the weighted mix of 0.8 of the tokens go; a null source or lang is a branch of its own."""
+    ws = exchange.Workspace(spark, "mix")
+    rows = numbered(docs, ws)
+    mix = mixing.mix(rows, mixing.tree(), mixing.DOMAIN_WEIGHTS, share=0.8, epochs=1, seed=7)
+    return kept(ws, rows, mix.filter("copies > 0").select("doc_id"))
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's place, length and checksum in the written id files."""
+    """Each row's place, length and checksum in the written id files; a null text has its end id alone."""
     return token_output.token_table(docs, queries.default_tokenizer())
 
 
@@ -63,9 +87,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if stage is not token_ids:
-            docs = exchange.Workspace(spark, "stage").write(name.replace(" ", "-"), docs)
+            ws = exchange.Workspace(spark, "stage")
+            docs = ws.write(name.replace(" ", "-"), docs)
+            if last:
+                last.close()
+            last = ws
     return docs
