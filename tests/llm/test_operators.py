@@ -616,11 +616,57 @@ def test_pipeline_rows(spark, sf):
         return not any(tuple(w[k : k + n]) in windows for n in sizes for k in range(len(w) - n + 1))
 
     docs = {i: r for i, r in docs.items() if clean(r.text)}
-    left = spark.createDataFrame([tuple(r) for r in docs.values()], table.schema).withColumn("lang", F.coalesce("lang", F.element_at(F.create_map(*[F.lit(x) for i in docs for x in (i, found[i].lang_pred)]), F.col("doc_id"))))
-    mix = {r.doc_id for r in mixing.mix(left, mixing.tree(), mixing.DOMAIN_WEIGHTS, share=0.8, epochs=1, seed=7).collect() if r.copies > 0}
+    leaves, tokens = defaultdict(list), defaultdict(int)
+    for i, r in docs.items():
+        domain = "crawl" if r.source == "src0" else "web" if re.fullmatch("src[1-9]", r.source or "") else "curated"
+        leaf = (domain, r.lang or found[i].lang_pred, r.source or "unknown")
+        leaves[leaf].append(i)
+        tokens[leaf] += len(WORD.findall(r.text or ""))
+    each, mix = plain_budgets(dict(tokens), mixing.DOMAIN_WEIGHTS, 8 * sum(tokens.values()) // 10, 1), set()
+    for leaf, ids in leaves.items():
+        whole, rest, run = *(divmod(each[leaf], tokens[leaf]) if tokens[leaf] else (0, 0)), 0
+        for i in sorted(ids, key=lambda i: hashlib.md5(f"7:{whole}:{i}".encode()).hexdigest()):
+            run += len(WORD.findall(docs[i].text or ""))
+            if whole or (rest and run <= rest):
+                mix.add(i)
     tok, at, want = Tokenizer.from_file(queries.default_tokenizer()), 0, []
     for i in sorted(mix):
         ids = np.array([*tok.encode(docs[i].text or "", add_special_tokens=False).ids, 0], "<u4")
         want.append((i, at, len(ids), zlib.crc32(ids.tobytes())))
         at += len(ids)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == want and len(want) > 20
+
+
+def test_pipeline_edges(spark, sf):
+    """Nulls in every column, repeated rows and doc_ids, empty and long texts, clashing names, an empty table: stage by stage."""
+    import corpus_pipeline
+
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    some = table.filter("lang IS NOT NULL").orderBy("doc_id").limit(60).collect()
+    clash = ["lang_pred", "score", "row", "component_id", "n_shingles", "starts", "items", "copies", "level_0", "key", "t", "domain", "n_tokens", "held_out"]
+    schema = ", ".join(["doc_id long, text string, lang string, source string, n_chars long", *(f"`{c}` string" for c in clash)])
+    plain = [tuple(r) for r in some]
+    odd = [(None, plain[0][1], "en", None, None), (None, None, None, None, None), (900, "", "en", "src1", 0), (901, None, None, "src0", 0), (901, plain[1][1] + " " + plain[2][1], None, "src0", 0), (902, plain[3][1] * 200, "en", "src2", 0)]
+    rows = [(*r, *("x" for _ in clash)) for r in plain * 2 + odd + odd[-1:]]
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    names = docs.columns
+    stages = dict(corpus_pipeline.STAGES)
+    left = stages["language id"](spark, docs, sf)
+    assert left.columns == names and left.filter("text IS NULL OR text = ''").isEmpty() and left.filter("lang IS NULL").isEmpty()
+    assert left.filter("doc_id = 901").count() == 1 and left.filter("doc_id IS NULL").count() == 1
+    near = stages["near duplicates"](spark, docs, sf)
+    got = [(r.doc_id, r.text) for r in near.collect()]
+    assert near.columns == names and len(got) == len(set(got)) < len(rows) - 60
+    texts = [(k, r[1]) for k, r in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)))]
+    assert len(got) == len({c for _, c in jaccard_classes(texts, 5, 80, 100).values()})
+    items = {w for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect() for f in [folded(r.text)] for k in range(max(1, len(f) - 9)) for w in [tuple(f[k : k + 10])] if f}
+    clean = stages["decontamination"](spark, docs, sf)
+    holds = lambda t: any(tuple(w[k : k + n]) in items for w in [folded(t)] for n in {len(x) for x in items} for k in range(len(w) - n + 1))
+    assert clean.columns == names and clean.count() == sum(not holds(r[1]) for r in rows)
+    mixed = stages["mixing"](spark, docs, sf)
+    assert mixed.columns == names and 0 < mixed.count() <= len(rows)
+    total = lambda d: sum(len(WORD.findall(r.text or "")) for r in d.select(docs.columns[1]).collect())
+    assert total(mixed) <= 0.8 * total(docs)
+    assert stages["token ids"](spark, docs, sf).count() == len(rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
