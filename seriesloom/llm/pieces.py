@@ -166,14 +166,22 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.fast = own_split(self.tokenizer)
         self.model = self.tokenizer.model
-        self.letters = "".join(byte_letters())
+        self.table = dict(enumerate(byte_letters()))
         self.marks = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
         self.key, self.check = np.zeros(0, U), np.zeros(0, U)
         self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.flat, self.used = np.zeros(0, np.uint32), np.zeros(0, bool)
+
+    def shrink(self) -> None:
+        """Drop the pieces that were not met again since they came, or since the last time."""
+        keep = self.used
+        self.key, self.check, size = self.key[keep], self.check[keep], self.size[keep]
+        end = np.cumsum(size)
+        self.flat = self.flat[np.repeat(self.start[keep] - (end - size), size) + np.arange(int(size.sum()))]
+        self.start, self.size, self.used = end - size, size, np.zeros(len(size), bool)
 
     def known(self, key: np.ndarray, check: np.ndarray) -> np.ndarray:
         if not len(self.key):
@@ -183,7 +191,7 @@ class Encoder:
 
     def learn(self, key: np.ndarray, check: np.ndarray, raw: bytes, lo: np.ndarray, hi: np.ndarray) -> None:
         """Encode new pieces (ascending keys) and merge them in, whatever their number."""
-        table = {i: c for i, c in enumerate(self.letters)}
+        table = self.table
         ids = [[t.id for t in self.model.tokenize(raw[i:j].decode("latin-1").translate(table))] for i, j in zip(lo.tolist(), hi.tolist(), strict=True)]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         start = len(self.flat) + np.cumsum(size) - size
@@ -191,6 +199,7 @@ class Encoder:
         at = np.searchsorted(self.key, key)
         self.key, self.check = np.insert(self.key, at, key), np.insert(self.check, at, check)
         self.start, self.size = np.insert(self.start, at, start), np.insert(self.size, at, size)
+        self.used = np.insert(self.used, at, np.zeros(len(at), bool))
 
     def encode(self, buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids end to end, ids of each text)."""
@@ -250,17 +259,28 @@ class Encoder:
         lo = cuts(buf, offs, cls, lead)
         hi = np.append(lo[1:], len(buf))
         one, two = (T.span_hashes(buf, hi - lo, T.BYTE_VALUES[k], T.WORD_BASES[k]) for k in (0, 1))
-        key, first, piece = np.unique(one, return_index=True, return_inverse=True)
+        order = np.argsort(one)
+        new = np.ones(len(order), bool)
+        new[1:] = one[order][1:] != one[order][:-1]
+        first, piece = order[new], np.empty(len(order), np.int64)
+        piece[order] = np.cumsum(new) - 1
+        key = one[first]
         if np.any(two[first][piece] != two):  # two pieces share a hash: too rare to need speed
             return self.library(buf, offs)
         at = self.known(key, two[first])
         if (new := at < 0).any():
-            if len(self.key) + int(new.sum()) > KEPT:  # the cache begins anew, with all of this chunk in it
-                self.clear()
-                new[:] = True
+            if len(self.key) + int(new.sum()) > KEPT:
+                self.used[at[~new]] = True
+                self.shrink()  # what this chunk needs stays
+                if len(self.key) + int(new.sum()) > KEPT:  # the cache begins anew, with all of this chunk in it
+                    self.clear()
+                    new[:] = True
             self.learn(key[new], two[first][new], buf.tobytes(), lo[first[new]], hi[first[new]])
             at = self.known(key, two[first])
             assert at.min() >= 0, "a piece of this chunk is not in the cache"
+            self.used[at[~new]] = True
+        else:
+            self.used[at] = True
         size = self.size[at][piece]
         end = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[at][piece] - (end - size), size) + np.arange(end[-1])]

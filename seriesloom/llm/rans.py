@@ -91,21 +91,24 @@ def _coded(ids: np.ndarray, table: Table) -> bytes:
         raise ValueError("an id is not in the table")
     whole[:n] = at
     whole = whole.reshape(blocks, rounds, LANES)
+    order = whole.transpose(1, 0, 2)
     f_of, c_of = table.freq.astype(U), np.concatenate([[0], np.cumsum(table.freq[:-1])]).astype(U)
+    f, c = f_of[order], c_of[order]
+    most, gap = f << U(63 - bits), U(1 << bits) - f
     x = np.full((blocks, LANES), LOW)
     emitted, words = np.zeros((rounds, blocks, LANES), bool), np.zeros((rounds, blocks, LANES), np.uint32)
     states = np.zeros((blocks, marks, LANES), U)
     spare = n - (blocks - 1) * rounds * LANES  # ids of the last block
     for r in range(rounds - 1, -1, -1):
-        f, c = f_of[whole[:, r]], c_of[whole[:, r]]
-        full = x >= (f << U(63 - bits))
+        full = np.greater_equal(x, most[r], out=emitted[r])
         dead = max(0, min(LANES, spare - r * LANES))
         full[-1, dead:] = False
-        emitted[r], words[r] = full, x.astype(np.uint32)
-        y = np.where(full, x >> U(32), x)
-        q = y // f
-        y = (q << U(bits)) + (y - q * f) + c
-        y[-1, dead:] = x[-1, dead:]
+        np.copyto(words[r], x, casting="unsafe")
+        y = x >> (full.astype(U) << U(5))
+        y += (y // f[r]) * gap[r]
+        y += c[r]
+        if dead < LANES:
+            y[-1, dead:] = x[-1, dead:]
         x = y
         if r % STEP == 0:
             states[:, r // STEP] = x

@@ -41,7 +41,7 @@ from . import textvec as T
 SEGMENT = 1 << 18
 #: parts in a run of parts, whose places are summed apart
 RUN = 1024
-PLAIN = "part int, seg int, n_ids long, docs binary, known binary, sizes binary, ids binary"
+PLAIN = "part int, seg int, n_ids long, docs binary, known binary, sizes binary, ids binary, counts binary"
 FILES = "part int, seg int, first long, n_ids long, docs binary, known binary, sizes binary, ids binary"
 
 
@@ -52,7 +52,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
     plain = ws.write("plain", tokenized(docs, tokenizer, end_id, segment))
     files = ws.write("files", plain.groupBy(F.input_file_name().alias("file")).agg(F.min("part").alias("part"), F.sum("n_ids").alias("n")))
     tasks = max(1, files.count())  # one file each
-    ws.write("counts", files.select("file").repartition(tasks).mapInArrow(counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")))
+    ws.write("counts", plain.filter("counts IS NOT NULL").select("counts").mapInArrow(counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")))
     ws.read("counts").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
     freq = read_table(spark, path)
     names, kinds = [c.split()[0] for c in FILES.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
@@ -61,7 +61,8 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
         for batch in batches:
             for file, first in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for row in segments(file):
-                    row |= {"first": first, "ids": rans.encode(np.frombuffer(row["ids"], "<u4"), freq)}
+                    ids = np.frombuffer(row["ids"], f"<u{len(row['ids']) // row['n_ids']}" if row["n_ids"] else "<u4").astype(np.uint32)
+                    row |= {"first": first, "ids": rans.encode(ids, freq)}
                     yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in zip(names, kinds, strict=True)], names)
                     first += row["n_ids"]
 
@@ -77,7 +78,7 @@ def segments(uri: str) -> Iterator[dict]:
     """The segments of one task's file in order, one in memory at a time."""
     fs, path = pafs.FileSystem.from_uri(uri)
     with fs.open_input_file(path) as f:
-        for batch in pq.ParquetFile(f).iter_batches(batch_size=1):
+        for batch in pq.ParquetFile(f).iter_batches(batch_size=1, columns=[c.split()[0] for c in PLAIN.split(", ")][:-1]):
             yield from batch.to_pylist()
 
 
@@ -85,19 +86,24 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> Dat
     """Segments in order, with their ids as they are."""
     X.on_workers(docs.sparkSession)
     names = [c.split()[0] for c in PLAIN.split(", ")]
-    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 4]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         X.cpu_threads()
         enc = pieces.encoder(tokenizer)
         part, seg = TaskContext.get().partitionId(), 0
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def close() -> pa.RecordBatch:
-            nonlocal seg, size
-            docs_, known, sizes, ids = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = [part, seg, len(ids), docs_.tobytes(), known.tobytes(), sizes.tobytes(), ids.astype("<u4").tobytes()]
+        size, total = 0, np.zeros(0, np.int64)
+
+        def close(last: bool) -> pa.RecordBatch:
+            """A segment's row; the task's last one has the counts of all its ids."""
+            nonlocal seg, size, total
+            docs_, known, sizes, ids = (np.concatenate(x) if held else np.zeros(0, np.uint32) for x in (zip(*held, strict=True) if held else [()] * 4))
+            n = np.bincount(ids)
+            total = np.pad(total, (0, max(0, len(n) - len(total))))
+            total[: len(n)] += n
+            narrow = ids.astype("<u4" if len(total) > 1 << 16 else "<u2")
+            row = [part, seg, len(ids), docs_.tobytes(), known.tobytes(), sizes.tobytes(), narrow.tobytes(), total.astype("<i8").tobytes() if last else None]
             seg, size = seg + 1, 0
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names)
@@ -111,9 +117,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> Dat
                 held.append((ids_[lo:hi], known[lo:hi], count + 1, ids))
                 size += len(ids)
                 if size >= segment:
-                    yield close()
-        if held:
-            yield close()
+                    yield close(False)
+        if held or seg:
+            yield close(True)
 
     order = ["doc_id", F.xxhash64("text")]
     ordered = X.ensure_text(docs).repartitionByRange(X.blocks_for(docs, 2 * X.BLOCK_BYTES), *order).sortWithinPartitions(*order)
@@ -121,14 +127,13 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> Dat
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each id that occurs in the task's files."""
+    """One row for each id that occurs in some tasks' counts."""
     total = np.zeros(0, np.int64)
     for batch in batches:
-        for file in batch.column(0).to_pylist():
-            for row in segments(file):
-                n = np.bincount(np.frombuffer(row["ids"], "<u4"))
-                total = np.pad(total, (0, max(0, len(n) - len(total))))
-                total[: len(n)] += n
+        for raw in batch.column(0).to_pylist():
+            n = np.frombuffer(raw, "<i8")
+            total = np.pad(total, (0, max(0, len(n) - len(total))))
+            total[: len(n)] += n
     there = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], ["symbol", "n"])
 
