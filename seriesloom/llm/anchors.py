@@ -154,6 +154,12 @@ def earliest(doc: np.ndarray, key: np.ndarray, check: np.ndarray | None = None)
     return out
 
 
+def twice(doc: np.ndarray, key: np.ndarray, check: np.ndarray, later: bool) -> np.ndarray:
+    """Which rows have the key (and check) of a row of a smaller doc, or of any other doc."""
+    first = earliest(doc, key, check)
+    return doc > first if later else (doc > first) | (-doc > earliest(-doc, key, check))
+
+
 def spans(doc: np.ndarray, start: np.ndarray, tag: np.ndarray, window: int) -> dict[str, np.ndarray]:
     """Windows as spans, those that follow each other by one word joined."""
     head = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + 1) | (tag[1:] != tag[:-1])])) if len(doc) else np.zeros(0, np.int64)
@@ -161,24 +167,27 @@ def spans(doc: np.ndarray, start: np.ndarray, tag: np.ndarray, window: int) -> d
     return {"doc": doc[head], "start": start[head].astype(np.int32), "end": (start[head] + size - 1 + window).astype(np.int32), "tag": tag[head]}
 
 
-def deal_windows(w: T.Words, first: np.ndarray, ids: np.ndarray, own: np.ndarray, window: int, blocks: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Windows (by ascending first word; two hash lanes) to blocks of their own hash, less those that an earlier text of w settles."""
+def deal_windows(w: T.Words, first: np.ndarray, ids: np.ndarray, own: np.ndarray, window: int, blocks: int, schema: pa.Schema, last: bool = True) -> Iterator[pa.RecordBatch]:
+    """Windows (by ascending first word; two hash lanes) to blocks of their own hash, less those that an earlier text of w settles.
+
+    If also the earliest of a window's places counts (not last), that of a settled window settles with it, and goes on too.
+    """
     if not len(first):
         return
     whole, check = T.grams(w.hashes[0], window)[first], (T.grams(w.hashes[1], window, 1)[first] >> U(32)).astype(np.uint32)
     of = np.searchsorted(w.offs, first, "right") - 1
     doc, start, tag = ids[of], (first - w.offs[of]).astype(np.int32), own[of]
-    later = doc > earliest(doc, whole, check)
+    later, settled = doc > earliest(doc, whole, check), twice(doc, whole, check, last)
     go = ~later
     yield X.padded(X.pack((whole[go] >> U(32)) % U(blocks), dict(zip(WINDOWS, (whole[go], check[go], doc[go], start[go], tag[go]), strict=True))), schema)
-    out = spans(doc[later], start[later], tag[later], window)
+    out = spans(doc[settled], start[settled], tag[settled], window)
     yield X.padded(X.pack(doc_block(out["doc"], blocks), dict(zip(SETTLED, out.values(), strict=True))), schema)
 
 
-def judge_windows(table: pa.Table, window: int) -> dict[str, np.ndarray]:
-    """Spans of the dealt windows whose sequence also stands in an earlier document, and the settled ones."""
+def judge_windows(table: pa.Table, window: int, last: bool = True) -> dict[str, np.ndarray]:
+    """Spans of the dealt windows whose sequence also stands in an earlier (or any other) document, and the settled ones."""
     c, s = X.unpack(table, WINDOWS), X.unpack(table, SETTLED)
-    later = c["doc_h"] > earliest(c["doc_h"], c["whole_h"], c["check_h"])
+    later = twice(c["doc_h"], c["whole_h"], c["check_h"], last)
     out = spans(c["doc_h"][later], c["start_h"][later], c["tag_h"][later], window)
     return {k: np.concatenate([v, s[f"{k}_s"]]) for k, v in out.items()}
 
@@ -187,14 +196,16 @@ def doc_block(doc: np.ndarray, blocks: int) -> np.ndarray:
     return T.mix(doc.astype(U)) % U(blocks)
 
 
-def by_document(packed: DataFrame, kinds: dict[str, type], blocks: int) -> DataFrame:
-    """Packed rows regrouped to one row of arrays for each document, ordered by the first column."""
+def by_document(packed: DataFrame, kinds: dict[str, type], blocks: int, joined: int = 0) -> DataFrame:
+    """Packed rows regrouped to one row of arrays for each document, ordered by the first column; joined: runs of windows of so many words that follow each other become one."""
     names = list(kinds)
 
     def gather(table: pa.Table) -> pa.Table:
         c = X.unpack(table, {"doc": np.int64, **kinds})
         order = np.lexsort((c[names[0]], c["doc"]))
         c = {k: v[order] for k, v in c.items()}
+        if joined:
+            c = united(c, joined)
         cut, size = X.runs(c["doc"])
         cols = [pa.array(c["doc"][cut], pa.int64())]
         cols += [pa.array([c[k][i : i + n].tobytes() for i, n in zip(cut, size, strict=True)], pa.binary()) for k in names]
@@ -203,6 +214,24 @@ def by_document(packed: DataFrame, kinds: dict[str, type], blocks: int) -> DataF
     return X.by_block(packed, gather, ", ".join(["doc_id long", *(f"{k} binary" for k in names)]), blocks=blocks)
 
 
+def united(c: dict[str, np.ndarray], window: int) -> dict[str, np.ndarray]:
+    """Runs of windows that lie in one text with no window missing between them, as one span."""
+    order = np.lexsort((c["start"], c["tag"], c["doc"]))
+    c = {k: v[order] for k, v in c.items()}
+    if not len(order):
+        return c
+    new = np.ones(len(order), bool)
+    new[1:] = (c["doc"][1:] != c["doc"][:-1]) | (c["tag"][1:] != c["tag"][:-1])
+    base = (np.cumsum(new) - 1) * (int(c["end"].max()) + 1)
+    reach = np.maximum.accumulate(c["end"] + base)
+    new[1:] |= (c["start"] + base)[1:] + window - 1 > reach[:-1]
+    at = np.flatnonzero(new)
+    out = {k: v[at] for k, v in c.items()}
+    out["end"] = np.maximum.reduceat(c["end"], at).astype(np.int32)
+    order = np.lexsort((out["start"], out["doc"]))
+    return {k: v[order] for k, v in out.items()}
+
+
 def listed(col: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
     """A binary column's arrays end to end, and the row of each value."""
     buf, offs = T.flatten(col)

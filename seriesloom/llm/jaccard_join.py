@@ -59,7 +59,7 @@ U = np.uint64
 #: chance that a shingle of one text also stands in an unrelated one, for the cost of a bucket
 COMMON = 0.02
 #: pairs that one group verifies, about
-PAIRS_EACH = 2000
+PAIRS_EACH = 500
 #: nodes of an open bucket that are compared as they are, and groups of sketch bits that a bucket is divided by, at most
 CROWD, GROUPS = 2000, 64
 #: what a pair of a divided bucket counts for: as many shared segments as any link needs

@@ -18,7 +18,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=50))
+    return substring_dedup.digest(substring_dedup.substring_dedup(table(spark, sf_dir, "documents"), window=50, first=12))
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

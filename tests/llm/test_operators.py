@@ -85,6 +85,15 @@ def test_repeated_passages(op, bound, hot, rows, docs, empty):
     assert op[0](empty).count() == 0
 
 
+@pytest.mark.parametrize(("window", "first", "bound", "hot"), [(50, 12, exchange.BROADCAST_BYTES, None), (50, 3, 0, 3), (41, 5, 0, None), (200, 12, exchange.BROADCAST_BYTES, None)])
+def test_levels(window, first, bound, hot, rows, docs):
+    """Many levels, also odd lengths and windows that none survives, give the rows of brute force."""
+    assert len(substring_dedup.lengths(window, first)) > 1
+    got = substring_dedup.digest(substring_dedup.substring_dedup(docs, window, first, broadcast_bytes=bound, hot=hot)).collect()
+    want = passages(rows, window)
+    assert len(got) == len(rows) + 2 and all(tuple(r)[1:] == want[r.doc_id] for r in got if r.doc_id is not None)
+
+
 def test_kept_bytes_and_chunks():
     texts = pa.array(["a  b c", None, "", " x\ny ", "z"])
     buf, offs = textvec.flatten(texts)
