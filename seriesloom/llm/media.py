@@ -5,23 +5,29 @@
 so its central directory gives every member's byte range.
 
 `MediaArchives` (format name ``media_archives``) plans byte ranges of the
-archives, as splits of a file are planned: the driver lists files and sizes
-only, and each task reads the directory of its archive and takes the members
-that begin in its range.  Payloads stream through Arrow in batches of bounded
-bytes.  Every member is read by its own offset and checked against the
+archives, as splits of a file are planned: the driver sees names and sizes only,
+of the archives that the manifest lists (so that what a dead attempt left behind
+is not read), or of the whole folder without one.  Each task reads the directory
+of its archive, which a worker keeps for the archive's next range, and takes the
+members that begin in its range.  Payloads stream through Arrow in batches of
+bounded bytes.  Every member is read by its own offset and checked against the
 directory's CRC-32; a failed read is repeated for that member alone, on a fresh
 handle, and a member that still fails becomes a row with `error` set and no
-payload, so one bad member costs neither its neighbours nor the task.
+payload, so one bad member costs neither its neighbours nor the task.  Likewise
+a directory that stays unreadable becomes one error row for each of its ranges.
 
 Files are reached by pyarrow's file systems, from the URI of the shared folder.
 
 Defined cases: a null text is the empty text; an empty payload is padded to one
 block; null doc_ids are kept; repeated rows become members of their own; equal
-texts give equal stored bytes, digests and features.
+texts give equal stored bytes, digests and features; a very long text is one
+member, held whole by its task; an empty table gives no archive and no rows;
+other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import io
 import struct
@@ -32,6 +38,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -188,7 +195,7 @@ class Range(InputPartition):
 
 
 class MediaArchives(DataSource):
-    """Options: path (a folder URI), rangeBytes."""
+    """Options: path (a folder URI), manifest (the URI of write_archives' rows as Parquet, if only those archives count), rangeBytes."""
 
     @classmethod
     def name(cls) -> str:
@@ -203,28 +210,58 @@ class MediaArchives(DataSource):
 
 class MediaReader(DataSourceReader):
     def __init__(self, options):
-        self.uri = options["path"].rstrip("/")
+        self.uri, self.manifest = options["path"].rstrip("/"), options.get("manifest")
         self.range_bytes = int(options.get("rangeBytes", RANGE_BYTES))
 
     def partitions(self) -> list[Range]:
         """Byte ranges of all archives; no archive is opened here."""
         fs, root = open_fs(self.uri)
         found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
-        names = sorted((f.base_name, f.size) for f in found if f.is_file and f.base_name.endswith(".zip") and not f.base_name.startswith("."))
-        return [Range(f"{self.uri}/{n}", lo, min(size, lo + self.range_bytes)) for n, size in names for lo in range(0, size, self.range_bytes)] or [Range("", 0, 0)]
+        size = {f.base_name: f.size for f in found if f.is_file and f.base_name.endswith(".zip") and not f.base_name.startswith(".")}
+        names = sorted(size)
+        if self.manifest:
+            mfs, path = open_fs(self.manifest)
+            files = [f.path for f in mfs.get_file_info(pafs.FileSelector(path)) if f.is_file and f.base_name.endswith(".parquet")]
+            names = sorted(n for f in files for n in pq.read_table(f, filesystem=mfs, columns=["archive"]).column(0).to_pylist())
+        # a listed archive that is missing is one range, whose task says so
+        return [Range(f"{self.uri}/{n}", lo, lo + self.range_bytes) for n in names for lo in range(0, size.get(n) or 1, self.range_bytes)] or [Range("", 0, 0)]
 
     def read(self, part: Range) -> Iterator[pa.RecordBatch]:
         if part.uri:
             yield from read_range(part.uri, part.lo, part.hi)
 
 
+#: what can go wrong while bytes of an archive are read or understood
+BROKEN = (OSError, ValueError, struct.error, zipfile.BadZipFile, EOFError, pa.ArrowException)
+#: the directory of the archive that this worker read last
+_LAST: dict[str, list[tuple[int, str, int, int]]] = {}
+
+
+def directory(fs: pafs.FileSystem, path: str) -> list[tuple[int, str, int, int]]:
+    """(offset, name, bytes, CRC) of an archive's members."""
+    if path not in _LAST:
+        with fs.open_input_file(path) as handle, zipfile.ZipFile(handle) as z:
+            found = [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in z.infolist()]
+        _LAST.clear()
+        _LAST[path] = found
+    return _LAST[path]
+
+
 def read_range(uri: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
     """Batches of the members that begin in the range."""
     fs, path = open_fs(uri)
-    handle = fs.open_input_file(path)
-    with zipfile.ZipFile(handle) as z:
-        members = [(m.header_offset, m.filename, m.compress_size, m.CRC) for m in z.infolist() if lo <= m.header_offset < hi]
-    handle = fs.open_input_file(path)
+    archive, handle, members = uri.rsplit("/", 1)[1], None, None
+    for k in range(TRIES):
+        try:
+            members = [m for m in directory(fs, path) if lo <= m[0] < hi]
+            handle = fs.open_input_file(path)
+            break
+        except BROKEN as e:
+            error = f"directory: {type(e).__name__}: {e}"[:200]
+            time.sleep(0.05 * k)
+    if handle is None:
+        yield batch_of([(archive, lo, None, None, error)])
+        return
     rows: list[tuple] = []
     held = 0
     for offset, name, size, crc in members:
@@ -233,11 +270,12 @@ def read_range(uri: str, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
             try:
                 raw, error = member(handle, offset, size, crc), None
                 break
-            except (OSError, ValueError) as e:
+            except BROKEN as e:
                 error = f"{type(e).__name__}: {e}"[:200]
                 time.sleep(0.05 * k)
-                handle = fs.open_input_file(path)
-        rows.append((uri.rsplit("/", 1)[1], offset, name, raw, error))
+                with contextlib.suppress(*BROKEN):
+                    handle = fs.open_input_file(path)
+        rows.append((archive, offset, name, raw, error))
         held += size
         if held >= BATCH_BYTES or len(rows) >= BATCH_ROWS:
             yield batch_of(rows)
@@ -268,7 +306,7 @@ def media_table(docs: DataFrame) -> DataFrame:
     ws = X.Workspace(spark, "media")
     uri = ws.path("archives")
     ws.write("manifest", write_archives(docs, uri))
-    return read_media(spark, uri).selectExpr(
+    return read_media(spark, uri, ws.path("manifest")).selectExpr(
         "CAST(NULLIF(split_part(member, '_', 2), '') AS long) doc_id",
         "CAST(split_part(split_part(member, '_', 3), '.', 1) AS long) n_bytes",
         "media",
@@ -276,9 +314,10 @@ def media_table(docs: DataFrame) -> DataFrame:
     )
 
 
-def read_media(spark: SparkSession, uri: str) -> DataFrame:
+def read_media(spark: SparkSession, uri: str, manifest: str | None = None) -> DataFrame:
     spark.dataSource.register(MediaArchives)
-    return spark.read.format("media_archives").option("path", uri).load()
+    reader = spark.read.format("media_archives").option("path", uri)
+    return (reader.option("manifest", manifest) if manifest else reader).load()
 
 
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
@@ -298,7 +337,7 @@ def digest(media: DataFrame) -> DataFrame:
                     try:
                         p = from_png(raw)
                         row = [len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-WIDTH:]), len(raw), hashlib.sha256(raw).hexdigest(), feature(p)]
-                    except (ValueError, zlib.error) as e:
+                    except (ValueError, struct.error, zlib.error) as e:
                         error = f"{type(e).__name__}: {e}"[:200]
                 out.append((doc, n, *row, error))
             cols = zip(*out, strict=True) if out else [()] * len(names)

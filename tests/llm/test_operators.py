@@ -230,6 +230,66 @@ def test_media(rows, docs, empty, spark, tmp_path):
     assert all(media.from_png(bytes(r.media)) for r in back if r.error is None)
 
 
+def plain_png(raw):
+    """The samples of an 8-bit grey PNG without filters, by the format's own rules."""
+    assert raw[:8] == bytes([137, 80, 78, 71, 13, 10, 26, 10])
+    at, data = 8, b""
+    while at < len(raw):
+        n, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
+        if kind == b"IHDR":
+            w, h, depth, colour = int.from_bytes(raw[at + 8 : at + 12], "big"), int.from_bytes(raw[at + 12 : at + 16], "big"), raw[at + 16], raw[at + 17]
+        data += raw[at + 8 : at + 8 + n] if kind == b"IDAT" else b""
+        at += 12 + n
+    data = zlib.decompress(data)
+    assert (w, depth, colour) == (64, 8, 0) and len(data) == h * 65 and not any(data[::65])
+    return b"".join(data[k * 65 + 1 : k * 65 + 65] for k in range(h))
+
+
+def plain_feature(p):
+    h, cell = len(p) // 64, []
+    for i in range(8):
+        lo = min(i * h // 8, h - 1)
+        rows = range(lo, max((i + 1) * h // 8, lo + 1))
+        cell.append([sum(p[r * 64 + 8 * j + k] for r in rows for k in range(8)) / (8 * len(rows)) for j in range(8)])
+    mean = sum(map(sum, cell)) / 64
+    bits = "".join("1" if c > mean else "0" for row in cell for c in row)
+    return f"{h}x64:{sum(p) / len(p):.4f}:{int(bits, 2):016x}"
+
+
+def test_media_forms(rows, docs):
+    """Stored bytes, digests and features against the format and the definition."""
+    stored = {(r.doc_id, r.n_bytes, hashlib.sha256(bytes(r.media)).hexdigest()): bytes(r.media) for r in media.media_table(docs).collect()}
+    got = media.digest(media.media_table(docs)).collect()
+    for r in got:
+        raw = stored[r.doc_id, r.n_bytes, r.media_sha256]
+        p = plain_png(raw)
+        assert r.media_bytes == len(raw) and r.payload_sha256 == hashlib.sha256(p).hexdigest()
+        if len(p) < 20_000:
+            assert r.feature == plain_feature(p)
+    texts = defaultdict(set)
+    for r in got:
+        texts[r.payload_sha256].add(tuple(r)[1:])
+    assert all(len(v) == 1 for v in texts.values())
+
+
+def test_media_archives_that_fail(docs, spark, tmp_path):
+    """A truncated archive, a short header and a stray archive: error rows, and all other members."""
+    uri = f"file://{tmp_path}/a"
+    spark.createDataFrame(media.write_archives(docs.filter("doc_id < 20").repartition(2), uri, 3000).collect()).write.parquet(f"file://{tmp_path}/m")
+    files = sorted((tmp_path / "a").glob("*.zip"))
+    assert len(files) > 2
+    (tmp_path / "a" / "part-999999-0000.zip").write_bytes(files[1].read_bytes())
+    whole = media.read_media(spark, uri, f"file://{tmp_path}/m").collect()
+    assert len(whole) == 22 and not any(r.error for r in whole)
+    lost = [r for r in whole if r.archive == files[0].name]
+    files[0].write_bytes(files[0].read_bytes()[:200])
+    left = media.read_media(spark, uri, f"file://{tmp_path}/m").collect()
+    assert [r.error[:9] for r in left if r.error] == ["directory"] and len(left) == 22 - len(lost) + 1
+    files[0].unlink()
+    left = media.read_media(spark, uri, f"file://{tmp_path}/m").collect()
+    assert sum(r.error is not None for r in left) == 1 and len(left) == 22 - len(lost) + 1
+
+
 def test_chat_fold(spark):
     log = [
         (1, 1, "u", "open", "user", None), (1, 2, "u", "delta", None, "he"), (1, 3, "u", "delta", None, "llo"),
