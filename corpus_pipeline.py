@@ -3,8 +3,8 @@
 language id -> n-gram Jaccard join -> benchmark decontamination -> mixing ->
 token ids.  All stages but the last return the columns of documents.
 
-A stage carries the whole row beside the operator's columns, as one struct, so
-no name of a column can clash, and a decision falls on the row that it was made
+A stage carries a row's other columns beside the operator's, as one struct, so no
+name of a column can clash, and a decision falls on the row that it was made
 for.  Rows that repeat a doc_id, or have none, are documents of their own in
 every stage: `numbered` gives them numbers in the order of doc_id (nulls last)
 where doc_id does not tell rows apart.  Each stage takes null, empty and very
@@ -22,22 +22,31 @@ from seriesloom.llm import decontaminate, exchange, jaccard_join, language_id, m
 LEAST_SHARE = 0.4
 
 
+def bundled(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and row: a struct of all columns but the text."""
+    return docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns if c != "text")).alias("row"))
+
+
+def restored(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs from text and row."""
+    return rows.select(*(F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
+
+
 def numbered(docs: DataFrame, ws: exchange.Workspace) -> DataFrame:
-    """doc_id (unique, not null), text, lang, source and row, the whole row as it was."""
-    cols = ["text", "lang", "source", "row"]
-    own = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    own = own.select("row", *(F.col(f"row.{c}").alias(c) for c in ("doc_id", "text", "lang", "source")))
+    """bundled(docs) with lang and source, and a doc_id that is unique and not null."""
+    own = bundled(docs)
+    own = own.select("doc_id", "text", "row", *(F.col("row")[c].alias(c) for c in ("lang", "source")))
     n, known, ids = own.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     if n == known == ids:
-        return own.select("doc_id", *cols)
+        return own
     order = own.orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64("text"))
-    return ws.write("numbered", order.select(F.monotonically_increasing_id().alias("doc_id"), *cols))
+    return ws.write("numbered", order.withColumn("doc_id", F.monotonically_increasing_id()))
 
 
-def kept(ws: exchange.Workspace, docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of numbered docs whose number is in ids."""
+def kept(ws: exchange.Workspace, rows: DataFrame, ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs for the numbered rows whose number is in ids."""
     ws.write("kept", ids)
-    return exchange.attach(ws, docs, "kept", how="leftsemi").select("row.*")
+    return restored(exchange.attach(ws, rows, "kept", how="leftsemi"), docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,9 +55,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     A text in two languages has one with about half, and stays.  A null or empty
     text has none, and goes; equal rows get equal decisions.
     """
-    rows = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    found = language_id.identify(rows, language_id.train(docs), carry="row").filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
-    return found.select(*(F.coalesce("row.lang", "lang_pred").alias(c) if c == "lang" else F.col("row")[c].alias(c) for c in docs.columns))
+    found = language_id.identify(bundled(docs), language_id.train(docs), carry=("text", "row"))
+    found = found.filter((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_SHARE))
+    return restored(found.withColumn("row", F.col("row").withField("lang", F.coalesce("row.lang", "lang_pred"))), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,14 +68,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ws = exchange.Workspace(spark, "near")
     rows = numbered(docs, ws)
     groups = jaccard_join.jaccard_join(rows, n=5, num=80, den=100)
-    return kept(ws, rows, groups.filter("doc_id = component_id").select("doc_id"))
+    return kept(ws, rows, groups.filter("doc_id = component_id").select("doc_id"), docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that hold a benchmark passage go; null and empty texts hold none."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    rows = docs.select("doc_id", "text", F.struct(*(docs[c] for c in docs.columns)).alias("row"))
-    return decontaminate.decontaminate(rows, items, window=10, carry="row").filter(F.size("starts") == 0).select("row.*")
+    return restored(decontaminate.decontaminate(bundled(docs), items, window=10, carry=("text", "row")).filter(F.size("starts") == 0), docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -74,7 +82,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ws = exchange.Workspace(spark, "mix")
     rows = numbered(docs, ws)
     mix = mixing.mix(rows, mixing.tree(), mixing.DOMAIN_WEIGHTS, share=0.8, epochs=1, seed=7)
-    return kept(ws, rows, mix.filter("copies > 0").select("doc_id"))
+    return kept(ws, rows, mix.filter("copies > 0").select("doc_id"), docs)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
