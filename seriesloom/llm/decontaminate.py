@@ -19,7 +19,7 @@ Defined cases: null texts have no words; an item without words or with a null
 item_id is no phrase; repeated items and documents each count as they stand; a
 document that is null or empty has no hits; a null doc_id is an ordinary row; an
 empty benchmark hits nothing; very long texts are cut into overlapping pieces;
-other columns, whatever their names, are left out, or carried in one struct.
+other columns, whatever their names, are left out, or go along if named.
 Output: doc_id, n_words, starts and ends (word spans, merged, in order) and
 items (ids of occurring items, ascending).
 """
@@ -41,7 +41,7 @@ from . import textvec as T
 
 U = np.uint64
 #: bytes of texts in a shard, and words in one index
-SHARD_BYTES, PIECE = 4 << 20, 1 << 20
+SHARD_BYTES, PIECE = 1 << 20, 1 << 18
 #: phrases in one file, and bytes of files that a worker keeps
 PHRASES, KEPT_BYTES = 100_000, 256 << 20
 #: every so many suffix positions is stored
@@ -255,25 +255,25 @@ def lists(row: np.ndarray, vals: np.ndarray, n: int, kind: pa.DataType) -> pa.Ar
     return pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32)), pa.array(vals, kind))
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: str | None = None) -> DataFrame:
-    """See the module's text.  One row for each document; carry: a column that goes along."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry: tuple[str, ...] = ()) -> DataFrame:
+    """See the module's text.  One row for each document; carry: columns that go along."""
     ws = X.Workspace(docs.sparkSession, "decontaminate")
     uri = write_phrases(ws, benchmark, window)
     names = ["doc_id", "n_words", "starts", "ends", "items"]
+    also = [c for c in carry if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         phrases = PhraseFiles(uri)
         for batch in batches:
             for lo, hi, *_ in T.chunks(batch.column(1), SHARD_BYTES):
-                n, row, start, end, who, item = hits(batch.column(1).slice(lo, hi - lo), phrases, window)
-                cols = [batch.column(0).slice(lo, hi - lo), pa.array(n), lists(row, start, hi - lo, pa.int32()), lists(row, end, hi - lo, pa.int32()), lists(who, item, hi - lo, pa.int64())]
-                yield pa.RecordBatch.from_arrays([*cols, *(batch.column(i).slice(lo, hi - lo) for i in range(2, batch.num_columns))], [*names, *([carry] if carry else [])])
+                part = batch.slice(lo, hi - lo)
+                n, row, start, end, who, item = hits(part.column(1), phrases, window)
+                cols = [part.column(0), pa.array(n), lists(row, start, hi - lo, pa.int32()), lists(row, end, hi - lo, pa.int32()), lists(who, item, hi - lo, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*cols, *(part.column(1 if c == "text" else 2 + also.index(c)) for c in carry)], [*names, *carry])
 
     kinds = [Y.LongType(), Y.LongType(), *(Y.ArrayType(t) for t in (Y.IntegerType(), Y.IntegerType(), Y.LongType()))]
-    schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
-    if carry:
-        schema = schema.add(docs.schema[carry])
-    return docs.select("doc_id", "text", *([carry] if carry else [])).mapInArrow(run, schema)
+    schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + [docs.schema[c] for c in carry])
+    return docs.select("doc_id", "text", *also).mapInArrow(run, schema)
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -33,6 +33,10 @@ BLOCK_BYTES = 8 << 20
 BLOCKS_EACH = 16
 
 
+#: Python workers give large arrays back to the system at once: idle workers of an earlier stage count against the executor
+FRUGAL = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it."""
     root = str(Path(__file__).resolve().parents[2])
@@ -40,6 +44,8 @@ def on_workers(spark: SparkSession) -> None:
     have = env.get("PYTHONPATH", "")
     if root not in have.split(":"):
         env["PYTHONPATH"] = f"{root}:{have}" if have else root
+    for name, value in FRUGAL.items():
+        env.setdefault(name, value)
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -18,8 +18,8 @@ Defined cases: a null text, or one without a letter, is `und` with score 0 and
 not ambiguous; rows with null doc_id, text or language are predicted but never
 trained on; without any training row all is `und`; repeated rows get equal
 results, and ties in the sample's order go by the features; very long texts are
-one row; other columns, whatever their names, are left out, or carried in one
-struct.  Output: doc_id, held_out, lang_pred, score, ambiguous.
+one row; other columns, whatever their names, are left out, or go along if
+named.  Output: doc_id, held_out, lang_pred, score, ambiguous.
 """
 
 from __future__ import annotations
@@ -215,16 +215,18 @@ def by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.nda
         yield name, np.stack(rows)
 
 
-def identify(docs: DataFrame, model: Model, margin: float = 0.5, carry: str | None = None) -> DataFrame:
-    """Predict all documents.  score is the winner's share of exp(-loss); carry: a column that goes along."""
+def identify(docs: DataFrame, model: Model, margin: float = 0.5, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Predict all documents.  score is the winner's share of exp(-loss); carry: columns that go along."""
     X.on_workers(docs.sparkSession)
     names = ["doc_id", "held_out", "lang_pred", "score", "ambiguous"]
+    also = [c for c in carry if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
-                part = batch.slice(k, ROWS)
-                for lo, hi, buf, offs in T.chunks(part.column(2)):
+                whole = batch.slice(k, ROWS)
+                for lo, hi, buf, offs in T.chunks(whole.column(2)):
+                    part = whole.slice(lo, hi - lo)
                     known = lettered(buf, offs) if model.languages else np.zeros(hi - lo, bool)
                     name, score, close = np.full(hi - lo, UND, object), np.zeros(hi - lo), np.zeros(hi - lo, bool)
                     if known.any():
@@ -235,11 +237,9 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.5, carry: str | No
                         if len(model.languages) > 1:
                             two = np.partition(loss, 1, axis=1)
                             close[known] = two[:, 1] - two[:, 0] < margin
-                    cols = [part.column(i).slice(lo, hi - lo) for i in (0, 1, *range(3, part.num_columns))]
-                    yield pa.RecordBatch.from_arrays([*cols[:2], pa.array(name, pa.string()), pa.array(score), pa.array(close), *cols[2:]], [*names, *([carry] if carry else [])])
+                    cols = [part.column(0), part.column(1), pa.array(name, pa.string()), pa.array(score), pa.array(close)]
+                    yield pa.RecordBatch.from_arrays([*cols, *(part.column(2 if c == "text" else 3 + also.index(c)) for c in carry)], [*names, *carry])
 
     kinds = [Y.LongType(), Y.BooleanType(), Y.StringType(), Y.DoubleType(), Y.BooleanType()]
-    schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)])
-    if carry:
-        schema = schema.add(docs.schema[carry])
-    return docs.select("doc_id", held_out().alias("held_out"), "text", *([carry] if carry else [])).mapInArrow(run, schema)
+    schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + [docs.schema[c] for c in carry])
+    return docs.select("doc_id", held_out().alias("held_out"), "text", *also).mapInArrow(run, schema)

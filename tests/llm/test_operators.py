@@ -618,7 +618,7 @@ def test_language_id(spark, sf, docs, empty):
     assert {r.lang_pred for r in language_id.identify(docs, language_id.train(empty)).collect()} == {"und"}
     codes = language_id.codebook(12)
     assert min((codes[i] != codes[j]).sum() for i in range(12) for j in range(i)) > 10
-    carried = language_id.identify(docs.select("doc_id", "text", F.struct("*").alias("row")), model, carry="row").collect()
+    carried = language_id.identify(docs.select("doc_id", "text", F.struct("*").alias("row")), model, carry=("row",)).collect()
     assert sorted((r.doc_id is None, r.doc_id or 0, r.row.text or "", r.lang_pred) for r in carried) == sorted((r.doc_id is None, r.doc_id or 0, r.row.text or "", r.lang_pred) for r in carried if r.row.doc_id == r.doc_id) and len(carried) == len(out)
 
 
