@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: a side table is broadcast up to this many bytes of values in memory
-BROADCAST_BYTES = 32 << 20
+BROADCAST_BYTES = 64 << 20
 #: input bytes for each block of an exchange
 BLOCK_BYTES = 8 << 20
 #: blocks that one task takes one after the other, about
