@@ -52,10 +52,10 @@ def holiday_frame(spark: SparkSession, codes: list[str], tables: dict[str, DataF
     return out
 
 
-def flag(panel: DataFrame, holidays: DataFrame) -> DataFrame:
-    """is_holiday for each row; a calendar has a few hundred days."""
-    days = F.broadcast(holidays.select("ds").distinct().withColumn("is_holiday", F.lit(True)))
-    return panel.join(days, "ds", "left").withColumn("is_holiday", F.coalesce("is_holiday", F.lit(False)))
+def flag(panel: DataFrame, holidays: DataFrame, date: str = "ds") -> DataFrame:
+    """is_holiday for each row, by its date; a calendar has a few hundred days."""
+    days = F.broadcast(holidays.select(F.col("ds").alias(date)).distinct().withColumn("is_holiday", F.lit(True)))
+    return panel.join(days, date, "left").withColumn("is_holiday", F.coalesce("is_holiday", F.lit(False)))
 
 
 def windows(holidays: DataFrame, days: int = 1) -> DataFrame:

@@ -4,4 +4,4 @@ from .base import Model, create, register, registered
 
 __all__ = ["Model", "create", "register", "registered"]
 
-from . import learned, statistical  # noqa: E402, F401  (register their models)
+from . import baseline, learned, statistical  # noqa: E402, F401  (register their models)

@@ -83,7 +83,11 @@ class HoltWinters(Model):
         k = min(len(d), 2 * m)
         slope = (d[k - 1] - d[0]) / max(1, k - 1)
         self.start = (d[0] - slope, slope)
-        best = simplex(lambda p: float((self._run(p, y, m)[0] ** 2).sum()), [-1.0, -3.0, -2.0], 1.0, 60)
+        given = [self.params.get(k) for k in ("alpha", "beta", "gamma")]
+        if None in given:
+            best = simplex(lambda p: float((self._run(p, y, m)[0] ** 2).sum()), [-1.0, -3.0, -2.0], 1.0, 60)
+        else:
+            best = [float(np.log(v / (1 - v))) for v in given]  # smoothing weights as given, between 0 and 1
         self.res, self.level, self.trend, self.season = self._run(best, y, m)
         self.n = len(y)
 

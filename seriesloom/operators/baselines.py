@@ -61,10 +61,25 @@ def ses(rows: DataFrame, alpha: float = 0.2) -> DataFrame:
 ALL = {"seasonal_naive": seasonal_naive, "naive": naive, "mean": mean, "drift": drift, "linear_trend": linear_trend, "ses": ses}
 
 
-def out_of_fold(rows: DataFrame, models: tuple[str, ...]) -> DataFrame:
-    """Forecasts of several models, one under the other."""
+def out_of_fold(rows: DataFrame, models: tuple[str, ...], period: int = 7) -> DataFrame:
+    """Forecasts of several models in one pass: one aggregation of each fold's training rows, one join, one row for each model."""
+    y, step, n = F.col("y"), F.col("step"), F.col("n")
+    last = F.map_from_entries(F.collect_list(F.when(step > -period, F.struct("step", "y"))))
+    every = {
+        "seasonal_naive": ([last.alias("last")], F.try_element_at("last", F.pmod(step - 1, F.lit(period)) + 1 - period)),
+        "naive": ([F.max_by("y", "ds").alias("b")], F.col("b")),
+        "mean": ([F.avg("y").alias("m")], F.col("m")),
+        "drift": ([F.min_by("y", "ds").alias("a"), F.max_by("y", "ds").alias("b"), F.count("*").alias("n")], F.col("b") + step * (F.col("b") - F.col("a")) / (n - 1)),
+        "linear_trend": ([F.regr_slope("y", "pos").alias("slope"), F.regr_intercept("y", "pos").alias("icpt")], F.col("icpt") + F.col("slope") * F.col("pos")),
+    }
+    others = [m for m in models if m not in every]
+    stats = {str(c): c for m in models if m in every for c in every[m][0]}
     out = None
-    for m in models:
-        one = ALL[m](rows)
-        out = one if out is None else out.unionByName(one)
+    if stats:
+        each = [F.struct(F.lit(m).alias("model_type"), every[m][1].cast("double").alias("yhat")) for m in models if m in every]
+        joined = _val(rows).join(_train(rows).groupBy(*KEYS).agg(*stats.values()), KEYS)
+        out = joined.select("ts_id", "fold_id", "ds", "step", y, F.inline(F.array(*each))).filter("model_type <> 'seasonal_naive' OR yhat IS NOT NULL")
+        out = out.select("ts_id", "model_type", "fold_id", "ds", "step", "y", "yhat")
+    for m in others:
+        out = ALL[m](rows) if out is None else out.unionByName(ALL[m](rows))
     return out

@@ -9,6 +9,7 @@ into the three cell tables; nothing is written from inside a task.
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import json
 import math
 import socket
@@ -37,15 +38,21 @@ CELL = (
 )
 
 
-def bucket_count(cfg: RunConfig, n_series: int | None) -> int:
+def bucket_count(cfg: RunConfig, n_series: int | None, n_models: int | None = None) -> int:
     """Partitions for the fits: cells over the target for each, 1 to 100,000."""
     if not n_series:
         return cfg.compute.max_parallelism
-    return min(100_000, max(1, math.ceil(n_series * len(cfg.models) / cfg.compute.bucket_target_cells)))
+    return min(100_000, max(1, math.ceil(n_series * (n_models or len(cfg.models)) / cfg.compute.bucket_target_cells)))
 
 
-def cross_models(spark: SparkSession, packed: DataFrame, models: list[str], params: dict[str, dict] | None = None) -> DataFrame:
-    rows = [(m, json.dumps((params or {}).get(m, {}))) for m in models]
+def variants(models: list[str], params: dict[str, dict | list[dict]] | None) -> list[tuple[str, dict]]:
+    """(model, parameters) of every fit of a series: one for each model, or one for each of a list of trials."""
+    own = {m: (params or {}).get(m, {}) for m in models}
+    return [(m, p) for m, ps in own.items() for p in (ps if isinstance(ps, list) else [ps])]
+
+
+def cross_models(spark: SparkSession, packed: DataFrame, models: list[str], params: dict[str, dict | list[dict]] | None = None) -> DataFrame:
+    rows = [(m, json.dumps(p)) for m, p in variants(models, params)]
     return packed.crossJoin(F.broadcast(spark.createDataFrame(rows, "model_type string, params string")))  # the config's list
 
 
@@ -55,6 +62,11 @@ def pack(panel: DataFrame, exog: tuple[str, ...] = ()) -> DataFrame:
     return panel.groupBy("ts_id").agg(F.sort_array(F.collect_list(point)).alias("points"))
 
 
+def packed_panel(panel: DataFrame, exog: tuple[str, ...] = ()) -> DataFrame:
+    """What run_cells packs by itself; pack once and write it where several runs read it."""
+    return pack(panel.select("ts_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "y", *exog), exog)
+
+
 def metric_values(y: np.ndarray, yhat: np.ndarray, train: np.ndarray) -> dict[str, float]:
     """The panel of one fold, for rows that never leave the worker; undefined is NaN."""
     e, nan = yhat - y, float("nan")
@@ -177,25 +189,32 @@ def run_cell(ts_id: str, model: str, params: dict, ds: pd.DatetimeIndex, y: np.n
     return out
 
 
-def holiday_days(codes: tuple[str, ...]) -> frozenset:
-    """Dates of the countries that have a rule."""
+def holiday_days(codes: tuple[str, ...], tables: dict[str, tuple] | None = None) -> frozenset:
+    """Dates of the countries, by rule or from the configuration's own calendars."""
+    days: set[dt.date] = set()
     for c in codes:
-        if c != "US":
+        if tables and c in tables:
+            days |= set(tables[c])
+        elif c == "US":
+            days |= {d for d, _ in us_holidays()}
+        else:
             raise ConfigError(f"unknown holiday country code {c!r}")
-    return frozenset(d for d, _ in us_holidays()) if codes else frozenset()
+    return frozenset(days)
 
 
-def run_cells(panel: DataFrame, cfg: RunConfig, params: dict[str, dict] | None = None, n_series: int | None = None, by_series: DataFrame | None = None) -> DataFrame:
+def run_cells(panel: DataFrame, cfg: RunConfig, params: dict[str, dict | list[dict]] | None = None, n_series: int | None = None, by_series: DataFrame | None = None) -> DataFrame:
     """One row for each cell.  by_series: (ts_id, model_type, best_params) that overrides the models' params."""
     from ..sources.workers import on_workers
 
     spark, exog = panel.sparkSession, cfg.features.exog
     on_workers(spark)
-    todo = cross_models(spark, pack(panel.select("ts_id", F.col("ds").cast("timestamp_ntz").alias("ds"), "y", *exog), exog), list(cfg.models), params)
+    packed = panel if "points" in panel.columns else packed_panel(panel, exog)
+    todo = cross_models(spark, packed, list(cfg.models), params)
     if by_series is not None:
         todo = todo.join(by_series, ["ts_id", "model_type"], "left").withColumn("params", F.coalesce("best_params", "params")).drop("best_params")
-    days = holiday_days(cfg.features.holidays)
-    todo = todo.repartition(bucket_count(cfg, n_series or cfg.data.series_limit), "ts_id", "model_type")
+    days = holiday_days(cfg.features.holidays, cfg.features.calendars)
+    n_variants = len(variants(list(cfg.models), params))
+    todo = todo.repartition(bucket_count(cfg, n_series or cfg.data.series_limit, n_variants), "ts_id", "model_type", "params")
 
     def fit(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -238,29 +257,30 @@ def metadata(cells: DataFrame) -> DataFrame:
         return F.when(F.size(kept) > 0, F.aggregate(kept, F.lit(0.0), lambda a, v: a + v) / F.size(kept)).alias(n)
 
     plain = ["ts_id", "model_type", "status", "error", "fit_seconds", "predict_seconds", "best_params", "worker_id", "cell_started_at", "cell_ended_at"]
+    plain.append(F.col("model_artifact").isNotNull().alias("has_artifact"))
     return cells.select(*plain, F.lit("spark").alias("compute_engine"), *(mean(n) for n in NAMES))
 
 
 def trials_of(cfg: RunConfig, seed: int) -> dict[str, list[dict]]:
-    """Seeded draws from each model's search space, each once."""
+    """Each model's trials: its whole search space if that is no more than n_trials or the engine is 'grid', else seeded draws, each once."""
     from ..models import registered
 
     rng, out = np.random.default_rng(seed), {}
     for m in cfg.models:
         if space := registered()[m]().search_space():
-            drawn = [tuple(sorted((k, v[int(rng.integers(len(v)))]) for k, v in space.items())) for _ in range(cfg.hpo.n_trials)]
+            size = math.prod(map(len, space.values()))
+            if cfg.hpo.engine == "grid" or size <= cfg.hpo.n_trials:  # the whole space fits the trials
+                drawn = [tuple(sorted(zip(space, v, strict=True))) for v in itertools.product(*space.values())]
+            else:
+                drawn = [tuple(sorted((k, v[int(rng.integers(len(v)))]) for k, v in space.items())) for _ in range(cfg.hpo.n_trials)]
             out[m] = [dict(t) for t in sorted(set(drawn))]
     return out
 
 
 def scored_trials(panel: DataFrame, cfg: RunConfig, seed: int, n_series: int | None) -> DataFrame | None:
-    """Metadata of every trial: (ts_id, model_type, best_params, metrics)."""
-    rows = None
-    for m, trials in trials_of(cfg, seed).items():
-        for t in trials:
-            one = metadata(run_cells(panel, cfg.model_copy(update={"models": (m,)}), {m: t}, n_series))
-            rows = one if rows is None else rows.unionByName(one)
-    return rows
+    """Metadata of every trial: (ts_id, model_type, best_params, metrics); one scan and one exchange for all of them."""
+    trials = trials_of(cfg, seed)
+    return metadata(run_cells(panel, cfg.model_copy(update={"models": tuple(trials)}), trials, n_series)) if trials else None
 
 
 def _score(cfg: RunConfig):
@@ -272,7 +292,7 @@ def _score(cfg: RunConfig):
 
 def tune(panel: DataFrame, cfg: RunConfig, seed: int = 11) -> dict[str, dict]:
     """Each model's parameters with the best mean decision metric over sampled series."""
-    ids = panel.select("ts_id").distinct().orderBy("ts_id").limit(cfg.hpo.sample_size)
+    ids = panel.select("ts_id").distinct().orderBy("ts_id").limit(cfg.hpo.sample_size)  # a packed panel has one row for each series
     sample = panel.join(F.broadcast(ids), "ts_id", "leftsemi")  # sample_size ids
     rows = scored_trials(sample, cfg, seed, cfg.hpo.sample_size)
     if rows is None:

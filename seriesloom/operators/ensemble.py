@@ -12,6 +12,8 @@ from ..functions.metrics import clean
 AT = ["ts_id", "ds"]
 BOUNDS = ("yhat_lower", "yhat_upper")
 RIDGE = 1.0
+#: complete rows that boosted trees are fitted on, at most
+TREE_ROWS = 100_000
 
 
 def mean(preds: DataFrame, at: list[str] = AT, values: tuple[str, ...] = ("yhat",)) -> DataFrame:
@@ -58,10 +60,15 @@ def apply_weights(preds: DataFrame, weights: DataFrame, at: list[str] = AT, valu
     return joined.groupBy(*at).agg(F.sum("weight").alias("total"), *sums).filter("total > 0").drop("total")
 
 
+def complete_rows(oof: DataFrame, models: list[str], at: list[str] = (*AT, "fold_id")) -> DataFrame:
+    """y and x0, x1, ...: the truth and all models' forecasts, where all are present."""
+    cols = [F.first(F.when(F.col("model_type") == m, clean(F.col("yhat"))), ignorenulls=True).alias(f"x{i}") for i, m in enumerate(models)]
+    return oof.groupBy(*at).agg(F.first("y").alias("y"), *cols).dropna(subset=[f"x{i}" for i in range(len(models))])
+
+
 def gram(oof: DataFrame, models: list[str], at: list[str] = (*AT, "fold_id")) -> tuple[np.ndarray, np.ndarray, int]:
     """X'X and X'y over rows where all models are present: one aggregation, k by k sums to the driver."""
-    cols = [F.first(F.when(F.col("model_type") == m, clean(F.col("yhat"))), ignorenulls=True).alias(f"x{i}") for i, m in enumerate(models)]
-    wide = oof.groupBy(*at).agg(F.first("y").alias("y"), *cols).dropna(subset=[f"x{i}" for i in range(len(models))])
+    wide = complete_rows(oof, models, at)
     k = len(models)
     pairs = [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(k) for j in range(i, k)]
     row = wide.agg(F.count("*").alias("n"), *pairs, *(F.sum(F.col(f"x{i}") * F.col("y")).alias(f"b{i}") for i in range(k))).first()
@@ -100,10 +107,30 @@ def nnls(g: np.ndarray, b: np.ndarray) -> np.ndarray:
     return w
 
 
+def tree_weights(oof: DataFrame, models: list[str], rows: int = TREE_ROWS) -> np.ndarray:
+    """The models' importances in boosted trees, fitted on `rows` complete rows at most (those of the smallest hash)."""
+    try:
+        import xgboost
+    except ImportError:
+        raise EngineError("the xgb strategy needs the library xgboost: blend with ridge or nnls instead") from None
+    at = [*AT, "fold_id"]
+    wide = complete_rows(oof, models, at)
+    table = wide.withColumn("h", F.xxhash64(*at)).orderBy("h", *at).limit(rows).drop("h", *at).toArrow()
+    if not table.num_rows:
+        raise EngineError("no row has forecasts of all models")
+    x = np.column_stack([table.column(f"x{i}").to_numpy() for i in range(len(models))])
+    found = xgboost.XGBRegressor(n_estimators=200, max_depth=3, learning_rate=0.1, random_state=0, n_jobs=1).fit(x, table.column("y").to_numpy())
+    w = np.clip(np.asarray(found.feature_importances_, float), 0, None)
+    return w / w.sum() if w.sum() > 0 else np.full(len(models), 1 / len(models))
+
+
 def learned_weights(oof: DataFrame, strategy: str, models: list[str]) -> DataFrame:
-    """(model_type, weight) of ridge or nnls over the run's out-of-fold rows."""
-    g, b, _ = gram(oof, models)
-    w = ridge(g, b) if strategy == "ridge" else nnls(g, b)
+    """(model_type, weight) of ridge, nnls or xgb over the run's out-of-fold rows."""
+    if strategy == "xgb":
+        w = tree_weights(oof, models)
+    else:
+        g, b, _ = gram(oof, models)
+        w = ridge(g, b) if strategy == "ridge" else nnls(g, b)
     return oof.sparkSession.createDataFrame(list(zip(models, map(float, w), strict=True)), "model_type string, weight double")
 
 
@@ -113,7 +140,7 @@ def ready_series(preds: DataFrame, models: list[str]) -> DataFrame:
 
 
 def blend(strategy: str, preds: DataFrame, oof: DataFrame, scores: DataFrame, models: list[str], at: list[str] = AT) -> DataFrame:
-    """One strategy's forecasts: mean, median, inverse_error, ridge or nnls; bounds, where preds has them, by the same weights."""
+    """One strategy's forecasts: mean, median, inverse_error, ridge, nnls or xgb; bounds, where preds has them, by the same weights."""
     values = ("yhat", *(c for c in BOUNDS if c in preds.columns))
     if strategy == "mean":
         return mean(preds, at, values)
@@ -121,8 +148,6 @@ def blend(strategy: str, preds: DataFrame, oof: DataFrame, scores: DataFrame, mo
         return median(preds, at, values)
     if strategy == "inverse_error":
         return apply_weights(preds, inverse_error_weights(scores), at, values)
-    if strategy in ("ridge", "nnls"):
+    if strategy in ("ridge", "nnls", "xgb"):
         return apply_weights(preds, learned_weights(oof, strategy, models), at, values)
-    if strategy == "xgb":
-        raise EngineError("the xgb strategy needs the library xgboost: blend with ridge or nnls instead")
     raise EngineError(f"unknown ensemble strategy {strategy!r}")

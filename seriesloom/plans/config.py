@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import logging
 from pathlib import Path
@@ -13,6 +14,11 @@ from ..errors import ConfigError
 from . import ids
 
 LEARNED = {"ridge", "nnls", "xgb"}
+#: compute settings that a family may have of its own
+PER_FAMILY = ("max_parallelism", "bucket_target_cells", "persist_models")
+
+
+#: fixed values: the names of all fields below, and their defaults, are the configuration format
 
 
 class Block(BaseModel):
@@ -31,6 +37,7 @@ class Data(Block):
 
 class Features(Block):
     holidays: tuple[str, ...] = ()
+    calendars: dict[str, tuple[dt.date, ...]] = {}
     transform: Literal["none", "log1p", "boxcox"] = "none"
     exog: tuple[str, ...] = ()
     lags: tuple[int, ...] = ()
@@ -115,6 +122,21 @@ class RunConfig(Block):
             raise ValueError("hpo needs a backtest")
         return self
 
+    @model_validator(mode="after")
+    def ignored(self) -> RunConfig:
+        """Options that nothing reads here are named, not passed over."""
+        unread = {"compute.read_max_streams": self.compute.read_max_streams, "features.level_shift": self.features.level_shift, "hpo.engine": self.hpo.engine not in ("random", "grid")}
+        for family, own in self.compute.families.items():
+            unread |= {f"compute.families.{family}.{k}": True for k in own if k not in PER_FAMILY}
+        for name in (k for k, on in unread.items() if on):
+            logging.getLogger(__name__).warning("the option %s has no effect in this engine", name)
+        return self
+
+    def for_family(self, family: str) -> RunConfig:
+        """The configuration with a family's own compute settings over the common ones."""
+        own = {k: v for k, v in self.compute.families.get(family, {}).items() if k in PER_FAMILY}
+        return self.model_copy(update={"compute": self.compute.model_copy(update=own)}) if own else self
+
     def with_series_limit(self, n: int | None) -> RunConfig:
         return self.model_copy(update={"data": self.data.model_copy(update={"series_limit": n})}) if n else self
 

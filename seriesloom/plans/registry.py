@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 METRICS = "mae double, mse double, rmse double, bias double, mape double, smape double, wape double, mase double, rmsse double, coverage double, pinball double"
-#: fixed column names and types of the five result tables
+#: fixed column names and types of the result tables
 TABLES = {
     "run_registry": "run_id string, created_at timestamp, status string, python_runtime string, n_series long, n_models long, backtest_on boolean, models array<string>, strategies array<string>, config string, job_telemetry string, runtime_seconds double, dataset_ref string",
     "run_jobs": "run_id string, family string, job_id string, attempt int, runtime string, status string, created_at timestamp, started_at timestamp, ended_at timestamp, runtime_seconds double, job_telemetry string",
     "forecast_metadata": f"run_id string, ts_id string, model_type string, fold_id int, ensemble_id string, model_hash string, created_at timestamp, {METRICS}, fit_seconds double, predict_seconds double, best_params string, model_artifact string, compute_engine string, worker_id string, cell_started_at timestamp, cell_ended_at timestamp, status string, error string",
     "forecast_predictions": "run_id string, ts_id string, model_type string, ensemble_id string, forecast_date timestamp_ntz, yhat double, yhat_lower double, yhat_upper double, quantiles string, created_at timestamp",
     "backtest_oof": "run_id string, ts_id string, model_type string, ensemble_id string, fold_id int, forecast_date timestamp_ntz, y_true double, yhat double, created_at timestamp",
+    "model_artifacts": "run_id string, ts_id string, model_type string, model_hash string, artifact binary, created_at timestamp",
 }
 CELL_KEY = ["run_id", "ts_id", "model_type", "fold_id", "ensemble_id"]
 
@@ -32,8 +33,9 @@ def clean_json(d: dict | None) -> str | None:
 
 
 def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key by the order given; null keys count as equal."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_n = 1").drop("_n")
+    """The first row of each key by the order given; null keys count as equal, ties go by the row's whole content."""
+    tie = F.xxhash64(*(F.to_json(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in df.dtypes))
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, tie))).filter("_n = 1").drop("_n")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
@@ -129,10 +131,40 @@ class Registry:
         current_jobs(self.read("run_jobs")).createOrReplaceTempView("v_run_jobs")
         leaderboard(self.read("forecast_metadata")).createOrReplaceTempView("v_model_leaderboard")
 
-    def missing_columns(self, table: str, found: list[str]) -> list[str]:
+    def create(self, table: str, run_id: str) -> None:
+        """A run's empty folder of a table, for readers that come before its first rows."""
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path(table)}/run_id={run_id}")
+        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).mkdirs(p)
+
+    def create_tables(self, database: str) -> None:
+        """The result tables in the catalog, over this registry's folders."""
+        self.spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
+        for name, columns in TABLES.items():
+            self.spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet PARTITIONED BY (run_id) LOCATION '{self.path(name)}'")
+
+    def migrate(self, database: str) -> list[str]:
+        """Add the columns that an older catalog table lacks; returns the statements."""
+        done = []
+        for name in TABLES:
+            for statement in self.missing_columns(name, self.spark.table(f"{database}.{name}").columns, database):
+                self.spark.sql(statement)
+                done.append(statement)
+        return done
+
+    def drop_tables(self, database: str) -> None:
+        """Take the tables out of the catalog; their files stay."""
+        for name in TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {database}.{name}")
+
+    def missing_columns(self, table: str, found: list[str], database: str | None = None) -> list[str]:
         """ALTER TABLE statements that bring an older table up to the schema."""
         want = self.spark.createDataFrame([], TABLES[table]).schema
-        return [f"ALTER TABLE {table} ADD COLUMNS ({f.name} {f.dataType.simpleString()})" for f in want if f.name not in found]
+        full = f"{database}.{table}" if database else table
+        return [f"ALTER TABLE {full} ADD COLUMNS ({f.name} {f.dataType.simpleString()})" for f in want if f.name not in found]
+
+    def recent_runs(self, limit: int = 25) -> DataFrame:
+        """The latest runs, newest first: a report."""
+        return run_summary(self.read("run_registry")).orderBy(F.desc("created_at"), "run_id").limit(limit)
 
     def status(self, run_id: str) -> str | None:
         row = latest(self.read("run_registry", run_id), ["run_id"], F.desc("created_at")).select("status").first()
@@ -150,6 +182,12 @@ class Registry:
         """A report of the run's first cells by start."""
         return deduped_cells(self.read("forecast_metadata", run_id)).filter("fold_id IS NULL").orderBy("cell_started_at", "ts_id", "model_type").limit(limit)
 
+    def telemetry(self) -> dict:
+        """What the session says of its size and version."""
+        conf = self.spark.sparkContext.getConf()
+        found = {k: conf.get(c, None) for k, c in (("executor_instances", "spark.executor.instances"), ("executor_cores", "spark.executor.cores"), ("max_executors", "spark.dynamicAllocation.maxExecutors"))}
+        return {k: int(v) for k, v in found.items() if v} | {"runtime_version": self.spark.version}
+
     @contextlib.contextmanager
     def run(self, run_id: str, **header) -> Iterator[dict]:
         """A RUNNING header, then COMPLETED (or the status set in what is yielded), or FAILED."""
@@ -162,7 +200,7 @@ class Registry:
             raise
         finally:
             took = (dt.datetime.now() - began).total_seconds()
-            self.append_row("run_registry", run_id=run_id, status=state["status"], runtime_seconds=took, job_telemetry=clean_json({"total_wall_s": took, **state.get("telemetry", {})}), **header)
+            self.append_row("run_registry", run_id=run_id, status=state["status"], runtime_seconds=took, job_telemetry=clean_json({"total_wall_s": took, **self.telemetry(), **state.get("telemetry", {})}), **header)
 
     @contextlib.contextmanager
     def job(self, run_id: str, family: str, job_id: str, attempt: int) -> Iterator[dict]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import ConfigError
+
 #: fixed values: step of each frequency as a Spark interval, seasonal period, periods in a year
 FREQS = {
     "D": ("INTERVAL 1 DAY", 7, 365.25),
@@ -61,11 +64,28 @@ def fill_calendar(panel: DataFrame, freq: str = "D", value: float = 0.0) -> Data
     return grid(panel, freq).join(panel, ["ts_id", "ds"], "left").withColumn("y", F.coalesce("y", F.lit(value)))
 
 
+def resolve(spark: SparkSession, name: str) -> DataFrame:
+    """A source by name: a path (with a slash), else a table or view of the session's catalog."""
+    return spark.read.parquet(name) if "/" in name and "`" not in name else spark.table(name)
+
+
 def snapshot_files(df: DataFrame) -> list[str]:
-    """The files a scan reads now; read exactly these later for the same snapshot."""
+    """The files a scan reads now; none if it reads no files."""
     return sorted(df.inputFiles())
 
 
+def read_snapshot(spark: SparkSession, files: list[str]) -> DataFrame:
+    """Exactly the recorded files, whatever was added to the folder since."""
+    return spark.read.parquet(*files)
+
+
+def sample_series(panel: DataFrame, n: int, limit: int = 1000) -> pa.Table:
+    """The points of the first n series (`limit` at most) on the driver."""
+    if not 0 < n <= limit:
+        raise ConfigError(f"a sample has 1 to {limit} series, not {n}")
+    return history(limit_series(panel, n)).toArrow()
+
+
 def daily_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quantity shipped each day, by return flag."""
     rows = load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("ts_id"), F.to_date("l_shipdate").alias("ds"))

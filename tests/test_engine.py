@@ -22,17 +22,17 @@ def panel(spark, rows):
     return spark.createDataFrame([(s, DAY + dt.timedelta(d), float(y)) for s, d, y in rows], "ts_id string, ds date, y double")
 
 
-# --- metrics: exact values of the window (10, 20, 30, 40) against (12, 18, 33, 36) ---
+# --- metrics: exact values of a window of three points ---
 def test_metric_values(spark):
-    rows = [(10.0, 12.0, 9.0, 13.0), (20.0, 18.0, 17.0, 23.0), (30.0, 33.0, 28.0, 35.0), (40.0, 36.0, 34.0, 45.0)]
+    rows = [(8.0, 10.0, 6.0, 11.0), (16.0, 12.0, 15.0, 15.5), (50.0, 51.0, 40.0, 60.0)]
     df = spark.createDataFrame([(*r, 2.0, 4.0) for r in rows], "y double, yhat double, lo double, hi double, naive_mae double, naive_mse double")
     r = df.agg(*metrics.metric_aggregates(lower="lo", upper="hi", naive_mae="naive_mae", naive_mse="naive_mse")).first()
-    assert r.mae == 2.75 and r.mse == 8.25 and r.bias == -0.25
-    assert r.wape == pytest.approx(0.11) and r.mape == pytest.approx((0.2 + 0.1 + 0.1 + 0.1) / 4)
-    assert r.mase == pytest.approx(1.375) and r.rmsse == pytest.approx(8.25**0.5 / 2)
-    assert r.coverage == 1.0
-    assert r.pinball == pytest.approx((0.1 * (1 + 3 + 2 + 6) / 4 + 0.1 * (3 + 3 + 5 + 5) / 4) / 2)
-    own = cells.metric_values(*(np.array(x) for x in ([10.0, 20, 30, 40], [12.0, 18, 33, 36], [2.0, 4, 6, 8, 10])))
+    assert r.mae == pytest.approx(7 / 3) and r.mse == 7.0 and r.bias == pytest.approx(-1 / 3)
+    assert r.wape == pytest.approx(7 / 74) and r.mape == pytest.approx((0.25 + 0.25 + 0.02) / 3)
+    assert r.mase == pytest.approx(7 / 6) and r.rmsse == pytest.approx(7**0.5 / 2)
+    assert r.coverage == pytest.approx(2 / 3)
+    assert r.pinball == pytest.approx((0.1 * (2 + 1 + 10) / 3 + (0.1 * 3 + 0.9 * 0.5 + 0.1 * 10) / 3) / 2)
+    own = cells.metric_values(*(np.array(x) for x in ([8.0, 16, 50], [10.0, 12, 51], [1.0, 3, 5, 7])))
     assert own["mase"] == pytest.approx(r.mase) and own["smape"] == pytest.approx(r.smape)
 
 
@@ -139,7 +139,7 @@ def test_model_contract(name):
     assert (q[0.1] <= q[0.5] + 1e-9).all() and (q[0.5] <= q[0.9] + 1e-9).all()
     assert all((q[k] == again[k]).all() for k in q)
     truth = 10 + 30 * (140 + np.arange(14)) / 139 + 4 * np.sin(2 * np.pi * (140 + np.arange(14)) / 7)
-    assert np.abs(q[0.5] - truth).mean() < 4
+    assert np.abs(q[0.5] - truth).mean() < (20 if name == "mean" else 4)
 
 
 def test_structural_fits_all_points_and_long_seasons(monkeypatch):
@@ -220,8 +220,9 @@ def test_config():
 def test_ids():
     assert ids.parse_job_key(ids.job_key("run-1-native-a2", "ml", 3)) == ("run-1-native-a2", "ml", 3)
     assert ids.ensemble_id(["a", "b"], 0.0) == ids.ensemble_id(["b", "a"], 0.0) != ids.ensemble_id(["a"], 0.0)
-    with pytest.raises(ValueError):
-        ids.parse_job_key("sf-x-unknown-a1")
+    for bad in ("job-x-unknown-a1", "job-x-ml-a0", "job-x-ml-a01", "job-x-ml-b1", "other-x-ml-a1", "job-ml-a1", ""):
+        with pytest.raises(ValueError):
+            ids.parse_job_key(bad)
 
 
 def test_dag():
@@ -260,6 +261,8 @@ def test_regressors_and_tuning(spark):
     assert {r.status for r in out.select("status").collect()} == {"ok"} and cells.metadata(out).filter("wape IS NOT NULL AND best_params IS NOT NULL").count() == 2
     with pytest.raises(ConfigError):
         cells.holiday_days(("XX",))
+    own = config.from_dict({"models": ["theta"], "features": {"holidays": ["XX"], "calendars": {"XX": ["2024-02-29"]}}})
+    assert cells.holiday_days(own.features.holidays, own.features.calendars) == {dt.date(2024, 2, 29)}
 
 
 def test_registered_tuning_covers_all_series_and_values(spark, sf):
@@ -330,3 +333,188 @@ def test_older_tables_with_dates_are_read(spark, tmp_path):
 def test_fill_and_limit(spark):
     p = panel(spark, [("b", 0, 1), ("b", 3, 2), ("a", 0, 1)])
     assert P.fill_calendar(p).count() == 5 and [r.ts_id for r in P.series_ids(P.limit_series(p, 1)).collect()] == ["a"]
+
+
+RUN = {"models": ["drift", "mean"], "data": {"horizon": 7}, "backtest": {"enabled": True, "n_folds": 2, "horizon": 7, "step": 7, "min_train": 60}, "ensemble": {"enabled": True, "strategies": ["mean", "inverse_error"]}}
+
+
+def test_artifacts_review_and_snapshot(spark, tmp_path):
+    source = generator.generate_panel(spark, 3, 120).select("ts_id", "ds", "y")
+    f = Forecaster.from_dict({**RUN, "compute": {"persist_models": True}}, spark, f"file://{tmp_path}/registry")
+    f.run(source)
+    rows = {r.forecast_date: r.yhat for r in f.registry.read("forecast_predictions", f.run_id).filter("ts_id = 's_000001' AND model_type = 'drift'").collect()}
+    model = f.load_model("s_000001", "drift")
+    assert model.predict(7)[0.5].tolist() == pytest.approx([rows[k] for k in sorted(rows)]) and f.load_model("s_000009", "drift") is None
+    meta = f.registry.read("forecast_metadata", f.run_id)
+    assert meta.filter("model_artifact IS NULL AND ensemble_id IS NULL").count() == 0 and meta.filter("model_hash IS NULL").count() == 0
+    assert {r.no_artifact_rate for r in f.results().filter("ensemble_id IS NULL").collect()} == {0.0}
+    assert f.snapshot().count() == 360
+    look = f.review()
+    assert look["status"] == "COMPLETED" and look["predictions"]["ensemble_mean"] == 21 and look["errors"] == [] and len(look["models"]) == 4 and look["run"]["runtime_version"] == spark.version
+    assert f.registry.recent_runs().count() == 1 and f.registry.cell_timing(f.run_id, 3).count() == 3
+
+
+def test_microbatch_run_blends_every_series_once(spark, tmp_path):
+    source = generator.generate_panel(spark, 3, 120).select("ts_id", "ds", "y")
+    same = {}
+    for mode in ("barrier", "microbatch"):
+        cfg = {**RUN, "models": ["drift", "lag_ridge"], "run_name": mode, "compute": {"ensemble_mode": mode, "microbatch_interval_s": 1}}
+        f = Forecaster.from_dict(cfg, spark, f"file://{tmp_path}/registry")
+        assert f.run(source) == "COMPLETED"
+        rows = f.registry.read("forecast_predictions", f.run_id).filter("ensemble_id IS NOT NULL").collect()
+        same[mode] = sorted((r.model_type, r.ts_id, r.forecast_date, round(r.yhat, 9)) for r in rows)
+        assert f.results().count() == 4
+    assert len(same["barrier"]) == 42 and same["barrier"] == same["microbatch"]
+
+
+def test_stream_waits_for_all_models(spark, tmp_path):
+    from seriesloom.streaming import ready
+
+    root = f"file://{tmp_path}"
+    rows = lambda m, ids: preds(spark, [(s, m, 1) for s in ids]).coalesce(1).write.mode("append").parquet(f"{root}/in")
+    go = lambda: ready.stream_ensemble(spark, f"{root}/in", f"{root}/out", f"{root}/state", ["a", "b"]).awaitTermination()
+    rows("a", "xy"), go()
+    assert spark.read.schema("ts_id string").parquet(f"{root}/out").count() == 0
+    rows("b", "x"), go()
+    assert [r.ts_id for r in spark.read.parquet(f"{root}/out").collect()] == ["x"]
+    rows("b", "xy"), go()  # x again: it went out already
+    assert sorted(r.ts_id for r in spark.read.parquet(f"{root}/out").collect()) == ["x", "y"]
+
+
+def test_catalog_tables(spark, tmp_path):
+    r = registry.Registry(spark, f"file://{tmp_path}/r")
+    r.create_tables("loom_test")
+    assert {t.name for t in spark.catalog.listTables("loom_test") if not t.isTemporary} == set(registry.TABLES) and r.migrate("loom_test") == []
+    spark.sql("DROP TABLE loom_test.run_jobs")
+    spark.sql(f"CREATE TABLE loom_test.run_jobs (family string, run_id string) USING parquet PARTITIONED BY (run_id) LOCATION '{r.path('run_jobs')}'")
+    assert len(r.migrate("loom_test")) == 9 and r.migrate("loom_test") == []
+    assert set(spark.table("loom_test.run_jobs").columns) == {c.split()[0] for c in registry.TABLES["run_jobs"].split(", ")}
+    r.drop_tables("loom_test")
+    assert not any(not t.isTemporary for t in spark.catalog.listTables("loom_test"))
+    spark.sql("DROP DATABASE loom_test")
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from seriesloom.plans import sdk
+
+    generator.generate_panel(spark, 2, 120).write.parquet(f"{tmp_path}/panel")
+    (tmp_path / "c.json").write_text(json.dumps({**RUN, "data": {"horizon": 7, "source_table": f"file://{tmp_path}/panel"}}))
+    said = lambda *args: (sdk.main([*args, "--registry", f"file://{tmp_path}/r"]), capsys.readouterr().out.strip())[1]
+    assert json.loads(said("--config", f"{tmp_path}/c.json", "--dry-run"))["families"] == ["statistical"]
+    assert said("--config-uri", f"file://{tmp_path}/c.json", "--stage-only") == "2"
+    assert said("--config", f"{tmp_path}/c.json") == "COMPLETED" and said("--config", f"{tmp_path}/c.json", "--strategies", "median") == "COMPLETED"
+    with pytest.raises(ConfigError):
+        sdk.main(["--config-uri", f"file://{tmp_path}/panel", "--registry", "x"])
+
+
+def test_helpers_and_exports(spark):
+    import seriesloom
+
+    panel_ = seriesloom.sample_data(spark, 2, 60)
+    out = seriesloom.run_model(panel_, "seasonal_naive", horizon=3, season=7)
+    assert out.count() == 6 and out.columns[:3] == ["ts_id", "model_type", "forecast_date"]
+    with pytest.raises(EngineError, match="slot"):
+        seriesloom.run_model(panel_, "timesfm")
+    assert set(seriesloom.__all__) == set(dir(seriesloom)) and all(getattr(seriesloom, n) for n in seriesloom.__all__)
+    with pytest.raises(AttributeError):
+        seriesloom.nothing  # noqa: B018
+    assert P.sample_series(panel_, 1).num_rows == 60 and [r.ts_id for r in P.history(panel_).limit(1).collect()] == ["s_000000"]
+    with pytest.raises(ConfigError):
+        P.sample_series(panel_, 10**6)
+
+
+def test_sources_by_name_and_snapshots(spark, tmp_path):
+    path = f"file://{tmp_path}/p"
+    panel(spark, [("a", 0, 1), ("a", 1, 2)]).coalesce(1).write.parquet(path)
+    files = P.snapshot_files(P.resolve(spark, path))
+    panel(spark, [("b", 0, 1)]).coalesce(1).write.mode("append").parquet(path)
+    assert P.resolve(spark, path).count() == 3 and P.read_snapshot(spark, files).count() == 2
+    P.resolve(spark, path).createOrReplaceTempView("named_panel")
+    assert P.resolve(spark, "named_panel").count() == 3
+
+
+def test_unparsed_rows(spark):
+    raw = spark.createDataFrame([("a", "2024-01-01", "1.5"), ("b", "x", "2"), ("c", "2024-01-02", "y"), ("d", "2024-01-03", None)], "k string, day string, v string")
+    assert {(r.ts_id, r.bad_date, r.bad_target) for r in validate.parse_rows(raw, "k", "day", "v").collect()} == {("b", True, False), ("c", False, True)}
+
+
+def test_options_without_effect_are_named(caplog):
+    config.from_dict({"models": ["theta"], "compute": {"read_max_streams": 4, "families": {"ml": {"gpu": 1, "max_parallelism": 3}}}, "features": {"level_shift": True}, "hpo": {"engine": "tpe"}})
+    said = caplog.text
+    assert all(x in said for x in ("read_max_streams", "ml.gpu", "level_shift", "hpo.engine")) and "max_parallelism" not in said
+    cfg = config.from_dict({"models": ["theta"], "compute": {"families": {"ml": {"bucket_target_cells": 2}}}})
+    assert cells.bucket_count(cfg.for_family("ml"), 10) == 5 and cells.bucket_count(cfg.for_family("statistical"), 10) == 2
+
+
+def test_generator_options(spark):
+    plain = {(r.ts_id, r.ds): r for r in generator.generate_panel(spark, 5, 60, start="2023-12-01", exog=True).collect()}
+    busy = {(r.ts_id, r.ds): r for r in generator.generate_panel(spark, 5, 60, start="2023-12-01", exog=True, holiday_effect=True, spike_rate=1.0).collect()}
+    noel = ("s_000000", dt.date(2023, 12, 25))
+    assert busy[noel].y == pytest.approx(plain[noel].y * generator.HOLIDAY * generator.SPIKE, abs=0.01) and plain[noel].price_index == pytest.approx(1 + 0.1 * np.cos(2 * np.pi * 24 / 30))
+    for freq, last in (("W", dt.date(2022, 1, 15)), ("MS", dt.date(2022, 3, 1)), ("ME", dt.date(2022, 3, 31)), ("h", dt.datetime(2022, 1, 1, 2))):
+        assert generator.generate_panel(spark, 1, 3, freq=freq).agg(F.max("ds")).first()[0] == last
+    kinds = {r.archetype: r.sd for r in generator.generate_panel(spark, 10, 400).groupBy("archetype").agg(F.stddev("y").alias("sd")).collect()}
+    assert set(kinds) == set(generator.ARCHETYPES) and all(v > 0 for v in kinds.values())
+    with pytest.raises(ConfigError):
+        generator.generate_panel(spark, 1, freq="Q")
+
+
+def test_seeded_tables(spark, tmp_path):
+    paths = generator.seed_tables(spark, f"file://{tmp_path}", 3, 40)
+    a, b = (sorted(map(tuple, spark.read.format(f).load(p).select("ts_id", "ds", "y", "archetype", "is_holiday").collect())) for f, p in paths.items())
+    assert len(a) == 120 and a == b and sum(r[4] for r in a) == 3 * 2
+    with pytest.raises(Exception, match="exist"):
+        generator.seed_tables(spark, f"file://{tmp_path}", 3, 40)
+    generator.seed_tables(spark, f"file://{tmp_path}", 2, 40, reseed=True)
+    assert spark.read.parquet(paths["parquet"]).count() == 80
+
+
+class FakeTrees:
+    """Stands for a library's regressor: a least-squares fit with the library's surface."""
+
+    def __init__(self, **params):
+        self.params = params
+
+    def fit(self, x, y):
+        self.beta = np.linalg.lstsq(np.column_stack([x, np.ones(len(x))]), y, rcond=None)[0]
+        self.feature_importances_ = np.abs(self.beta[:-1])
+        return self
+
+    def predict(self, x):
+        return np.column_stack([x, np.ones(len(x))]) @ self.beta
+
+
+@pytest.mark.parametrize(("library", "name"), [("lightgbm", "LGBMRegressor"), ("xgboost", "XGBRegressor")])
+def test_plugins_with_a_stub(library, name, monkeypatch):
+    import importlib.machinery
+    import sys
+    import types
+
+    t = np.arange(140)
+    y = 10 + t / 10 + 4 * np.sin(2 * np.pi * t / 7)
+    with pytest.raises(ModelError, match=library):
+        create(library).fit(y)
+    stub = types.ModuleType(library)
+    stub.__spec__ = importlib.machinery.ModuleSpec(library, None)
+    setattr(stub, name, FakeTrees)
+    monkeypatch.setitem(sys.modules, library, stub)
+    m = create(library, max_depth=2).fit(y)
+    assert m.fitted.params["max_depth"] == 2 and m.fitted.params["n_jobs"] == 1
+    assert np.abs(m.predict(7)[0.5] - (10 + (140 + np.arange(7)) / 10 + 4 * np.sin(2 * np.pi * (140 + np.arange(7)) / 7))).mean() < 1
+
+
+def test_tree_weights_with_a_stub(spark, monkeypatch):
+    import sys
+    import types
+
+    rows = [("s", m, DAY + dt.timedelta(d), 0, float(d), float(d * k + d % 3)) for d in range(1, 30) for m, k in (("a", 1), ("b", 3))]
+    oof = spark.createDataFrame(rows, "ts_id string, model_type string, ds date, fold_id int, y double, yhat double")
+    with pytest.raises(EngineError, match="xgboost"):
+        ensemble.blend("xgb", oof, oof, oof, ["a", "b"])
+    stub = types.ModuleType("xgboost")
+    stub.XGBRegressor = FakeTrees
+    monkeypatch.setitem(sys.modules, "xgboost", stub)
+    w = {r.model_type: r.weight for r in ensemble.learned_weights(oof, "xgb", ["a", "b"]).collect()}
+    assert sum(w.values()) == pytest.approx(1) and min(w.values()) >= 0
+    assert ensemble.tree_weights(oof, ["a", "b"], rows=5).sum() == pytest.approx(1)
+    assert ensemble.blend("xgb", oof, oof, oof, ["a", "b"]).count() == 29
