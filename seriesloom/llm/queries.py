@@ -66,4 +66,4 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_suffix_dedup, op2_substring_dedup, op3_media_columns, op4_chat_format, op5_token_output, op6_jaccard_join, op7_weighted_mix, op8_line_dedup, op9_fm_decontaminate, op10_language_id)
 }
-SQL: dict[str, str] = {"op1_suffix_dedup": sql.OP2, "op2_substring_dedup": sql.OP2, "op4_chat_format": sql.OP4, "op6_jaccard_join": sql.OP6, "op7_weighted_mix": sql.op7(mixing.DOMAIN_WEIGHTS, share=0.8, epochs=3, seed=7), "op9_fm_decontaminate": sql.OP9}
+SQL: dict[str, str] = {"op1_suffix_dedup": sql.OP2, "op2_substring_dedup": sql.OP2, "op4_chat_format": sql.OP4, "op6_jaccard_join": sql.OP6, "op7_weighted_mix": sql.op7(mixing.DOMAIN_WEIGHTS, share=0.8, epochs=3, seed=7), "op8_line_dedup": sql.OP8, "op9_fm_decontaminate": sql.OP9}

@@ -73,6 +73,26 @@ SELECT t.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(h.n, 0) AS BIG
 FROM toks t LEFT JOIN hit h ON h.doc_id = t.doc_id LEFT JOIN named m ON m.doc_id = t.doc_id
 """
 
+#: letters beyond ASCII in the tables, each of which the twin of op8 compares as one byte
+LETTERS = "äöüßÄÖÜéèêÉÈÊçÇñÑíÍóÓáÁúÚ"
+_CODES = " || ".join(f"chr({c})" for c in [*range(1, 9), *range(14, 32)][: len(LETTERS)])
+
+OP8 = rf"""
+WITH lines AS (
+  SELECT doc_id, doc_id * 1000000 + n AS place, n, x, translate(x, '{LETTERS}', {_CODES}) AS c, length(x) AS l, regexp_matches(x, '[^\x09-\x0D\x20]') AS inked
+  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS x, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS n FROM documents)),
+firsts AS (SELECT x, any_value(c) AS c, any_value(l) AS l, min(place) AS place FROM lines WHERE inked GROUP BY x),
+long AS (SELECT * FROM firsts WHERE l >= 20),
+near AS (
+  SELECT DISTINCT a.x FROM long a JOIN long b ON b.place < a.place AND abs(a.l - b.l) <= 2
+  WHERE (contains(b.c, left(a.c, a.l // 3)) OR contains(b.c, substr(a.c, a.l // 3 + 1, a.l // 3)) OR contains(b.c, substr(a.c, 2 * (a.l // 3) + 1))) AND levenshtein(a.c, b.c) <= 2),
+judged AS (
+  SELECT t.doc_id, t.n, t.x, t.inked AND (t.place > f.place OR m.x IS NOT NULL) AS gone FROM lines t LEFT JOIN firsts f ON f.x = t.x LEFT JOIN near m ON m.x = t.x)
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (coalesce(gone, false)) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(x, chr(10) ORDER BY n) FILTER (NOT coalesce(gone, false)), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
 
 def op7(weights: dict[tuple[str, ...], float], share: float, epochs: int, seed: int) -> str:
     """The mix of three levels; budgets by the same whole numbers, each leaf's prefix by one running sum."""
@@ -97,7 +117,8 @@ b{d} AS (SELECT {own}, CASE WHEN saturated THEN cap WHEN sharing THEN least(cap,
 WITH given(p1, p2, p3, depth, w) AS (VALUES {paths}),
 docs AS (
   SELECT doc_id, CASE WHEN source = 'src0' THEN 'crawl' WHEN regexp_matches(source, '^src[1-9]$') THEN 'web' ELSE 'curated' END AS domain, coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
-    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS BIGINT) AS n_tokens FROM documents),
+    CAST(len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS BIGINT) AS n_tokens FROM documents),
 leaf AS (SELECT domain, lang, source, sum(n_tokens)::BIGINT AS t FROM docs GROUP BY 1, 2, 3),
 heavy AS (SELECT *, {w[0]} AS w1, {w[1]} AS w2, {w[2]} AS w3 FROM leaf),
 caps AS (SELECT *, t * {epochs} AS cap3, sum(CASE WHEN w3 > 0 THEN t * {epochs} ELSE 0 END) OVER (PARTITION BY domain, lang) AS cap2,
