@@ -218,11 +218,13 @@ def run_against_actuals(spark, d):
     return catalog.rounded(rows.groupBy("ts_id", "model_type").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("mae")), ["mae"])
 
 
-@query()
+@query(f"""WITH {catalog.SCORES} SELECT ts_id, model_type, 'ok' AS status, round(avg(mae), 6) AS mae, round(avg(wape), 6) AS wape, round(avg(mase), 6) AS mase
+  FROM scores WHERE model_type IN ('mean', 'drift') AND fold_id > 0 GROUP BY 1, 2
+UNION ALL SELECT DISTINCT ts_id, 'timesfm', 'error', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM scores""")
 def cell_metadata(spark, d):
-    """Status and fold-averaged metrics of cells, one of them with a model that cannot run here."""
-    out = C.metadata(C.run_cells(catalog.filled(spark, d), _fitted(["theta", "timesfm"]), n_series=3))
-    return out.select("ts_id", "model_type", "status", "mae", "wape", "mase")
+    """Status and fold-averaged metrics of cells, one model of which cannot run here."""
+    out = C.metadata(C.run_cells(catalog.filled(spark, d), _fitted(["mean", "drift", "timesfm"]), n_series=3))
+    return catalog.rounded(out.select("ts_id", "model_type", "status", "mae", "wape", "mase"), ["mae", "wape", "mase"])
 
 
 @query()
@@ -231,7 +233,17 @@ def hpo_fleetwide(spark, d):
     return spark.createDataFrame([(m, config.ids.canonical(p)) for m, p in best.items()], "model_type string, best_params string")
 
 
-@query()
+def _lambda_pass(k: int) -> str:
+    lo, hi = ("-2.0::DOUBLE", "2.0::DOUBLE") if k == 1 else ("lo", "hi")
+    source = "(SELECT unnest(range(17)) AS i)" if k == 1 else f"r{k - 1}, (SELECT unnest(range(17)) AS i)"
+    return f"""
+g{k} AS (SELECT round({lo} + i * ({hi} - {lo}) / 16, 6) AS lam FROM {source}),
+l{k} AS (SELECT ts_id, lam, (lam - 1) * sum(ly) - count(*) / 2.0 * ln(var_pop(CASE WHEN lam = 0 THEN ly ELSE (power(y, lam) - 1) / lam END)) AS llf FROM logs, g{k} GROUP BY 1, 2),
+b{k} AS (SELECT ts_id, max_by(lam, llf) AS lam FROM l{k} GROUP BY 1),
+r{k} AS (SELECT greatest(-2.0::DOUBLE, min(lam) - max(step)) AS lo, least(2.0::DOUBLE, max(lam) + max(step)) AS hi FROM b{k}, (SELECT ({hi} - {lo}) / 16 AS step{"" if k == 1 else f" FROM r{k - 1}"}))"""
+
+
+@query(f"WITH {catalog.PANEL}, logs AS (SELECT ts_id, y, ln(y) AS ly FROM panel WHERE y > 0)," + ",".join(map(_lambda_pass, (1, 2, 3))) + " SELECT ts_id, lam FROM b3")
 def boxcox_lambda_mle(spark, d):
     return transforms.boxcox_lambda(P.as_panel(P.daily_sales(spark, d)).filter("y > 0"))
 
