@@ -28,7 +28,7 @@ from . import textvec as T
 
 U = np.uint64
 #: bytes of text whose pieces are looked up at once
-CHUNK = 3 << 20
+CHUNK = 2 << 20
 #: distinct pieces kept by a worker from chunk to chunk; a chunk with more still has all of its own
 KEPT = 600_000
 
