@@ -123,7 +123,7 @@ def repeated_anchors(ws: X.Workspace, docs: DataFrame, window: int, blocks: int,
         schema = X.block_schema("doc", "pos", "tag", "hot")
         return pa.Table.from_batches([X.padded(X.pack(doc_block(out["doc"], blocks), out), schema), X.padded(X.pack(np.zeros(len(busy), U), {"hot": busy}), schema)])
 
-    found = X.by_block(docs.mapInArrow(emit, X.binary_schema(*FOUND, *KNOWN)), repeats, X.binary_schema("doc", "pos", "tag", "hot"), blocks=blocks)
+    found = X.by_block(docs.mapInArrow(X.giving_back(emit), X.binary_schema(*FOUND, *KNOWN)), repeats, X.binary_schema("doc", "pos", "tag", "hot"), blocks=blocks)
     found = ws.write(f"{name}-found", found)
     ws.write(name, by_document(found.filter("hot IS NULL").drop("hot"), {"pos": np.int32, "tag": np.uint32}, blocks))
     # at most about LISTED values of 8 bytes, see hot_count
@@ -265,4 +265,4 @@ def without_spans(ws: X.Workspace, docs: DataFrame, spans: str, bound: int) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(w.counts.astype(np.int64)), pa.array(lost), text], ["doc_id", "n_words", "n_removed", "text"])
 
     joined = X.attach(ws, docs, spans, how="left", bound=bound).select("doc_id", "text", "start", "end", "tag")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, text string")
+    return joined.mapInArrow(X.giving_back(cut), "doc_id long, n_words long, n_removed long, text string")

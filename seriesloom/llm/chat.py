@@ -22,8 +22,10 @@ control string of its own and `parse` gets the exact texts back.
 
 Defined cases: null text and null role are empty; a null conv_id is a
 conversation of its own; null seq comes first; repeated rows are messages of
-their own; events without an open have an empty role; an empty table gives no
-rows.
+their own, ties of one turn go by role and text; events without an open have an
+empty role; a very long text is one piece, and a conversation's formatted text is
+one value; other columns, whatever their names, are left out; an empty table
+gives no rows.
 """
 
 from __future__ import annotations

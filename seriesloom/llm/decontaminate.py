@@ -101,7 +101,7 @@ def write_phrases(ws: X.Workspace, benchmark: DataFrame, window: int) -> str:
                 yield pa.RecordBatch.from_arrays([pa.array(grams, pa.binary()), pa.array(item, pa.int64())], ["words", "item"])
 
     items = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item"), "text")
-    found = items.mapInArrow(windows, "words binary, item long").groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    found = items.mapInArrow(X.giving_back(windows), "words binary, item long").groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
     found.write.mode("overwrite").option("maxRecordsPerFile", PHRASES).parquet(ws.path("phrases"))
     return ws.path("phrases")
 
@@ -273,7 +273,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, carry
 
     kinds = [Y.LongType(), Y.LongType(), *(Y.ArrayType(t) for t in (Y.IntegerType(), Y.IntegerType(), Y.LongType()))]
     schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + [docs.schema[c] for c in carry])
-    return docs.select("doc_id", "text", *also).mapInArrow(run, schema)
+    return docs.select("doc_id", "text", *also).mapInArrow(X.giving_back(run), schema)
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import os
 import uuid
 from collections.abc import Callable, Iterator
@@ -33,8 +34,26 @@ BLOCK_BYTES = 8 << 20
 BLOCKS_EACH = 16
 
 
-#: Python workers give large arrays back to the system at once: idle workers of an earlier stage count against the executor
-FRUGAL = {"MALLOC_MMAP_THRESHOLD_": str(2 << 20), "MALLOC_TRIM_THRESHOLD_": str(8 << 20), "MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+#: Python workers: few heaps, and Arrow's memory on them
+FRUGAL = {"MALLOC_ARENA_MAX": "2", "ARROW_DEFAULT_MEMORY_POOL": "system"}
+
+
+def give_back() -> None:
+    """Return free memory to the system: idle workers of an earlier stage count against the executor."""
+    with contextlib.suppress(OSError, AttributeError):  # another C library keeps its own ways
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def giving_back(fn: Callable) -> Callable:
+    """fn over a partition's batches, after which the worker returns its free memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from fn(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 def on_workers(spark: SparkSession) -> None:
@@ -192,7 +211,24 @@ def spread(df: DataFrame, blocks: int, key: str = "block") -> DataFrame:
 
 def by_block(df: DataFrame, fn: Callable[[pa.Table], pa.Table], schema: str, key: str = "block", blocks: int = 0) -> DataFrame:
     """fn over all rows of each block; `blocks`, their number, sets that of the tasks."""
-    return spread(df, blocks, key).groupBy(key).applyInArrow(fn, schema)
+
+    def run(table: pa.Table) -> pa.Table:
+        out = fn(table)
+        give_back()
+        return out
+
+    return spread(df, blocks, key).groupBy(key).applyInArrow(run, schema)
+
+
+def both(fn: Callable[[pa.Table, pa.Table], pa.Table]) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """fn over two tables of a group, after which the worker returns its free memory."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        out = fn(left, right)
+        give_back()
+        return out
+
+    return run
 
 
 def components(ws: Workspace, name: str, links: DataFrame, one_task: int = ONE_TASK) -> DataFrame:

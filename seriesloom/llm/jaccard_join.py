@@ -310,7 +310,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bro
     bands, apart = Bands(num, den, docs.count()), np.zeros(0, U)
     while True:
         name = functools.partial(fingerprints, apart=apart, bits=name_bits)
-        found = X.by_block(docs.mapInArrow(emitter(n, bands, blocks, name), MOVED_SQL), bucketer(blocks), FOUND_SQL, blocks=blocks)
+        found = X.by_block(docs.mapInArrow(X.giving_back(emitter(n, bands, blocks, name)), MOVED_SQL), bucketer(blocks), FOUND_SQL, blocks=blocks)
         ws.write("found", found, by=("kind",))
         sets = ws.write("sets", set_rows(ws, blocks))
         twice = sets.filter("clash").select("fp").distinct().toArrow()  # of n sets about n * n / 2**65 names
@@ -644,7 +644,7 @@ def cross_pairs(rows: DataFrame, marks: DataFrame, bands: Bands, blocks: int) ->
         return pa.table({"fa": a[at].view(np.int64), "fb": b[at].view(np.int64), "shared": n})
 
     there = rows.select("block", "fp").distinct().join(marks, "fp").select(F.col("block").alias("place"), F.col("fp").alias("node"), "size", "sketch")
-    found = X.spread(there, blocks, "place").groupBy("place").cogroup(X.spread(rows, blocks).groupBy("block")).applyInArrow(pairs, X.binary_schema("a", "b", "c"))
+    found = X.spread(there, blocks, "place").groupBy("place").cogroup(X.spread(rows, blocks).groupBy("block")).applyInArrow(X.both(pairs), X.binary_schema("a", "b", "c"))
     return X.by_block(found, total, "fa long, fb long, shared long", blocks=blocks)
 
 
@@ -677,7 +677,7 @@ def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, n: int
                     good.append(i)
         return right.select(["a", "b"]).take(pa.array(good, pa.int64()))
 
-    return texts.groupBy("grp").cogroup(pairs.groupBy("grp")).applyInArrow(check, "a long, b long")
+    return texts.groupBy("grp").cogroup(pairs.groupBy("grp")).applyInArrow(X.both(check), "a long, b long")
 
 
 def nameless(docs: DataFrame, n: int) -> DataFrame:
@@ -689,4 +689,4 @@ def nameless(docs: DataFrame, n: int) -> DataFrame:
                 size = np.diff(shingle_sets(buf, offs, n)[1])
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(size), pa.int64()), pa.array(size.astype(np.int64)), pa.nulls(len(size), pa.int64())], ["doc_id", "n_shingles", "component_id"])
 
-    return docs.filter("doc_id IS NULL").select("text").mapInArrow(count, "doc_id long, n_shingles long, component_id long")
+    return docs.filter("doc_id IS NULL").select("text").mapInArrow(X.giving_back(count), "doc_id long, n_shingles long, component_id long")

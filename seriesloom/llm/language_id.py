@@ -185,7 +185,7 @@ def train(docs: DataFrame, per_language: int = 400) -> Model:
                     cols += [pa.array([r.tobytes() for r in slots], pa.binary()), pa.array([r[i].tobytes() for r, i in zip(x, slots, strict=True)], pa.binary())]
                     yield pa.RecordBatch.from_arrays(cols, ["lang", "rank", "slots", "x"])
 
-    sample = some.select("lang", "rank", "text").mapInArrow(count, "lang string, rank long, slots binary, x binary")
+    sample = some.select("lang", "rank", "text").mapInArrow(X.giving_back(count), "lang string, rank long, slots binary, x binary")
     order = Window.partitionBy("lang").orderBy("rank", "slots", "x")
     sample = sample.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= per_language)
 
@@ -194,7 +194,7 @@ def train(docs: DataFrame, per_language: int = 400) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(by_language(batches)))], pa.binary())], ["model"])
 
     one = sample.repartition(1).sortWithinPartitions("lang", "place").select("lang", "slots", "x")
-    found = one.mapInArrow(learn, "model binary").first()  # none of an empty table
+    found = one.mapInArrow(X.giving_back(learn), "model binary").first()  # none of an empty table
     ws.close()
     return pickle.loads(found[0]) if found else fit([])
 
@@ -242,4 +242,4 @@ def identify(docs: DataFrame, model: Model, margin: float = 0.5, carry: tuple[st
 
     kinds = [Y.LongType(), Y.BooleanType(), Y.StringType(), Y.DoubleType(), Y.BooleanType()]
     schema = Y.StructType([Y.StructField(n, k) for n, k in zip(names, kinds, strict=True)] + [docs.schema[c] for c in carry])
-    return docs.select("doc_id", held_out().alias("held_out"), "text", *also).mapInArrow(run, schema)
+    return docs.select("doc_id", held_out().alias("held_out"), "text", *also).mapInArrow(X.giving_back(run), schema)

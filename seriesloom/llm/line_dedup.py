@@ -190,7 +190,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_by
     docs = X.ensure_text(docs)
     ws, blocks = X.Workspace(docs.sparkSession, "lines"), X.blocks_for(docs)
     schema = ", ".join(["block long", *(f"{f.name} binary" for f in list(MOVED)[1:])])
-    ws.write("found", X.by_block(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(emitter(edits, shortest, blocks, local), schema), bucketer(edits, blocks, crowd), FOUND_SQL, blocks=blocks), by=("kind",))
+    ws.write("found", X.by_block(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(X.giving_back(emitter(edits, shortest, blocks, local)), schema), bucketer(edits, blocks, crowd), FOUND_SQL, blocks=blocks), by=("kind",))
     first = ws.read("found", FOUND_SQL)
     fine = first.filter(F.col("kind") == FINER).select("block", *(F.col(x).alias(y) for x, y in zip("abcdef", ROW, strict=True)))
     found = first.filter(F.col("kind") != FINER)
@@ -486,7 +486,7 @@ def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, edits:
                         grps.append(w["grp"]), nodes.append(w["node"]), numbers.append(w["line"]), docs_.append(doc), texts.append(lines[w["line"]])
             yield pa.RecordBatch.from_arrays([*(pa.array(v, pa.int64()) for v in (grps, nodes, docs_, numbers)), pa.array(texts, pa.string())], ["own", "node", "doc", "number", "line"])
 
-    texts = X.attach(ws, docs, f"{name}-need", bound=bound).select("doc_id", F.col("text").cast("binary"), "want").mapInArrow(cut, "own long, node long, doc long, number long, line string")
+    texts = X.attach(ws, docs, f"{name}-need", bound=bound).select("doc_id", F.col("text").cast("binary"), "want").mapInArrow(X.giving_back(cut), "own long, node long, doc long, number long, line string")
 
     def check(left: pa.Table, right: pa.Table) -> pa.Table:
         # a repeated doc_id can bring a line of another text: its hash tells
@@ -502,7 +502,7 @@ def verify(ws: X.Workspace, docs: DataFrame, pairs: DataFrame, name: str, edits:
             good[at] = within([xs[i] for i in at], [ys[i] for i in at], edits)
         return right.select(["a", "b", "doc_a", "line_a"]).filter(pa.array(good))
 
-    return texts.groupBy("own").cogroup(pairs.groupBy("grp")).applyInArrow(check, "a long, b long, doc_a long, line_a int")
+    return texts.groupBy("own").cogroup(pairs.groupBy("grp")).applyInArrow(X.both(check), "a long, b long, doc_a long, line_a int")
 
 
 def _hash(line: str) -> int:
@@ -536,7 +536,7 @@ def without_lines(ws: X.Workspace, docs: DataFrame, bound: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(count.astype(np.int64)), pa.array(lost), pa.array(texts, pa.string())], ["doc_id", "n_lines", "n_removed", "text"])
 
     joined = X.attach(ws, docs, "gone", how="left", bound=bound).select("doc_id", F.col("text").cast("binary"), "line", "tag")
-    return joined.mapInArrow(drop, "doc_id long, n_lines long, n_removed long, text string")
+    return joined.mapInArrow(X.giving_back(drop), "doc_id long, n_lines long, n_removed long, text string")
 
 
 def digest(out: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def write_archives(docs: DataFrame, uri: str, archive_bytes: int = ARCHIVE_BYTES
         if state.get("zip"):
             yield end()
 
-    return X.ensure_text(docs).mapInArrow(run, "archive string, members long, bytes long")
+    return X.ensure_text(docs).mapInArrow(X.giving_back(run), "archive string, members long, bytes long")
 
 
 class _Counted(io.RawIOBase):
@@ -343,4 +343,4 @@ def digest(media: DataFrame) -> DataFrame:
             cols = zip(*out, strict=True) if out else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    return media.mapInArrow(run, DIGEST)
+    return media.mapInArrow(X.giving_back(run), DIGEST)

@@ -125,7 +125,7 @@ def windows_of(ws: X.Workspace, docs: DataFrame, window: int, blocks: int, busy:
         return pa.Table.from_batches([X.pack(A.doc_block(out["doc"], blocks), out)])
 
     cols = ["doc_id", "text", *(("pos", "tag") if anchored else ("start", "tag", "end"))]
-    moved = docs.select(*cols).mapInArrow(emit, X.binary_schema(*cold, *A.WINDOWS, *A.SETTLED))
+    moved = docs.select(*cols).mapInArrow(X.giving_back(emit), X.binary_schema(*cold, *A.WINDOWS, *A.SETTLED))
     found = X.by_block(moved, judge, X.binary_schema("doc", "start", "end", "tag"), blocks=blocks)
     return A.by_document(found, {"start": np.int32, "end": np.int32, "tag": np.uint32}, blocks, joined=0 if last else window)
 

@@ -95,7 +95,7 @@ def neighbours(docs: DataFrame, window: int, blocks: int, busy: np.ndarray) -> D
         out = {k: np.concatenate([v, apart[k]]) for k, v in matches(c, half, window).items()}
         return pa.Table.from_batches([X.pack(A.doc_block(out["doc"], blocks), out)])
 
-    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(emit, X.binary_schema(*kinds, *A.WINDOWS, *A.SETTLED))
+    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(X.giving_back(emit), X.binary_schema(*kinds, *A.WINDOWS, *A.SETTLED))
     return A.by_document(X.by_block(moved, compare, X.binary_schema("doc", "start", "end", "tag"), blocks=blocks), {"start": np.int32, "end": np.int32, "tag": np.uint32}, blocks)
 
 

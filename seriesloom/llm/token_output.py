@@ -52,7 +52,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
     plain = ws.write("plain", tokenized(docs, tokenizer, end_id, segment))
     files = ws.write("files", plain.groupBy(F.input_file_name().alias("file")).agg(F.min("part").alias("part"), F.sum("n_ids").alias("n")))
     tasks = max(1, files.count())  # one file each
-    ws.write("counts", plain.filter("counts IS NOT NULL").select("counts").mapInArrow(counted, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")))
+    ws.write("counts", plain.filter("counts IS NOT NULL").select("counts").mapInArrow(X.giving_back(counted), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")))
     ws.read("counts").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
     freq = read_table(spark, path)
     names, kinds = [c.split()[0] for c in FILES.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
@@ -70,7 +70,7 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
     runs = runs.select("run", (F.sum("n").over(Window.orderBy("run")) - F.col("n")).alias("base"))  # a row for RUN parts
     own = F.sum("n").over(Window.partitionBy("run").orderBy("part")) - F.col("n")
     placed = files.withColumn("run", F.expr(f"part div {RUN}")).withColumn("own", own).join(runs, "run").select("file", (F.col("base") + F.col("own")).alias("first"))
-    placed.repartition(tasks).mapInArrow(code, FILES).write.mode("overwrite").option("compression", "none").parquet(f"{path}/segments")
+    placed.repartition(tasks).mapInArrow(X.giving_back(code), FILES).write.mode("overwrite").option("compression", "none").parquet(f"{path}/segments")
     ws.close()
 
 
@@ -123,7 +123,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, segment: int) -> Dat
 
     order = ["doc_id", F.xxhash64("text")]
     ordered = X.ensure_text(docs).repartitionByRange(X.blocks_for(docs, 2 * X.BLOCK_BYTES), *order).sortWithinPartitions(*order)
-    return ordered.mapInArrow(run, PLAIN)
+    return ordered.mapInArrow(X.giving_back(run), PLAIN)
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +169,7 @@ def _decoded(spark: SparkSession, path: str, with_ids: bool) -> DataFrame:
                 )
 
     cols = "doc_id long, start long, n_tokens long, " + ("ids binary" if with_ids else "ids_crc32 long")
-    return spark.read.schema(FILES).parquet(f"{path}/segments").select("first", "docs", "known", "sizes", "ids").mapInArrow(run, cols)
+    return spark.read.schema(FILES).parquet(f"{path}/segments").select("first", "docs", "known", "sizes", "ids").mapInArrow(X.giving_back(run), cols)
 
 
 def token_table(docs: DataFrame, tokenizer: str, end_id: int = 0) -> DataFrame:

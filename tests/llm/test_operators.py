@@ -311,6 +311,9 @@ def test_chat_rows(spark):
     assert got[1].n_turns == 4 and got[1].turns_sha256 == sha("".join(f"{r}\n{t}\n" for r, t in turns))
     assert got[2].loss_chars == 5000 and got[2].loss_sha256 == sha("é" * 5000) and got[None].loss_sha256 == sha("")
     assert chat.format_chat(chat.events_of_rows(df.limit(0))).count() == 0
+    more = df.withColumns({c: F.lit("x") for c in ("n", "e", "k", "seq", "message", "kind", "log", "place", "body", "piece", "start", "formatted")})
+    again = {r.conv_id: r for r in chat.digest(chat.format_chat(chat.events_of_rows(more))).collect()}
+    assert again == got  # other columns, whatever their names, are left out
 
 
 def test_rans():
