@@ -13,6 +13,10 @@ def duplicates(panel: DataFrame) -> DataFrame:
     return panel.groupBy("ts_id", "ds").agg(F.count("*").alias("n")).filter("n > 1")
 
 
+def undated(panel: DataFrame) -> DataFrame:
+    return panel.filter("ds IS NULL")
+
+
 def off_grid(panel: DataFrame, freq: str = "D") -> DataFrame:
     """Points that no step from the series' first point reaches."""
     return panel.select("ts_id", "ds").join(grid(panel, freq), ["ts_id", "ds"], "leftanti")
@@ -54,7 +58,7 @@ def validate_panel(panel: DataFrame, freq: str = "D", least: int = 2) -> DataFra
     missing = {"ts_id", "ds", "y"} - set(panel.columns)
     if missing:
         raise PanelError(f"missing columns: {', '.join(sorted(missing))}")
-    checks = ((panel.filter("ds IS NULL"), "a date that is null"), (duplicates(panel), "a repeated date"), (off_grid(panel, freq), "a date off its grid"), (gaps(panel, freq), "a gap"), (short_series(panel, least), f"fewer than {least} points"))
+    checks = ((undated(panel), "a date that is null"), (duplicates(panel), "a repeated date"), (off_grid(panel, freq), "a date off its grid"), (gaps(panel, freq), "a gap"), (short_series(panel, least), f"fewer than {least} points"))
     for found, what in checks:
         if row := found.orderBy("ts_id").select("ts_id").first():
             raise PanelError(f"series {row[0]!r} has {what}")

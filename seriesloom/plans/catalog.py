@@ -158,6 +158,57 @@ def panel_report(spark, d):
     return validate.report(P.as_panel(P.daily_sales(spark, d)))
 
 
+@query("SELECT l_returnflag AS ts_id, CAST(l_shipdate AS DATE) AS ds, l_quantity AS y FROM lineitem")
+def panel_by_path(spark, d):
+    """A source named by its path, under its roles."""
+    return P.as_panel(P.resolve(spark, f"{d}/lineitem.parquet"), "l_returnflag", "l_shipdate", "l_quantity")
+
+
+@query("SELECT l_returnflag AS ts_id, CAST(l_shipdate AS DATE) AS ds, l_quantity AS y FROM lineitem")
+def panel_snapshot(spark, d):
+    """The same from the recorded list of its files."""
+    files = P.snapshot_files(P.resolve(spark, f"{d}/lineitem.parquet"))
+    return P.as_panel(P.read_snapshot(spark, files), "l_returnflag", "l_shipdate", "l_quantity")
+
+
+@query(f"WITH {PANEL} SELECT ts_id, ds, y FROM panel")
+def panel_history(spark, d):
+    """All points, by series and date."""
+    return P.history(P.as_panel(P.daily_sales(spark, d)))
+
+
+@query(f"WITH {PANEL} SELECT ts_id, ds, y FROM panel WHERE ts_id = (SELECT min(ts_id) FROM panel)")
+def panel_sample(spark, d):
+    """The first series as it reaches the driver."""
+    return spark.createDataFrame(P.sample_series(P.as_panel(P.daily_sales(spark, d)), 1))
+
+
+@query(f"WITH {FILLED}, e AS (SELECT ts_id, count(*) AS n, min(ds) AS lo, max(ds) AS hi FROM filled GROUP BY 1) SELECT count(*) AS n_series, CAST(sum(n) AS BIGINT) AS n_rows, min(lo) AS first_ds, max(hi) AS last_ds, min(n) AS min_history FROM e")
+def validate_whole_panel(spark, d):
+    """All checks in order, on a panel that passes them."""
+    return validate.validate_panel(filled(spark, d), "D", validate.required_history(28, {"min_train": 365, "horizon": 28, "n_folds": 3, "step": 28}))
+
+
+RAW = "raw AS (SELECT CAST(event_id AS VARCHAR) AS k, CASE WHEN event_id % 7 = 0 THEN 'day ' || event_type ELSE CAST(CAST(ts AS DATE) AS VARCHAR) END AS day, CASE WHEN event_id % 5 = 0 THEN event_type WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id AS VARCHAR) END AS v FROM events)"
+
+
+@query(f"WITH {RAW} SELECT k AS ts_id, TRY_CAST(day AS TIMESTAMP) IS NULL AS bad_date, v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL AS bad_target FROM raw WHERE TRY_CAST(day AS TIMESTAMP) IS NULL OR (v IS NOT NULL AND TRY_CAST(v AS DOUBLE) IS NULL)")
+def validate_unparsed(spark, d):
+    """Rows whose date or number does not parse."""
+    e = F.col("event_id")
+    day = F.when(e % 7 == 0, F.concat(F.lit("day "), "event_type")).otherwise(F.to_date("ts").cast("string"))
+    v = F.when(e % 5 == 0, F.col("event_type")).when(e % 11 == 0, None).otherwise(e.cast("string"))
+    return validate.parse_rows(P.load(spark, d, "events").select(e.cast("string").alias("k"), day.alias("day"), v.alias("v")), "k", "day", "v")
+
+
+@query("SELECT n_name AS ts_id FROM nation WHERE n_nationkey % 2 = 0")
+def validate_null_dates(spark, d):
+    """Points without a date."""
+    n = P.load(spark, d, "nation")
+    panel = n.select(F.col("n_name").alias("ts_id"), F.when(F.col("n_nationkey") % 2 == 1, F.lit("2024-01-01").cast("date")).alias("ds"), F.lit(1.0).alias("y"))
+    return validate.undated(panel).select("ts_id")
+
+
 # --- features and transforms -----------------------------------------------------
 @query(f"WITH {FILLED} SELECT ts_id, ds, y, CAST(isodow(ds) - 1 AS INTEGER) AS dow, CAST(day(ds) AS INTEGER) AS dom, CAST(month(ds) AS INTEGER) AS month, CAST(dayofyear(ds) AS INTEGER) AS doy FROM filled")
 def calendar_features(spark, d):
@@ -194,6 +245,13 @@ def holiday_flag(spark, d):
     return holidays.flag(filled(spark, d), holidays.holiday_frame(spark, ["US"])).select("ts_id", "ds", "y", "is_holiday")
 
 
+@query(f"WITH {HOLIDAYS} SELECT ds, holiday FROM hol UNION ALL SELECT DISTINCT CAST(o_orderdate AS DATE), 'order day' FROM orders WHERE o_orderkey % 1000 = 1")
+def holiday_calendars(spark, d):
+    """A country by rule, and one from a table."""
+    own = P.load(spark, d, "orders").filter("o_orderkey % 1000 = 1").select(F.to_date("o_orderdate").alias("ds"), F.lit("order day").alias("holiday")).distinct()
+    return holidays.holiday_frame(spark, ["US", "XX"], {"XX": own})
+
+
 @query(f"WITH {HOLIDAYS} SELECT holiday, ds AS \"of\", CAST(ds + k AS DATE) AS ds FROM hol, (VALUES (-1), (0), (1)) v(k)")
 def holiday_windows(spark, d):
     return holidays.windows(holidays.holiday_frame(spark, ["US"]))

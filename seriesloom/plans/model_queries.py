@@ -15,7 +15,7 @@ from ..operators import cells as C
 from ..sources import generator
 from ..sources import panel as P
 from ..sources import workers as sources
-from . import catalog, config, sdk
+from . import catalog, config, dag, ids, sdk
 
 query = catalog.query
 
@@ -265,6 +265,58 @@ def bucket_plan(spark, d):
     return spark.createDataFrame(rows, "n_series long, buckets int")
 
 
+@query("SELECT c_custkey AS n_series, CAST(least(512, greatest(1, ceil(c_custkey * 100 / 2000.0))) AS INTEGER) AS tasks FROM customer")
+def generator_plan(spark, d):
+    """Tasks of the generator by the number of series."""
+    rows = [(r.n, generator.partitions_for(100 * r.n)) for r in P.load(spark, d, "customer").select(F.col("c_custkey").alias("n")).toLocalIterator()]
+    return spark.createDataFrame(rows, "n_series long, tasks int")
+
+
+@query("SELECT 'statistical' AS node, CAST(NULL AS VARCHAR) AS waits_for UNION ALL SELECT 'ml', NULL UNION ALL SELECT 'native', NULL UNION ALL SELECT 'ensemble', unnest(['statistical', 'ml', 'native'])")
+def run_dag(spark, d):
+    """The jobs of a plan, and what each waits for."""
+    cfg = config.from_dict({"models": ["theta", "lag_ridge", "arima_plus", "mean"], "ensemble": {"enabled": True}})
+    rows = [(node, w) for node, waits in dag.plan_dag(cfg).nodes() for w in (waits or (None,))]
+    return spark.createDataFrame(rows, "node string, waits_for string")
+
+
+@query("""SELECT r_name, regexp_replace(lower(r_name), '[^a-z0-9]+', '-', 'g') || '-' || substr(sha256('{"of":"' || r_name || '"}'), 1, 12) AS run_id,
+  'job-' || regexp_replace(lower(r_name), '[^a-z0-9]+', '-', 'g') || '-ml-a' || CAST(r_regionkey + 1 AS VARCHAR) AS job,
+  substr(sha256('{"prune_threshold":0.5,"strategies":["' || least(r_name, 'MEAN') || '","' || greatest(r_name, 'MEAN') || '"]}'), 1, 12) AS ensemble_id FROM region""")
+def run_ids(spark, d):
+    """Identities of runs, jobs and ensembles, and back."""
+    rows = []
+    for r in P.load(spark, d, "region").select("r_name", "r_regionkey").toLocalIterator():
+        job = ids.job_key(ids.slug(r.r_name), "ml", r.r_regionkey + 1)
+        run, family, attempt = ids.parse_job_key(job)
+        rows.append((r.r_name, ids.run_id(r.r_name, {"of": r.r_name}), ids.job_key(run, family, attempt), ids.ensemble_id([r.r_name, "MEAN"], 0.5)))
+    return spark.createDataFrame(rows, "r_name string, run_id string, job string, ensemble_id string")
+
+
+@query(f"WITH {NUMBERED}, w AS (SELECT ts_id, avg(y) AS m, stddev_pop(y) AS s, max(ds) AS last FROM placed GROUP BY 1) SELECT ts_id, CAST(last + CAST(k AS INTEGER) AS TIMESTAMP) AS forecast_date, q, round(m + z * s, 6) AS v FROM w, (SELECT unnest(range(1, 29)) AS k) h, (VALUES ('0.1', -1.2815515655446008::DOUBLE), ('0.5', 0.0::DOUBLE), ('0.9', 1.2815515655446008::DOUBLE)) z(q, z)")
+def run_quantiles(spark, d):
+    """The stored quantiles of one model, as a map."""
+    f = finished(spark, d)
+    rows = f.registry.read("forecast_predictions", f.run_id).filter("model_type = 'mean'")
+    return catalog.rounded(rows.select("ts_id", "forecast_date", F.explode(F.from_json("quantiles", "map<string,double>")).alias("q", "v")), ["v"])
+
+
+@query("SELECT DISTINCT l_returnflag AS ts_id, model_type, true AS timed FROM lineitem, (VALUES ('seasonal_naive'), ('mean'), ('drift'), ('linear_trend'), ('ensemble_mean'), ('ensemble_median'), ('ensemble_inverse_error')) v(model_type)")
+def run_cell_timing(spark, d):
+    """The report of a run's cells by start; an ensemble's rows have none."""
+    f = finished(spark, d)
+    timed = (F.col("cell_ended_at") >= F.col("cell_started_at")) | F.col("ensemble_id").isNotNull()
+    return f.registry.cell_timing(f.run_id).select("ts_id", "model_type", timed.alias("timed"))
+
+
+@query("SELECT 'statistical' AS family, 1 AS again, 2 AS forced UNION ALL SELECT 'ml', 1, 1")
+def run_attempts(spark, d):
+    """The next attempt of a job that ran, and of one that did not, as it is and forced."""
+    f = finished(spark, d)
+    rows = [(x, f.registry.next_attempt(f.run_id, x), f.registry.next_attempt(f.run_id, x, True)) for x in ("statistical", "ml")]
+    return spark.createDataFrame(rows, "family string, again int, forced int")
+
+
 def _season_sql(m: int) -> str:
     return f"SELECT {m} AS m, v.ts_id, v.fold_id, sum(abs(t.y - v.y)) / sum(abs(v.y)) AS wape FROM val v JOIN train t ON t.ts_id = v.ts_id AND t.fold_id = v.fold_id AND t.step = (v.step - 1) % {m} - {m - 1} GROUP BY 2, 3"
 
