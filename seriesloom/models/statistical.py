@@ -176,14 +176,15 @@ class _Css:
 
 @register
 class Sarimax(Model):
-    """(p, d, q) with a seasonal (0, 1, 1) if there are two seasons; the tuned order is used."""
+    """(p, d, q) with a seasonal (P, D, Q), as a rule (0, 1, 1), if there are two seasons; the tuned order is used."""
 
     name, supports_exog, least = "sarimax", True, 3
 
     def _fit(self, y, x):
         order = (self.params.get("p", 1), self.params.get("d", 1), self.params.get("q", 1))
         seasonal = len(y) >= 2 * self.period + 2 and self.period > 1
-        self.fitted = _Css(y, order, (0, 1, 1) if seasonal else (0, 0, 0), self.period if seasonal else 1, x)
+        by_season = (self.params.get("P", 0), self.params.get("D", 1), self.params.get("Q", 1))
+        self.fitted = _Css(y, order, by_season if seasonal else (0, 0, 0), self.period if seasonal else 1, x)
 
     def _forecast(self, h, x):
         return self.fitted.forecast(h, x)
