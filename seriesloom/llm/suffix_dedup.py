@@ -10,12 +10,19 @@ words leftwards with that of the rest rightwards, so extending to all k finds
 every earlier document with such a window, in two sorts for a block.
 
 What an anchor's matches of `window` words or more with documents of smaller
-doc_id cover is removed; the earliest copy stays.  Suffixes whose half window is
-hot are dealt and compared by whole windows.
+doc_id cover is removed; the earliest copy stays.
+
+A half window can be hot (see `anchors`).  Two suffixes that match around a hot
+one share half the other words of a window to its right or to its left, so each
+is dealt twice, with those to the right and with those to the left, and sorted in
+that order like the others.  Of suffixes of a batch that agree in all their words
+only the earliest document's goes on; the others' matches are found right there.
 
 Defined cases: null texts have no words; a null doc_id is kept whole and judges
 nothing; repeated doc_ids never remove from each other; texts shorter than a
-window stay.  Output columns: doc_id, n_words, n_removed, text.
+window stay; very long texts are whole; an empty table gives no rows; other
+columns, whatever their names, are left out.  Output: doc_id, n_words, n_removed,
+text.
 """
 
 from __future__ import annotations
@@ -62,7 +69,7 @@ def neighbours(docs: DataFrame, window: int, blocks: int, busy: np.ndarray) -> D
     half = window // 2
     side = window - half
     kinds = {"sig": U, "doc": np.int64, "pos": np.int32, "tag": np.uint32, "after": np.uint32, "before": np.uint32}
-    schema = X.block_schema(*kinds, *A.WINDOWS, *A.SETTLED)
+    schema = X.block_schema(*kinds, *A.SETTLED)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,7 +77,7 @@ def neighbours(docs: DataFrame, window: int, blocks: int, busy: np.ndarray) -> D
             pos, row = A.listed(batch.column(2), np.int32)
             tag, _ = A.listed(batch.column(3), np.uint32)
             for lo, hi, buf, offs in T.chunks(batch.column(1)):
-                w = T.words(buf, offs, T.SPACED, lanes=2 if len(busy) else 1)
+                w = T.words(buf, offs, T.SPACED)
                 i, j = np.searchsorted(row, [lo, hi])
                 doc, own = row[i:j] - lo, A.tags(w)
                 mine = tag[i:j] == own[doc]
@@ -78,27 +85,52 @@ def neighbours(docs: DataFrame, window: int, blocks: int, busy: np.ndarray) -> D
                 at = w.offs[doc] + pos[i:j][mine]
                 if not len(at):
                     continue
-                sig = T.grams(w.hashes[0], half)[at]
-                if len(busy):
-                    apart = A.among(sig, busy)
-                    first = at[apart][:, None] - np.arange(side + 1)
-                    inside = (first >= w.offs[doc[apart]][:, None]) & (first + window <= w.offs[doc[apart] + 1][:, None])
-                    yield from A.deal_windows(w, np.unique(first[inside]), ids[lo:hi], own, window, blocks, schema)
-                    doc, at, sig = doc[~apart], at[~apart], sig[~apart]
                 short = np.maximum((w.hashes[0] >> U(32)).astype(np.uint32), np.uint32(1))
                 after, before = around(short, doc, at + half, 1, side, w.offs), around(short, doc, at - 1, -1, side, w.offs)
-                yield X.padded(X.pack((sig >> U(32)) % U(blocks), {"sig": sig, "doc": ids[lo + doc], "pos": (at - w.offs[doc]).astype(np.int32), "tag": own[doc], "after": after, "before": before}), schema)
+                c = {"sig": T.grams(w.hashes[0], half)[at], "doc": ids[lo + doc], "pos": (at - w.offs[doc]).astype(np.int32), "tag": own[doc], "after": after, "before": before}
+                hot = A.among(c["sig"], busy)
+                if hot.any():
+                    some = {k: v[hot] for k, v in c.items()}
+                    out = matches(some, half, window)
+                    yield X.padded(X.pack(A.doc_block(out["doc"], blocks), dict(zip(A.SETTLED, out.values(), strict=True))), schema)
+                    both = halves(first_of_each(some), side)
+                    c = {k: np.concatenate([v[~hot], both[k]]) for k, v in c.items()}
+                yield X.padded(X.pack((c["sig"] >> U(32)) % U(blocks), c), schema)
 
     def compare(table: pa.Table) -> pa.Table:
-        c, apart = X.unpack(table, kinds), A.judge_windows(table, window)
+        c, settled = X.unpack(table, kinds), X.unpack(table, A.SETTLED)
         c["after"], c["before"] = c["after"].reshape(-1, side), c["before"].reshape(-1, side)
-        out = {k: np.concatenate([v, apart[k]]) for k, v in matches(c, half, window).items()}
+        out = {k: np.concatenate([v, settled[f"{k}_s"]]) for k, v in matches(c, half, window).items()}
         return pa.Table.from_batches([X.pack(A.doc_block(out["doc"], blocks), out)])
 
-    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(X.giving_back(emit), X.binary_schema(*kinds, *A.WINDOWS, *A.SETTLED))
+    moved = docs.select("doc_id", "text", "pos", "tag").mapInArrow(X.giving_back(emit), X.binary_schema(*kinds, *A.SETTLED))
     return A.by_document(X.by_block(moved, compare, X.binary_schema("doc", "start", "end", "tag"), blocks=blocks), {"start": np.int32, "end": np.int32, "tag": np.uint32}, blocks)
 
 
+def folded(side: np.ndarray, words: int, salt: int) -> np.ndarray:
+    """A hash of the first words of each row."""
+    values = (side[:, :words].astype(U) + U(salt)) * T.splitmix(41, words)
+    return T.mix(values.sum(1, dtype=U) + U(salt))
+
+
+def halves(c: dict[str, np.ndarray], side: int) -> dict[str, np.ndarray]:
+    """Each suffix under two finer signatures: with the next words, and with the words before."""
+    words = side // 2
+    sig = np.concatenate([T.mix(c["sig"] ^ folded(c[k], words, salt)) for k, salt in (("after", 1), ("before", 2))])
+    return {k: np.concatenate([v, v]) for k, v in c.items()} | {"sig": sig}
+
+
+def first_of_each(c: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """Of suffixes that agree in all their words, those of the earliest document."""
+    n, width = c["after"].shape
+    key = np.empty((n, 8 + 8 * width), np.uint8)
+    key[:, :8] = c["sig"].view(np.uint8).reshape(n, 8)
+    key[:, 8:] = np.hstack([c["after"], c["before"]]).view(np.uint8).reshape(n, -1)
+    _, same = np.unique(key.view(f"V{key.shape[1]}").ravel(), return_inverse=True)
+    keep = c["doc"] == A.earliest(c["doc"], same)
+    return {k: v[keep] for k, v in c.items()}
+
+
 def sorted_suffixes(sig: np.ndarray, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(suffix order: the shared first half window, then word by word; words each has in common with the one before it there, -1 if not even the first)."""
     n, width = side.shape

@@ -94,6 +94,20 @@ def test_levels(window, first, bound, hot, rows, docs):
     assert len(got) == len(rows) + 2 and all(tuple(r)[1:] == want[r.doc_id] for r in got if r.doc_id is not None)
 
 
+def test_hot_suffixes_meet():
+    """Any two suffixes that match over a window share one of their two finer signatures."""
+    rng = np.random.default_rng(3)
+    for window in (4, 7, 50):
+        half = window // 2
+        side = window - half
+        for k in range(side + 1):  # k words to the left agree, side - k to the right
+            a, b = (rng.integers(1, 2**32, (2, side), dtype=np.uint32) for _ in range(2))
+            b[0, : side - k], b[1, :k] = a[0, : side - k], a[1, :k]
+            c = {"sig": np.full(2, 5, np.uint64), "after": np.stack([a[0], b[0]]), "before": np.stack([a[1], b[1]])}
+            sig = suffix_dedup.halves(c, side)["sig"]
+            assert sig[0] == sig[1] or sig[2] == sig[3]
+
+
 def test_kept_bytes_and_chunks():
     texts = pa.array(["a  b c", None, "", " x\ny ", "z"])
     buf, offs = textvec.flatten(texts)
