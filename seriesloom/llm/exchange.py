@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 64 << 20
 #: input bytes for each block of an exchange
 BLOCK_BYTES = 8 << 20
-#: blocks that one task takes one after the other, about
-BLOCKS_EACH = 16
+#: blocks that one task takes one after the other, about, and tasks that write a table, at least
+BLOCKS_EACH, FEWEST = 16, 8
 
 
 #: Python workers: few heaps, and Arrow's memory on them
@@ -86,11 +86,15 @@ class Workspace:
     """Written tables of one call of an operator.
 
     What an operator returns reads them when it is evaluated, so they stay until
-    `close`, or until the driver's process ends.
+    `close`, or until the driver's process ends.  With the input `docs` given, a
+    table is written by one task for each block of the input at most (and some at
+    least), so that many small partitions do not become as many files.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, docs: DataFrame | None = None):
         on_workers(spark)
+        size = estimated(docs) if docs is not None else None
+        self.tasks = None if size is None else max(FEWEST, -(-size // BLOCK_BYTES))
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
@@ -99,7 +103,7 @@ class Workspace:
 
     def write(self, name: str, df: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         """Write df, and return what reads it back."""
-        w = df.write.mode("overwrite")
+        w = (df.coalesce(self.tasks) if self.tasks else df).write.mode("overwrite")
         (w.partitionBy(*by) if by else w).option("compression", "zstd").parquet(self.path(name))
         return self.read(name, df.schema)
 
@@ -131,13 +135,17 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def blocks_for(df: DataFrame, bytes_each: int = BLOCK_BYTES) -> int:
-    """Blocks for an exchange: in proportion to the input, by Spark's own size estimate."""
+def estimated(df: DataFrame) -> int | None:
+    """Spark's own estimate of a frame's bytes; None for frames made from driver rows."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size <= 1 << 60 else None
+
+
+def blocks_for(df: DataFrame, bytes_each: int = BLOCK_BYTES) -> int:
+    """Blocks for an exchange: in proportion to the input."""
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if size > 1 << 60:  # no estimate, as for frames made from driver rows
-        return least
-    return max(least, -(-size // bytes_each))
+    size = estimated(df)
+    return least if size is None else max(least, -(-size // bytes_each))
 
 
 def attach(ws: Workspace, docs: DataFrame, name: str, key: str = "doc_id", how: str = "inner", bound: int = BROADCAST_BYTES) -> DataFrame:

@@ -306,7 +306,7 @@ def jaccard_join(docs: DataFrame, n: int = 4, num: int = 85, den: int = 100, bro
         raise ValueError("the threshold must be in (0, 1]")
     docs = X.ensure_text(docs)
     spark = docs.sparkSession
-    ws, blocks = X.Workspace(spark, "jaccard"), X.blocks_for(docs)
+    ws, blocks = X.Workspace(spark, "jaccard", docs), X.blocks_for(docs)
     bands, apart = Bands(num, den, docs.count()), np.zeros(0, U)
     while True:
         name = functools.partial(fingerprints, apart=apart, bits=name_bits)

@@ -168,7 +168,7 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, per_language: int = 400) -> Model:
     """Fit on the bounded sample of labelled rows that are not held out."""
-    ws = X.Workspace(docs.sparkSession, "language")
+    ws = X.Workspace(docs.sparkSession, "language", docs)
     known = docs.select("doc_id", "lang", "text").filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
     bound = F.when(F.col("n") > SLACK * per_language, (F.lit(float(SLACK * per_language)) / F.col("n") - 0.5) * 2.0**64).otherwise(F.lit(2.0**64))
     ws.write("bounds", known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", bound.alias("bound")))

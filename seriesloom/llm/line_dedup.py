@@ -188,7 +188,7 @@ def line_dedup(docs: DataFrame, edits: int = 2, shortest: int = 20, broadcast_by
     if not 1 <= edits <= 20 or shortest <= 2 * edits:
         raise ValueError("edits must be 1 to 20, and shortest more than twice that")
     docs = X.ensure_text(docs)
-    ws, blocks = X.Workspace(docs.sparkSession, "lines"), X.blocks_for(docs)
+    ws, blocks = X.Workspace(docs.sparkSession, "lines", docs), X.blocks_for(docs)
     schema = ", ".join(["block long", *(f"{f.name} binary" for f in list(MOVED)[1:])])
     ws.write("found", X.by_block(docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(X.giving_back(emitter(edits, shortest, blocks, local)), schema), bucketer(edits, blocks, crowd), FOUND_SQL, blocks=blocks), by=("kind",))
     first = ws.read("found", FOUND_SQL)

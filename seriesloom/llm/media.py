@@ -303,7 +303,7 @@ def member(handle: pa.NativeFile, offset: int, size: int, crc: int) -> bytes:
 def media_table(docs: DataFrame) -> DataFrame:
     """Store every row's text, and read the archives back: doc_id, n_bytes, media."""
     spark = docs.sparkSession
-    ws = X.Workspace(spark, "media")
+    ws = X.Workspace(spark, "media", docs)
     uri = ws.path("archives")
     ws.write("manifest", write_archives(docs, uri))
     return read_media(spark, uri, ws.path("manifest")).selectExpr(

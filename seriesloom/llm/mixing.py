@@ -101,7 +101,7 @@ def mix(docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[tuple[st
     """Copies of each document in a mix of `share` of all tokens.  levels: name to column, root first."""
     if clash := {"doc_id", "n_tokens", "copies"} & set(levels):
         raise ValueError(f"a level cannot be named {min(clash)}")
-    ws = X.Workspace(docs.sparkSession, "mixing")
+    ws = X.Workspace(docs.sparkSession, "mixing", docs)
     names = [f"level_{k}" for k in range(len(levels))]
     words = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
     rows = ws.write("rows", docs.select("doc_id", *(F.coalesce(c.cast("string"), F.lit("unknown")).alias(n) for n, c in zip(names, levels.values(), strict=True)), words.alias("n_tokens")))

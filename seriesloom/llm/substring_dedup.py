@@ -49,7 +49,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, first: int = 25, broadcas
     if window < 2 or first < 1:
         raise ValueError("window must be two words or more, and first one or more")
     docs = X.ensure_text(docs)
-    ws, blocks = X.Workspace(docs.sparkSession, "substring"), X.blocks_for(docs)
+    ws, blocks = X.Workspace(docs.sparkSession, "substring", docs), X.blocks_for(docs)
     levels = lengths(window, first)
     busy = A.repeated_anchors(ws, docs, levels[0], blocks, hot or A.hot_count(blocks))
     alive = "anchors"

@@ -46,7 +46,7 @@ def suffix_dedup(docs: DataFrame, window: int = 50, broadcast_bytes: int = X.BRO
     if window < 4:
         raise ValueError("window must be four words or more")
     docs = X.ensure_text(docs)
-    ws, blocks = X.Workspace(docs.sparkSession, "suffix"), X.blocks_for(docs)
+    ws, blocks = X.Workspace(docs.sparkSession, "suffix", docs), X.blocks_for(docs)
     busy = A.repeated_anchors(ws, docs, window, blocks, hot or A.hot_count(blocks))
     ws.write("spans", neighbours(X.attach(ws, docs, "anchors", bound=broadcast_bytes), window, blocks, busy))
     ws.drop("anchors")

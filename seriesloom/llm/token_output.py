@@ -50,9 +50,9 @@ def write_ids(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0, segme
     spark = docs.sparkSession
     ws = X.Workspace(spark, "ids")
     plain = ws.write("plain", tokenized(docs, tokenizer, end_id, segment))
-    files = ws.write("files", plain.groupBy(F.input_file_name().alias("file")).agg(F.min("part").alias("part"), F.sum("n_ids").alias("n")))
+    files = ws.write("files", plain.groupBy(F.input_file_name().alias("file")).agg(F.min("part").alias("part"), F.sum("n_ids").alias("n")).coalesce(X.FEWEST))
     tasks = max(1, files.count())  # one file each
-    ws.write("counts", plain.filter("counts IS NOT NULL").select("counts").mapInArrow(X.giving_back(counted), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")))
+    ws.write("counts", plain.filter("counts IS NOT NULL").select("counts").mapInArrow(X.giving_back(counted), "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).coalesce(X.FEWEST))
     ws.read("counts").coalesce(1).write.mode("overwrite").parquet(f"{path}/table")
     freq = read_table(spark, path)
     names, kinds = [c.split()[0] for c in FILES.split(", ")], [pa.int32(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
