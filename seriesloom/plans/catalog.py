@@ -471,7 +471,7 @@ CELLS = """cells AS (SELECT 'run' || CAST(l_suppkey % 2 AS VARCHAR) AS run_id, '
   l_discount AS wape, l_extendedprice AS mae, l_quantity AS fit_seconds, CASE WHEN l_tax > 0.04 THEN 'a' END AS model_artifact,
   CASE WHEN l_returnflag = 'R' THEN 'error' ELSE 'ok' END AS status, 'spark' AS compute_engine FROM lineitem)"""
 KEY = "run_id, ts_id, model_type, fold_id, ensemble_id"
-DEDUPED = f"{CELLS}, deduped AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY created_at DESC) = 1)"
+DEDUPED = f"{CELLS}, deduped AS (SELECT * FROM cells QUALIFY row_number() OVER (PARTITION BY {KEY} ORDER BY created_at DESC, wape, mae, fit_seconds, model_artifact, status) = 1)"
 
 
 def cells(spark, d):

@@ -33,9 +33,9 @@ def clean_json(d: dict | None) -> str | None:
 
 
 def latest(df: DataFrame, keys: list[str], *order) -> DataFrame:
-    """The first row of each key by the order given; null keys count as equal, ties go by the row's whole content."""
-    tie = F.xxhash64(*(F.to_json(c) if t.startswith(("map", "array", "struct")) else F.col(c) for c, t in df.dtypes))
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, tie))).filter("_n = 1").drop("_n")
+    """The first row of each key by the order given; null keys count as equal, ties go by the other columns in turn."""
+    ties = [F.col(c).asc_nulls_last() for c, kind in df.dtypes if c not in keys and not kind.startswith(("map", "array", "struct"))]
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *ties))).filter("_n = 1").drop("_n")
 
 
 def run_summary(runs: DataFrame) -> DataFrame:
