@@ -253,9 +253,9 @@ b{k} AS (SELECT ts_id, max_by(lam, llf) AS lam FROM l{k} GROUP BY 1),
 r{k} AS (SELECT greatest(-2.0::DOUBLE, min(lam) - max(step)) AS lo, least(2.0::DOUBLE, max(lam) + max(step)) AS hi FROM b{k}, (SELECT ({hi} - {lo}) / 16 AS step{"" if k == 1 else f" FROM r{k - 1}"}))"""
 
 
-@query(f"WITH {catalog.PANEL}, logs AS (SELECT ts_id, y, ln(y) AS ly FROM panel WHERE y > 0)," + ",".join(map(_lambda_pass, (1, 2, 3))) + " SELECT ts_id, lam FROM b3")
+@query(f"WITH {catalog.PANEL}, logs AS (SELECT ts_id, y, ln(y) AS ly FROM panel WHERE y > 0)," + ",".join(map(_lambda_pass, (1, 2, 3))) + " SELECT ts_id, round(lam, 4) AS lam FROM b3")
 def boxcox_lambda_mle(spark, d):
-    return transforms.boxcox_lambda(P.as_panel(P.daily_sales(spark, d)).filter("y > 0"))
+    return transforms.boxcox_lambda(P.as_panel(P.daily_sales(spark, d)).filter("y > 0")).select("ts_id", F.round("lam", 4).alias("lam"))
 
 
 @query("SELECT 3 * count(DISTINCT l_returnflag) AS n_cells, 3 * count(DISTINCT l_returnflag) AS n_distinct, true AS within FROM lineitem")
