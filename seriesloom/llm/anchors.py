@@ -9,8 +9,8 @@ positions are moved.
 A half window can stand in a third of all documents.  A batch that holds it in
 two documents knows that it repeats: its places go straight to their documents
 and one counted row stands for them, so no task gathers them.  Half windows
-counted `hot_count` times or more are listed, and what surrounds them is dealt by
-whole windows, of which a batch sends only those of its earliest document.
+counted `hot_count` times or more are listed, and what surrounds them is dealt
+finer by each operator; a batch sends only what its earliest document holds.
 """
 
 from __future__ import annotations
